@@ -22,7 +22,7 @@ SPELLED_OUT = {
     "“": '"',
     "”": '"',
     "…": "...",
-    " ": " ",
+    "\u00a0": " ",
 }
 UNKNOWN = "[?]"
 

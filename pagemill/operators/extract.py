@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from pagemill.functions import html as H
 from pagemill.functions.text import ascii_fold, entity_decode, first_digits, strip_label
+from pagemill.operators.rows import each
 
 LINK = r"(?is)<a\b[^>]*>.*?</a\s*>"
 
@@ -29,7 +30,7 @@ def extract_links(
     pages: DataFrame, text_like: str | None = None, keys: Sequence[str] = ("page_id",), html: str = "html"
 ) -> DataFrame:
     """One row per link, ``keys, pos, href, text``; optionally only texts containing a marker."""
-    links = pages.select(*keys, F.posexplode(link_array(F.col(html))).alias("pos", "link")).select(
+    links = each(pages, keys, link_array(F.col(html)), "link").select(
         *keys, "pos", "link.href", "link.text"
     )
     return links if text_like is None else links.where(F.contains("text", F.lit(text_like)))
@@ -48,7 +49,7 @@ def options_dimension(pages: DataFrame, select_id: str, html: str = "html") -> D
     """``<option value=…>name`` pairs of one ``<select>`` as ``id, name`` rows."""
     box = H.element_with(F.col(html), "select", "id", select_id)
     options = F.regexp_extract_all(box, F.lit(r"(?is)<option\b[^>]*>[^<]*"), F.lit(0))
-    return pages.select(F.explode(options).alias("o")).select(
+    return each(pages, [], options, "o").select(
         H.attr(F.col("o"), "value").alias("id"), H.clean_text(F.col("o")).alias("name")
     )
 
@@ -79,11 +80,11 @@ def label_value_rows(
     pages: DataFrame, table_class: str = "pubDisplay", key: str = "page_id", html: str = "html"
 ) -> DataFrame:
     """One row per label: ``key, pos, label, value, href``; the first of equal labels wins."""
-    entries = label_entries(F.col(html), table_class)
+    with_labels = pages.select(key, label_entries(F.col(html), table_class).alias("e")).withColumn(
+        "labels", F.transform("e", lambda x: x["label"])
+    )
     return (
-        pages.select(key, entries.alias("e"))
-        .withColumn("labels", F.transform("e", lambda x: x["label"]))
-        .select(key, F.posexplode("e").alias("pos", "x"), "labels")
+        each(with_labels, [key, "labels"], "e", "x")
         .where(F.array_position("labels", F.col("x.label")) == F.col("pos") + 1)
         .select(key, "pos", "x.label", "x.value", "x.href")
     )
@@ -362,10 +363,11 @@ def html_table_rows(pages: DataFrame, columns: Sequence[str], keep: Sequence[str
     def cells(row: Column, tag: str) -> Column:
         return F.transform(H.elements(row, tag), H.clean_text)
 
+    headed = pages.select(*keep, rows.alias("__rows")).withColumn(
+        "__head", F.get(F.filter(F.transform("__rows", lambda r: cells(r, "th")), lambda c: F.size(c) > 0), F.lit(0))
+    )
     parsed = (
-        pages.select(*keep, rows.alias("__rows"))
-        .withColumn("__head", F.filter(F.transform("__rows", lambda r: cells(r, "th")), lambda c: F.size(c) > 0)[0])
-        .select(*keep, "__head", F.explode("__rows").alias("__row"))
+        each(headed, [*keep, "__head"], "__rows", "__row")
         .select(*keep, "__head", cells(F.col("__row"), "td").alias("__cells"))
         .where(F.size("__cells") > 0)
     )

@@ -14,6 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pagemill.operators.rows import each
 from pagemill.operators.scan import ROWS_PER_BLOCK, ordinal
 
 
@@ -43,7 +44,7 @@ def first_usable(
     per ``url``.  Unusable pages are dropped before the join; the choice is a
     partial aggregate.  Records without a usable page keep NULL.
     """
-    tried = records.select(key, F.posexplode(candidates).alias("__rank", "__url"))
+    tried = each(records, [key], candidates, "__url", "__rank")
     good = pages.where(usable).select(F.col(url).alias("__url"), *fields)
     chosen = (
         tried.join(good, "__url")

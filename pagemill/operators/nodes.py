@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from pagemill.functions import html as H
 from pagemill.functions.text import entity_decode
+from pagemill.operators.rows import each
 
 
 def page_nodes(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
@@ -16,7 +17,7 @@ def page_nodes(pages: DataFrame, key: str = "page_id", html: str = "html") -> Da
     used later are never computed.
     """
     tok = F.col("tok")
-    return pages.select(key, F.posexplode(H.tokens(F.col(html))).alias("pos", "tok")).select(
+    return each(pages, [key], H.tokens(F.col(html)), "tok").select(
         key,
         "pos",
         "tok",

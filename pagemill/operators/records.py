@@ -31,9 +31,9 @@ def nested_schema(origin: str) -> T.StructType:
     return T.StructType([*top, T.StructField("meta", T.StructType([T.StructField(origin, inner)]))])
 
 
-def record_to_json(record: Column, compat: bool = False) -> Column:
-    """Record as JSON text with every key present; ``compat`` writes '' for missing strings."""
-    return F.to_json(record, {"ignoreNullFields": "false"}) if not compat else F.to_json(record)
+def record_to_json(record: Column) -> Column:
+    """Record as JSON text with every key present, ``null`` where there is no value."""
+    return F.to_json(record, {"ignoreNullFields": "false"})
 
 
 def fill_missing(df: DataFrame, defaults: Mapping[str, str] | None = None) -> DataFrame:
@@ -49,20 +49,6 @@ def fill_missing(df: DataFrame, defaults: Mapping[str, str] | None = None) -> Da
     )
 
 
-def nest_record(df: DataFrame, origin: str, id_prefix: str) -> DataFrame:
-    """Flat columns to the nested record; the title survives in the external id and as a column."""
-    from pagemill.functions.text import external_id
-
-    return df.select(
-        "abstract",
-        external_id(F.col("title"), id_prefix).alias("external_id"),
-        F.col("published").alias("date"),
-        "url",
-        F.col("pdf_text").alias("words"),
-        F.struct(F.struct(*META_FIELDS).alias(origin)).alias("meta"),
-    )
-
-
 def union_generations(flat: DataFrame, nested: DataFrame, origin: str, id_prefix: str) -> DataFrame:
     """Both record generations in the flat shape, with the generation number.
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pagemill.functions import html as H
 from pagemill.functions.dates import extract_date_fuzzy
 from pagemill.functions.text import first_digits, strip_label
+from pagemill.operators.rows import each
 from pagemill.operators.scan import ROWS_PER_BLOCK
 from pagemill.operators.segment import ROWS_PER_PART, last_in_segment, next_sibling, ordered_concat, segment
 from pagemill.operators.sentiment import lexicon_sentiment
@@ -23,7 +24,7 @@ def export_blocks(exports: DataFrame) -> DataFrame:
     def has(cls: str):
         return H.mentions_class(block, cls)
 
-    blocks = exports.select("file_id", F.posexplode(pieces).alias("pos", "block")).where(
+    blocks = each(exports, ["file_id"], pieces, "block").where(
         block.rlike(r"(?i)^<(?:div|table)[\s>]")
     )
     is_table = block.rlike(r"(?i)^<table[\s>]")

@@ -23,6 +23,7 @@ ENDINGS = {
     "bio": ["-bio.html"],
     "speech": ["-speech.html", "-speech_en.html"],
     "lecture": ["-lecture.html", "-lecture_en.html"],
+    "talk": ["-lecture.pdf", "-lecture_en.pdf"],
     "facts": ["-facts.html", "-facts_en.html"],
 }
 # Phrases that mark a page as unusable.
@@ -65,8 +66,12 @@ def page_fields(pages: DataFrame) -> DataFrame:
     )
 
 
-def people(list_docs: DataFrame, details: DataFrame) -> DataFrame:
-    """List rows with their details (``id, detail``: JSON text)."""
+def people(list_docs: DataFrame, details: DataFrame, first_prize_only: bool = False) -> DataFrame:
+    """List rows with their details (``id, detail``: JSON text).
+
+    The motivation is that of the prize of this year, else the one in the list;
+    with ``first_prize_only`` it is that of the person's first prize.
+    """
     listed = explode_list(list_docs).select(
         recode_value(F.col("category"), AREAS).alias("category"),
         "year",
@@ -78,9 +83,10 @@ def people(list_docs: DataFrame, details: DataFrame) -> DataFrame:
     )
     known = first_detail(details, "detail", keep=["id"])
     joined = listed.join(known, "id", "left")
-    # The motivation of the prize of this year, else the one in the list.
     this_year = F.get(F.filter("prizes", lambda p: p["year"] == F.col("year")), F.lit(0))
     motivation: Column = F.coalesce(this_year["motivation"], F.col("list_motivation"))
+    if first_prize_only:
+        motivation = F.col("first_motivation")
     return joined.select(
         *PERSON,
         "share",
@@ -109,7 +115,7 @@ def prize_records(
     base: str,
     location: str = "Stockholm",
 ) -> DataFrame:
-    """Nested records.  ``lecture_texts`` (``url, words``) holds the text of lecture files by page address."""
+    """Nested records.  ``lecture_texts`` (``url, words``) holds the text of lecture files by address."""
     listed = people(list_docs, details)
     tries = F.array(
         *[
@@ -123,7 +129,10 @@ def prize_records(
         "t.rank",
         page_kind_url(base, F.col("category"), F.col("year"), F.col("surname"), F.col("t.ending")).alias("url"),
     )
-    found = wanted.join(page_fields(pages), "url")
+    talks = lecture_texts.select(
+        "url", F.lit("talk").alias("kind"), ascii_fold(space_collapse(F.col("words"))).alias("text")
+    )
+    found = wanted.join(page_fields(pages).unionByName(talks, allowMissingColumns=True), "url")
     # One aggregate picks the best page of each kind.
     offered = F.struct("url", "title", "text", "date", "block", "timeline", "field", "contribution")
     best = found.groupBy(*PERSON).agg(
@@ -132,10 +141,7 @@ def prize_records(
             for kind in ENDINGS
         ]
     )
-    talks = lecture_texts.select(F.col("url").alias("__lecture_url"), ascii_fold(space_collapse(F.col("words"))).alias("__words"))
-    joined = listed.join(best, PERSON, "left").join(
-        talks, F.col("lecture.url") == F.col("__lecture_url"), "left"
-    )
+    joined = listed.join(best, PERSON, "left")
 
     def of_block(name: str) -> Column:
         return F.coalesce(*[F.col(f"{kind}.block.{name}") for kind in ("lecture", "speech", "bio")])
@@ -158,8 +164,8 @@ def prize_records(
             at("speech").alias("location"), F.col("speech.url").alias("url"),
         ).alias("speech"),
         F.struct(
-            F.col("__words").alias("words"), F.col("lecture.date").alias("date"),
-            at("lecture").alias("location"), F.col("lecture.url").alias("url"),
+            F.col("talk.text").alias("words"), F.col("lecture.date").alias("date"),
+            at("lecture").alias("location"), F.col("talk.url").alias("url"),
         ).alias("lecture"),
         F.col("bio.timeline").alias("timeline"),
     )

@@ -9,6 +9,7 @@ from pagemill.functions import html as H
 from pagemill.functions.text import ENTITIES
 from pagemill.operators import extract as X
 from pagemill.operators import nodes as N
+from pagemill.operators.rows import each
 from pagemill.plans.registry import query
 
 # The same clean-up in DuckDB.
@@ -38,6 +39,11 @@ LINKS_SQL = rf"""
 """
 
 
+def map_rows(df, name: str):
+    """Maps as ``page_id, key, value`` rows, to compare them."""
+    return each(df, ["page_id"], F.map_entries(name), "e").select("page_id", "e.key", "e.value")
+
+
 @query("scan_pages", "SELECT page_id, url, html, CAST(200 AS INTEGER) AS status FROM pages")
 def _(t):
     from pagemill.sources.readers import read_corpus
@@ -105,16 +111,15 @@ def _(t):
 
 @query(
     "options_dimension",
-    "SELECT CAST(n_nationkey AS VARCHAR) AS id, n_name AS name FROM nation",
+    "SELECT CAST(c_custkey AS VARCHAR) AS id, c_name AS name FROM customer",
 )
 def _(t):
-    # One page per region with its nations as options, rendered row by row.
-    option = F.concat(F.lit('<option value="'), F.col("n_nationkey"), F.lit('">'), F.col("n_name"), F.lit("</option>"))
-    page = F.concat(
-        F.lit('<form><select id="other"><option value="x">no</option></select><select name="f" id="researchfield">'),
-        option, F.lit("</select></form>"),
+    # Every customer is a page with one option in the wanted list and one in another.
+    html = F.concat(
+        F.lit('<form><select id="other"><option value="x">no</option></select><select name="f" id="researchfield"><option value="'),
+        F.col("c_custkey").cast("string"), F.lit('">'), F.col("c_name"), F.lit("</option></select></form>"),
     )
-    return X.options_dimension(t.nation.select(page.alias("html")), "researchfield")
+    return X.options_dimension(t.customer.select(html.alias("html")), "researchfield")
 
 
 def _row(label: str, value: Column) -> Column:
@@ -222,7 +227,7 @@ def _(t):
 def _(t):
     hrefs = F.transform(X.link_array(F.col("html")), lambda a: a["href"])
     mapped = t.pages.select("page_id", X.enumerate_map(hrefs, "photo_", "https://www.example.org").alias("m"))
-    return mapped.select("page_id", F.explode("m"))
+    return map_rows(mapped, "m")
 
 
 SECTION_SQL = rf"""
@@ -270,7 +275,7 @@ def order_timeline() -> Column:
 )
 def _(t):
     pages = t.orders.select(F.col("o_orderkey").alias("page_id"), order_timeline().alias("html"))
-    return X.table_to_map(pages, "brief autobiography").select("page_id", F.explode("timeline"))
+    return map_rows(X.table_to_map(pages, "brief autobiography"), "timeline")
 
 
 @query(
@@ -345,14 +350,14 @@ def _(t):
 
 @query(
     "marker_status",
-    """SELECT page_id, CASE WHEN page_id % 7 = 0 THEN 'missing' WHEN contains(html, 'Sorry') THEN 'end'
+    """SELECT page_id, CASE WHEN contains(url, 'page=2') THEN 'missing' WHEN contains(html, 'Sorry') THEN 'end'
               WHEN contains(html, '&amp;') THEN 'escaped' WHEN contains(html, '<h1></h1>') THEN 'untitled'
               ELSE 'ok' END AS status,
-              CASE WHEN page_id % 7 <> 0 AND NOT contains(html, 'Sorry') AND NOT contains(html, '&amp;')
+              CASE WHEN NOT contains(url, 'page=2') AND NOT contains(html, 'Sorry') AND NOT contains(html, '&amp;')
                    AND NOT contains(html, '<h1></h1>') THEN url END AS usable_url FROM pages""",
 )
 def _(t):
-    landed = t.pages.withColumn("code", F.when(F.col("page_id") % 7 == 0, 404).otherwise(200))
+    landed = t.pages.withColumn("code", F.when(F.contains("url", F.lit("page=2")), 404).otherwise(200))
     markers = {"Sorry": "end", "&amp;": "escaped", "<h1></h1>": "untitled"}
     judged = landed.withColumn("status", X.marker_status(F.col("html"), markers, F.col("code")))
     return judged.select("page_id", "status", F.when(F.col("status") == "ok", F.col("url")).alias("usable_url"))
@@ -387,7 +392,7 @@ def _(t):
 )
 def _(t):
     pairs = X.zip_extracts(F.col("html"), 'href="([^"]*)"', r"<a [^>]*>([^<]*)</a>")
-    return t.pages.select("page_id", F.explode(pairs).alias("pair"))
+    return each(t.pages, ["page_id"], pairs, "pair").drop("pos")
 
 
 @query(

@@ -8,6 +8,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pagemill.operators.rows import each
 from pagemill.operators.records import flat_schema, nested_schema, union_generations
 
 SEED_SCHEMA = "research_id int, research_name string"
@@ -29,15 +30,17 @@ def read_seed(spark: SparkSession, path: str, schema: str = SEED_SCHEMA) -> Data
     return spark.read.schema(schema).option("header", True).option("escape", '"').csv(path)
 
 
-def read_nested_json(spark: SparkSession, path: str, schema: str = LIST_SCHEMA) -> DataFrame:
-    """JSON documents, each possibly over several lines."""
-    return spark.read.schema(schema).option("multiLine", True).json(path)
+def read_nested_json(
+    spark: SparkSession, path: str, schema: str = LIST_SCHEMA, multi_line: bool = True
+) -> DataFrame:
+    """One JSON document per file, over several lines; or one per line, which lets files be split."""
+    return spark.read.schema(schema).option("multiLine", multi_line).json(path)
 
 
 def explode_list(docs: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     """Prize list to one row per prize and person."""
-    prizes = docs.select(*keep, F.explode("prizes").alias("p"))
-    people = prizes.select(*keep, "p.category", "p.year", F.explode("p.laureates").alias("l"))
+    prizes = each(docs, keep, "prizes", "p").select(*keep, "p.category", "p.year", "p.laureates")
+    people = each(prizes, [*keep, "category", "year"], "laureates", "l")
     return people.select(*keep, "category", "year", "l.*")
 
 
@@ -99,6 +102,11 @@ def attachments(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
     )
 
 
+def attach_text(inventory: DataFrame, texts: DataFrame) -> DataFrame:
+    """Inventory with the text extracted from each file (``record_id, text``), NULL where there is none."""
+    return inventory.join(texts, "record_id", "left")
+
+
 def read_work_table(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """A state table, or an empty one with its schema when nothing was written yet."""
     try:
@@ -128,7 +136,7 @@ def open_items(state: DataFrame, done: Column) -> DataFrame:
 def pair_list(df: DataFrame, col: str, keep: Sequence[str] = ()) -> DataFrame:
     """``"k1,v1 k2,v2"`` to one row per pair: ``pos, item, value``."""
     pairs = F.split(F.trim(F.col(col)), r"\s+")
-    exploded = df.select(*keep, F.posexplode(pairs).alias("pos", "__pair")).where("__pair <> ''")
+    exploded = each(df, keep, pairs, "__pair").where("__pair <> ''")
     return exploded.select(
         *keep,
         "pos",
