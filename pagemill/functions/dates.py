@@ -64,12 +64,16 @@ def range_start(c: Column) -> Column:
 
 def duration_seconds(c: Column) -> Column:
     """``1w 2d 3h 4m 5s`` -> seconds; parts add up in any order, no text is 0 seconds."""
-    total = F.lit(0).cast("bigint")
-    for unit, seconds in UNIT_SECONDS.items():
-        counts = F.regexp_extract_all(c, F.lit(rf"(?:^|\s)(\d+){unit}(?=\s|$)"), F.lit(1))
-        amounts = F.transform(counts, lambda n: n.cast("bigint"))
-        total = total + seconds * F.aggregate(amounts, F.lit(0).cast("bigint"), lambda a, n: a + n)
-    return F.coalesce(total, F.lit(0).cast("bigint"))
+    none = F.lit(0).cast("bigint")
+
+    def seconds(part: Column) -> Column:
+        unit = F.right(part, F.lit(1))
+        size = none
+        for name, value in UNIT_SECONDS.items():
+            size = F.when(unit == name, F.lit(value)).otherwise(size)
+        return F.coalesce(F.rtrim(part, F.lit("wdhms")).try_cast("bigint"), none) * size
+
+    return F.coalesce(F.aggregate(F.split(c, r"\s+"), none, lambda total, part: total + seconds(part)), none)
 
 
 def epoch_seconds(c: Column) -> Column:

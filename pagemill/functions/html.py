@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from pagemill.functions.text import entity_decode, ws_collapse
+from pagemill.functions.text import entity_decode, non_empty, ws_collapse
 
 NOISE = r"(?is)<script\b.*?</script>|<style\b.*?</style>|<!--.*?-->"
 TOKEN = r"<[^>]*>|[^<]+"
@@ -44,7 +44,7 @@ def token_kind(tok: Column) -> Column:
 def attr(tok: Column, name: str) -> Column:
     """Value of an attribute of the first tag in ``tok``; NULL when absent or empty."""
     raw = F.regexp_extract(tok, rf"""(?i)^<[^>]*?[\s"']{name}\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", 1)
-    return F.nullif(F.regexp_replace(raw, r"""^["']|["']$""", ""), F.lit(""))
+    return non_empty(F.regexp_replace(raw, r"""^["']|["']$""", ""))
 
 
 def has_class(tok: Column, cls: str) -> Column:
@@ -57,6 +57,11 @@ def mentions_class(fragment: Column, cls: str) -> Column:
     return fragment.rlike(rf"""(?i)\bclass\s*=\s*["']?(?:[^"'>]*\s)?{cls}(?:["'\s>])""")
 
 
+def text_of(cleaned: Column, tag: str) -> Column:
+    """Clean text of the first element of this name, NULL when there is none or it is empty."""
+    return non_empty(clean_text(first_element(cleaned, tag)))
+
+
 def inner_text(fragment: Column) -> Column:
     """Text of a fragment: tags removed, entities decoded."""
     return entity_decode(F.regexp_replace(fragment, TAG, ""))
@@ -72,13 +77,13 @@ def elements(html: Column, name: str) -> Column:
 
 
 def first_element(html: Column, name: str) -> Column:
-    return F.nullif(F.regexp_extract(html, rf"(?is)<{name}\b[^>]*>.*?</{name}\s*>", 0), F.lit(""))
+    return non_empty(F.regexp_extract(html, rf"(?is)<{name}\b[^>]*>.*?</{name}\s*>", 0))
 
 
 def element_with(html: Column, name: str, attribute: str, value: str) -> Column:
     """First ``<name>`` whose ``attribute`` contains ``value`` as a word, with its tags."""
     pattern = rf"""(?is)<{name}\b[^>]*\b{attribute}\s*=\s*["'](?:[^"'>]*\s)?{value}(?:\s[^"'>]*)?["'][^>]*>.*?</{name}\s*>"""
-    return F.nullif(F.regexp_extract(html, pattern, 0), F.lit(""))
+    return non_empty(F.regexp_extract(html, pattern, 0))
 
 
 def paragraphs(html: Column) -> Column:

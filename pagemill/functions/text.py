@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -41,6 +43,20 @@ ENTITIES = {
 }
 
 
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f(value)`` with ``value`` computed once.
+
+    An expression that uses its input several times would repeat the whole
+    input each time, since Spark shares nothing inside lambdas and branches.
+    """
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+def non_empty(value: Column) -> Column:
+    """NULL for '' (``nullif`` would compute the value twice inside lambdas)."""
+    return F.get(F.filter(F.array(value), lambda v: v != ""), F.lit(0))
+
+
 def ws_collapse(c: Column) -> Column:
     """Every run of whitespace becomes one space; ends trimmed."""
     return F.trim(F.regexp_replace(c, r"\s+", " "))
@@ -57,10 +73,18 @@ def newline_to_space(c: Column) -> Column:
 
 def ascii_fold(c: Column, unknown: str = UNKNOWN) -> Column:
     """Transliterate Latin text to ASCII; what has no counterpart becomes ``unknown``."""
-    folded = F.translate(c, ACCENTED, PLAIN)
-    for char, spelled in SPELLED_OUT.items():
-        folded = F.replace(folded, F.lit(char), F.lit(spelled))
-    return F.regexp_replace(folded, r"[^\x00-\x7F]", unknown)
+    foreign = r"[^\x00-\x7F]"
+
+    def spell_out(letters: Column) -> Column:
+        spelled = letters
+        for char, ascii_text in SPELLED_OUT.items():
+            spelled = F.replace(spelled, F.lit(char), F.lit(ascii_text))
+        return F.when(letters.rlike(foreign), F.regexp_replace(spelled, foreign, unknown)).otherwise(letters)
+
+    # Most texts are done after a look, most others after the single letters.
+    return let(
+        c, lambda v: F.when(v.rlike(foreign), let(F.translate(v, ACCENTED, PLAIN), spell_out)).otherwise(v)
+    )
 
 
 def slugify(title: Column, suffix: str = ".json") -> Column:
@@ -133,6 +157,10 @@ def url_last_segment(c: Column) -> Column:
 
 
 def entity_decode(c: Column) -> Column:
-    for entity, char in ENTITIES.items():
-        c = F.replace(c, F.lit(entity), F.lit(char))
-    return c
+    def decode(v: Column) -> Column:
+        decoded = v
+        for entity, char in ENTITIES.items():
+            decoded = F.replace(decoded, F.lit(entity), F.lit(char))
+        return F.when(F.contains(v, F.lit("&")), decoded).otherwise(v)
+
+    return let(c, decode)

@@ -12,16 +12,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagemill.functions import html as H
-from pagemill.functions.text import ascii_fold, entity_decode, first_digits, strip_label
-from pagemill.operators.rows import each
+from pagemill.functions.text import ascii_fold, entity_decode, first_digits, let, non_empty, strip_label
+from pagemill.operators.rows import each, present
 
 LINK = r"(?is)<a\b[^>]*>.*?</a\s*>"
 
 
-def link_array(html: Column) -> Column:
-    """Links of a page in order: ``array<struct<href, text>>``."""
+def link_array(cleaned: Column) -> Column:
+    """Links of a cleaned page in order: ``array<struct<href, text>>``."""
     return F.transform(
-        F.regexp_extract_all(H.strip_noise(html), F.lit(LINK), F.lit(0)),
+        F.regexp_extract_all(cleaned, F.lit(LINK), F.lit(0)),
         lambda a: F.struct(H.attr(a, "href").alias("href"), H.clean_text(a).alias("text")),
     )
 
@@ -30,7 +30,7 @@ def extract_links(
     pages: DataFrame, text_like: str | None = None, keys: Sequence[str] = ("page_id",), html: str = "html"
 ) -> DataFrame:
     """One row per link, ``keys, pos, href, text``; optionally only texts containing a marker."""
-    links = each(pages, keys, link_array(F.col(html)), "link").select(
+    links = each(pages, keys, link_array(H.strip_noise(F.col(html))), "link").select(
         *keys, "pos", "link.href", "link.text"
     )
     return links if text_like is None else links.where(F.contains("text", F.lit(text_like)))
@@ -38,10 +38,9 @@ def extract_links(
 
 def first_link(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
     """Only the first link of each page that has one."""
-    return (
-        pages.select(key, F.get(link_array(F.col(html)), F.lit(0)).alias("link"))
-        .where("link is not null")
-        .select(key, "link.href", "link.text")
+    anchor = F.nullif(F.regexp_extract(H.strip_noise(F.col(html)), LINK, 0), F.lit(""))
+    return present(pages, [key], anchor, "a").select(
+        key, H.attr(F.col("a"), "href").alias("href"), H.clean_text(F.col("a")).alias("text")
     )
 
 
@@ -85,7 +84,9 @@ def label_value_rows(
     )
     return (
         each(with_labels, [key, "labels"], "e", "x")
-        .where(F.array_position("labels", F.col("x.label")) == F.col("pos") + 1)
+        # The coalesce keeps Spark from testing `labels` for NULL below the explode,
+        # where it would have to be computed once more.
+        .where(F.coalesce(F.array_position("labels", F.col("x.label")), F.lit(0)) == F.col("pos") + 1)
         .select(key, "pos", "x.label", "x.value", "x.href")
     )
 
@@ -134,7 +135,7 @@ def heading_fields(
     return pages.select(*keep, inside.alias("__html")).select(
         *keep,
         *[
-            F.nullif(H.clean_text(H.first_element(F.col("__html"), tag)), F.lit("")).alias(name)
+            H.text_of(F.col("__html"), tag).alias(name)
             for name, tag in fields.items()
         ],
     )
@@ -187,9 +188,9 @@ _BLOCK_START = (
 )
 
 
-def section_pieces(html: Column, start: str) -> Column:
+def section_pieces(cleaned: Column, start: str) -> Column:
     """What follows the first ``</start>``, cut at block boundaries; tables shrunk to their tag."""
-    after = F.regexp_extract(H.strip_noise(html), rf"(?is)</{start}\s*>(.*)\z", 1)
+    after = F.regexp_extract(cleaned, rf"(?is)</{start}\s*>(.*)\z", 1)
     flat = F.regexp_replace(after, r"(?is)(<table\b[^>]*>).*?</table\s*>", "$1")
     return F.split(flat, _BLOCK_START)
 
@@ -205,6 +206,7 @@ def take_while_section(
     sep: str = " ",
     keep: Sequence[str] = ("page_id",),
     html: str = "html",
+    cleaned: bool = False,
 ) -> DataFrame:
     """Paragraph texts after a heading, up to the first sibling that is something else.
 
@@ -212,7 +214,8 @@ def take_while_section(
     paragraphs contribute text.  A paragraph that holds ``stop_class``, or a
     table whose summary is one of ``stop_summaries``, ends it as well.  Running
     out of siblings is a normal end.  ``only`` picks among the paragraphs.  The
-    result is NULL on pages without the heading.
+    result is NULL on pages without the heading.  ``cleaned`` says that scripts
+    and comments are gone already.
     """
     allowed = [*through, *(["/p"] if "p" in through else [])]
 
@@ -235,9 +238,11 @@ def take_while_section(
     if only is not None:
         kept = F.filter(kept, only)
     texts = F.filter(F.transform(kept, H.clean_text), lambda t: t != "")
+    page = F.col(html) if cleaned else H.strip_noise(F.col(html))
     return (
-        pages.select(*keep, F.col(html).rlike(rf"(?is)</{start}\s*>").alias("__has"),
-                     section_pieces(F.col(html), start).alias("__pieces"))
+        pages.select(*keep, page.alias("__page"))
+        .select(*keep, F.col("__page").rlike(rf"(?is)</{start}\s*>").alias("__has"),
+                section_pieces(F.col("__page"), start).alias("__pieces"))
         .withColumn("__stop", F.array_position(F.transform("__pieces", is_stop), F.lit(True)).cast("int"))
         .select(*keep, F.when(F.col("__has"), F.array_join(texts, sep)).alias(out))
     )
@@ -248,15 +253,15 @@ def has_class_attribute(piece: Column) -> Column:
     return H.attr(piece, "class").isNotNull()
 
 
-def table_pairs(html: Column, summary_like: str, skip: int = 2) -> Column:
-    """Entries ``<key, value>`` of a table whose summary contains a phrase.
+def table_pairs(cleaned: Column, summary_like: str, skip: int = 2) -> Column:
+    """Entries ``<key, value>`` of the first table whose summary contains a phrase.
 
     The first ``skip`` rows are headers; the key is the first cell and the value
     the second and third joined by ``"; "``.  Rows with fewer cells are left
     out; of equal keys the last one stays.
     """
     table = F.filter(
-        H.elements(H.strip_noise(html), "table"),
+        H.elements(cleaned, "table"),
         lambda t: F.coalesce(F.contains(H.attr(t, "summary"), F.lit(summary_like)), F.lit(False)),
     )
     rows = F.slice(H.elements(F.get(table, F.lit(0)), "tr"), skip + 1, 1_000_000_000)
@@ -279,9 +284,11 @@ def table_to_map(
     skip: int = 2,
     keep: Sequence[str] = ("page_id",),
     html: str = "html",
+    cleaned: bool = False,
 ) -> DataFrame:
     """``table_pairs`` as a map; a later row replaces an earlier one with the same key."""
-    pairs = table_pairs(F.col(html), summary_like, skip)
+    page = F.col(html) if cleaned else H.strip_noise(F.col(html))
+    pairs = table_pairs(page, summary_like, skip)
     # Sorted by key, then from the last row to the first: each key's first entry stays.
     ranked = F.array_sort(
         F.transform("__pairs", lambda e, i: F.struct(e["key"].alias("key"), (-i).alias("back"), e["value"].alias("value")))
@@ -308,10 +315,11 @@ def colon_label(html: Column, label: str) -> Column:
 
 def title_block(html: Column, cls: str = "laureate_prize_title") -> Column:
     """Title (inner span) and the second line of a block: ``struct<prize_title, co_winners>``."""
-    block = H.element_with(html, "div", "class", cls)
-    return F.struct(
-        F.nullif(H.clean_text(H.first_element(block, "span")), F.lit("")).alias("prize_title"),
-        text_line(H.inner_text(block), 1).alias("co_winners"),
+    return let(
+        H.element_with(html, "div", "class", cls),
+        lambda block: F.struct(
+            H.text_of(block, "span").alias("prize_title"), text_line(H.inner_text(block), 1).alias("co_winners")
+        ),
     )
 
 
@@ -332,27 +340,23 @@ def article_extract(pages: DataFrame, keep: Sequence[str] = ("page_id", "url"),
     images = F.transform(
         F.regexp_extract_all(page, F.lit(r"(?is)<img\b[^>]*>"), F.lit(0)), lambda i: H.attr(i, "src")
     )
-    # Links and text clean the raw page themselves; the row keeps both forms.
-    base = pages.select(*keep, F.col(html).alias("__raw"), H.strip_noise(F.col(html)).alias("__html"))
+    base = pages.select(*keep, H.strip_noise(F.col(html)).alias("__html"))
     body = take_while_section(
-        base.withColumn("__metas", metas), out="text", html="__raw", stop_class=None, stop_summaries=(),
-        keep=(*keep, "__raw", "__html", "__metas"),
+        base.withColumn("__metas", metas), out="text", html="__html", cleaned=True, stop_class=None,
+        stop_summaries=(), keep=(*keep, "__html", "__metas"),
     )
     words = F.transform(F.split(meta("keywords"), ","), F.trim)
     return body.select(
         *keep,
-        F.coalesce(
-            F.nullif(H.clean_text(H.first_element(page, "title")), F.lit("")),
-            F.nullif(H.clean_text(H.first_element(page, "h1")), F.lit("")),
-        ).alias("title"),
-        F.nullif(F.regexp_extract(page, r"""(?i)<html\b[^>]*\blang\s*=\s*["']?([A-Za-z-]+)""", 1), F.lit("")).alias("lang"),
+        F.coalesce(H.text_of(page, "title"), H.text_of(page, "h1")).alias("title"),
+        non_empty(F.regexp_extract(page, r"""(?i)<html\b[^>]*\blang\s*=\s*["']?([A-Za-z-]+)""", 1)).alias("lang"),
         F.col("text"),
         meta("author").alias("authors"),
         meta("date").alias("published"),
         F.get(images, F.lit(0)).alias("top_image"),
         images.alias("images"),
         F.coalesce(words, F.array().cast("array<string>")).alias("keywords"),
-        F.transform(link_array(F.col("__raw")), lambda a: a["href"]).alias("links"),
+        F.transform(link_array(page), lambda a: a["href"]).alias("links"),
     )
 
 

@@ -16,3 +16,12 @@ def each(df: DataFrame, keep: Sequence[str], array: Column | str, item: str, pos
     more.  The outer form avoids that; the filter then sees the finished rows.
     """
     return df.select(*keep, F.posexplode_outer(array).alias(pos, item)).where(F.col(pos).isNotNull())
+
+
+def present(df: DataFrame, keep: Sequence[str], value: Column, item: str) -> DataFrame:
+    """Rows where ``value`` is not NULL, with it as ``item``.
+
+    A plain filter on a computed column is pushed below the projection and
+    computes the column twice; see ``each``.
+    """
+    return each(df, keep, F.array_compact(F.array(value)), item, "__pos").drop("__pos")

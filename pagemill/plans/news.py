@@ -1,91 +1,106 @@
-"""News exports: one long HTML file to documents with fields and sentiment."""
+"""News exports: one long HTML file to documents with fields and sentiment.
+
+A file is one row.  It is cut into blocks and the blocks into documents inside
+that row, so nothing is shuffled however long the files are.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Mapping
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagemill.functions import html as H
 from pagemill.functions.dates import extract_date_fuzzy
 from pagemill.functions.text import first_digits, strip_label
 from pagemill.operators.rows import each
-from pagemill.operators.scan import ROWS_PER_BLOCK
-from pagemill.operators.segment import ROWS_PER_PART, last_in_segment, next_sibling, ordered_concat, segment
-from pagemill.operators.sentiment import lexicon_sentiment
+from pagemill.operators.sentiment import LEXICON, text_sentiment
 
-DOC = ["file_id", "doc_no"]
+_BLOCK = r"(?i)<(?:div|table)[\s>]"
+# How far to look for the next div before searching the rest of the file.
+_NEAR = 8
 
 
-def export_blocks(exports: DataFrame) -> DataFrame:
-    """``file_id, html`` to one row per ``div`` or table, in order, with what its classes say."""
-    pieces = F.split(H.strip_noise(F.col("html")), r"(?i)(?=<(?:div|table)[\s>])")
-    block = F.col("block")
+def export_blocks(html: Column) -> Column:
+    """The ``div`` and table blocks of an export in order, with what their classes say."""
+    pieces = F.filter(F.split(H.strip_noise(html), f"(?={_BLOCK})"), lambda b: b.rlike("^" + _BLOCK))
 
-    def has(cls: str):
-        return H.mentions_class(block, cls)
+    def flags(block: Column) -> Column:
+        def has(cls: str) -> Column:
+            return H.mentions_class(block, cls)
 
-    blocks = each(exports, ["file_id"], pieces, "block").where(
-        block.rlike(r"(?i)^<(?:div|table)[\s>]")
-    )
-    is_table = block.rlike(r"(?i)^<table[\s>]")
-    flagged = blocks.select(
-        "file_id",
-        "pos",
-        is_table.alias("is_table"),
-        H.clean_text(block).alias("text"),
-        ((has("c5") & has("c4") & has("c2")) | (is_table & has("c12"))).alias("is_body"),
-        (has("c7") | has("c8")).alias("is_title"),
-        (has("c1") & has("c4")).alias("is_date"),
-        has("c11").alias("is_end"),
-    )
-    return flagged.withColumn(
-        "is_header", F.contains("text", F.lit("DOCUMENT")) & F.contains("text", F.lit("of"))
+        is_table = block.rlike(r"(?i)^<table[\s>]")
+        return F.struct(
+            is_table.alias("is_table"),
+            H.clean_text(block).alias("text"),
+            ((has("c5") & has("c4") & has("c2")) | (is_table & has("c12"))).alias("is_body"),
+            (has("c7") | has("c8")).alias("is_title"),
+            (has("c1") & has("c4")).alias("is_date"),
+            has("c11").alias("is_end"),
+        )
+
+    return F.transform(pieces, flags)
+
+
+def split_documents(blocks: str) -> Column:
+    """Blocks to an array of documents: a closing mark ends one, what follows the last is one too."""
+    marks = F.transform(blocks, lambda b, i: F.when(b["is_end"], i + 1))
+    ends = F.array_distinct(F.concat(F.array_compact(marks), F.array(F.size(blocks))))
+    starts = F.concat(F.array(F.lit(0)), ends)
+    spans = F.filter(F.zip_with(starts, ends, lambda s, e: F.struct(s.alias("s"), (e - s).alias("n"))), lambda x: x["n"] > 0)
+    return F.transform(
+        spans,
+        lambda x: F.struct(F.slice(blocks, x["s"] + 1, x["n"]).alias("blocks"), (x["s"] + x["n"]).alias("end")),
     )
 
 
-def news_documents(
-    exports: DataFrame,
-    lexicon: DataFrame,
-    rows_per_block: int = ROWS_PER_BLOCK,
-    rows_per_part: int = ROWS_PER_PART,
-) -> DataFrame:
-    """One row per document and body part (more than one part only beyond ``rows_per_part`` blocks).
+def _last(blocks: Column, found) -> Column:
+    return F.try_element_at(F.filter(blocks, found), F.lit(-1))
+
 
-    A field that occurs several times keeps its last value.  What follows the
-    last closing mark is a document too.
+def news_documents(exports: DataFrame, lexicon: Mapping[str, tuple[float, float]] = LEXICON) -> DataFrame:
+    """``file_id, html`` to one row per document.
+
+    A field that occurs several times keeps its last value.  The title of the
+    paper is the next div after the header, whichever document that is in.
     """
-    numbered = segment(
-        export_blocks(exports), F.col("is_end"), ["file_id"], ["pos"], rows_per_block=rows_per_block
-    )
-    # The title of the paper is the next div, whichever document it is in.
-    divs = next_sibling(
-        numbered.where(~F.col("is_table")), "text", ["file_id"], ["pos"], "next_text", rows_per_block
-    )
-    text = F.col("text")
-    fields = last_in_segment(
-        divs,
-        DOC,
-        ["pos"],
-        {
-            "num_words": F.when(F.contains("text", F.lit("LENGTH:")), first_digits(strip_label(text, "LENGTH:"))),
-            "email_title": F.when(F.col("is_title"), text),
-            "date_time": F.when(F.col("is_date"), extract_date_fuzzy(text)),
-            "document_idx": F.when(F.col("is_header"), text),
-            "newspaper_title": F.when(F.col("is_header"), F.col("next_text")),
-        },
-    )
-    starts = numbered.groupBy(*DOC).agg(F.min("pos").alias("__start"))
-    body = numbered.where("is_body").join(starts, DOC).withColumn("pos", F.col("pos") - F.col("__start"))
-    bodies = ordered_concat(body, DOC, "pos", "text", " ", "body", rows_per_part)
-    named = bodies.withColumn("__doc", F.struct(*DOC))
-    scores = lexicon_sentiment(named, lexicon, "__doc", "body").select(
-        "__doc.*", "polarity", "subjectivity"
+    blocks = exports.select("file_id", export_blocks(F.col("html")).alias("all"))
+
+    def next_div(i: Column) -> Column:
+        def among(rest: Column) -> Column:
+            return F.get(F.filter(rest, lambda b: ~b["is_table"]), F.lit(0))["text"]
+
+        return F.coalesce(among(F.slice("all", i + 2, _NEAR)), among(F.slice("all", i + 2 + _NEAR, F.size("all"))))
+
+    def is_header(block: Column) -> Column:
+        text = block["text"]
+        return ~block["is_table"] & F.contains(text, F.lit("DOCUMENT")) & F.contains(text, F.lit("of"))
+
+    titled = blocks.withColumn(
+        "all",
+        F.transform(
+            "all",
+            lambda b, i: F.when(is_header(b), b.withField("document_idx", b["text"]).withField("paper", next_div(i))).otherwise(
+                b.withField("document_idx", F.lit(None).cast("string")).withField("paper", F.lit(None).cast("string"))
+            ),
+        ),
     )
-    return (
-        starts.drop("__start")
-        .join(fields, DOC, "left")
-        .join(bodies, DOC, "left")
-        .join(scores, DOC, "left")
-        .withColumn("num_words", F.col("num_words").try_cast("int"))
-        .fillna({"polarity": 0.0, "subjectivity": 0.0, "part": 0})
+    docs = each(titled.withColumn("docs", split_documents("all")), ["file_id"], "docs", "doc", "doc_no")
+    own = F.col("doc.blocks")
+    header = _last(own, lambda b: b["document_idx"].isNotNull())
+    length = _last(own, lambda b: ~b["is_table"] & F.contains(b["text"], F.lit("LENGTH:")))
+    dates = F.transform(F.filter(own, lambda b: b["is_date"]), lambda b: extract_date_fuzzy(b["text"]))
+    bodies = F.transform(F.filter(own, lambda b: b["is_body"]), lambda b: b["text"])
+    fields = docs.select(
+        "file_id",
+        F.col("doc_no").cast("bigint").alias("doc_no"),
+        first_digits(strip_label(length["text"], "LENGTH:")).try_cast("int").alias("num_words"),
+        _last(own, lambda b: b["is_title"])["text"].alias("email_title"),
+        _last(dates, lambda d: d.isNotNull()).alias("date_time"),
+        header["document_idx"].alias("document_idx"),
+        header["paper"].alias("newspaper_title"),
+        F.array_join(bodies, " ").alias("body"),
     )
+    scored = fields.withColumn("__s", text_sentiment(F.col("body"), lexicon))
+    return scored.select(*fields.columns, "__s.polarity", "__s.subjectivity")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from pagemill.functions import html as H
 from pagemill.functions.dates import extract_date_fuzzy, sentinel_to_null
-from pagemill.functions.text import ascii_fold, page_kind_url, recode_value, share_label, space_collapse
+from pagemill.functions.text import ascii_fold, let, page_kind_url, recode_value, share_label, space_collapse
 from pagemill.operators.extract import (
     colon_label,
     marker_status,
@@ -38,31 +38,36 @@ def page_fields(pages: DataFrame) -> DataFrame:
     """
     page = F.col("html")
     kind = F.regexp_extract("url", r"-(bio|speech|lecture|facts)(?:_en)?\.html$", 1)
-    usable = pages.withColumn("kind", kind).where(
-        (F.col("kind") != "") & (marker_status(page, MARKERS, F.col("status")) == "ok")
+    usable = pages.where((kind != "") & (marker_status(page, MARKERS, F.col("status")) == "ok"))
+    known = usable.select("url", kind.alias("kind"), H.strip_noise(page).alias("page"))
+
+    def only(*kinds: str) -> Column:
+        """The page if it is of one of these kinds; work on other pages ends at the NULL."""
+        return F.when(F.col("kind").isin(*kinds), F.col("page"))
+
+    split = known.select(
+        "url", "kind", "page", only("bio").alias("__bio_page"), only("speech").alias("__speech_page")
     )
-    bio = take_while_section(usable, out="__bio", keep=usable.columns)
+    bio = take_while_section(split, out="__bio", html="__bio_page", cleaned=True, keep=split.columns)
     speech = take_while_section(
-        bio, out="__speech", through=("p", "img"), stop_class=None, stop_summaries=(), keep=bio.columns
+        bio, out="__speech", html="__speech_page", cleaned=True, through=("p", "img"), stop_class=None,
+        stop_summaries=(), keep=bio.columns,
     )
-    timeline = table_to_map(speech, "brief autobiography", keep=speech.columns)
-    cleaned = H.strip_noise(page)
-    small = F.filter(H.paragraphs(cleaned), lambda p: H.mentions_class(p, "smalltext"))
-    place = F.when(F.col("kind") == "speech", H.inner_text(F.get(small, F.lit(0)))).when(
-        F.col("kind") == "lecture", H.inner_text(H.element_with(cleaned, "div", "class", "video_main"))
+    timeline = table_to_map(speech, "brief autobiography", html="__bio_page", cleaned=True, keep=speech.columns)
+    small = F.filter(H.paragraphs(F.col("__speech_page")), lambda p: H.mentions_class(p, "smalltext"))
+    place = F.coalesce(
+        H.inner_text(F.get(small, F.lit(0))), H.inner_text(H.element_with(only("lecture"), "div", "class", "video_main"))
     )
-    text = F.when(F.col("kind") == "bio", F.col("__bio")).when(F.col("kind") == "speech", F.col("__speech"))
-    facts = F.col("kind") == "facts"
     return timeline.select(
         "url",
         "kind",
-        H.clean_text(H.first_element(cleaned, "h1")).alias("title"),
-        ascii_fold(space_collapse(text)).alias("text"),
-        extract_date_fuzzy(place).alias("date"),
-        title_block(cleaned).alias("block"),
-        F.when(F.col("kind") == "bio", F.col("timeline")).alias("timeline"),
-        F.when(facts, colon_label(cleaned, "Field:")).alias("field"),
-        F.when(facts, colon_label(cleaned, "Contribution:")).alias("contribution"),
+        H.clean_text(H.first_element(only("bio"), "h1")).alias("title"),
+        ascii_fold(space_collapse(F.coalesce("__bio", "__speech"))).alias("text"),
+        let(place, extract_date_fuzzy).alias("date"),
+        title_block(only("bio", "speech", "lecture")).alias("block"),
+        "timeline",
+        colon_label(only("facts"), "Field:").alias("field"),
+        colon_label(only("facts"), "Contribution:").alias("contribution"),
     )
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from pagemill.operators.sentiment import LEXICON, lexicon_frame
+from pagemill.operators.sentiment import LEXICON
 from pagemill.plans import fellows, news, prizes, publications, worktable
 from pagemill.plans.q_text import NOW, now
 from pagemill.plans.q_windows import customer_state, plain_state
@@ -65,7 +65,7 @@ def _(t):
         "<tr><th>Dates: </th><td></td></tr><tr><th>Published:</th><td>March\n ", (1 + size % 9).cast("string"),
         ", 1998</td></tr></table>",
     )
-    pages = t.part.select(join_text("http://www.example.org/show?pub_id=", text("p_partkey")).alias("url"), html.alias("html"))
+    pages = t.spread("part").select(join_text("http://www.example.org/show?pub_id=", text("p_partkey")).alias("url"), html.alias("html"))
     texts = t.part.where("p_type in ('PROMO', 'LARGE')").select(
         join_text("http://doi.example.org/", text("p_partkey")).alias("link"), F.lit("doi.pdf").alias("file_name"),
         join_text(" doi\n", F.col("p_type"), "\n").alias("text"),
@@ -134,7 +134,7 @@ def _(t):
             )
         ).alias("laureates")
     )
-    details = t.customer.select(text("c_custkey").alias("id"), F.to_json(detail).alias("detail"))
+    details = t.spread("customer").select(text("c_custkey").alias("id"), F.to_json(detail).alias("detail"))
     area = F.when(F.col("category") == "economics", F.lit("economic-sciences")).otherwise(F.col("category"))
     hosts = (
         awards.join(t.customer, F.col("id") == F.col("c_custkey"))
@@ -197,7 +197,7 @@ def profile_pages(t):
         '"><h3>News on ', F.col("c_mktsegment"), "</h3></a></div>",
         '<div class="promo default in-the-media "><a class="icon" href="/second"><h3>Second</h3></a></div>',
     )
-    return t.customer.select(
+    return t.spread("customer").select(
         F.col("c_custkey").alias("fellow_id"), join_text("http://www.example.org/fellows/", key, "/").alias("url"), html.alias("html")
     )
 
@@ -236,7 +236,7 @@ def _news_sql() -> str:
                UNION ALL SELECT CAST(doc_id AS VARCHAR), 1, 'a best day', NULL, NULL, NULL, '2 of 2 DOCUMENTS', 'no closing mark' FROM documents),
          w AS (SELECT file_id, doc_no, unnest(regexp_extract_all(lower(body), '[a-z]+')) AS word FROM d),
          s AS (SELECT file_id, doc_no, avg(polarity) AS p, avg(subjectivity) AS s FROM w JOIN lex USING (word) GROUP BY ALL)
-    SELECT d.file_id, CAST(d.doc_no AS BIGINT) AS doc_no, CAST(0 AS BIGINT) AS part, body, CAST(num_words AS INTEGER) AS num_words, email_title, date_time,
+    SELECT d.file_id, CAST(d.doc_no AS BIGINT) AS doc_no, body, CAST(num_words AS INTEGER) AS num_words, email_title, date_time,
            document_idx, newspaper_title, round(p, 6) AS polarity, round(s, 6) AS subjectivity FROM d JOIN s USING (file_id, doc_no)
     """
 
@@ -259,8 +259,8 @@ def _(t):
         '<div class="c11">last</div><div class="c0">2 of 2 DOCUMENTS</div><div class="c3">no closing mark</div>',
         '<div class="c5"><span class="c4">a </span><span class="c2">best day</span></div>',
     )
-    exports = t.documents.select(text("doc_id").alias("file_id"), html.alias("html"))
-    found = news.news_documents(exports, lexicon_frame(t.spark))
+    exports = t.spread("documents").select(text("doc_id").alias("file_id"), html.alias("html"))
+    found = news.news_documents(exports)
     return found.withColumns({"polarity": F.round("polarity", 6), "subjectivity": F.round("subjectivity", 6)})
 
 

@@ -9,7 +9,7 @@ from pagemill.operators import lookup as L
 from pagemill.operators import segment as S
 from pagemill.operators.extract import extract_links
 from pagemill.operators.records import outcome_counts, route_outcome
-from pagemill.operators.sentiment import LEXICON, NEGATION, NEGATORS, lexicon_frame, lexicon_sentiment
+from pagemill.operators.sentiment import LEXICON, NEGATION, NEGATORS, lexicon_frame, lexicon_sentiment, text_sentiment
 from pagemill.plans.q_pages import LINKS_SQL
 from pagemill.plans.registry import query
 
@@ -17,7 +17,7 @@ HOST = r"^https?://([^/?#]+)"
 
 
 def hosted_links(t):
-    return extract_links(t.pages, keys=("page_id", "url")).withColumn("host", F.regexp_extract("url", HOST, 1))
+    return extract_links(t.spread("pages"), keys=("page_id", "url")).withColumn("host", F.regexp_extract("url", HOST, 1))
 
 
 HOSTED_SQL = f"SELECT *, regexp_extract(url, '{HOST}', 1) AS host FROM ({LINKS_SQL})"
@@ -204,14 +204,22 @@ def _lexicon_sql() -> str:
     """
 
 
-@query("lexicon_sentiment", _lexicon_sql())
-def _(t):
-    scored = lexicon_sentiment(t.documents, lexicon_frame(t.spark))
+def rounded(scored):
     return scored.select(
         "doc_id", F.round("polarity", 6).alias("polarity"), F.round("subjectivity", 6).alias("subjectivity"), "n_hits"
     )
 
 
+@query("lexicon_sentiment", _lexicon_sql())
+def _(t):
+    return rounded(t.spread("documents").select("doc_id", text_sentiment(F.col("text")).alias("s")).select("doc_id", "s.*"))
+
+
+@query("lexicon_table_sentiment", _lexicon_sql())
+def _(t):
+    return rounded(lexicon_sentiment(t.spread("documents"), lexicon_frame(t.spark)))
+
+
 @query(
     "keep_last_per_key",
     """SELECT user_id, event_type, event_id, value FROM events

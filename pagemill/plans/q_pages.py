@@ -63,7 +63,7 @@ def _(t):
         FROM ({NODES_SQL})""",
 )
 def _(t):
-    return N.page_nodes(t.pages)
+    return N.page_nodes(t.spread("pages"))
 
 
 @query(
@@ -73,7 +73,7 @@ def _(t):
            WHERE regexp_matches(tok, '^<[A-Za-z]')) GROUP BY tag""",
 )
 def _(t):
-    opened = N.select_nodes(N.page_nodes(t.pages))
+    opened = N.select_nodes(N.page_nodes(t.spread("pages")))
     # Per page first: no page or tag is ever gathered in one task.
     per_page = opened.groupBy("tag", "page_id").agg(F.count("*").alias("n"))
     return per_page.groupBy("tag").agg(F.sum("n").alias("n_nodes"), F.count("*").alias("n_pages"))
@@ -84,7 +84,7 @@ def _(t):
     rf"""SELECT page_id, pos, tok FROM ({NODES_SQL}) WHERE regexp_matches(tok, '^<div class="ad"')""",
 )
 def _(t):
-    return N.select_nodes(N.page_nodes(t.pages), tag="div", cls="ad").select("page_id", "pos", "tok")
+    return N.select_nodes(N.page_nodes(t.spread("pages")), tag="div", cls="ad").select("page_id", "pos", "tok")
 
 
 @query(
@@ -92,7 +92,7 @@ def _(t):
     f"SELECT page_id, pos, href, text FROM ({LINKS_SQL}) WHERE contains(text, 'th')",
 )
 def _(t):
-    return X.extract_links(t.pages, text_like="th")
+    return X.extract_links(t.spread("pages"), text_like="th")
 
 
 @query(
@@ -101,12 +101,12 @@ def _(t):
         FROM ({NODES_SQL}) WHERE regexp_matches(tok, '(?i)^<a[\s>]')""",
 )
 def _(t):
-    return N.link_target(N.page_nodes(t.pages))
+    return N.link_target(N.page_nodes(t.spread("pages")))
 
 
 @query("first_link_per_page", f"SELECT page_id, href, text FROM ({LINKS_SQL}) WHERE pos = 0")
 def _(t):
-    return X.first_link(t.pages)
+    return X.first_link(t.spread("pages"))
 
 
 @query(
@@ -144,7 +144,7 @@ def part_page() -> Column:
 
 
 def part_pages(t):
-    return t.part.select(F.col("p_partkey").alias("page_id"), part_page().alias("html"))
+    return t.spread("part").select(F.col("p_partkey").alias("page_id"), part_page().alias("html"))
 
 
 @query(
@@ -190,7 +190,7 @@ def _(t):
               nullif({clean_sql("regexp_extract(html, '(?is)<h1>(.*?)</h1>', 1)")}, '') AS name FROM pages""",
 )
 def _(t):
-    return X.heading_fields(t.pages, {"title": "title", "name": "h1"})
+    return X.heading_fields(t.spread("pages"), {"title": "title", "name": "h1"})
 
 
 def profile_page() -> Column:
@@ -225,8 +225,8 @@ def _(t):
     f"SELECT page_id, 'photo_' || pos AS key, 'https://www.example.org' || href AS value FROM ({LINKS_SQL})",
 )
 def _(t):
-    hrefs = F.transform(X.link_array(F.col("html")), lambda a: a["href"])
-    mapped = t.pages.select("page_id", X.enumerate_map(hrefs, "photo_", "https://www.example.org").alias("m"))
+    hrefs = F.transform(X.link_array(H.strip_noise(F.col("html"))), lambda a: a["href"])
+    mapped = t.spread("pages").select("page_id", X.enumerate_map(hrefs, "photo_", "https://www.example.org").alias("m"))
     return map_rows(mapped, "m")
 
 
@@ -241,13 +241,13 @@ SECTION_SQL = rf"""
 
 @query("take_while_section", SECTION_SQL.replace("{only}", "true"))
 def _(t):
-    return X.take_while_section(t.pages)
+    return X.take_while_section(t.spread("pages"))
 
 
 @query("section_filtered", SECTION_SQL.replace("{only}", "starts_with(p, '<b>')"))
 def _(t):
     return X.take_while_section(
-        t.pages, through=("p", "img"), stop_class=None, stop_summaries=(), only=lambda p: p.rlike(r"(?i)^<p[^>]*><b>")
+        t.spread("pages"), through=("p", "img"), stop_class=None, stop_summaries=(), only=lambda p: p.rlike(r"(?i)^<p[^>]*><b>")
     )
 
 
@@ -274,7 +274,7 @@ def order_timeline() -> Column:
        UNION ALL SELECT o_orderkey, 'customer', o_custkey || '; ' || o_orderkey FROM orders""",
 )
 def _(t):
-    pages = t.orders.select(F.col("o_orderkey").alias("page_id"), order_timeline().alias("html"))
+    pages = t.spread("orders").select(F.col("o_orderkey").alias("page_id"), order_timeline().alias("html"))
     return map_rows(X.table_to_map(pages, "brief autobiography"), "timeline")
 
 
@@ -329,7 +329,7 @@ def _(t):
         LEFT JOIN (SELECT page_id, string_agg(href, ' ' ORDER BY pos) AS links FROM ({LINKS_SQL}) GROUP BY page_id) l USING (page_id)""",
 )
 def _(t):
-    found = X.article_extract(t.pages)
+    found = X.article_extract(t.spread("pages"))
     lists = ("images", "keywords", "links")
     return found.select(*[F.array_join(c, " ").alias(c) if c in lists else F.col(c) for c in found.columns])
 
@@ -357,7 +357,7 @@ def _(t):
                    AND NOT contains(html, '<h1></h1>') THEN url END AS usable_url FROM pages""",
 )
 def _(t):
-    landed = t.pages.withColumn("code", F.when(F.contains("url", F.lit("page=2")), 404).otherwise(200))
+    landed = t.spread("pages").withColumn("code", F.when(F.contains("url", F.lit("page=2")), 404).otherwise(200))
     markers = {"Sorry": "end", "&amp;": "escaped", "<h1></h1>": "untitled"}
     judged = landed.withColumn("status", X.marker_status(F.col("html"), markers, F.col("code")))
     return judged.select("page_id", "status", F.when(F.col("status") == "ok", F.col("url")).alias("usable_url"))
@@ -371,7 +371,7 @@ def _(t):
         GROUP BY page_id""",
 )
 def _(t):
-    return N.class_counts(t.pages, ["p", "b", "a", "div"])
+    return N.class_counts(t.spread("pages"), ["p", "b", "a", "div"])
 
 
 @query(
@@ -382,7 +382,7 @@ def _(t):
         GROUP BY page_id) WHERE n_p >= 5 AND n_b >= 2 AND n_table = 0""",
 )
 def _(t):
-    return N.class_count_filter(t.pages, {"p": 5, "b": 2}, ["table"])
+    return N.class_count_filter(t.spread("pages"), {"p": 5, "b": 2}, ["table"])
 
 
 @query(
@@ -392,7 +392,7 @@ def _(t):
 )
 def _(t):
     pairs = X.zip_extracts(F.col("html"), 'href="([^"]*)"', r"<a [^>]*>([^<]*)</a>")
-    return each(t.pages, ["page_id"], pairs, "pair").drop("pos")
+    return each(t.spread("pages"), ["page_id"], pairs, "pair").drop("pos")
 
 
 @query(
@@ -403,7 +403,7 @@ def _(t):
 def _(t):
     opened = F.col("kind") == "open"
     return N.reconcile_counts(
-        N.page_nodes(t.pages),
+        N.page_nodes(t.spread("pages")),
         n_bodies=opened & (F.col("tag") == "article"),
         n_titles=opened & (F.col("tag") == "h1"),
         n_links=opened & (F.col("tag") == "a"),
@@ -421,8 +421,8 @@ def _(t):
     from pagemill.sources.sinks import fan_out
 
     outputs = {
-        "summary": X.heading_fields(t.pages, {"title": "h1"}),
-        "media": X.first_link(t.pages).select("page_id", F.col("text").alias("title"), F.col("href").alias("link")),
+        "summary": X.heading_fields(t.spread("pages"), {"title": "h1"}),
+        "media": X.first_link(t.spread("pages")).select("page_id", F.col("text").alias("title"), F.col("href").alias("link")),
     }
     paths = fan_out(outputs, scratch_path(t.spark, "fanout"))
     read = [

@@ -28,13 +28,13 @@ def fold_sql(c: str) -> str:
 
 @query("ws_collapse", r"SELECT doc_id, trim(regexp_replace(text, '\s+', ' ', 'g')) AS text FROM documents")
 def _(t):
-    return t.documents.select("doc_id", X.ws_collapse(F.col("text")).alias("text"))
+    return t.spread("documents").select("doc_id", X.ws_collapse(F.col("text")).alias("text"))
 
 
 @query("space_collapse", r"SELECT doc_id, trim(regexp_replace(replace(text, 'e', '  '), ' +', ' ', 'g')) AS text FROM documents")
 def _(t):
     spaced = F.replace(F.col("text"), F.lit("e"), F.lit("  "))
-    return t.documents.select("doc_id", X.space_collapse(spaced).alias("text"))
+    return t.spread("documents").select("doc_id", X.space_collapse(spaced).alias("text"))
 
 
 @query(
@@ -43,12 +43,12 @@ def _(t):
 )
 def _(t):
     broken = F.replace(F.col("text"), F.lit(". "), F.lit("\r\n"))
-    return t.documents.select("doc_id", X.newline_to_space(broken).alias("text"))
+    return t.spread("documents").select("doc_id", X.newline_to_space(broken).alias("text"))
 
 
 @query("ascii_fold", f"SELECT doc_id, {fold_sql('text')} AS text FROM documents")
 def _(t):
-    return t.documents.select("doc_id", X.ascii_fold(F.col("text")).alias("text"))
+    return t.spread("documents").select("doc_id", X.ascii_fold(F.col("text")).alias("text"))
 
 
 @query(
@@ -103,7 +103,7 @@ def _(t):
 
 @query("contains_ci", "SELECT doc_id, contains(lower(text), 'thes') AS found FROM documents")
 def _(t):
-    return t.documents.select("doc_id", X.contains_ci(F.col("text"), "Thes").alias("found"))
+    return t.spread("documents").select("doc_id", X.contains_ci(F.col("text"), "Thes").alias("found"))
 
 
 @query(
@@ -183,7 +183,7 @@ def _(t):
         # A range is no date; only its first day can be told.
         .otherwise(F.concat(F.date_format(day, "MMMM d"), F.lit("-31, "), F.date_format(day, "yyyy")))
     )
-    return t.orders.select("o_orderkey", D.parse_date_iso(text).alias("iso"), D.range_start(text).alias("range_start"))
+    return t.spread("orders").select("o_orderkey", D.parse_date_iso(text).alias("iso"), D.range_start(text).alias("range_start"))
 
 
 @query(
@@ -210,7 +210,7 @@ def _(t):
         F.lit("1w "), F.col("l_quantity").cast("int").cast("string"), F.lit("d "), F.col("l_linenumber").cast("string"),
         F.lit("h "), (F.col("l_partkey") % 60).cast("string"), F.lit("m 2s 3s"),
     )
-    return t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", D.duration_seconds(text).alias("seconds"))
+    return t.spread("lineitem").select("l_orderkey", "l_linenumber", "l_partkey", D.duration_seconds(text).alias("seconds"))
 
 
 EVENT_LEFT_SQL = f"(value * 36000.0 - (epoch_us(TIMESTAMP '{NOW}') - epoch_us(ts)) / 1e6)"

@@ -75,6 +75,16 @@ def affiliations(text: Column) -> Column:
     return F.when(well_formed, F.from_json(text, AFFILIATIONS))
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """Deal the rows of a scan out to all cores when its files give fewer splits than that.
+
+    For scans that much text work follows on.  A table of many files, as on a
+    cluster, is returned as it is.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores)
+
+
 def read_corpus(spark: SparkSession, path: str) -> DataFrame:
     """Landed pages from parquet: ``page_id, url, html``, with ``status`` 200 where none was landed."""
     pages = spark.read.parquet(path)
