@@ -57,6 +57,11 @@ def non_empty(value: Column) -> Column:
     return F.get(F.filter(F.array(value), lambda v: v != ""), F.lit(0))
 
 
+def strip(c: Column) -> Column:
+    """Whitespace of any kind off both ends (``trim`` takes spaces only)."""
+    return F.btrim(c, F.lit(" \t\n\r\x0b\x0c"))
+
+
 def ws_collapse(c: Column) -> Column:
     """Every run of whitespace becomes one space; ends trimmed."""
     return F.trim(F.regexp_replace(c, r"\s+", " "))
@@ -64,7 +69,7 @@ def ws_collapse(c: Column) -> Column:
 
 def space_collapse(c: Column) -> Column:
     """Every run of spaces becomes one space, other whitespace stays; ends trimmed."""
-    return F.trim(F.regexp_replace(c, " +", " "))
+    return strip(F.regexp_replace(c, " +", " "))
 
 
 def newline_to_space(c: Column) -> Column:
@@ -118,7 +123,7 @@ def first_digits(c: Column) -> Column:
 
 
 def strip_label(c: Column, label: str) -> Column:
-    return F.trim(F.replace(c, F.lit(label), F.lit("")))
+    return strip(F.replace(c, F.lit(label), F.lit("")))
 
 
 def contains_ci(c: Column, needle: str) -> Column:

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagemill.functions import html as H
-from pagemill.functions.text import ascii_fold, entity_decode, first_digits, let, non_empty, strip_label
+from pagemill.functions.text import ascii_fold, entity_decode, first_digits, let, non_empty, strip, strip_label
 from pagemill.operators.rows import each, present
 
 LINK = r"(?is)<a\b[^>]*>.*?</a\s*>"
@@ -67,8 +67,8 @@ def label_entries(html: Column, table_class: str) -> Column:
         cell = F.regexp_extract(row, r"(?is)<td\b[^>]*>(.*?)</td\s*>", 1)
         anchor = F.regexp_extract(cell, r"(?is)<a\b[^>]*>", 0)
         return F.struct(
-            F.trim(ascii_fold(H.inner_text(label))).alias("label"),
-            F.trim(H.inner_text(cell)).alias("value"),
+            strip(ascii_fold(H.inner_text(label))).alias("label"),
+            strip(H.inner_text(cell)).alias("value"),
             H.attr(anchor, "href").alias("href"),
         )
 
@@ -272,7 +272,7 @@ def table_pairs(cleaned: Column, summary_like: str, skip: int = 2) -> Column:
         cells,
         lambda c: F.struct(
             F.get(c, F.lit(0)).alias("key"),
-            F.trim(ascii_fold(F.concat(F.get(c, F.lit(1)), F.lit("; "), F.get(c, F.lit(2))))).alias("value"),
+            strip(ascii_fold(F.concat(F.get(c, F.lit(1)), F.lit("; "), F.get(c, F.lit(2))))).alias("value"),
         ),
     )
 
@@ -310,7 +310,7 @@ def colon_label(html: Column, label: str) -> Column:
         H.paragraphs(html),
         lambda p: H.clean_text(F.regexp_extract(p, r"(?is)<strong\b[^>]*>(.*?)</strong\s*>", 1)) == label,
     )
-    return F.trim(F.get(F.split(H.inner_text(F.get(found, F.lit(0))), ":"), F.lit(1)))
+    return strip(F.get(F.split(H.inner_text(F.get(found, F.lit(0))), ":"), F.lit(1)))
 
 
 def title_block(html: Column, cls: str = "laureate_prize_title") -> Column:
@@ -325,7 +325,7 @@ def title_block(html: Column, cls: str = "laureate_prize_title") -> Column:
 
 def text_line(c: Column, n: int) -> Column:
     """The n-th line (0-based), trimmed; NULL past the end."""
-    return F.trim(F.get(F.split(c, "\n"), F.lit(n)))
+    return strip(F.get(F.split(c, "\n"), F.lit(n)))
 
 
 def article_extract(pages: DataFrame, keep: Sequence[str] = ("page_id", "url"), html: str = "html") -> DataFrame:
@@ -345,7 +345,7 @@ def article_extract(pages: DataFrame, keep: Sequence[str] = ("page_id", "url"),
         base.withColumn("__metas", metas), out="text", html="__html", cleaned=True, stop_class=None,
         stop_summaries=(), keep=(*keep, "__html", "__metas"),
     )
-    words = F.transform(F.split(meta("keywords"), ","), F.trim)
+    words = F.transform(F.split(meta("keywords"), ","), strip)
     return body.select(
         *keep,
         F.coalesce(H.text_of(page, "title"), H.text_of(page, "h1")).alias("title"),

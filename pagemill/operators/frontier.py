@@ -44,7 +44,7 @@ def first_seen(links: DataFrame, keys: Sequence[str], link: str, page: str) -> D
 
 
 def cumulative_distinct(
-    links: DataFrame, keys: Sequence[str], link: str, page: str, rows_per_block: int = ROWS_PER_BLOCK
+    links: DataFrame, keys: Sequence[str], link: str, page: str, rows_per_block: int | None = ROWS_PER_BLOCK
 ) -> DataFrame:
     """Per group and page: links new on it and links known so far."""
     new = first_seen(links, keys, link, page).groupBy(*keys, page).agg(F.count("*").alias("n_new"))
@@ -58,7 +58,7 @@ def converge_pages(links: DataFrame, visited: DataFrame, keys: Sequence[str], li
 
     ``visited`` lists all ``keys, page`` pairs, also those without any link.
     """
-    new = first_seen(links.where(F.col(link).isNotNull()), keys, link, page).select(*keys, page).distinct()
+    new = first_seen(links, keys, link, page).where(F.col(link).isNotNull()).select(*keys, page).distinct()
     pages = visited.select(*keys, page).distinct()
     last = (
         pages.join(new, [*keys, page], "left_anti").groupBy(*keys).agg(F.min(page).alias("__last"))

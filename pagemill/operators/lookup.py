@@ -72,7 +72,7 @@ def zip_by_position(
     left_order: Sequence[str],
     right_order: Sequence[str],
     position: str = "position",
-    rows_per_block: int = ROWS_PER_BLOCK,
+    rows_per_block: int | None = ROWS_PER_BLOCK,
 ) -> DataFrame:
     """Put the k-th row of one side beside the k-th row of the other; both sides stay whole."""
     a = ordinal(left, left_order, position, rows_per_block=rows_per_block)

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagemill.functions import html as H
-from pagemill.functions.text import entity_decode
-from pagemill.operators.rows import each
+from pagemill.functions.text import entity_decode, let
+from pagemill.operators.rows import each, present
 
 
 def page_nodes(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
@@ -59,12 +61,14 @@ def class_counts(pages: DataFrame, tags: list[str], key: str = "page_id", html:
 def class_count_filter(pages: DataFrame, at_least: dict[str, int], none_of: list[str], **cols) -> DataFrame:
     """Pages with at least so many of some elements and none of others."""
     counted = class_counts(pages, [*at_least, *none_of], **cols)
-    keep: Column = F.lit(True)
-    for tag, least in at_least.items():
-        keep &= F.col(f"n_{tag}") >= least
-    for tag in none_of:
-        keep &= F.col(f"n_{tag}") == 0
-    return counted.where(keep)
+    key, *counts = counted.columns
+
+    def wanted(row: Column) -> Column:
+        enough = [row[f"n_{tag}"] >= least for tag, least in at_least.items()]
+        none = [row[f"n_{tag}"] == 0 for tag in none_of]
+        return F.when(reduce(lambda a, b: a & b, enough + none), row)
+
+    return present(counted, [key], let(F.struct(*counts), wanted), "n").select(key, "n.*")
 
 
 def reconcile_counts(nodes: DataFrame, **conditions: Column) -> DataFrame:

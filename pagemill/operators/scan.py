@@ -10,11 +10,11 @@ rows per block.  Groups of ordinary size stay in one block.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -22,12 +22,14 @@ from pyspark.sql import types as T
 # A group larger than this is cut into blocks.
 ROWS_PER_BLOCK = 1_000_000
 # Blocks grow beyond ROWS_PER_BLOCK rather than exceed this number.  It bounds
-# the hot keys and the block edges that pass through the driver.
-MAX_BLOCKS = 512
+# the hot keys and block edges that pass through the driver, and the summary.
+MAX_BLOCKS = 4096
+# Rows looked at per block to choose the edges.
+PROBES_PER_BLOCK = 20
 
 _BLOCK = "__block"
-_SLOT = "__slot"
 _HOT = "__hot"
+_AT = "__at"
 
 
 @dataclass(frozen=True)
@@ -45,20 +47,49 @@ class Blocked:
 
     @property
     def across(self):
-        # Only summary rows go through this window: at most MAX_BLOCKS blocks per key.
+        # Only summary rows go through this window: a few per block.
         return Window.partitionBy(*(self.keys or [F.lit(0)]))
 
 
-def _as_number(df: DataFrame, name: str) -> Column:
-    """The order column as a double, monotone in the column's own order."""
+def _comparable(df: DataFrame, name: str) -> Column:
+    """The column as something that passes through the driver unchanged, in the same order."""
     kind = df.schema[name].dataType
     if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
-        return F.unix_micros(F.col(name).cast("timestamp")).cast("double")
+        return F.unix_micros(F.col(name).cast("timestamp"))
     if isinstance(kind, T.DateType):
-        return F.unix_date(name).cast("double")
-    if isinstance(kind, T.NumericType):
-        return F.col(name).cast("double")
-    raise TypeError(f"first order column {name!r} must be a number, date or timestamp, not {kind.simpleString()}")
+        return F.unix_date(name)
+    return F.col(name)
+
+
+def _block_edges(hot_rows: DataFrame, names: list[str], blocks: int, n_rows: int) -> list[tuple]:
+    """Up to ``blocks - 1`` places that cut the rows into parts of nearly equal size.
+
+    Only the choice of the places rests on a sample; every row is then put
+    into the block it belongs to.
+    """
+    share = min(1.0, PROBES_PER_BLOCK * blocks / n_rows)
+    probes = [tuple(r) for r in hot_rows.sample(share, seed=11).orderBy(*names).collect()]
+    picked = [probes[i * len(probes) // blocks] for i in range(1, blocks)] if probes else []
+    return list(dict.fromkeys(picked))
+
+
+def _block_number(edges: list[tuple], fields: list[T.StructField]) -> Column:
+    """How many edges are at or before the row: first among every ``step``-th, then in between."""
+    step = max(1, math.isqrt(len(edges)))
+
+    def literal(places: list[tuple]) -> Column:
+        return F.array(
+            *[
+                F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(place, fields, strict=True)])
+                for place in places
+            ]
+        )
+
+    def passed(places: Column) -> Column:
+        return F.size(F.filter(places, lambda e: e <= F.col(_AT)))
+
+    coarse = passed(literal(edges[step - 1 :: step])) * step
+    return coarse + passed(F.slice(literal(edges), coarse + 1, step))
 
 
 def same_keys(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
@@ -67,18 +98,23 @@ def same_keys(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
 
 
 def cut_into_blocks(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], rows_per_block: int = ROWS_PER_BLOCK
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], rows_per_block: int | None = ROWS_PER_BLOCK
 ) -> Blocked:
     """Give every row a block number; only groups above ``rows_per_block`` get several.
 
-    Block edges are quantiles of the first order column over the rows of hot
-    groups, so no (group, block) pair holds many more rows than
-    ``rows_per_block`` however the keys are skewed.  Rows that tie on the first
-    order column stay together.  The edges are constants of the plan, so a
-    recomputed task assigns the same blocks.
+    Blocks are ranges over keys and order together, so none holds many more
+    rows than ``rows_per_block`` however keys or order values repeat, and all
+    blocks and hot keys together give fewer than twice ``MAX_BLOCKS`` pairs.
+    The edges are constants of the plan, so a recomputed task assigns the same
+    blocks.
+
+    Pass ``rows_per_block=None`` where groups cannot be large, such as rows
+    that come out of one row; this saves counting.
     """
     keys, order = tuple(keys), tuple(order)
     plain = Blocked(df.withColumn(_BLOCK, F.lit(0)), keys, order, False)
+    if rows_per_block is None:
+        return plain
     total = df.count()
     if total <= rows_per_block:
         return plain
@@ -99,22 +135,12 @@ def cut_into_blocks(
     else:
         hot_rows = total
         rows = df.withColumn(_HOT, F.lit(True))
-    rows = rows.withColumn(_SLOT, _as_number(df, order[0]))
-    wanted = -(-hot_rows // limit)
-    edges = rows.where(_HOT).approxQuantile(
-        _SLOT, [i / wanted for i in range(1, wanted)], 1 / (4 * wanted)
-    )
-    splits = [float("-inf"), *sorted(set(edges)), float("inf")]
-    if len(splits) < 3:
-        numbered = rows.withColumn("__bucket", F.lit(0))
-    else:
-        numbered = Bucketizer(
-            splits=splits, inputCol=_SLOT, outputCol="__bucket", handleInvalid="keep"
-        ).transform(rows)
-    # Nulls sort first in an ascending window, so they form the first block.
-    block = F.when(F.col(_SLOT).isNull(), F.lit(-1)).otherwise(F.col("__bucket").cast("int"))
-    numbered = numbered.withColumn(_BLOCK, F.when(F.col(_HOT), block).otherwise(F.lit(0)))
-    return Blocked(numbered.drop(_SLOT, "__bucket"), keys, order, True)
+    places = [*keys, *(c for c in order if c not in keys)]
+    at = rows.withColumn(_AT, F.struct(*[_comparable(df, c).alias(c) for c in places]))
+    edges = _block_edges(at.where(_HOT).select(f"{_AT}.*"), places, -(-hot_rows // limit), hot_rows)
+    number = _block_number(edges, at.schema[_AT].dataType.fields) if edges else F.lit(0)
+    numbered = at.withColumn(_BLOCK, F.when(F.col(_HOT), number).otherwise(F.lit(0)))
+    return Blocked(numbered.drop(_AT), keys, order, True)
 
 
 def running_total(
@@ -125,7 +151,7 @@ def running_total(
     out: str,
     *,
     before: bool = False,
-    rows_per_block: int = ROWS_PER_BLOCK,
+    rows_per_block: int | None = ROWS_PER_BLOCK,
 ) -> DataFrame:
     """Add ``out``: the sum of ``value`` up to each row, or over the rows ``before`` it."""
     df = df.withColumn("__value", value)
@@ -145,7 +171,7 @@ def running_total(
             ),
         )
     )
-    # At most MAX_BLOCKS hot keys times MAX_BLOCKS blocks.
+    # Fewer than 2 * MAX_BLOCKS rows.
     carried = F.broadcast(carried.select(*blocked.keys, _BLOCK, "__carry"))
     rows = blocked.rows.withColumn("__local", local)
     joined = rows.join(carried, same_keys(rows, carried, [*blocked.keys, _BLOCK]), "left")
@@ -159,7 +185,7 @@ def ordinal(
     out: str,
     *,
     keys: Sequence[str] = (),
-    rows_per_block: int = ROWS_PER_BLOCK,
+    rows_per_block: int | None = ROWS_PER_BLOCK,
 ) -> DataFrame:
     """Add ``out``: the 0-based position of each row within ``keys`` (or the whole table)."""
     return running_total(
@@ -173,7 +199,7 @@ def neighbours(
     order: Sequence[str],
     wanted: Mapping[str, tuple[str, int]],
     *,
-    rows_per_block: int = ROWS_PER_BLOCK,
+    rows_per_block: int | None = ROWS_PER_BLOCK,
 ) -> DataFrame:
     """Add a column per entry of ``wanted``: name -> (column, offset).
 

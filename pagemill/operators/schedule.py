@@ -67,7 +67,7 @@ def mark_done(state: DataFrame, keys: DataFrame, key: str = "domain") -> DataFra
 
 def successive_delay(
     rows: DataFrame, wait: str, keys: Sequence[str] = (), tie: Sequence[str] = (), out: str = "delay_s",
-    rows_per_block: int = ROWS_PER_BLOCK,
+    rows_per_block: int | None = ROWS_PER_BLOCK,
 ) -> DataFrame:
     """Waiting time minus the one before it in ascending order; the first keeps its own."""
     moved = neighbours(rows, keys, [wait, *tie], {"__before": (wait, -1)}, rows_per_block=rows_per_block)
@@ -79,7 +79,7 @@ def elapsed_correction(plan: DataFrame, measured_at: str, done_at: Column, wait:
     return plan.withColumn(wait, remaining_seconds(F.col(wait), F.col(measured_at), done_at))
 
 
-def due_plan(state: DataFrame, now: Column, lead: int = LEAD_SECONDS, rows_per_block: int = ROWS_PER_BLOCK) -> DataFrame:
+def due_plan(state: DataFrame, now: Column, lead: int = LEAD_SECONDS, rows_per_block: int | None = ROWS_PER_BLOCK) -> DataFrame:
     """What to do with each open item: ``domain, price, action, left_s, delay_s``.
 
     Items with less than ``lead`` seconds left are for now (delay 0).  The
@@ -109,7 +109,7 @@ def first_row(items: DataFrame, *order: str) -> DataFrame:
     return items.orderBy(*order).limit(1)
 
 
-def even_split(rows: DataFrame, parts: int, order: Sequence[str], out: str = "part", rows_per_block: int = ROWS_PER_BLOCK) -> DataFrame:
+def even_split(rows: DataFrame, parts: int, order: Sequence[str], out: str = "part", rows_per_block: int | None = ROWS_PER_BLOCK) -> DataFrame:
     """Number contiguous parts 1..``parts`` of equal size; the first ones take the remainder.
 
     Like ``ntile`` over the whole table, but without bringing it into one task.

@@ -19,7 +19,7 @@ def segment(
     keys: Sequence[str],
     order: Sequence[str],
     out: str = "doc_no",
-    rows_per_block: int = ROWS_PER_BLOCK,
+    rows_per_block: int | None = ROWS_PER_BLOCK,
 ) -> DataFrame:
     """Number the documents: a row with ``is_end`` closes its document, the rest is the last one."""
     flag = F.when(is_end, F.lit(1)).otherwise(F.lit(0)).cast("bigint")
@@ -31,7 +31,7 @@ def take_while(
     stop: Column,
     keys: Sequence[str],
     order: Sequence[str],
-    rows_per_block: int = ROWS_PER_BLOCK,
+    rows_per_block: int | None = ROWS_PER_BLOCK,
 ) -> DataFrame:
     """Rows of each group before its first ``stop`` row."""
     flag = F.when(stop, F.lit(1)).otherwise(F.lit(0)).cast("bigint")
@@ -48,14 +48,14 @@ def last_in_segment(rows: DataFrame, keys: Sequence[str], order: Sequence[str],
 
 
 def next_sibling(
-    rows: DataFrame, col: str, keys: Sequence[str], order: Sequence[str], out: str, rows_per_block: int = ROWS_PER_BLOCK
+    rows: DataFrame, col: str, keys: Sequence[str], order: Sequence[str], out: str, rows_per_block: int | None = ROWS_PER_BLOCK
 ) -> DataFrame:
     return neighbours(rows, keys, order, {out: (col, 1)}, rows_per_block=rows_per_block)
 
 
 def previous_siblings(
     rows: DataFrame, col: str, keys: Sequence[str], order: Sequence[str], names: Sequence[str],
-    rows_per_block: int = ROWS_PER_BLOCK,
+    rows_per_block: int | None = ROWS_PER_BLOCK,
 ) -> DataFrame:
     """The values 1, 2, … rows back, nearest first."""
     wanted = {name: (col, -k) for k, name in enumerate(names, start=1)}

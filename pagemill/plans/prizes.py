@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from pagemill.functions import html as H
 from pagemill.functions.dates import extract_date_fuzzy, sentinel_to_null
-from pagemill.functions.text import ascii_fold, let, page_kind_url, recode_value, share_label, space_collapse
+from pagemill.functions.text import ascii_fold, let, page_kind_url, recode_value, share_label, space_collapse, strip
 from pagemill.operators.extract import (
     colon_label,
     marker_status,
@@ -99,7 +99,7 @@ def people(list_docs: DataFrame, details: DataFrame, first_prize_only: bool = Fa
         ascii_fold(F.col("surname")).alias("last_name"),
         "surname",
         "gender",
-        F.trim(ascii_fold(motivation)).alias("motivation"),
+        strip(ascii_fold(motivation)).alias("motivation"),
         "affiliations",
         F.col("bornCountry").alias("birth_country"),
         "bornCountryCode",

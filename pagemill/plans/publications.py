@@ -39,8 +39,11 @@ def publication_links(result_pages: DataFrame, mark: str = LINK_MARK) -> DataFra
 
     Only pages up to the first one without a new link count, per field.
     """
-    links = extract_links(result_pages, text_like=mark, keys=("field", "page_no")).select(
-        "field", "page_no", F.col("text").alias("link")
+    # Distinct first: the pages are parsed once, and what follows starts from its shuffle.
+    links = (
+        extract_links(result_pages, text_like=mark, keys=("field", "page_no"))
+        .select("field", "page_no", F.col("text").alias("link"))
+        .distinct()
     )
     visited = converge_pages(links, result_pages, ["field"], "link", "page_no")
     counted = links.join(visited, ["field", "page_no"])

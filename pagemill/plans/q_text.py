@@ -31,7 +31,7 @@ def _(t):
     return t.spread("documents").select("doc_id", X.ws_collapse(F.col("text")).alias("text"))
 
 
-@query("space_collapse", r"SELECT doc_id, trim(regexp_replace(replace(text, 'e', '  '), ' +', ' ', 'g')) AS text FROM documents")
+@query("space_collapse", r"SELECT doc_id, regexp_replace(regexp_replace(replace(text, 'e', '  '), ' +', ' ', 'g'), '^\s+|\s+$', '', 'g') AS text FROM documents")
 def _(t):
     spaced = F.replace(F.col("text"), F.lit("e"), F.lit("  "))
     return t.spread("documents").select("doc_id", X.space_collapse(spaced).alias("text"))

@@ -12,6 +12,9 @@ RUNTIME_CONF = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    # Work on pages is bound by the processor: a megabyte of text is worth several
+    # tasks.  Only matters where there is less data than cores could share.
+    "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64k",
     # One key may hold a third of all rows: let AQE split such join partitions
     # even where that costs one more exchange afterwards.
     "spark.sql.adaptive.skewJoin.enabled": "true",

@@ -8,6 +8,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pagemill.functions.text import strip
 from pagemill.operators.rows import each
 from pagemill.operators.records import flat_schema, nested_schema, union_generations
 
@@ -101,7 +102,8 @@ def read_export(spark: SparkSession, path: str) -> DataFrame:
 def attachments(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
     """Inventory of attachment files; the contents are not read.
 
-    ``record_id`` is the file name without its extension.
+    ``record_id`` is the file name without its extension.  Spark leaves files
+    without any bytes out of a scan, so an empty attachment counts as missing.
     """
     files = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path)
     name = F.element_at(F.split("path", "/"), -1)
@@ -145,7 +147,7 @@ def open_items(state: DataFrame, done: Column) -> DataFrame:
 
 def pair_list(df: DataFrame, col: str, keep: Sequence[str] = ()) -> DataFrame:
     """``"k1,v1 k2,v2"`` to one row per pair: ``pos, item, value``."""
-    pairs = F.split(F.trim(F.col(col)), r"\s+")
+    pairs = F.split(strip(F.col(col)), r"\s+")
     exploded = each(df, keep, pairs, "__pair").where("__pair <> ''")
     return exploded.select(
         *keep,
