@@ -57,6 +57,12 @@ def mentions_class(fragment: Column, cls: str) -> Column:
     return fragment.rlike(rf"""(?i)\bclass\s*=\s*["']?(?:[^"'>]*\s)?{cls}(?:["'\s>])""")
 
 
+def classes_in(fragment: Column) -> Column:
+    """All classes of all tags in the fragment as one text, `` a b c ``, to look names up in."""
+    values = F.regexp_extract_all(fragment, F.lit(r"""(?i)\bclass\s*=\s*["']?([^"'>]*)"""), F.lit(1))
+    return F.regexp_replace(F.concat(F.lit(" "), F.array_join(values, " "), F.lit(" ")), r"\s+", " ")
+
+
 def text_of(cleaned: Column, tag: str) -> Column:
     """Clean text of the first element of this name, NULL when there is none or it is empty."""
     return non_empty(clean_text(first_element(cleaned, tag)))

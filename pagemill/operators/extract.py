@@ -100,18 +100,25 @@ def label_value_pivot(
     pages: DataFrame,
     labels: Mapping[str, str],
     link_labels: Sequence[str] = (),
+    folded: Sequence[str] = (),
     table_class: str = "pubDisplay",
     keep: Sequence[str] = ("page_id",),
     html: str = "html",
 ) -> DataFrame:
-    """One column per label (output name -> label); for ``link_labels`` the link, not the text."""
+    """One column per label (output name -> label).
+
+    For ``link_labels`` it is the link, not the text; for ``folded`` ones the
+    text in ASCII.
+    """
     entries = label_entries(F.col(html), table_class)
+    if folded:
+        entries = F.transform(entries, lambda e: e.withField("plain", ascii_fold(e["value"])))
+
+    def field(label: str) -> str:
+        return "href" if label in link_labels else "plain" if label in folded else "value"
+
     return pages.select(*keep, entries.alias("__e")).select(
-        *keep,
-        *[
-            lookup_label(F.col("__e"), label, "href" if label in link_labels else "value").alias(name)
-            for name, label in labels.items()
-        ],
+        *keep, *[lookup_label(F.col("__e"), label, field(label)).alias(name) for name, label in labels.items()]
     )
 
 
@@ -220,16 +227,20 @@ def take_while_section(
     allowed = [*through, *(["/p"] if "p" in through else [])]
 
     def is_stop(piece: Column) -> Column:
-        tag = F.lower(F.regexp_extract(piece, r"^<(/?[A-Za-z][A-Za-z0-9]*)", 1))
-        # A further tag behind a closed paragraph, an image or a table is a sibling too.
-        trailing = (tag != "p") & piece.rlike(r"^<[^>]*>[^<]*<")
-        ends = ~tag.isin(allowed) | trailing
-        if stop_class is not None:
-            ends |= (tag == "p") & H.mentions_class(piece, stop_class)
-        if stop_summaries:
-            ends |= (tag == "table") & F.coalesce(H.attr(piece, "summary").isin(list(stop_summaries)), F.lit(False))
+        def by_tag(tag: Column) -> Column:
+            # A further tag behind a closed paragraph, an image or a table is a sibling too.
+            trailing = (tag != "p") & piece.rlike(r"^<[^>]*>[^<]*<")
+            ends = ~tag.isin(allowed) | trailing
+            if stop_class is not None:
+                ends |= (tag == "p") & H.mentions_class(piece, stop_class)
+            if stop_summaries:
+                ends |= (tag == "table") & F.coalesce(H.attr(piece, "summary").isin(list(stop_summaries)), F.lit(False))
+            return ends
+
         # Text may precede the first block, another tag may not.
-        return F.when(~piece.startswith("<"), F.contains(piece, F.lit("<"))).otherwise(ends)
+        return F.when(~piece.startswith("<"), F.contains(piece, F.lit("<"))).otherwise(
+            let(F.lower(F.regexp_extract(piece, r"^<(/?[A-Za-z][A-Za-z0-9]*)", 1)), by_tag)
+        )
 
     kept = F.filter(
         F.when(F.col("__stop") > 0, F.slice("__pieces", 1, F.col("__stop") - 1)).otherwise(F.col("__pieces")),

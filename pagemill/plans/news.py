@@ -26,21 +26,28 @@ def export_blocks(html: Column) -> Column:
     """The ``div`` and table blocks of an export in order, with what their classes say."""
     pieces = F.filter(F.split(H.strip_noise(html), f"(?={_BLOCK})"), lambda b: b.rlike("^" + _BLOCK))
 
-    def flags(block: Column) -> Column:
+    def read(block: Column) -> Column:
+        return F.struct(
+            block.rlike(r"(?i)^<table[\s>]").alias("is_table"),
+            H.clean_text(block).alias("text"),
+            H.classes_in(block).alias("classes"),
+        )
+
+    def judge(block: Column) -> Column:
         def has(cls: str) -> Column:
-            return H.mentions_class(block, cls)
+            return F.contains(block["classes"], F.lit(f" {cls} "))
 
-        is_table = block.rlike(r"(?i)^<table[\s>]")
+        is_table = block["is_table"]
         return F.struct(
             is_table.alias("is_table"),
-            H.clean_text(block).alias("text"),
+            block["text"].alias("text"),
             ((has("c5") & has("c4") & has("c2")) | (is_table & has("c12"))).alias("is_body"),
             (has("c7") | has("c8")).alias("is_title"),
             (has("c1") & has("c4")).alias("is_date"),
             has("c11").alias("is_end"),
         )
 
-    return F.transform(pieces, flags)
+    return F.transform(F.transform(pieces, read), judge)
 
 
 def split_documents(blocks: str) -> Column:

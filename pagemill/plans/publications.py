@@ -63,11 +63,12 @@ def publication_records(
     The attachment is the one behind the DOI link, else the one at ``base`` plus
     the publication id.  Success needs an attachment and one of the two link labels.
     """
-    fields = label_value_pivot(pages, LABELS, link_labels=("DOI:",), keep=("url",))
+    folded = [label for name, label in LABELS.items() if name not in NOT_FOLDED]
+    fields = label_value_pivot(pages, LABELS, link_labels=("DOI:",), folded=folded, keep=("url",))
     tidy = fields.select(
         "url",
         first_digits(F.col("url")).alias("pub_id"),
-        *[ascii_fold(F.col(n)).alias(n) for n in LABELS if n not in NOT_FOLDED],
+        *[n for n in LABELS if n not in NOT_FOLDED],
         ws_collapse(F.col("published")).alias("published"),
         "doi",
         "pdf_version",
