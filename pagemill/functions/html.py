@@ -92,6 +92,12 @@ def element_with(html: Column, name: str, attribute: str, value: str) -> Column:
     return non_empty(F.regexp_extract(html, pattern, 0))
 
 
+def blocks_of(html: Column) -> Column:
+    """Fragments that start with a ``div`` or a table, in order."""
+    start = r"(?i)<(?:div|table)[\s>]"
+    return F.filter(F.split(strip_noise(html), f"(?={start})"), lambda b: b.rlike("^" + start))
+
+
 def paragraphs(html: Column) -> Column:
     """Fragments that start with ``<p>``; an unclosed one ends where the next begins."""
     pieces = F.split(html, r"(?i)(?=<p[\s>])")

@@ -75,9 +75,4 @@ def until_first_gap(rows: DataFrame, key: str, start: int) -> DataFrame:
         ids.sparkSession.range(start, start + 1).select(F.col("id").alias("__id"))
     )
     gap = followers.join(ids, "__id", "left_anti").agg(F.min("__id").alias("__gap"))
-    # One row by construction.
-    return (
-        rows.where(F.col(key) >= start)
-        .join(F.broadcast(gap), F.col(key) < F.col("__gap"))
-        .drop("__gap")
-    )
+    return rows.where((F.col(key) >= start) & (F.col(key) < gap.scalar()))

@@ -1,7 +1,9 @@
-"""News exports: one long HTML file to documents with fields and sentiment.
+"""News exports: long HTML files to documents with fields and sentiment.
 
-A file is one row.  It is cut into blocks and the blocks into documents inside
-that row, so nothing is shuffled however long the files are.
+Two ways to the same documents.  ``news_documents`` takes a file as one row and
+cuts it up inside that row, without any shuffle.  ``news_documents_from_blocks``
+takes files of any size, read by many tasks, and finds the documents with
+ordered scans over the blocks.
 """
 
 from __future__ import annotations
@@ -15,39 +17,55 @@ from pagemill.functions import html as H
 from pagemill.functions.dates import extract_date_fuzzy
 from pagemill.functions.text import first_digits, strip_label
 from pagemill.operators.rows import each
+from pagemill.operators.scan import ROWS_PER_BLOCK, ordinal
+from pagemill.operators.segment import ROWS_PER_PART, last_in_segment, next_sibling, ordered_concat, segment
 from pagemill.operators.sentiment import LEXICON, text_sentiment
 
-_BLOCK = r"(?i)<(?:div|table)[\s>]"
 # How far to look for the next div before searching the rest of the file.
 _NEAR = 8
 
 
-def export_blocks(html: Column) -> Column:
-    """The ``div`` and table blocks of an export in order, with what their classes say."""
-    pieces = F.filter(F.split(H.strip_noise(html), f"(?={_BLOCK})"), lambda b: b.rlike("^" + _BLOCK))
+def _read(block: Column) -> Column:
+    return F.struct(
+        block.rlike(r"(?i)^<table[\s>]").alias("is_table"),
+        H.clean_text(block).alias("text"),
+        H.classes_in(block).alias("classes"),
+    )
+
+
+def _judge(block: Column) -> Column:
+    """What the classes of a block say it is."""
+
+    def has(cls: str) -> Column:
+        return F.contains(block["classes"], F.lit(f" {cls} "))
 
-    def read(block: Column) -> Column:
-        return F.struct(
-            block.rlike(r"(?i)^<table[\s>]").alias("is_table"),
-            H.clean_text(block).alias("text"),
-            H.classes_in(block).alias("classes"),
-        )
+    is_table = block["is_table"]
+    return F.struct(
+        is_table.alias("is_table"),
+        block["text"].alias("text"),
+        ((has("c5") & has("c4") & has("c2")) | (is_table & has("c12"))).alias("is_body"),
+        (has("c7") | has("c8")).alias("is_title"),
+        (has("c1") & has("c4")).alias("is_date"),
+        has("c11").alias("is_end"),
+    )
+
+
+def _is_header(block: Column) -> Column:
+    text = block["text"]
+    return ~block["is_table"] & F.contains(text, F.lit("DOCUMENT")) & F.contains(text, F.lit("of"))
 
-    def judge(block: Column) -> Column:
-        def has(cls: str) -> Column:
-            return F.contains(block["classes"], F.lit(f" {cls} "))
 
-        is_table = block["is_table"]
-        return F.struct(
-            is_table.alias("is_table"),
-            block["text"].alias("text"),
-            ((has("c5") & has("c4") & has("c2")) | (is_table & has("c12"))).alias("is_body"),
-            (has("c7") | has("c8")).alias("is_title"),
-            (has("c1") & has("c4")).alias("is_date"),
-            has("c11").alias("is_end"),
-        )
+def _is_length(block: Column) -> Column:
+    return ~block["is_table"] & F.contains(block["text"], F.lit("LENGTH:"))
 
-    return F.transform(F.transform(pieces, read), judge)
+
+def _number_of_words(text: Column) -> Column:
+    return first_digits(strip_label(text, "LENGTH:")).try_cast("int")
+
+
+def export_blocks(html: Column) -> Column:
+    """The ``div`` and table blocks of an export in order, with what their classes say."""
+    return F.transform(F.transform(H.blocks_of(html), _read), _judge)
 
 
 def split_documents(blocks: str) -> Column:
@@ -80,15 +98,11 @@ def news_documents(exports: DataFrame, lexicon: Mapping[str, tuple[float, float]
 
         return F.coalesce(among(F.slice("all", i + 2, _NEAR)), among(F.slice("all", i + 2 + _NEAR, F.size("all"))))
 
-    def is_header(block: Column) -> Column:
-        text = block["text"]
-        return ~block["is_table"] & F.contains(text, F.lit("DOCUMENT")) & F.contains(text, F.lit("of"))
-
     titled = blocks.withColumn(
         "all",
         F.transform(
             "all",
-            lambda b, i: F.when(is_header(b), b.withField("document_idx", b["text"]).withField("paper", next_div(i))).otherwise(
+            lambda b, i: F.when(_is_header(b), b.withField("document_idx", b["text"]).withField("paper", next_div(i))).otherwise(
                 b.withField("document_idx", F.lit(None).cast("string")).withField("paper", F.lit(None).cast("string"))
             ),
         ),
@@ -96,13 +110,13 @@ def news_documents(exports: DataFrame, lexicon: Mapping[str, tuple[float, float]
     docs = each(titled.withColumn("docs", split_documents("all")), ["file_id"], "docs", "doc", "doc_no")
     own = F.col("doc.blocks")
     header = _last(own, lambda b: b["document_idx"].isNotNull())
-    length = _last(own, lambda b: ~b["is_table"] & F.contains(b["text"], F.lit("LENGTH:")))
+    length = _last(own, _is_length)
     dates = F.transform(F.filter(own, lambda b: b["is_date"]), lambda b: extract_date_fuzzy(b["text"]))
     bodies = F.transform(F.filter(own, lambda b: b["is_body"]), lambda b: b["text"])
     fields = docs.select(
         "file_id",
         F.col("doc_no").cast("bigint").alias("doc_no"),
-        first_digits(strip_label(length["text"], "LENGTH:")).try_cast("int").alias("num_words"),
+        _number_of_words(length["text"]).alias("num_words"),
         _last(own, lambda b: b["is_title"])["text"].alias("email_title"),
         _last(dates, lambda d: d.isNotNull()).alias("date_time"),
         header["document_idx"].alias("document_idx"),
@@ -111,3 +125,63 @@ def news_documents(exports: DataFrame, lexicon: Mapping[str, tuple[float, float]
     )
     scored = fields.withColumn("__s", text_sentiment(F.col("body"), lexicon))
     return scored.select(*fields.columns, "__s.polarity", "__s.subjectivity")
+
+
+def news_documents_from_blocks(
+    blocks: DataFrame,
+    lexicon: Mapping[str, tuple[float, float]] = LEXICON,
+    rows_per_block: int | None = ROWS_PER_BLOCK,
+    rows_per_part: int = ROWS_PER_PART,
+) -> DataFrame:
+    """Block rows (see ``read_export_blocks``) to one row per document and body part.
+
+    There is more than one part only where a body has more than
+    ``rows_per_part`` blocks; polarity and subjectivity are those of the part.
+    ``blocks`` is read several times: hand over a written table.
+    """
+    order, doc = ["file_start", "line", "part"], ["file_id", "doc_no"]
+    judged = blocks.select(
+        "file_id", *order, F.transform(F.array("block"), lambda b: _read(b))[0].alias("b")
+    ).select("file_id", *order, _judge(F.col("b")).alias("b"))
+    flat = judged.select("file_id", *order, "b.*", _is_header(F.col("b")).alias("is_header"), _is_length(F.col("b")).alias("is_length"))
+    numbered = segment(flat, F.col("is_end"), ["file_id"], order, rows_per_block=rows_per_block)
+    # The title of the paper is in the next div, whichever document that is in.
+    titled = next_sibling(numbered.where(~F.col("is_table")), "text", ["file_id"], order, "next_text", rows_per_block)
+    text = F.col("text")
+    headers = last_in_segment(
+        titled,
+        doc,
+        order,
+        {
+            "document_idx": F.when(F.col("is_header"), text),
+            "newspaper_title": F.when(F.col("is_header"), F.coalesce("next_text", F.lit(""))),
+        },
+    )
+    fields = last_in_segment(
+        numbered,
+        doc,
+        order,
+        {
+            "num_words": F.when(F.col("is_length"), text),
+            "email_title": F.when(F.col("is_title"), text),
+            "date_time": F.when(F.col("is_date"), extract_date_fuzzy(text)),
+        },
+    )
+    body = ordinal(
+        numbered.where("is_body").select(*doc, *order, "text"), order, "pos", keys=doc, rows_per_block=rows_per_block
+    )
+    bodies = ordered_concat(body.select(*doc, "pos", "text"), doc, "pos", "text", " ", "body", rows_per_part)
+    joined = fields.join(headers, doc, "left").join(bodies, doc, "left").fillna({"body": "", "part": 0})
+    scored = joined.withColumn("__s", text_sentiment(F.col("body"), lexicon))
+    return scored.select(
+        *doc,
+        "part",
+        _number_of_words(F.col("num_words")).alias("num_words"),
+        "email_title",
+        "date_time",
+        "document_idx",
+        F.nullif("newspaper_title", F.lit("")).alias("newspaper_title"),
+        "body",
+        "__s.polarity",
+        "__s.subjectivity",
+    )

@@ -35,9 +35,10 @@ LINK_MARK = "pub_id"
 
 
 def publication_links(result_pages: DataFrame, mark: str = LINK_MARK) -> DataFrame:
-    """Result pages (``field, page_no, html``) to distinct links with the fields that list them.
+    """Result pages (``field, page_no, html``) to the distinct ``link, field`` pairs.
 
-    Only pages up to the first one without a new link count, per field.
+    Only pages up to the first one without a new link count, per field.  The
+    pairs stay rows, since one link may be listed by very many fields.
     """
     # Distinct first: the pages are parsed once, and what follows starts from its shuffle.
     links = (
@@ -46,13 +47,12 @@ def publication_links(result_pages: DataFrame, mark: str = LINK_MARK) -> DataFra
         .distinct()
     )
     visited = converge_pages(links, result_pages, ["field"], "link", "page_no")
-    counted = links.join(visited, ["field", "page_no"])
-    return (
-        counted.select("link", "field")
-        .distinct()
-        .groupBy("link")
-        .agg(F.array_sort(F.collect_set("field")).alias("fields"))
-    )
+    return links.join(visited, ["field", "page_no"]).select("link", "field").distinct()
+
+
+def publication_queue(link_fields: DataFrame) -> DataFrame:
+    """Each link once, however many fields list it, with their number."""
+    return link_fields.groupBy("link").agg(F.count("*").alias("n_fields"))
 
 
 def publication_records(

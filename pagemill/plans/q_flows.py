@@ -9,6 +9,8 @@ from pagemill.plans import fellows, news, prizes, publications, worktable
 from pagemill.plans.q_text import NOW, now
 from pagemill.plans.q_windows import customer_state, plain_state
 from pagemill.plans.registry import query
+from pagemill.session import scratch_path
+from pagemill.sources.readers import read_export_blocks
 
 
 def text(c: str):
@@ -19,27 +21,34 @@ def join_text(*parts):
     return F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
 
 
-@query(
-    "publication_links",
-    """WITH e AS (SELECT user_id AS field, CAST(day(ts) AS INTEGER) AS page_no, 'http://www.example.org/pub_id=' || event_type AS link,
+LINK_FIELDS_SQL = """WITH e AS (SELECT user_id AS field, CAST(day(ts) AS INTEGER) AS page_no, 'http://www.example.org/pub_id=' || event_type AS link,
                          event_type <> 'error' AS wanted FROM events),
             l AS (SELECT * FROM e WHERE wanted),
             f AS (SELECT field, link, min(page_no) AS page_no FROM l GROUP BY ALL),
             n AS (SELECT e.field, e.page_no, count(f.link) AS n FROM (SELECT DISTINCT field, page_no FROM e) e
                   LEFT JOIN f USING (field, page_no) GROUP BY ALL),
             z AS (SELECT field, coalesce(min(page_no) FILTER (n = 0), 99) AS last FROM n GROUP BY field)
-       SELECT link, string_agg(field, ',' ORDER BY field) AS fields FROM (SELECT DISTINCT link, l.field FROM l JOIN z ON l.field = z.field AND page_no <= last)
-       GROUP BY link""",
-)
-def _(t):
+       SELECT DISTINCT link, l.field FROM l JOIN z ON l.field = z.field AND page_no <= last"""
+
+
+def link_fields(t):
     # One result page per event; a user is a field, a day a page number.
     shown = F.when(F.col("event_type") == "error", F.lit("broken")).otherwise(
         join_text("http://www.example.org/pub_id=", F.col("event_type"))
     )
     page = join_text('<ul><li><a href="/help">Help</a></li><li><a href="/p">', shown, "</a></li></ul>")
-    pages = t.events.select(F.col("user_id").alias("field"), F.dayofmonth("ts").alias("page_no"), page.alias("html"))
-    found = publications.publication_links(pages)
-    return found.select("link", F.array_join(F.col("fields").cast("array<string>"), ",").alias("fields"))
+    pages = t.spread("events").select(F.col("user_id").alias("field"), F.dayofmonth("ts").alias("page_no"), page.alias("html"))
+    return publications.publication_links(pages)
+
+
+@query("publication_links", LINK_FIELDS_SQL)
+def _(t):
+    return link_fields(t)
+
+
+@query("publication_queue", f"SELECT link, count(*) AS n_fields FROM ({LINK_FIELDS_SQL}) GROUP BY link")
+def _(t):
+    return publications.publication_queue(link_fields(t))
 
 
 @query(
@@ -241,11 +250,10 @@ def _news_sql() -> str:
     """
 
 
-@query("news_documents", _news_sql())
-def _(t):
-    # Every document row is an export of two documents, the second one not closed.
+def news_export(*ending):
+    """A document row as an export."""
     escaped = F.replace(F.replace(F.replace(F.col("text"), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
-    html = join_text(
+    return join_text(
         "<!-- <DOC NUMBER=28> -->\n<br>\n",
         '<div class="c0"><p class="c1"><span class="c2">1 of 2 DOCUMENTS</span></p>\n</div>\n<br>',
         '<div class="c0"><p class="c1"><span class="c2">Paper ', F.col("source"), "</span></p></div>",
@@ -256,7 +264,15 @@ def _(t):
         '<table class="c12"><tbody><tr><td>table of ', F.col("lang"), "</td></tr></tbody></table>",
         '<div class="c5"><span class="c2">not </span>a body</div>',
         '<div class="c5"><span class="c4">stupid </span><span class="c2">end</span></div>',
-        '<div class="c11">last</div><div class="c0">2 of 2 DOCUMENTS</div><div class="c3">no closing mark</div>',
+        '<div class="c11">last</div>', *ending,
+    )
+
+
+@query("news_documents", _news_sql())
+def _(t):
+    # Every document row is an export of two documents, the second one not closed.
+    html = news_export(
+        '<div class="c0">2 of 2 DOCUMENTS</div><div class="c3">no closing mark</div>',
         '<div class="c5"><span class="c4">a </span><span class="c2">best day</span></div>',
     )
     exports = t.spread("documents").select(text("doc_id").alias("file_id"), html.alias("html"))
@@ -264,6 +280,22 @@ def _(t):
     return found.withColumns({"polarity": F.round("polarity", 6), "subjectivity": F.round("subjectivity", 6)})
 
 
+@query(
+    "news_export_files",
+    f"SELECT body, num_words, email_title, date_time, document_idx, newspaper_title, polarity, subjectivity FROM ({_news_sql()}) WHERE doc_no = 0",
+)
+def _(t):
+    # All document rows in a few long export files.
+    path, blocks = scratch_path(t.spark, "export"), scratch_path(t.spark, "blocks")
+    t.documents.select(news_export()).write.text(path)
+    read_export_blocks(t.spark, path).write.parquet(blocks)
+    found = news.news_documents_from_blocks(t.spark.read.parquet(blocks))
+    return found.select(
+        "body", "num_words", "email_title", "date_time", "document_idx", "newspaper_title",
+        F.round("polarity", 6).alias("polarity"), F.round("subjectivity", 6).alias("subjectivity"),
+    )
+
+
 @query(
     "load_work_items",
     f"""WITH s AS (SELECT 'c-' || c_custkey AS domain, c_acctbal AS price, TIMESTAMP '2024-01-01' AS scraped_at, c_custkey * 10000.0 AS wait_s,

@@ -8,6 +8,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pagemill.functions.html import blocks_of
 from pagemill.functions.text import strip
 from pagemill.operators.rows import each
 from pagemill.operators.records import flat_schema, nested_schema, union_generations
@@ -99,6 +100,22 @@ def read_export(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def read_export_blocks(spark: SparkSession, path: str) -> DataFrame:
+    """HTML exports as ``file_id, file_start, line, part, block`` rows, one per ``div`` or table.
+
+    Files are cut at ``</div>``, so a file of any size is read by many tasks.
+    The three numbers give the order within a file.  Scripts and comments are
+    only recognised where no ``</div>`` lies inside them.
+    """
+    lines = spark.read.option("lineSep", "</div>").text(path).select(
+        F.col("_metadata.file_path").alias("file_id"),
+        F.col("_metadata.file_block_start").alias("file_start"),
+        F.monotonically_increasing_id().alias("line"),
+        blocks_of(F.col("value")).alias("blocks"),
+    )
+    return each(lines, ["file_id", "file_start", "line"], "blocks", "block", "part")
+
+
 def attachments(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
     """Inventory of attachment files; the contents are not read.
 
