@@ -69,10 +69,11 @@ def converge_pages(links: DataFrame, visited: DataFrame, keys: Sequence[str], li
 
 def until_first_gap(rows: DataFrame, key: str, start: int) -> DataFrame:
     """Rows with ids ``start, start+1, …`` before the first missing one."""
-    ids = rows.where(F.col(key) >= start).select(F.col(key).alias("__id")).distinct()
     # The first missing id is `start` or follows one that is present.
-    followers = ids.select((F.col("__id") + 1).alias("__id")).union(
-        ids.sparkSession.range(start, start + 1).select(F.col("id").alias("__id"))
-    )
-    gap = followers.join(ids, "__id", "left_anti").agg(F.min("__id").alias("__gap"))
+    present = F.struct(F.col(key).cast("bigint").alias("id"), F.lit(True).alias("present"))
+    follower = F.struct((F.col(key) + 1).cast("bigint").alias("id"), F.lit(False).alias("present"))
+    marks = rows.where(F.col(key) >= start).select(F.inline(F.array(present, follower)))
+    first = rows.sparkSession.range(start, start + 1).select("id", F.lit(False).alias("present"))
+    missing = marks.unionByName(first).groupBy("id").agg(F.bool_or("present").alias("present")).where(~F.col("present"))
+    gap = missing.agg(F.min("id"))
     return rows.where((F.col(key) >= start) & (F.col(key) < gap.scalar()))

@@ -49,22 +49,24 @@ def fill_missing(df: DataFrame, defaults: Mapping[str, str] | None = None) -> Da
     )
 
 
-def union_generations(flat: DataFrame, nested: DataFrame, origin: str, id_prefix: str) -> DataFrame:
-    """Both record generations in the flat shape, with the generation number.
+def title_of(external_id: Column, id_prefix: str) -> Column:
+    """Title of a nested record from its external id.
 
-    Spaces of a nested record's title were written as dashes; they come back as
-    spaces, so a title that held dashes of its own is not restored exactly.
+    Spaces were written as dashes and come back as spaces, so a title with
+    dashes of its own is not restored exactly.
     """
-    title = F.replace(
-        F.regexp_replace("external_id", "^" + id_prefix, ""), F.lit("-"), F.lit(" ")
-    )
+    return F.replace(F.regexp_replace(external_id, "^" + id_prefix, ""), F.lit("-"), F.lit(" "))
+
+
+def union_generations(flat: DataFrame, nested: DataFrame, origin: str, id_prefix: str) -> DataFrame:
+    """Both record generations in the flat shape, with the generation number."""
     old = flat.withColumn("generation", F.lit(1))
     new = nested.select(
         "abstract",
         "url",
         F.col("date").alias("published"),
         F.col("words").alias("pdf_text"),
-        title.alias("title"),
+        title_of(F.col("external_id"), id_prefix).alias("title"),
         *[F.col(f"meta.{origin}.{f}").alias(f) for f in META_FIELDS],
         F.lit(2).alias("generation"),
     )

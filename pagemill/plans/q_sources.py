@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from pagemill.functions import text as X
 from pagemill.operators.extract import extract_links
-from pagemill.operators.records import FLAT_FIELDS, META_FIELDS, dedup_generations, record_to_json
+from pagemill.operators.records import FLAT_FIELDS, META_FIELDS, dedup_generations, record_to_json, union_generations
 from pagemill.plans.q_pages import LINKS_SQL
 from pagemill.plans.q_text import now
 from pagemill.plans.q_windows import UPSERT_SQL, customer_state, order_requests, plain_state
@@ -113,7 +113,7 @@ def _(t):
 
 
 def generations(t):
-    """Orders as records: all in the flat shape, finished ones in the nested shape too."""
+    """Orders as records: all in the flat shape, finished ones in the nested shape as well."""
     key = F.col("o_orderkey").cast("string")
     url = F.concat(F.lit("http://www.example.org/"), key)
     title = F.concat(F.lit("Order "), key)
@@ -131,10 +131,7 @@ def generations(t):
         F.concat(F.lit("new "), F.col("o_orderpriority")).alias("words"),
         F.struct(F.struct(*[meta.get(f, F.lit("")).alias(f) for f in META_FIELDS]).alias("source")).alias("meta"),
     )
-    flat_path, nested_path = scratch_path(t.spark, "flat"), scratch_path(t.spark, "nested")
-    K.write_json(old, flat_path)
-    K.write_json(new, nested_path)
-    return R.read_records(t.spark, flat_path, nested_path, "source", "src_")
+    return old, new
 
 
 OLD_SQL = """SELECT 'http://www.example.org/' || o_orderkey AS url, 'Order ' || o_orderkey AS title, strftime(o_orderdate, '%B %-d, %Y') AS published,
@@ -147,12 +144,21 @@ RECORD_COLUMNS = ["url", "title", "published", "pdf_text", "volume", "pages", "g
 
 @query("records_union_generations", f"{OLD_SQL} UNION ALL {NEW_SQL}")
 def _(t):
-    return generations(t).select(*RECORD_COLUMNS)
+    return union_generations(*generations(t), "source", "src_").select(*RECORD_COLUMNS)
+
+
+@query("read_mixed_records", f"{OLD_SQL} UNION ALL {NEW_SQL}")
+def _(t):
+    old, new = generations(t)
+    folder = scratch_path(t.spark, "records")
+    texts = [df.select(record_to_json(F.struct("*")).alias("value")) for df in (old, new)]
+    texts[0].unionByName(texts[1]).write.text(folder)
+    return R.read_records(t.spark, folder, "source", "src_").select(*RECORD_COLUMNS)
 
 
 @query("generation_dedup", f"{OLD_SQL} WHERE o_orderstatus <> 'F' UNION ALL {NEW_SQL}")
 def _(t):
-    return dedup_generations(generations(t)).select(*RECORD_COLUMNS)
+    return dedup_generations(union_generations(*generations(t), "source", "src_")).select(*RECORD_COLUMNS)
 
 
 @query(

@@ -7,11 +7,12 @@ from collections.abc import Sequence
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pagemill.functions.html import blocks_of
 from pagemill.functions.text import strip
 from pagemill.operators.rows import each
-from pagemill.operators.records import flat_schema, nested_schema, union_generations
+from pagemill.operators.records import META_FIELDS, flat_schema, nested_schema, title_of
 
 SEED_SCHEMA = "research_id int, research_name string"
 
@@ -174,10 +175,23 @@ def pair_list(df: DataFrame, col: str, keep: Sequence[str] = ()) -> DataFrame:
     )
 
 
-def read_records(spark: SparkSession, flat_path: str, nested_path: str, origin: str, id_prefix: str) -> DataFrame:
-    """Record files of both generations, in the flat shape."""
-    flat = spark.read.schema(flat_schema()).json(flat_path)
-    nested = spark.read.schema(nested_schema(origin)).json(nested_path)
-    return union_generations(flat, nested, origin, id_prefix)
-
+def read_records(spark: SparkSession, paths: str | Sequence[str], origin: str, id_prefix: str) -> DataFrame:
+    """Record files of both generations, mixed in the same folders, in the flat shape.
 
+    One pass: every file is read with the fields of both, and a record with a
+    ``meta`` struct is of generation 2.
+    """
+    flat, nested = flat_schema(), nested_schema(origin)
+    both = T.StructType([*flat.fields, *[f for f in nested.fields if f.name not in flat.names]])
+    raw = spark.read.schema(both).json(paths)
+    is_new = F.col("meta").isNotNull()
+    renamed = {
+        "published": F.col("date"),
+        "pdf_text": F.col("words"),
+        "title": title_of(F.col("external_id"), id_prefix),
+        **{f: F.col(f"meta.{origin}.{f}") for f in META_FIELDS},
+    }
+    return raw.select(
+        *[F.when(is_new, renamed.get(f, F.col(f))).otherwise(F.col(f)).alias(f) for f in flat.names],
+        F.when(is_new, 2).otherwise(1).alias("generation"),
+    )
