@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -92,6 +92,12 @@ def route_outcome(df: DataFrame, success: Column, reasons: Mapping[str, Column])
     return df.withColumn("outcome", out).withColumn("reason", reason)
 
 
+def observe_outcomes(df: DataFrame, observation: Observation, outcomes: Sequence[str] = ("success", "failures")) -> DataFrame:
+    """Count records and outcomes while the rows pass on to a sink; read them from ``observation.get``."""
+    counts = [F.count_if(F.col("outcome") == name).alias(name) for name in outcomes]
+    return df.observe(observation, F.count(F.lit(1)).alias("records"), *counts)
+
+
 def outcome_counts(df: DataFrame, by: Sequence[str] = ("outcome",)) -> DataFrame:
     return df.groupBy(*by).agg(F.count("*").alias("n"))
 

@@ -11,6 +11,7 @@ from pagemill.operators.extract import extract_links, label_value_pivot
 from pagemill.operators.frontier import converge_pages
 from pagemill.operators.lookup import first_usable
 from pagemill.operators.records import META_FIELDS, route_outcome
+from pagemill.session import staged
 
 # Output name -> label on the page.
 LABELS = {
@@ -62,16 +63,20 @@ def publication_records(
 
     The attachment is the one behind the DOI link, else the one at ``base`` plus
     the publication id.  Success needs an attachment and one of the two link labels.
+    The fields are staged in the shared folder before they meet the attachments.
     """
     folded = [label for name, label in LABELS.items() if name not in NOT_FOLDED]
     fields = label_value_pivot(pages, LABELS, link_labels=("DOI:",), folded=folded, keep=("url",))
-    tidy = fields.select(
-        "url",
-        first_digits(F.col("url")).alias("pub_id"),
-        *[n for n in LABELS if n not in NOT_FOLDED],
-        ws_collapse(F.col("published")).alias("published"),
-        "doi",
-        "pdf_version",
+    tidy = staged(
+        fields.select(
+            "url",
+            first_digits(F.col("url")).alias("pub_id"),
+            *[n for n in LABELS if n not in NOT_FOLDED],
+            ws_collapse(F.col("published")).alias("published"),
+            "doi",
+            "pdf_version",
+        ),
+        "fields",
     )
     places = F.filter(F.array("doi", F.concat(F.lit(base), F.col("pub_id"))), lambda x: x.isNotNull())
     attached = first_usable(

@@ -179,3 +179,16 @@ def test_long_islands_do_not_collect(spark):
     df = spark.range(100).select(F.lit("k").alias("k"), "id", (F.col("id") % 7).alias("v"))
     plan = S.last_in_segment(df, ["k"], ["id"], {"v": F.col("v")})._jdf.queryExecution().executedPlan().toString()
     assert "partial_max_by" in plan and "collect" not in plan
+
+
+def test_outcomes_are_counted_on_the_way(spark):
+    from pyspark.sql import Observation
+
+    from pagemill.operators.records import observe_outcomes
+
+    seen = Observation("routed")
+    df = spark.createDataFrame([("success",), ("failures",), ("success",)], "outcome string")
+    path = scratch_path(spark, "observed")
+    K.write_routed(observe_outcomes(df.withColumn("i", F.lit(1)), seen), path)
+    assert seen.get == {"records": 3, "success": 2, "failures": 1}
+    assert rows(spark.read.json(path).groupBy("outcome").count()) == [("failures", 1), ("success", 2)]
