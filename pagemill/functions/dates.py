@@ -21,7 +21,7 @@ MONTHS = (
 )
 # Seconds per duration unit.
 UNIT_SECONDS = {"w": 604800, "d": 86400, "h": 3600, "m": 60, "s": 1}
-# Items due within this many seconds are acted on at once; others are scheduled
+# Fixed value: items due within this many seconds are acted on at once; others are scheduled
 # so much ahead of their time.
 LEAD_SECONDS = 300
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from pagemill.functions.text import entity_decode, non_empty, ws_collapse
+from pagemill.functions.text import entity_decode, let, non_empty, ws_collapse
 
 NOISE = r"(?is)<script\b.*?</script>|<style\b.*?</style>|<!--.*?-->"
 TOKEN = r"<[^>]*>|[^<]+"
@@ -87,9 +87,36 @@ def first_element(html: Column, name: str) -> Column:
 
 
 def element_with(html: Column, name: str, attribute: str, value: str) -> Column:
-    """First ``<name>`` whose ``attribute`` contains ``value`` as a word, with its tags."""
-    pattern = rf"""(?is)<{name}\b[^>]*\b{attribute}\s*=\s*["'](?:[^"'>]*\s)?{value}(?:\s[^"'>]*)?["'][^>]*>.*?</{name}\s*>"""
-    return non_empty(F.regexp_extract(html, pattern, 0))
+    """First ``<name>`` whose ``attribute`` contains ``value`` as a word, up to its own end tag.
+
+    Elements of the same name may nest inside.  The end tag itself is left out;
+    an element that is never closed reaches to the end of the page.
+    """
+    opening = rf"""<{name}\b[^>]*\b{attribute}\s*=\s*["'](?:[^"'>]*\s)?{value}(?:\s[^"'>]*)?["'][^>]*>"""
+    rest = F.regexp_extract(html, rf"(?is)({opening}.*)\z", 1)
+    # Every piece but the first text starts with an opening or a closing tag.
+    pieces = F.split(rest, rf"(?i)(?=</?{name}[\s/>])")
+
+    def step(state: Column, piece: Column) -> Column:
+        depth = state["depth"] + F.when(piece.startswith("</"), F.lit(-1)).otherwise(F.lit(1))
+        seen = state["seen"] + 1
+        end = F.when((state["end"] == 0) & (depth == 0), seen).otherwise(state["end"])
+        return F.struct(depth.alias("depth"), seen.alias("seen"), end.alias("end"))
+
+    start = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("seen"), F.lit(0).alias("end"))
+
+    def up_to_end(parts: Column) -> Column:
+        return let(
+            F.aggregate(parts, start, step, lambda state: state["end"]),
+            lambda end: F.array_join(F.when(end > 0, F.slice(parts, 1, end - 1)).otherwise(parts), ""),
+        )
+
+    # Usually nothing of the same name nests inside, and the first end tag is the right one.
+    plain = F.regexp_extract(html, rf"(?is)({opening}.*?)</{name}[\s>]", 1)
+    nested = rf"(?is)^<.+<{name}[\s/>]"
+    return non_empty(
+        let(plain, lambda e: F.when((e != "") & ~e.rlike(nested), e).otherwise(let(pieces, up_to_end)))
+    )
 
 
 def blocks_of(html: Column) -> Column:

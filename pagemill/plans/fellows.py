@@ -10,6 +10,7 @@ from pagemill.functions.text import ascii_fold, slugify, strip_label
 from pagemill.operators.extract import anchor_neighbours, enumerate_map, heading_fields, published_text
 from pagemill.operators.frontier import until_first_gap
 
+# Fixed value: a page with this text is past the last profile.
 END_MARK = "Sorry"
 
 

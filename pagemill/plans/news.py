@@ -34,7 +34,11 @@ def _read(block: Column) -> Column:
 
 
 def _judge(block: Column) -> Column:
-    """What the classes of a block say it is."""
+    """What the classes of a block say it is.
+
+    Fixed values: c5 with c4 and c2, or a c12 table, is body text; c7 or c8 is
+    the title; c1 with c4 holds the date; c11 closes a document.
+    """
 
     def has(cls: str) -> Column:
         return F.contains(block["classes"], F.lit(f" {cls} "))

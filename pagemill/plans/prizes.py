@@ -26,6 +26,9 @@ ENDINGS = {
     "talk": ["-lecture.pdf", "-lecture_en.pdf"],
     "facts": ["-facts.html", "-facts_en.html"],
 }
+# Classes the wanted parts carry are `smalltext`, `video_main`,
+# `laureate_prize_title` and `laureate_info_wrapper`; labels are `Field:` and
+# `Contribution:`.
 # Phrases that mark a page as unusable.
 MARKERS = {"Page Not Found": "missing", "Read the Banquet Speech": "pointer"}
 PERSON = ["category", "year", "id"]
@@ -53,12 +56,19 @@ def page_fields(pages: DataFrame) -> DataFrame:
         bio, out="__speech", html="__speech_page", cleaned=True, through=("p", "img"), stop_class=None,
         stop_summaries=(), keep=bio.columns,
     )
+    facts = H.element_with(only("facts"), "div", "class", "laureate_info_wrapper")
     timeline = table_to_map(speech, "brief autobiography", html="__bio_page", cleaned=True, keep=speech.columns)
     small = F.filter(H.paragraphs(F.col("__speech_page")), lambda p: H.mentions_class(p, "smalltext"))
     place = F.coalesce(
         H.inner_text(F.get(small, F.lit(0))), H.inner_text(H.element_with(only("lecture"), "div", "class", "video_main"))
     )
-    return timeline.select(
+    told = let(
+        facts,
+        lambda f: F.struct(
+            colon_label(f, "Field:").alias("field"), colon_label(f, "Contribution:").alias("contribution")
+        ),
+    )
+    return timeline.withColumn("__facts", told).select(
         "url",
         "kind",
         H.clean_text(H.first_element(only("bio"), "h1")).alias("title"),
@@ -66,8 +76,8 @@ def page_fields(pages: DataFrame) -> DataFrame:
         let(place, extract_date_fuzzy).alias("date"),
         title_block(only("bio", "speech", "lecture")).alias("block"),
         "timeline",
-        colon_label(only("facts"), "Field:").alias("field"),
-        colon_label(only("facts"), "Contribution:").alias("contribution"),
+        F.col("__facts.field").alias("field"),
+        F.col("__facts.contribution").alias("contribution"),
     )
 
 

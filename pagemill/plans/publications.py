@@ -32,6 +32,7 @@ LABELS = {
     "pdf_version": "PDF version:",
 }
 NOT_FOLDED = ("published", "doi", "pdf_version")
+# Fixed value: texts of wanted links contain this.
 LINK_MARK = "pub_id"
 
 

@@ -79,13 +79,13 @@ def affiliations(text: Column) -> Column:
 
 
 def spread(scan: DataFrame) -> DataFrame:
-    """Deal the rows of a scan out to all cores when its files give fewer splits than that.
+    """Deal the rows of a scan out to all cores when its files occupy less than half of them.
 
     For scans that much text work follows on.  A table of many files, as on a
-    cluster, is returned as it is.
+    cluster, is returned as it is, without a shuffle.
     """
     cores = scan.sparkSession.sparkContext.defaultParallelism
-    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores)
+    return scan if 2 * scan.rdd.getNumPartitions() > cores else scan.repartition(cores)
 
 
 def read_corpus(spark: SparkSession, path: str) -> DataFrame:

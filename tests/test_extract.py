@@ -48,6 +48,20 @@ def test_links_keep_order_and_marker(spark):
     assert [tuple(r) for r in X.first_link(df).collect()] == [(0, "/1", "pub_id=1")]
 
 
+@pytest.mark.parametrize(
+    "page, inside",
+    [
+        ('<div><div class="a box">x<div>y</div>z</div>w</div>', '<div class="a box">x<div>y</div>z'),
+        ("<div class='box'>x<DIV >y</DIV><div/></div>", "<div class='box'>x<DIV >y</DIV><div/></div>"),
+        ('<div class="box"><p>open', '<div class="box"><p>open'),
+        ('<div class="boxed">no</div><divx class="box">no</divx>', None),
+        (None, None),
+    ],
+)
+def test_container_ends_at_its_own_end_tag(spark, page, inside):
+    assert expr(spark, page, lambda c: H.element_with(c, "div", "class", "box")) == inside
+
+
 def test_label_rows_survive_rows_without_header(spark):
     df = pages(
         spark,
