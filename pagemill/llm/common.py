@@ -49,12 +49,13 @@ def link_map(df: DataFrame, rows: Callable[[pa.RecordBatch], Iterator | dict], s
 
     target = to_arrow_schema(kinds)
 
+    def column(values, kind):
+        return values.cast(kind) if isinstance(values, pa.Array) else pa.array(values, type=kind)
+
     def run(batches):
         for batch in batches:
             columns = rows(batch)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(columns[f.name], type=f.type) for f in target], schema=target
-            )
+            yield pa.RecordBatch.from_arrays([column(columns[f.name], f.type) for f in target], schema=target)
 
     return df.mapInArrow(run, kinds)
 

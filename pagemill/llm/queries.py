@@ -4,10 +4,22 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from pagemill.functions.html import TAG, strip_noise
 from pagemill.llm.common import ready
+from pagemill.llm.language import fit_on, host_of, identify
+from pagemill.llm.line_templates import without_repeated_lines
+from pagemill.llm.packing import pack
+from pagemill.llm.piece_codec import coded
+from pagemill.llm.pii import BASE, digest, find_spans
+from pagemill.llm.pivot_lists import similar_vectors
+from pagemill.llm.projections import nearest_neighbours
 from pagemill.llm.simhash import simhash_components
+from pagemill.llm.token_counts import section_token_counts
+from pagemill.llm.toxicity import toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -29,3 +41,99 @@ def query(build: Callable) -> Callable:
 def op3_simhash(read):
     """Near-duplicate components of all documents by 64-bit fingerprints."""
     return simhash_components(read("documents"))
+
+
+@query
+def op10_pivot_lists(read):
+    """Links and components of all embeddings with a cosine of 0.9 or more."""
+    return similar_vectors(read("embeddings"))
+
+
+@query
+def op9_projections(read):
+    """The 10 nearest other vectors of every hundredth embedding."""
+    return nearest_neighbours(read("embeddings"), F.col("vec_id") % 100 == 0)
+
+
+@query
+def op5_packing(read):
+    """All documents packed into sequences of at most 4096 tokens."""
+    return pack(read("documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def _remainder(key: str = "doc_id"):
+    return F.crc32(F.col(key).cast("string")) % 4
+
+
+@query
+def op1_toxicity(read):
+    """Toxicity of all documents, learned from three quarters of the labels."""
+    docs = read("documents")
+    scored = toxicity(docs, read("labels"), _remainder() != 2)
+    return scored.select(
+        "doc_id", F.coalesce(_remainder() == 2, F.lit(False)).alias("held_out"), "score", "predicted"
+    )
+
+
+@query
+def op8_language(read):
+    """Language of all documents and all pages: texts, declared languages, suffixes and hosts."""
+    docs, pages = read("documents"), read("pages")
+    nothing, no_id = F.lit(None).cast("string"), F.lit(None).cast("bigint")
+    declared = F.nullif(F.regexp_extract("html", r"""(?i)<html\b[^>]*\blang\s*=\s*["']?([A-Za-z-]+)""", 1), F.lit(""))
+    texts = docs.select(
+        "doc_id", no_id.alias("page_id"), "text", F.col("source").alias("host"), nothing.alias("declared")
+    ).unionByName(
+        pages.select(
+            no_id.alias("doc_id"),
+            "page_id",
+            F.regexp_replace(strip_noise(F.col("html")), TAG, " ").alias("text"),
+            host_of(F.col("url")).alias("host"),
+            declared.alias("declared"),
+        )
+    )
+    return identify(texts, fit_on(docs), ["doc_id", "page_id"], host=F.col("host"), declared=F.col("declared"))
+
+
+@query
+def op7_line_templates(read):
+    """All documents without the lines of templates that recur across documents."""
+    cleaned = without_repeated_lines(read("documents"))
+    return cleaned.select(
+        "doc_id",
+        F.col("__lines").cast("bigint").alias("n_lines"),
+        F.col("__dropped").cast("bigint").alias("n_dropped"),
+        F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"),
+    )
+
+
+@query
+def op2_personal_data(read):
+    """Personal data in all documents: counts by base kind, and digests of the spans."""
+    found = find_spans(read("documents"), ["doc_id"])
+    kinds = [kind.name for kind in BASE]
+
+    def of(name: str):
+        return F.filter("spans", lambda s: s["kind"] == name)
+
+    base = F.filter("spans", lambda s: s["kind"].isin(*kinds))
+    return found.select(
+        "doc_id",
+        *[F.size(of(name)).cast("bigint").alias(f"n_{name}") for name in kinds],
+        F.sha2(digest(base), 256).alias("base_sha256"),
+        digest(F.col("spans")).alias("spans"),
+    )
+
+
+@query
+def op4_pieces(read):
+    """All documents encoded into pieces and decoded again."""
+    return coded(read("documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@query
+def op6_section_tokens(read):
+    """Tokens of every line of all documents, from one encoding of each document."""
+    return section_token_counts(
+        read("documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    )
