@@ -26,6 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagemill.llm.common import require, staged, text_or_empty
+from pagemill.operators.rows import each
 
 LEADING = 3
 MIN_DOCS = 3
@@ -33,20 +34,26 @@ SIMILARITY = 0.8
 FIELD = "<*>"
 
 
+# The gaps between tokens besides single spaces.
+GAPS = ("  ", "\t", "\r", "\x0b", "\x0c")
+
+
 def masked(line: Column) -> Column:
     """The line's tokens separated by single spaces, those with a digit as ``<*>``."""
-    clean = F.btrim(F.regexp_replace(line, r"[\s\u0085 ]+", " "), F.lit(" "))
-    return F.when(
-        clean.rlike("[0-9]"), F.regexp_replace(clean, r"(?<![^ ])[^ 0-9]*[0-9][^ ]*", FIELD)
-    ).otherwise(clean)
+    odd = line.startswith(" ") | line.endswith(" ")
+    for gap in GAPS:
+        odd = odd | F.contains(line, F.lit(gap))
+    # Most lines have neither, and looking is much cheaper than replacing.
+    clean = F.when(odd, F.btrim(F.regexp_replace(line, r"[ \t\r\x0b\x0c]+", " "), F.lit(" "))).otherwise(line)
+    fields = F.regexp_replace(clean, r"(?<![^ ])[^ 0-9]*+[0-9][^ ]*+", FIELD)
+    return F.when(line.rlike("[0-9]"), fields).otherwise(clean)
 
 
 def parsed_lines(docs: DataFrame, key: str, text: str) -> DataFrame:
     """``key, pos, m`` for every line with a token: its place in the text and its masked form."""
-    lines = docs.select(
-        F.col(key).alias("key"), F.posexplode(F.split(text_or_empty(text), "\n")).alias("pos", "line")
-    )
-    return lines.select("key", "pos", masked(F.col("line")).alias("m")).where("m <> ''")
+    texts = docs.select(F.col(key).alias("key"), text_or_empty(text).alias("text"))
+    # Masked before they become rows, so that nothing after computes it again.
+    return each(texts, ["key"], F.transform(F.split("text", "\n"), masked), "m").where("m <> ''")
 
 
 def leaf(line: Column, leading: int) -> Column:
@@ -78,15 +85,19 @@ def repeated_lines(
     exact = staged(_recurring(places, ["leaf", "line"], min_docs), "recurring")
     by_line = _members(places, exact, ["leaf", "line"])
     # Leaves with lines of several documents that are not all the same line: one row per different line.
-    kinds = places.groupBy("leaf", "line").agg(F.min("key").alias("low"), F.max("key").alias("high"))
+    kinds = places.groupBy("leaf", "line").agg(
+        F.count(F.lit(1)).alias("n"), F.min("key").alias("low"), F.max("key").alias("high")
+    )
     shared = kinds.groupBy("leaf").agg(
-        F.count(F.lit(1)).alias("kinds"), F.min("low").alias("low"), F.max("high").alias("high")
+        F.count(F.lit(1)).alias("kinds"), F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high")
     )
-    shared = staged(shared.where("kinds > 1 and low < high").select("leaf"), "leaves")
+    # Lines of so many documents are at least so many lines.
+    enough = (F.col("kinds") > 1) & (F.col("n") >= min_docs) & (F.col("low") < F.col("high"))
+    shared = staged(shared.where(enough).select("leaf"), "leaves")
     # Each different line of these leaves once, with how often it occurs.
     tokens = (
         lines.withColumn("leaf", leaf(F.col("m"), leading))
-        .join(shared, "leaf")
+        .join(shared.hint("merge"), "leaf")
         .groupBy("leaf", "m")
         .agg(F.count(F.lit(1)).alias("n"))
         .select("leaf", F.xxhash64("m").alias("line"), "n", F.split("m", " ").alias("tokens"))
@@ -135,7 +146,8 @@ def without_repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "te
     require(docs, key, text)
     drops = staged(dropped_lines(docs, key, text, **options), "drops")
     drops = drops.select(F.col("key").alias("__key"), F.col("drop").alias("__drop"))
-    joined = docs.join(drops, docs[key].eqNullSafe(drops["__key"]), "left")
+    # Shared leaves and drops grow with the documents, so neither is ever broadcast.
+    joined = docs.join(drops.hint("merge"), docs[key].eqNullSafe(drops["__key"]), "left")
     lines = F.split(F.col(text), "\n")
     kept = F.filter(lines, lambda _, i: ~F.array_contains("__drop", i))
     new = F.when(F.col("__drop").isNull(), F.col(text)).otherwise(F.array_join(kept, "\n"))
