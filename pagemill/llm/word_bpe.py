@@ -9,11 +9,12 @@ units the tokenizer merges within; everything else goes through the tokenizer wh
 from __future__ import annotations
 
 import re
+from itertools import repeat
 
 import numpy as np
 
 # Words remembered by a task; beyond that it forgets all and starts again.
-WORDS = 600_000
+WORDS = 1_000_000
 # Python's split() takes these for gaps, the tokenizer does not.
 _ODD = re.compile("[\x1c-\x1f]")
 # Within these letters, lower-casing and composing work letter by letter.
@@ -36,13 +37,13 @@ class WordBpe:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.letters = _byte_letters()
+        self.letters = {b: letter for b, letter in enumerate(_byte_letters())}
         self.limit = words
+        self.units: dict[str, list[int]] = {}
         self._forget()
 
     def _forget(self) -> None:
         self.index: dict[str, int] = {}
-        self.units: dict[str, list[int]] = {}
         self.flat = np.zeros(1 << 16, np.uint32)
         self.starts = np.zeros(1 << 14, np.int64)  # word i has flat[starts[i] : starts[i + 1]]
         self.used = 0
@@ -50,7 +51,10 @@ class WordBpe:
     def _unit(self, unit: str) -> list[int]:
         found = self.units.get(unit)
         if found is None:
-            spelled = "".join([self.letters[b] for b in unit.encode()])
+            if len(self.units) >= self.limit:
+                self.units.clear()
+            # Plain letters stand for themselves.
+            spelled = unit if unit.isascii() else unit.encode().decode("latin-1").translate(self.letters)
             found = self.units[unit] = [t.id for t in self.tokenizer.model.tokenize(spelled)]
         return found
 
@@ -82,14 +86,14 @@ class WordBpe:
         words = text.split()
         if not words:
             return np.zeros(0, np.uint32)
-        index = self.index
-        new = [w for w in dict.fromkeys(words) if w not in index]
-        if new:
-            if len(index) + len(new) > self.limit:
+        at = np.fromiter(map(self.index.get, words, repeat(-1)), np.int64, len(words))
+        if at.min() < 0:
+            new = dict.fromkeys(words[i] for i in np.flatnonzero(at < 0).tolist())
+            if len(self.index) + len(new) > self.limit:
                 self._forget()
-                index, new = self.index, list(dict.fromkeys(words))
-            self._learn(new)
-        at = np.fromiter(map(index.__getitem__, words), np.int64, len(words))
+                new = dict.fromkeys(words)
+            self._learn(list(new))
+            at = np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
         first, size = self.starts[at], self.starts[at + 1] - self.starts[at]
         ends = np.cumsum(size)
         return self.flat[np.arange(ends[-1]) + np.repeat(first - (ends - size), size)]
