@@ -38,7 +38,7 @@ from pagemill.llm.common import link_map, require, text_or_empty
 
 GAP = "▁"
 # Words and neighbours remembered by a task; beyond that it forgets all and starts again.
-WORDS = 400_000
+WORDS = 1_000_000
 NEIGHBOURS = 2_000_000
 # Words longer than this are searched each time instead of being remembered.
 LONG_WORD = 64
