@@ -35,9 +35,11 @@ PASSAGE = 8
 TOP = 3
 THRESHOLD = 0.3
 # Bounds of the training sample: rows per label, and the longest text that takes part in training.
-SAMPLE_ROWS = 3000
+SAMPLE_ROWS = 2000
 SAMPLE_CHARS = 20_000
-WARM_STEPS, STEPS = 40, 160
+# N-grams of fewer texts of the sample are left out: they tell these texts apart, not the labels.
+MIN_TEXTS = 5
+WARM_STEPS, STEPS = 40, 100
 RATE, DECAY = 0.05, 3e-5
 SEED = 1
 
@@ -50,12 +52,15 @@ def subwords(word: str) -> list[int]:
     return [zlib.crc32(g.encode("utf-8", "surrogatepass")) % BUCKETS for g in [raw, *grams]]
 
 
-def bags(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+def bags(words: list[str], at_once: int = 20_000) -> tuple[np.ndarray, np.ndarray]:
     """Buckets of all words one after the other, and where each word's begin."""
-    lists = [subwords(w) for w in words]
-    starts = np.zeros(len(lists), np.int64)
-    np.cumsum([len(x) for x in lists[:-1]], out=starts[1:])
-    return np.fromiter((b for x in lists for b in x), np.int64), starts
+    parts, sizes = [np.zeros(0, np.int32)], []
+    for first in range(0, len(words), at_once):
+        lists = [subwords(w) for w in words[first : first + at_once]]
+        sizes += [len(x) for x in lists]
+        parts.append(np.fromiter((b for x in lists for b in x), np.int32))
+    ends = np.cumsum(np.array(sizes, np.int64))
+    return np.concatenate(parts), ends - sizes
 
 
 def passage_logits(word_logits: np.ndarray) -> np.ndarray:
@@ -129,7 +134,8 @@ def train(texts: list[str], labels: np.ndarray, seed: int = SEED) -> Model:
     flat, starts = bags(list(index))
     sizes = np.diff(np.append(starts, len(flat)))
     rng = np.random.default_rng(seed)
-    vectors = rng.normal(scale=0.1, size=(BUCKETS, WIDTH))
+    used = _texts_of_buckets(docs, flat, starts, sizes) >= MIN_TEXTS
+    vectors = rng.normal(scale=0.1, size=(BUCKETS, WIDTH)) * used[:, None]
     softmax, bias = rng.normal(scale=0.5, size=WIDTH), float(np.log(share / (1 - share)))
     move_vectors, move_softmax, move_bias = _Adam(RATE), _Adam(RATE), _Adam(RATE)
     weight = np.where(labels == 1, 0.5 / labels.sum(), 0.5 / (1 - labels).sum())
@@ -159,9 +165,9 @@ def train(texts: list[str], labels: np.ndarray, seed: int = SEED) -> Model:
         span = hi - lo
         spots = np.arange(span.sum()) + np.repeat(lo - (np.cumsum(span) - span), span)
         per_word = np.bincount(words[spots], np.repeat(error / span, span), len(sizes)) / sizes
-        per_bucket = np.bincount(flat, np.repeat(per_word, sizes), BUCKETS)
-        vector_step = move_vectors.step(np.outer(per_bucket, softmax) + DECAY * vectors / BUCKETS)
-        softmax = softmax - move_softmax.step(per_bucket @ vectors + DECAY * softmax)
+        per_bucket = np.bincount(flat, np.repeat(per_word, sizes), BUCKETS) * used
+        vector_step = move_vectors.step(np.outer(per_bucket, softmax) + DECAY * vectors)
+        softmax = softmax - move_softmax.step(per_bucket @ vectors)
         vectors = vectors - vector_step
         bias = float(bias - move_bias.step(error.sum()))
     model = Model(vectors @ softmax, bias, np.zeros(4))
@@ -171,6 +177,17 @@ def train(texts: list[str], labels: np.ndarray, seed: int = SEED) -> Model:
     return model
 
 
+def _texts_of_buckets(docs: list[np.ndarray], flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """In how many texts each bucket occurs."""
+    counts = np.zeros(BUCKETS, np.int64)
+    for doc in docs:
+        words = np.unique(doc)
+        span = sizes[words]
+        spots = np.arange(span.sum()) + np.repeat(starts[words] - (np.cumsum(span) - span), span)
+        counts[np.unique(flat[spots])] += 1
+    return counts
+
+
 def _calibrate(rows: np.ndarray, labels: np.ndarray) -> np.ndarray:
     """Logistic regression of the label on the features, lightly damped, by Newton steps."""
     scale = rows.std(axis=0) + 1e-9
