@@ -11,6 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from pagemill.functions.text import let
+
 ISO = "yyyy-MM-dd'T'HH:mm:ss"
 # The spellings a complete date may have.
 STRICT_FORMATS = ("MMMM d, yyyy", "MMM d, yyyy", "d MMMM yyyy", "yyyy-MM-dd", "M/d/yyyy")
@@ -40,17 +42,24 @@ def parse_date_iso(c: Column, formats: Sequence[str] = STRICT_FORMATS) -> Column
 
 
 def extract_date_fuzzy(c: Column) -> Column:
-    """The first complete date inside prose, ISO; ``11 July 1991`` or ``July 11, 1991``."""
-    day_first = F.regexp_extract(c, rf"\b(\d{{1,2}} (?:{MONTHS}) \d{{4}})\b", 1)
-    month_first = F.regexp_extract(c, rf"\b((?:{MONTHS}) \d{{1,2}}, \d{{4}})\b", 1)
-    # A regexp that finds nothing gives '', which is no valid date either.
-    return F.date_format(
-        F.coalesce(
-            F.try_to_timestamp(day_first, F.lit("d MMMM yyyy")),
-            F.try_to_timestamp(month_first, F.lit("MMMM d, yyyy")),
-        ),
-        ISO,
-    )
+    """The first complete date inside prose, ISO: ``11 July 1991``, ``July 11th, 1991``, ``11 JUL. 1991``."""
+    month = "|".join(f"{name[:3]}(?:{name[3:]})?" if name != "September" else "Sep(?:t(?:ember)?)?" for name in MONTHS.split("|"))
+    day, year = r"(\d{1,2})(?:st|nd|rd|th)?", r"(\d{4})"
+    either = rf"(?i)\b(?:{day}\s+({month})\.?,?\s+{year}|({month})\.?\s+{day},?\s+{year})\b"
+
+    def read(found: Column) -> Column:
+        name = F.lower(F.substring(F.regexp_extract(found, rf"(?i)\b({month})", 1), 1, 3))
+        number = F.floor((F.instr(F.lit("janfebmaraprmayjunjulaugsepoctnovdec"), name) + 2) / 3)
+        shown = F.concat_ws(
+            "-",
+            F.regexp_extract(found, r"(\d{4})$", 1),
+            number.cast("string"),
+            F.regexp_extract(found, r"(?<!\d)(\d{1,2})(?!\d)", 1),
+        )
+        return F.date_format(F.try_to_timestamp(shown, F.lit("yyyy-M-d")), ISO)
+
+    # A regexp that finds nothing gives '', which is no date.
+    return let(F.regexp_extract(c, either, 0), lambda found: F.when(found != "", read(found)))
 
 
 def range_start(c: Column) -> Column:
@@ -76,11 +85,6 @@ def duration_seconds(c: Column) -> Column:
     return F.coalesce(F.aggregate(F.split(c, r"\s+"), none, lambda total, part: total + seconds(part)), none)
 
 
-def epoch_seconds(c: Column) -> Column:
-    """Seconds since 1970 with microsecond fraction, as a double."""
-    return F.unix_micros(c.cast("timestamp")) / F.lit(1e6)
-
-
 def remaining_seconds(wait_s: Column, scraped_at: Column, now: Column) -> Column:
     """What is left of ``wait_s`` at ``now`` when it was read at ``scraped_at``."""
     elapsed_us = F.unix_micros(now.cast("timestamp")) - F.unix_micros(scraped_at.cast("timestamp"))

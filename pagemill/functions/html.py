@@ -42,8 +42,14 @@ def token_kind(tok: Column) -> Column:
 
 
 def attr(tok: Column, name: str) -> Column:
-    """Value of an attribute of the first tag in ``tok``; NULL when absent or empty."""
-    raw = F.regexp_extract(tok, rf"""(?i)^<[^>]*?[\s"']{name}\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", 1)
+    """Value of an attribute of the first tag in ``tok``; NULL when absent or empty.
+
+    Goes from attribute to attribute, so that a value never passes for one.
+    """
+    # Possessive runs: a name or value is taken whole, so there is one way to read a tag.
+    value = r"""(?:"[^"]*+"|'[^']*+'|[^\s"'>]++)"""
+    other = rf"""(?:[\s/]*+[^\s=>"'/]++(?:\s*+=\s*+{value})?)*?"""
+    raw = F.regexp_extract(tok, rf"""(?i)^<[a-z][^\s>/]*+{other}[\s/]*+(?<=[\s"'/]){name}\s*+=\s*+({value})""", 1)
     return non_empty(F.regexp_replace(raw, r"""^["']|["']$""", ""))
 
 
@@ -59,8 +65,13 @@ def mentions_class(fragment: Column, cls: str) -> Column:
 
 def classes_in(fragment: Column) -> Column:
     """All classes of all tags in the fragment as one text, `` a b c ``, to look names up in."""
-    values = F.regexp_extract_all(fragment, F.lit(r"""(?i)\bclass\s*=\s*["']?([^"'>]*)"""), F.lit(1))
-    return F.regexp_replace(F.concat(F.lit(" "), F.array_join(values, " "), F.lit(" ")), r"\s+", " ")
+    return F.concat(F.lit(" "), F.array_join(class_list(fragment), " "), F.lit(" "))
+
+
+def class_list(fragment: Column) -> Column:
+    """The classes of every tag in the fragment; a class that several tags have comes several times."""
+    values = F.regexp_extract_all(fragment, F.lit(r"""(?i)\bclass\s*=\s*("[^">]*|'[^'>]*|[^\s"'>]+)"""), F.lit(1))
+    return F.flatten(F.transform(values, lambda v: F.array_distinct(F.split(F.regexp_replace(v, r"""^["']""", ""), r"\s+"))))
 
 
 def text_of(cleaned: Column, tag: str) -> Column:
@@ -120,9 +131,13 @@ def element_with(html: Column, name: str, attribute: str, value: str) -> Column:
 
 
 def blocks_of(html: Column) -> Column:
-    """Fragments that start with a ``div`` or a table, in order."""
+    """Fragments that start with a ``div`` or a table, in order, each up to the first end tag of one.
+
+    What stands between an end tag and the next block belongs to none.
+    """
     start = r"(?i)<(?:div|table)[\s>]"
-    return F.filter(F.split(strip_noise(html), f"(?={start})"), lambda b: b.rlike("^" + start))
+    opened = F.filter(F.split(strip_noise(html), f"(?={start})"), lambda b: b.rlike("^" + start))
+    return F.transform(opened, lambda b: F.get(F.split(b, r"(?i)</(?:div|table)\s*>", 2), F.lit(0)))
 
 
 def paragraphs(html: Column) -> Column:

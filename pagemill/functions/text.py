@@ -2,14 +2,26 @@
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Callable
+from html.entities import name2codepoint
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Accented Latin letters and the ASCII letters they fold to.
-ACCENTED = "ÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖØÙÚÛÜÝàáâãäåçèéêëìíîïñòóôõöøùúûüýÿ"
-PLAIN = "AAAAAACEEEEIIIINOOOOOOUUUUYaaaaaaceeeeiiiinoooooouuuuyy"
+# Letters without a decomposition in Unicode that still are variants of one ASCII letter.
+VARIANTS = dict(zip("ØøŁłĐđĦħŦŧıſÐð", "OoLlDdHhTtisDd", strict=True))
+
+
+def _accented() -> dict[str, str]:
+    """Latin letters up to Extended-B and those of Extended Additional whose decomposition begins with an ASCII letter."""
+    letters = map(chr, [*range(0xC0, 0x250), *range(0x1E00, 0x1F00)])
+    plain = {c: unicodedata.normalize("NFD", c)[0] for c in letters}
+    return {c: base for c, base in plain.items() if base.isascii() and base.isalpha()} | VARIANTS
+
+
+FOLDED = _accented()
+ACCENTED, PLAIN = "".join(FOLDED), "".join(FOLDED.values())
 # Characters that fold to more than one letter, or to punctuation.
 SPELLED_OUT = {
     "ß": "ss",
@@ -17,6 +29,12 @@ SPELLED_OUT = {
     "æ": "ae",
     "Œ": "OE",
     "œ": "oe",
+    "Þ": "Th",
+    "þ": "th",
+    "Ŋ": "NG",
+    "ŋ": "ng",
+    "Ĳ": "IJ",
+    "ĳ": "ij",
     "–": "-",
     "—": "--",
     "‘": "'",
@@ -28,19 +46,10 @@ SPELLED_OUT = {
 }
 UNKNOWN = "[?]"
 
-# Named entities that occur in the pages.  `&amp;` comes last so
-# that an escaped entity is not decoded twice.
-ENTITIES = {
-    "&nbsp;": " ",
-    "&quot;": '"',
-    "&apos;": "'",
-    "&#39;": "'",
-    "&lt;": "<",
-    "&gt;": ">",
-    "&copy;": "©",
-    "&middot;": "·",
-    "&amp;": "&",
-}
+# Named entities as the standard lists them; `apos` is the one it leaves out.
+ENTITIES = {name: chr(code) for name, code in name2codepoint.items()} | {"apos": "'"}
+# Numbers that old pages use for the characters of their own code page.
+CODE_PAGE = {n: bytes([n]).decode("cp1252", "ignore") for n in range(0x80, 0xA0)}
 
 
 def let(value: Column, f: Callable[[Column], Column]) -> Column:
@@ -162,10 +171,34 @@ def url_last_segment(c: Column) -> Column:
 
 
 def entity_decode(c: Column) -> Column:
+    """Named and numeric character entities to characters, each once; what is none stays.
+
+    A no-break space becomes a plain one.
+    """
+    named = F.create_map(*[F.lit(x) for pair in ENTITIES.items() for x in pair])
+    paged = F.create_map(*[F.lit(x) for pair in CODE_PAGE.items() if pair[1] for x in pair])
+
+    def numbered(code: Column) -> Column:
+        # A code point as four bytes.
+        known = code.between(1, 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
+        octets = F.unhex(F.lpad(F.hex(F.when(known, code).otherwise(0xFFFD)), 8, "0"))
+        return F.coalesce(F.try_element_at(paged, code.cast("int")), F.decode(octets, "UTF-32"))
+
+    def one(piece: Column) -> Column:
+        name = F.regexp_extract(piece, "^&([A-Za-z][A-Za-z0-9]*);$", 1)
+        decimal = F.regexp_extract(piece, "^&#([0-9]{1,7});$", 1)
+        hexadecimal = F.regexp_extract(piece, "^&#[xX]([0-9A-Fa-f]{1,6});$", 1)
+        found = (
+            F.when(name != "", F.try_element_at(named, name))
+            .when(decimal != "", numbered(decimal.cast("bigint")))
+            .when(hexadecimal != "", numbered(F.conv(hexadecimal, 16, 10).cast("bigint")))
+        )
+        return F.when(piece.startswith("&"), F.coalesce(found, piece)).otherwise(piece)
+
     def decode(v: Column) -> Column:
-        decoded = v
-        for entity, char in ENTITIES.items():
-            decoded = F.replace(decoded, F.lit(entity), F.lit(char))
+        # An entity is a piece of its own.
+        pieces = F.split(v, r"(?=&[#A-Za-z])|(?<=;)")
+        decoded = F.replace(F.array_join(F.transform(pieces, one), ""), F.lit("\u00a0"), F.lit(" "))
         return F.when(F.contains(v, F.lit("&")), decoded).otherwise(v)
 
     return let(c, decode)

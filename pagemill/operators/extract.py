@@ -340,7 +340,7 @@ def text_line(c: Column, n: int) -> Column:
 
 
 def article_extract(pages: DataFrame, keep: Sequence[str] = ("page_id", "url"), html: str = "html") -> DataFrame:
-    """Title, language, text, links, images, authors, date and keywords of an article page."""
+    """Title, language, text, links, images, videos, authors, date, keywords and tags of an article page."""
     page = F.col("__html")
     metas = F.regexp_extract_all(page, F.lit(r"(?is)<meta\b[^>]*>"), F.lit(0))
 
@@ -351,6 +351,15 @@ def article_extract(pages: DataFrame, keep: Sequence[str] = ("page_id", "url"),
     images = F.transform(
         F.regexp_extract_all(page, F.lit(r"(?is)<img\b[^>]*>"), F.lit(0)), lambda i: H.attr(i, "src")
     )
+    # Films are `video`, `source` and `embed` elements, and frames whose address says so.
+    films = F.transform(
+        F.regexp_extract_all(page, F.lit(r"(?is)<(?:video|source|embed|iframe)\b[^>]*>"), F.lit(0)),
+        lambda v: F.when(~v.rlike("(?i)^<iframe") | H.attr(v, "src").rlike("(?i)video|vimeo|youtu|embed"), H.attr(v, "src")),
+    )
+    tags = F.filter(
+        F.regexp_extract_all(page, F.lit(LINK), F.lit(0)),
+        lambda a: F.array_contains(F.split(F.lower(F.coalesce(H.attr(a, "rel"), F.lit(""))), r"\s+"), "tag"),
+    )
     base = pages.select(*keep, H.strip_noise(F.col(html)).alias("__html"))
     body = take_while_section(
         base.withColumn("__metas", metas), out="text", html="__html", cleaned=True, stop_class=None,
@@ -368,6 +377,8 @@ def article_extract(pages: DataFrame, keep: Sequence[str] = ("page_id", "url"),
         images.alias("images"),
         F.coalesce(words, F.array().cast("array<string>")).alias("keywords"),
         F.transform(link_array(page), lambda a: a["href"]).alias("links"),
+        F.array_compact(films).alias("videos"),
+        F.transform(tags, lambda a: H.clean_text(a)).alias("tags"),
     )
 
 

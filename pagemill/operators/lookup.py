@@ -41,18 +41,22 @@ def first_usable(
     """For each record, the first of its candidate addresses whose page is usable.
 
     ``candidates`` is an array in order of preference; ``pages`` has one row
-    per ``url``.  Unusable pages are dropped before the join; the choice is a
-    partial aggregate.  Records without a usable page keep NULL.
+    per ``url``.  The choice is made on addresses alone, as a partial aggregate; the
+    fields of the chosen page are joined once, at the end.  Records without a usable
+    page keep NULL.
     """
+    good = pages.where(usable)
     tried = each(records, [key], candidates, "__url", "__rank")
-    good = pages.where(usable).select(F.col(url).alias("__url"), *fields)
     chosen = (
-        tried.join(good, "__url")
+        tried.join(good.select(F.col(url).alias("__url")), "__url")
         .groupBy(key)
-        .agg(F.min_by(F.struct(F.col("__url").alias("chosen_url"), *fields), "__rank").alias("__best"))
-        .select(key, "__best.*")
+        .agg(F.min_by("__url", "__rank").alias("chosen_url"))
+    )
+    side = good.select(F.col(url).alias("__url"), *fields)
+    picked = records.join(chosen, key, "left")
+    return picked.join(side, F.col("chosen_url") == F.col("__url"), "left").select(
+        *records.columns, "chosen_url", *fields
     )
-    return records.join(chosen, key, "left")
 
 
 def attach_with_fallback(
@@ -72,7 +76,7 @@ def zip_by_position(
     left_order: Sequence[str],
     right_order: Sequence[str],
     position: str = "position",
-    rows_per_block: int | None = ROWS_PER_BLOCK,
+    rows_per_block: int = ROWS_PER_BLOCK,
 ) -> DataFrame:
     """Put the k-th row of one side beside the k-th row of the other; both sides stay whole."""
     a = ordinal(left, left_order, position, rows_per_block=rows_per_block)

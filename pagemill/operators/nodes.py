@@ -46,29 +46,44 @@ def link_target(nodes: DataFrame) -> DataFrame:
     return select_nodes(nodes, tag="a").select(*[c for c in nodes.columns if c in ("page_id", "pos", "href")])
 
 
-def class_counts(pages: DataFrame, tags: list[str], key: str = "page_id", html: str = "html") -> DataFrame:
+def tag_counts(pages: DataFrame, tags: list[str], key: str = "page_id", html: str = "html") -> DataFrame:
     """Per page, how many opening tags of each name.  Counted inside the row, in one pass over the page."""
     names = F.regexp_extract_all(F.lower(H.strip_noise(F.col(html))), F.lit("<([a-z][a-z0-9]*)"), F.lit(1))
-    return pages.select(key, names.alias("__names")).select(
-        key,
-        *[
-            (F.size("__names") - F.size(F.array_remove("__names", tag))).cast("bigint").alias(f"n_{tag}")
-            for tag in tags
-        ],
-    )
+    return pages.select(key, names.alias("__names")).select(key, *_counts(tags))
 
 
-def class_count_filter(pages: DataFrame, at_least: dict[str, int], none_of: list[str], **cols) -> DataFrame:
+def tag_count_filter(pages: DataFrame, at_least: dict[str, int], none_of: list[str], **cols) -> DataFrame:
     """Pages with at least so many of some elements and none of others."""
-    counted = class_counts(pages, [*at_least, *none_of], **cols)
-    key, *counts = counted.columns
+    return _enough(tag_counts(pages, [*at_least, *none_of], **cols), 1, at_least, none_of)
+
+
+def class_counts(pages: DataFrame, classes: list[str], key: str = "page_id", html: str = "html") -> DataFrame:
+    """``key, node, n_<class>…``: per ``div`` or table, how many of its tags, itself included, have each class."""
+    nodes = each(pages, [key], H.blocks_of(F.col(html)), "block", "node")
+    return nodes.select(key, "node", H.class_list(F.col("block")).alias("__names")).select(key, "node", *_counts(classes))
+
+
+def class_count_filter(pages: DataFrame, at_least: dict[str, int], none_of: list[str], **cols) -> DataFrame:
+    """The nodes with at least so many tags of some classes and none of others."""
+    return _enough(class_counts(pages, [*at_least, *none_of], **cols), 2, at_least, none_of)
+
+
+def _counts(names: list[str]) -> list[Column]:
+    """Occurrences of each name in ``__names``."""
+    return [
+        (F.size("__names") - F.size(F.array_remove("__names", name))).cast("bigint").alias(f"n_{name}") for name in names
+    ]
+
+
+def _enough(counted: DataFrame, n_keys: int, at_least: dict[str, int], none_of: list[str]) -> DataFrame:
+    keys, counts = counted.columns[:n_keys], counted.columns[n_keys:]
 
     def wanted(row: Column) -> Column:
-        enough = [row[f"n_{tag}"] >= least for tag, least in at_least.items()]
-        none = [row[f"n_{tag}"] == 0 for tag in none_of]
+        enough = [row[f"n_{name}"] >= least for name, least in at_least.items()]
+        none = [row[f"n_{name}"] == 0 for name in none_of]
         return F.when(reduce(lambda a, b: a & b, enough + none), row)
 
-    return present(counted, [key], let(F.struct(*counts), wanted), "n").select(key, "n.*")
+    return present(counted, keys, let(F.struct(*counts), wanted), "n").select(*keys, "n.*")
 
 
 def reconcile_counts(nodes: DataFrame, **conditions: Column) -> DataFrame:

@@ -37,16 +37,23 @@ def record_to_json(record: Column) -> Column:
 
 
 def fill_missing(df: DataFrame, defaults: Mapping[str, str] | None = None) -> DataFrame:
-    """Replace NULL by '' (or the given default) in string columns, for sinks that know no NULL."""
+    """Replace NULL by '' (or the given default) in texts, for sinks that know no NULL.
+
+    Goes through structs and arrays; a default is given by the dotted path of a field.  A missing
+    struct becomes one with empty texts, a missing array stays missing.
+    """
     defaults = defaults or {}
-    return df.select(
-        *[
-            F.coalesce(F.col(f.name), F.lit(defaults.get(f.name, ""))).alias(f.name)
-            if isinstance(f.dataType, T.StringType)
-            else F.col(f.name)
-            for f in df.schema
-        ]
-    )
+
+    def filled(c: Column, kind: T.DataType, path: str) -> Column:
+        if isinstance(kind, T.StringType):
+            return F.coalesce(c, F.lit(defaults.get(path, "")))
+        if isinstance(kind, T.StructType):
+            return F.struct(*[filled(c[f.name], f.dataType, f"{path}.{f.name}").alias(f.name) for f in kind])
+        if isinstance(kind, T.ArrayType):
+            return F.transform(c, lambda x: filled(x, kind.elementType, path))
+        return c
+
+    return df.select(*[filled(F.col(f.name), f.dataType, f.name).alias(f.name) for f in df.schema])
 
 
 def title_of(external_id: Column, id_prefix: str) -> Column:
@@ -55,7 +62,8 @@ def title_of(external_id: Column, id_prefix: str) -> Column:
     Spaces were written as dashes and come back as spaces, so a title with
     dashes of its own is not restored exactly.
     """
-    return F.replace(F.regexp_replace(external_id, "^" + id_prefix, ""), F.lit("-"), F.lit(" "))
+    bare = F.when(external_id.startswith(id_prefix), F.substring(external_id, len(id_prefix) + 1, 1 << 30))
+    return F.replace(bare.otherwise(external_id), F.lit("-"), F.lit(" "))
 
 
 def union_generations(flat: DataFrame, nested: DataFrame, origin: str, id_prefix: str) -> DataFrame:
@@ -74,13 +82,16 @@ def union_generations(flat: DataFrame, nested: DataFrame, origin: str, id_prefix
 
 
 def dedup_generations(records: DataFrame, key: str = "url") -> DataFrame:
-    """One record per key, the newest generation."""
+    """One record per key, the newest generation, of equal ones the last by content; records without a key all stay."""
     rest = [c for c in records.columns if c != key]
-    return (
-        records.groupBy(key)
-        .agg(F.max_by(F.struct(*rest), "generation").alias("__r"))
+    newest = F.struct("generation", *[c for c in rest if c != "generation"])
+    known = (
+        records.where(F.col(key).isNotNull())
+        .groupBy(key)
+        .agg(F.max_by(F.struct(*rest), newest).alias("__r"))
         .select(key, "__r.*")
     )
+    return known.unionByName(records.where(F.col(key).isNull()))
 
 
 def route_outcome(df: DataFrame, success: Column, reasons: Mapping[str, Column]) -> DataFrame:

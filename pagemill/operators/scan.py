@@ -1,146 +1,94 @@
 """Ordered scans (running totals, neighbours, ordinals) that survive hot groups.
 
 A window over ``partitionBy(keys)`` sends each group to one task.  That is fine
-until one key holds a third of the table, or there is no key at all.  Here a
-group with too many rows is cut into consecutive blocks of nearly equal size
-along its first order column; each block is scanned on its own, and what one
-block needs from those before it is computed from a summary that holds a few
-rows per block.  Groups of ordinary size stay in one block.
+until one key holds a third of the table, or there is no key at all.  Here every
+group is cut into consecutive blocks, each block is scanned by itself, and what
+a block needs from those before it comes from a summary with a few rows per block.
+
+Where a group is cut depends on its rows alone: a row begins a block if the hash of
+its keys and order columns is divisible by ``rows_per_block``.  So blocks hold that many rows
+on average however many rows there are, a small group usually is one block, and
+the same rows always give the same blocks: no counting beforehand, no sample, and the plan has
+one shape at any size.  The order columns should tell the rows of a group
+apart; rows that agree in all of them are never cut.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-# A group larger than this is cut into blocks.
-ROWS_PER_BLOCK = 1_000_000
-# Blocks grow beyond ROWS_PER_BLOCK rather than exceed this number.  It bounds
-# the hot keys and block edges that pass through the driver, and the summary.
-MAX_BLOCKS = 4096
-# Rows looked at per block to choose the edges.
-PROBES_PER_BLOCK = 20
+# Rows of a block, on average.
+ROWS_PER_BLOCK = 65_536
 
+_KEY = "__key"
 _BLOCK = "__block"
-_HOT = "__hot"
-_AT = "__at"
+_CUT = "__cut"
 
 
 @dataclass(frozen=True)
 class Blocked:
-    """Rows with their block number and, where ``cut``, a mark on the hot ones."""
+    """Rows with the struct of their keys, their block number, and whether their group is cut at all."""
 
     rows: DataFrame
-    keys: tuple[str, ...]
     order: tuple[str, ...]
-    cut: bool
 
     @property
     def within(self):
-        return Window.partitionBy(*self.keys, _BLOCK).orderBy(*self.order)
+        return Window.partitionBy(_KEY, _BLOCK).orderBy(*self.order)
 
     @property
     def across(self):
-        # Only summary rows go through this window: a few per block.
-        return Window.partitionBy(*(self.keys or [F.lit(0)]))
-
-
-def _comparable(df: DataFrame, name: str) -> Column:
-    """The column as something that passes through the driver unchanged, in the same order."""
-    kind = df.schema[name].dataType
-    if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
-        return F.unix_micros(F.col(name).cast("timestamp"))
-    if isinstance(kind, T.DateType):
-        return F.unix_date(name)
-    return F.col(name)
-
-
-def _block_edges(hot_rows: DataFrame, names: list[str], blocks: int, n_rows: int) -> list[tuple]:
-    """Up to ``blocks - 1`` places that cut the rows into parts of nearly equal size.
-
-    Only the choice of the places rests on a sample; every row is then put
-    into the block it belongs to.
-    """
-    share = min(1.0, PROBES_PER_BLOCK * blocks / n_rows)
-    probes = [tuple(r) for r in hot_rows.sample(share, seed=11).orderBy(*names).collect()]
-    picked = [probes[i * len(probes) // blocks] for i in range(1, blocks)] if probes else []
-    return list(dict.fromkeys(picked))
-
+        # Only summary rows of groups that are cut go through this window.
+        return Window.partitionBy(_KEY)
+
+
+def _edges(places: Column) -> Column:
+    """Sorted block beginnings, and every ``step``-th of them to look among first."""
+    ordered = F.sort_array(F.collect_set(places))
+    step = F.ceil(F.sqrt(F.size(ordered))).cast("int")
+    return F.struct(
+        ordered.alias("all"),
+        step.alias("step"),
+        F.filter(ordered, lambda _, i: (i + 1) % step == 0).alias("coarse"),
+    )
 
-def _block_number(edges: list[tuple], fields: list[T.StructField]) -> Column:
-    """How many edges are at or before the row: first among every ``step``-th, then in between."""
-    step = max(1, math.isqrt(len(edges)))
 
-    def literal(places: list[tuple]) -> Column:
-        return F.array(
-            *[
-                F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(place, fields, strict=True)])
-                for place in places
-            ]
-        )
+def _block_number(edges: Column, place: Column) -> Column:
+    """How many block beginnings are at or before the row."""
 
     def passed(places: Column) -> Column:
-        return F.size(F.filter(places, lambda e: e <= F.col(_AT)))
-
-    coarse = passed(literal(edges[step - 1 :: step])) * step
-    return coarse + passed(F.slice(literal(edges), coarse + 1, step))
+        return F.size(F.filter(places, lambda e: e <= place))
 
-
-def same_keys(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
-    """Null-safe equality on ``keys``."""
-    return reduce(lambda a, b: a & b, [left[k].eqNullSafe(right[k]) for k in keys], F.lit(True))
+    sure = passed(edges["coarse"]) * edges["step"]
+    return sure + passed(F.slice(edges["all"], sure + 1, edges["step"]))
 
 
 def cut_into_blocks(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], rows_per_block: int | None = ROWS_PER_BLOCK
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], rows_per_block: int = ROWS_PER_BLOCK
 ) -> Blocked:
-    """Give every row a block number; only groups above ``rows_per_block`` get several.
-
-    Blocks are ranges over keys and order together, so none holds many more
-    rows than ``rows_per_block`` however keys or order values repeat, and all
-    blocks and hot keys together give fewer than twice ``MAX_BLOCKS`` pairs.
-    The edges are constants of the plan, so a recomputed task assigns the same
-    blocks.
+    """Give every row its block, and deal the rows out by group and block.
 
-    Pass ``rows_per_block=None`` where groups cannot be large, such as rows
-    that come out of one row; this saves counting.
+    ``df`` is read twice, the second time only keys and order columns of one row in ``rows_per_block``.
     """
-    keys, order = tuple(keys), tuple(order)
-    plain = Blocked(df.withColumn(_BLOCK, F.lit(0)), keys, order, False)
-    if rows_per_block is None:
-        return plain
-    total = df.count()
-    if total <= rows_per_block:
-        return plain
-    limit = max(rows_per_block, -(-total // MAX_BLOCKS))
+    place = F.struct(*order)
+    begins = F.pmod(F.xxhash64(*keys, *order), F.lit(rows_per_block)) == 0
+    marks = df.where(begins)
     if keys:
-        # Fewer than MAX_BLOCKS keys can hold more than total/MAX_BLOCKS rows each.
-        counts = df.groupBy(*keys).agg(F.count("*").alias("__n")).where(F.col("__n") > limit)
-        found = counts.collect()
-        if not found:
-            return plain
-        hot_rows = sum(r["__n"] for r in found)
-        schema = T.StructType([df.schema[k] for k in keys])
-        named = df.sparkSession.createDataFrame([tuple(r[k] for k in keys) for r in found], schema)
-        marks = F.broadcast(named.withColumn(_HOT, F.lit(True)))
-        rows = df.join(marks, same_keys(df, marks, keys), "left").select(
-            *[df[c] for c in df.columns], F.coalesce(marks[_HOT], F.lit(False)).alias(_HOT)
-        )
+        keyed = df.withColumn(_KEY, F.struct(*keys))
+        edges = marks.groupBy(F.struct(*keys).alias("__of")).agg(_edges(place).alias("__edges"))
+        # Structs of nulls are equal, so null keys find their blocks as well.
+        rows = keyed.join(edges, F.col(_KEY) == F.col("__of"), "left").drop("__of")
     else:
-        hot_rows = total
-        rows = df.withColumn(_HOT, F.lit(True))
-    places = [*keys, *(c for c in order if c not in keys)]
-    at = rows.withColumn(_AT, F.struct(*[_comparable(df, c).alias(c) for c in places]))
-    edges = _block_edges(at.where(_HOT).select(f"{_AT}.*"), places, -(-hot_rows // limit), hot_rows)
-    number = _block_number(edges, at.schema[_AT].dataType.fields) if edges else F.lit(0)
-    numbered = at.withColumn(_BLOCK, F.when(F.col(_HOT), number).otherwise(F.lit(0)))
-    return Blocked(numbered.drop(_AT), keys, order, True)
+        edges = marks.agg(_edges(place)).scalar()
+        rows = df.withColumn(_KEY, F.struct(F.lit(0).alias("all"))).withColumn("__edges", edges)
+    cut = F.coalesce(F.size(F.col("__edges")["all"]) > 0, F.lit(False))
+    number = F.when(cut, _block_number(F.col("__edges"), place)).otherwise(0)
+    numbered = rows.withColumns({_CUT: cut, _BLOCK: number}).drop("__edges")
+    return Blocked(numbered.repartition(_KEY, _BLOCK), tuple(order))
 
 
 def running_total(
@@ -151,32 +99,24 @@ def running_total(
     out: str,
     *,
     before: bool = False,
-    rows_per_block: int | None = ROWS_PER_BLOCK,
+    rows_per_block: int = ROWS_PER_BLOCK,
 ) -> DataFrame:
     """Add ``out``: the sum of ``value`` up to each row, or over the rows ``before`` it."""
-    df = df.withColumn("__value", value)
-    blocked = cut_into_blocks(df, keys, order, rows_per_block)
+    blocked = cut_into_blocks(df.withColumn("__value", value), keys, order, rows_per_block)
     frame = blocked.within.rowsBetween(Window.unboundedPreceding, -1 if before else Window.currentRow)
     local = F.coalesce(F.sum("__value").over(frame), F.lit(0))
-    if not blocked.cut:
-        return blocked.rows.withColumn(out, local).drop("__value", _BLOCK)
+    so_far = blocked.across.orderBy("__in").rowsBetween(Window.unboundedPreceding, -1)
     carried = (
-        blocked.rows.where(_HOT)
-        .groupBy(*blocked.keys, _BLOCK)
+        blocked.rows.where(_CUT)
+        .groupBy(F.col(_KEY).alias("__of"), F.col(_BLOCK).alias("__in"))
         .agg(F.sum("__value").alias("__sum"))
-        .withColumn(
-            "__carry",
-            F.sum("__sum").over(
-                blocked.across.orderBy(_BLOCK).rowsBetween(Window.unboundedPreceding, -1)
-            ),
-        )
+        .withColumnRenamed("__of", _KEY)
+        .withColumn("__carry", F.sum("__sum").over(so_far))
+        .select(F.col(_KEY).alias("__of"), "__in", "__carry")
     )
-    # Fewer than 2 * MAX_BLOCKS rows.
-    carried = F.broadcast(carried.select(*blocked.keys, _BLOCK, "__carry"))
     rows = blocked.rows.withColumn("__local", local)
-    joined = rows.join(carried, same_keys(rows, carried, [*blocked.keys, _BLOCK]), "left")
-    kept = [rows[c] for c in df.columns if c != "__value"]
-    return joined.select(*kept, (rows["__local"] + F.coalesce(carried["__carry"], F.lit(0))).alias(out))
+    joined = rows.join(carried, (F.col(_KEY) == F.col("__of")) & (F.col(_BLOCK) == F.col("__in")), "left")
+    return joined.select(*df.columns, (F.col("__local") + F.coalesce("__carry", F.lit(0))).alias(out))
 
 
 def ordinal(
@@ -185,7 +125,7 @@ def ordinal(
     out: str,
     *,
     keys: Sequence[str] = (),
-    rows_per_block: int | None = ROWS_PER_BLOCK,
+    rows_per_block: int = ROWS_PER_BLOCK,
 ) -> DataFrame:
     """Add ``out``: the 0-based position of each row within ``keys`` (or the whole table)."""
     return running_total(
@@ -199,7 +139,7 @@ def neighbours(
     order: Sequence[str],
     wanted: Mapping[str, tuple[str, int]],
     *,
-    rows_per_block: int | None = ROWS_PER_BLOCK,
+    rows_per_block: int = ROWS_PER_BLOCK,
 ) -> DataFrame:
     """Add a column per entry of ``wanted``: name -> (column, offset).
 
@@ -215,20 +155,16 @@ def neighbours(
 
     blocked = cut_into_blocks(df, keys, order, rows_per_block)
     inside = blocked.within
-    if not blocked.cut:
-        return blocked.rows.withColumns(shifted(inside)).drop(_BLOCK)
     reach = max(abs(offset) for _, offset in wanted.values())
-    numbered = (
-        blocked.rows.withColumn("__head", F.row_number().over(inside))
-        .withColumn("__size", F.count(F.lit(1)).over(Window.partitionBy(*blocked.keys, _BLOCK)))
-        .withColumn("__tail", F.col("__size") - F.col("__head") + 1)
+    size = F.count(F.lit(1)).over(Window.partitionBy(_KEY, _BLOCK))
+    numbered = blocked.rows.withColumn("__head", F.row_number().over(inside)).withColumn(
+        "__tail", size - F.col("__head") + 1
     )
-    helpers = ["__head", "__size", "__tail", _BLOCK, _HOT]
     # A row whose neighbours may lie in another block is within `reach` of an edge.
-    edge = F.col(_HOT) & ((F.col("__head") <= reach) | (F.col("__tail") <= reach))
+    edge = F.col(_CUT) & ((F.col("__head") <= reach) | (F.col("__tail") <= reach))
     inner = numbered.withColumns(shifted(inside)).where(~edge)
     # Any row at a block's edge finds all rows up to `reach` away among rows
     # that lie within 2*reach of an edge.
-    fringe = numbered.where(_HOT).where((F.col("__head") <= 2 * reach) | (F.col("__tail") <= 2 * reach))
+    fringe = numbered.where(_CUT).where((F.col("__head") <= 2 * reach) | (F.col("__tail") <= 2 * reach))
     outer = fringe.withColumns(shifted(blocked.across.orderBy(*blocked.order))).where(edge)
-    return inner.unionByName(outer).drop(*helpers)
+    return inner.unionByName(outer).select(*df.columns, *wanted)

@@ -17,15 +17,14 @@ from pagemill.operators.segment import keep_last
 STATE_SCHEMA = "domain string, price decimal(12,2), scraped_at timestamp, wait_s double, done boolean"
 
 
-def upsert_items(state: DataFrame, incoming: DataFrame, now: Column, order: Sequence[str] = ()) -> DataFrame:
+def upsert_items(state: DataFrame, incoming: DataFrame, now: Column, order: Sequence[str]) -> DataFrame:
     """Insert new items; for known open ones take the new price and re-base the waiting time.
 
     ``incoming`` has ``domain, price, wait_s``; several rows for one item
     collapse to the last by ``order``.  Items already done stay as they are.
     Both sides then hold one row per item, so the outer join is not skewed.
     """
-    fresh = keep_last(incoming, ["domain"], order) if order else incoming
-    fresh = fresh.select("domain", F.col("price").alias("__price"), F.col("wait_s").alias("__wait"), F.lit(True).alias("__in"))
+    fresh = keep_last(incoming, ["domain"], order).select("domain", F.col("price").alias("__price"), F.col("wait_s").alias("__wait"), F.lit(True).alias("__in"))
     at = now.cast("timestamp")
     joined = state.join(fresh, "domain", "full_outer")
     known = F.col("done").isNotNull()
@@ -67,7 +66,7 @@ def mark_done(state: DataFrame, keys: DataFrame, key: str = "domain") -> DataFra
 
 def successive_delay(
     rows: DataFrame, wait: str, keys: Sequence[str] = (), tie: Sequence[str] = (), out: str = "delay_s",
-    rows_per_block: int | None = ROWS_PER_BLOCK,
+    rows_per_block: int = ROWS_PER_BLOCK,
 ) -> DataFrame:
     """Waiting time minus the one before it in ascending order; the first keeps its own."""
     moved = neighbours(rows, keys, [wait, *tie], {"__before": (wait, -1)}, rows_per_block=rows_per_block)
@@ -79,16 +78,17 @@ def elapsed_correction(plan: DataFrame, measured_at: str, done_at: Column, wait:
     return plan.withColumn(wait, remaining_seconds(F.col(wait), F.col(measured_at), done_at))
 
 
-def due_plan(state: DataFrame, now: Column, lead: int = LEAD_SECONDS, rows_per_block: int | None = ROWS_PER_BLOCK) -> DataFrame:
+def due_plan(state: DataFrame, now: Column, lead: int = LEAD_SECONDS, rows_per_block: int = ROWS_PER_BLOCK) -> DataFrame:
     """What to do with each open item: ``domain, price, action, left_s, delay_s``.
 
-    Items with less than ``lead`` seconds left are for now (delay 0).  The
+    Open are items not marked done, also those without a mark.  Items with less than ``lead``
+    seconds left are for now (delay 0).  The
     others wait until ``lead`` seconds before their time, one after the other,
     each with the delay since the one before.
     """
     left = remaining_seconds(F.col("wait_s"), F.col("scraped_at"), now)
     open_items = (
-        state.where(~F.col("done"))
+        state.where(~F.coalesce("done", F.lit(False)))
         .withColumn("left_s", left)
         .withColumn("action", due_bucket(F.col("left_s"), lead))
         .select("domain", "price", "action", "left_s")
@@ -109,15 +109,14 @@ def first_row(items: DataFrame, *order: str) -> DataFrame:
     return items.orderBy(*order).limit(1)
 
 
-def even_split(rows: DataFrame, parts: int, order: Sequence[str], out: str = "part", rows_per_block: int | None = ROWS_PER_BLOCK) -> DataFrame:
+def even_split(rows: DataFrame, parts: int, order: Sequence[str], out: str = "part", rows_per_block: int = ROWS_PER_BLOCK) -> DataFrame:
     """Number contiguous parts 1..``parts`` of equal size; the first ones take the remainder.
 
     Like ``ntile`` over the whole table, but without bringing it into one task.
     """
-    size, extra = divmod(rows.count(), parts)
-    at = F.col("__at")
+    total = rows.agg(F.count(F.lit(1))).scalar()
+    at, size, extra = F.col("__at"), F.floor(total / parts), total % parts
     bound = extra * (size + 1)
-    number = F.when(at < bound, F.floor(at / (size + 1)))
-    number = number.otherwise(extra + F.floor((at - bound) / size)) if size else number
+    number = F.when(at < bound, F.floor(at / (size + 1))).otherwise(extra + F.floor((at - bound) / F.nullif(size, F.lit(0))))
     placed = ordinal(rows, order, "__at", rows_per_block=rows_per_block)
     return placed.withColumn(out, (number + 1).cast("int")).drop("__at")

@@ -7,10 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagemill.operators.scan import ROWS_PER_BLOCK, neighbours, running_total
-
-# Longest run of rows that is glued into one text.
-ROWS_PER_PART = 100_000
+from pagemill.operators.scan import ROWS_PER_BLOCK, cut_into_blocks, neighbours, running_total
 
 
 def segment(
@@ -19,24 +16,18 @@ def segment(
     keys: Sequence[str],
     order: Sequence[str],
     out: str = "doc_no",
-    rows_per_block: int | None = ROWS_PER_BLOCK,
+    rows_per_block: int = ROWS_PER_BLOCK,
 ) -> DataFrame:
     """Number the documents: a row with ``is_end`` closes its document, the rest is the last one."""
     flag = F.when(is_end, F.lit(1)).otherwise(F.lit(0)).cast("bigint")
     return running_total(rows, keys, order, flag, out, before=True, rows_per_block=rows_per_block)
 
 
-def take_while(
-    rows: DataFrame,
-    stop: Column,
-    keys: Sequence[str],
-    order: Sequence[str],
-    rows_per_block: int | None = ROWS_PER_BLOCK,
-) -> DataFrame:
-    """Rows of each group before its first ``stop`` row."""
-    flag = F.when(stop, F.lit(1)).otherwise(F.lit(0)).cast("bigint")
-    counted = running_total(rows, keys, order, flag, "__stops", rows_per_block=rows_per_block)
-    return counted.where(F.col("__stops") == 0).drop("__stops")
+def take_while(rows: DataFrame, stop: Column, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """Rows of each group before its first ``stop`` row: an aggregate finds it, a join compares."""
+    stops = rows.where(stop).groupBy(F.struct(*keys).alias("__of")).agg(F.min(F.struct(*order)).alias("__stop"))
+    joined = rows.join(stops, F.struct(*keys) == F.col("__of"), "left")
+    return joined.where(F.col("__stop").isNull() | (F.struct(*order) < F.col("__stop"))).select(*rows.columns)
 
 
 def last_in_segment(rows: DataFrame, keys: Sequence[str], order: Sequence[str], values: Mapping[str, Column]) -> DataFrame:
@@ -48,14 +39,14 @@ def last_in_segment(rows: DataFrame, keys: Sequence[str], order: Sequence[str],
 
 
 def next_sibling(
-    rows: DataFrame, col: str, keys: Sequence[str], order: Sequence[str], out: str, rows_per_block: int | None = ROWS_PER_BLOCK
+    rows: DataFrame, col: str, keys: Sequence[str], order: Sequence[str], out: str, rows_per_block: int = ROWS_PER_BLOCK
 ) -> DataFrame:
     return neighbours(rows, keys, order, {out: (col, 1)}, rows_per_block=rows_per_block)
 
 
 def previous_siblings(
     rows: DataFrame, col: str, keys: Sequence[str], order: Sequence[str], names: Sequence[str],
-    rows_per_block: int | None = ROWS_PER_BLOCK,
+    rows_per_block: int = ROWS_PER_BLOCK,
 ) -> DataFrame:
     """The values 1, 2, … rows back, nearest first."""
     wanted = {name: (col, -k) for k, name in enumerate(names, start=1)}
@@ -65,26 +56,26 @@ def previous_siblings(
 def ordered_concat(
     rows: DataFrame,
     keys: Sequence[str],
-    pos: str,
+    order: Sequence[str],
     text: str,
     sep: str = " ",
     out: str = "text",
-    rows_per_part: int = ROWS_PER_PART,
+    rows_per_block: int = ROWS_PER_BLOCK,
 ) -> DataFrame:
-    """Glue texts in order of ``pos`` (0, 1, 2, …), one row per ``keys`` and ``part``.
+    """Glue the texts of each group in order: one row per ``keys``.
 
-    A group longer than ``rows_per_part`` gives several parts, in order and
-    without loss, so no task ever holds more than that of one group.
+    A group's blocks are glued by their own tasks, and then the glued blocks in order.  NULL texts
+    are left out; a group without any text gives no row.
     """
-    part = F.floor(F.col(pos) / rows_per_part).cast("bigint")
-    gathered = (
-        rows.where(F.col(text).isNotNull())
-        .groupBy(*keys, part.alias("part"))
-        .agg(F.array_sort(F.collect_list(F.struct(F.col(pos).alias("p"), F.col(text).alias("t")))).alias("__items"))
-    )
-    return gathered.select(
-        *keys, "part", F.array_join(F.transform("__items", lambda x: x["t"]), sep).alias(out)
-    )
+    blocked = cut_into_blocks(rows.where(F.col(text).isNotNull()), keys, order, rows_per_block)
+
+    def glued(at: Column, item: Column) -> Column:
+        items = F.array_sort(F.collect_list(F.struct(at.alias("p"), item.alias("t"))))
+        return F.array_join(F.transform(items, lambda x: x["t"]), sep)
+
+    parts = blocked.rows.groupBy("__key", "__block").agg(glued(F.struct(*order), F.col(text)).alias("__part"))
+    whole = parts.groupBy("__key").agg(glued(F.col("__block"), F.col("__part")).alias(out))
+    return whole.select(*[F.col("__key")[k].alias(k) for k in keys], out)
 
 
 def first_per(rows: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:

@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagemill.functions.text import let
-
 # Word -> (polarity -1..1, subjectivity 0..1).  A small hand-made list; pass
 # another DataFrame of the same shape for other purposes.
 LEXICON = {
@@ -45,69 +43,36 @@ LEXICON = {
 # A negated word counts with this factor.
 NEGATION = -0.5
 NEGATORS = ("not", "no", "never")
-MAX_PATTERN_WORDS = 500
 
 
 def lexicon_frame(spark) -> DataFrame:
+    """The list as a table: ``word, polarity, subjectivity``."""
     rows = [(w, p, s) for w, (p, s) in LEXICON.items()]
     return spark.createDataFrame(rows, "word string, polarity double, subjectivity double")
 
 
-def text_sentiment(text: Column, lexicon: Mapping[str, tuple[float, float]] = LEXICON) -> Column:
-    """``struct<polarity, subjectivity, n_hits>`` of a text, without leaving its row.
-
-    The words (lower-case ASCII letters) become one regular expression, which
-    suits lists of up to some hundred words; ``lexicon_sentiment`` takes more.
-    """
-    if len(lexicon) > MAX_PATTERN_WORDS:
-        raise ValueError(f"more than {MAX_PATTERN_WORDS} words; use lexicon_sentiment")
-    words = "|".join(lexicon)
-    pattern = rf"(?<![a-z])(?:(?:{'|'.join(NEGATORS)})[^a-z]+)?(?:{words})(?![a-z])"
-    hits = F.regexp_extract_all(F.lower(text), F.lit(pattern), F.lit(0))
-    polarity = F.create_map(*[F.lit(x) for w, (p, _) in lexicon.items() for x in (w, float(p))])
-    subjectivity = F.create_map(*[F.lit(x) for w, (_, s) in lexicon.items() for x in (w, float(s))])
-
-    def mean(values: Column) -> Column:
-        total = F.aggregate(values, F.lit(0.0), lambda a, v: a + v)
-        return F.coalesce(F.try_divide(total, F.size(values)), F.lit(0.0))
-
-    def score(found: Column) -> Column:
-        factor = F.when(found["word"] == found["hit"], F.lit(1.0)).otherwise(F.lit(NEGATION))
-        return F.struct(
-            (F.element_at(polarity, found["word"]) * factor).alias("p"),
-            F.element_at(subjectivity, found["word"]).alias("s"),
-        )
-
-    # A hit is the word, with the negator in front if there is one.
-    named = F.transform(hits, lambda h: F.struct(h.alias("hit"), F.regexp_extract(h, "[a-z]+$", 0).alias("word")))
-    return let(
-        F.transform(named, score),
-        lambda scores: F.struct(
-            mean(F.transform(scores, lambda x: x["p"])).alias("polarity"),
-            mean(F.transform(scores, lambda x: x["s"])).alias("subjectivity"),
-            F.size(scores).cast("bigint").alias("n_hits"),
-        ),
-    )
-
-
-def lexicon_sentiment(docs: DataFrame, lexicon: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Mean polarity and subjectivity of the listed words per document, 0 without any.
+def lexicon_sentiment(
+    docs: DataFrame, lexicon: DataFrame, key: str | Sequence[str] = "doc_id", text: str = "text"
+) -> DataFrame:
+    """``key, polarity, subjectivity, n_hits``: means of the listed words per document, 0 without any.
 
-    A word right after a negator counts with factor ``NEGATION``.  Words meet
-    the list in a join that Spark broadcasts while the list is small; only one
-    partial sum per document and task is shuffled.
+    A word is a run of lower-case ASCII letters after lower-casing; entries of the list that are
+    none never occur.  A word right after a negator counts with factor ``NEGATION``.  Words
+    meet the list (one row per ``word``, of any length) in a join that Spark broadcasts while the
+    list is small; only one partial sum per document and task is shuffled.
     """
+    keys = [key] if isinstance(key, str) else list(key)
     words = F.regexp_extract_all(F.lower(text), F.lit("[a-z]+"), F.lit(0))
     # Each word beside the one before it; the surplus entry at the end has no word.
     pairs = F.arrays_zip(F.col("__words").alias("word"), F.concat(F.array(F.lit("")), "__words").alias("before"))
     spoken = (
-        docs.select(key, words.alias("__words"))
-        .select(key, F.explode_outer(pairs).alias("w"))
-        .select(key, F.col("w.word").alias("word"), F.col("w.before").alias("before"))
+        docs.select(*keys, words.alias("__words"))
+        .select(*keys, F.explode_outer(pairs).alias("w"))
+        .select(*keys, F.col("w.word").alias("word"), F.col("w.before").alias("before"))
     )
     scored = spoken.join(lexicon, "word", "left")
     factor = F.when(F.col("before").isin(*NEGATORS), F.lit(NEGATION)).otherwise(F.lit(1.0))
-    return scored.groupBy(key).agg(
+    return scored.groupBy(*keys).agg(
         F.coalesce(F.avg(F.col("polarity") * factor), F.lit(0.0)).alias("polarity"),
         F.coalesce(F.avg("subjectivity"), F.lit(0.0)).alias("subjectivity"),
         F.count("polarity").alias("n_hits"),

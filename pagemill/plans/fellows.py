@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from pagemill.functions import html as H
 from pagemill.functions.text import ascii_fold, slugify, strip_label
-from pagemill.operators.extract import anchor_neighbours, enumerate_map, heading_fields, published_text
+from pagemill.operators.extract import anchor_neighbours, article_extract, enumerate_map, heading_fields, published_text
 from pagemill.operators.frontier import until_first_gap
 
 # Fixed value: a page with this text is past the last profile.
@@ -57,8 +57,11 @@ def fellow_summaries(pages: DataFrame, base: str) -> DataFrame:
     )
 
 
-def fellow_media(pages: DataFrame) -> DataFrame:
-    """First related block of each profile: link, title and file name."""
+def fellow_media(pages: DataFrame, articles: DataFrame) -> DataFrame:
+    """First related block of each profile with what the article behind its link (``url, html``) offers.
+
+    The article's fields are NULL where it was not landed.
+    """
     cleaned = pages.select("fellow_id", H.strip_noise(F.col("html")).alias("html")).withColumn(
         "block", H.element_with(F.col("html"), "div", "class", "in-the-media")
     )
@@ -70,9 +73,22 @@ def fellow_media(pages: DataFrame) -> DataFrame:
     )
     name = H.clean_text(H.first_element(F.col("html"), "h1"))
     title = ascii_fold(H.clean_text(H.first_element(F.col("block"), "h3")))
-    return cleaned.where("block is not null").select(
+    related = cleaned.where("block is not null").select(
         "fellow_id",
         H.attr(icon, "href").alias("article_link"),
         title.alias("title"),
         slugify(F.concat(name, F.lit("_media_"), title)).alias("file_name"),
     )
+    read = article_extract(articles, keep=("url",)).select(
+        F.col("url").alias("__url"),
+        F.col("authors").alias("article_authors"),
+        F.col("published").alias("article_publish_date"),
+        ascii_fold(F.col("text")).alias("article_text"),
+        F.col("top_image").alias("article_top_image"),
+        F.col("videos").alias("article_videos"),
+        F.col("title").alias("article_title"),
+        F.col("images").alias("article_all_images"),
+        F.col("keywords").alias("article_keywords"),
+        F.col("tags").alias("article_tags"),
+    )
+    return related.join(read, F.col("article_link") == F.col("__url"), "left").drop("__url")

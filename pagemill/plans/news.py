@@ -8,8 +8,6 @@ ordered scans over the blocks.
 
 from __future__ import annotations
 
-from collections.abc import Mapping
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,9 +15,9 @@ from pagemill.functions import html as H
 from pagemill.functions.dates import extract_date_fuzzy
 from pagemill.functions.text import first_digits, strip_label
 from pagemill.operators.rows import each
-from pagemill.operators.scan import ROWS_PER_BLOCK, ordinal
-from pagemill.operators.segment import ROWS_PER_PART, last_in_segment, next_sibling, ordered_concat, segment
-from pagemill.operators.sentiment import LEXICON, text_sentiment
+from pagemill.operators.scan import ROWS_PER_BLOCK
+from pagemill.operators.segment import last_in_segment, next_sibling, ordered_concat, segment
+from pagemill.operators.sentiment import lexicon_sentiment
 
 # How far to look for the next div before searching the rest of the file.
 _NEAR = 8
@@ -88,8 +86,8 @@ def _last(blocks: Column, found) -> Column:
     return F.try_element_at(F.filter(blocks, found), F.lit(-1))
 
 
-def news_documents(exports: DataFrame, lexicon: Mapping[str, tuple[float, float]] = LEXICON) -> DataFrame:
-    """``file_id, html`` to one row per document.
+def news_documents(exports: DataFrame, lexicon: DataFrame) -> DataFrame:
+    """``file_id, html`` to one row per document; ``lexicon`` as for ``lexicon_sentiment``.
 
     A field that occurs several times keeps its last value.  The title of the
     paper is the next div after the header, whichever document that is in.
@@ -127,20 +125,23 @@ def news_documents(exports: DataFrame, lexicon: Mapping[str, tuple[float, float]
         header["paper"].alias("newspaper_title"),
         F.array_join(bodies, " ").alias("body"),
     )
-    scored = fields.withColumn("__s", text_sentiment(F.col("body"), lexicon))
-    return scored.select(*fields.columns, "__s.polarity", "__s.subjectivity")
+    return _with_sentiment(fields, lexicon)
+
+
+def _with_sentiment(fields: DataFrame, lexicon: DataFrame) -> DataFrame:
+    """Add the polarity and subjectivity of ``body``; the scores, not the bodies, are what is grouped."""
+    doc = ["file_id", "doc_no"]
+    scores = lexicon_sentiment(fields, lexicon, doc, "body").drop("n_hits")
+    return fields.join(scores, doc)
 
 
 def news_documents_from_blocks(
     blocks: DataFrame,
-    lexicon: Mapping[str, tuple[float, float]] = LEXICON,
-    rows_per_block: int | None = ROWS_PER_BLOCK,
-    rows_per_part: int = ROWS_PER_PART,
+    lexicon: DataFrame,
+    rows_per_block: int = ROWS_PER_BLOCK,
 ) -> DataFrame:
-    """Block rows (see ``read_export_blocks``) to one row per document and body part.
+    """Block rows (see ``read_export_blocks``) to one row per document.
 
-    There is more than one part only where a body has more than
-    ``rows_per_part`` blocks; polarity and subjectivity are those of the part.
     ``blocks`` is read several times: hand over a written table.
     """
     order, doc = ["file_start", "line", "part"], ["file_id", "doc_no"]
@@ -171,21 +172,17 @@ def news_documents_from_blocks(
             "date_time": F.when(F.col("is_date"), extract_date_fuzzy(text)),
         },
     )
-    body = ordinal(
-        numbered.where("is_body").select(*doc, *order, "text"), order, "pos", keys=doc, rows_per_block=rows_per_block
+    bodies = ordered_concat(
+        numbered.where("is_body").select(*doc, *order, "text"), doc, order, "text", " ", "body", rows_per_block
     )
-    bodies = ordered_concat(body.select(*doc, "pos", "text"), doc, "pos", "text", " ", "body", rows_per_part)
-    joined = fields.join(headers, doc, "left").join(bodies, doc, "left").fillna({"body": "", "part": 0})
-    scored = joined.withColumn("__s", text_sentiment(F.col("body"), lexicon))
-    return scored.select(
+    joined = fields.join(headers, doc, "left").join(bodies, doc, "left").fillna({"body": ""})
+    shaped = joined.select(
         *doc,
-        "part",
         _number_of_words(F.col("num_words")).alias("num_words"),
         "email_title",
         "date_time",
         "document_idx",
         F.nullif("newspaper_title", F.lit("")).alias("newspaper_title"),
         "body",
-        "__s.polarity",
-        "__s.subjectivity",
     )
+    return _with_sentiment(shaped, lexicon)

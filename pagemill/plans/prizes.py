@@ -15,17 +15,14 @@ from pagemill.operators.extract import (
     take_while_section,
     title_block,
 )
-from pagemill.sources.readers import explode_list, first_detail
+from pagemill.sources.readers import affiliations, explode_list, first_detail
 
 AREAS = {"economics": "economic-sciences"}
 # Page kind -> address endings, in order of preference.
-ENDINGS = {
-    "bio": ["-bio.html"],
-    "speech": ["-speech.html", "-speech_en.html"],
-    "lecture": ["-lecture.html", "-lecture_en.html"],
-    "talk": ["-lecture.pdf", "-lecture_en.pdf"],
-    "facts": ["-facts.html", "-facts_en.html"],
-}
+# The plain ending comes before the one with `_en`; biographies have the plain one only.
+PAGE_ENDING = r"-(bio(?!_en)|speech|lecture|facts)(?:_en)?\.html$"
+TALK_ENDING = r"-lecture(?:_en)?\.pdf$"
+KINDS = ("bio", "speech", "lecture", "talk", "facts")
 # Classes the wanted parts carry are `smalltext`, `video_main`,
 # `laureate_prize_title` and `laureate_info_wrapper`; labels are `Field:` and
 # `Contribution:`.
@@ -37,10 +34,11 @@ PERSON = ["category", "year", "id"]
 def page_fields(pages: DataFrame) -> DataFrame:
     """What each landed page (``url, status, html``) offers, before any shuffle.
 
+    ``stem`` is the address up to the kind of page, ``rank`` its place among the addresses of the kind;
     ``text`` is the biography or the speech, by kind of page.
     """
     page = F.col("html")
-    kind = F.regexp_extract("url", r"-(bio|speech|lecture|facts)(?:_en)?\.html$", 1)
+    kind = F.regexp_extract("url", PAGE_ENDING, 1)
     usable = pages.where((kind != "") & (marker_status(page, MARKERS, F.col("status")) == "ok"))
     known = usable.select("url", kind.alias("kind"), H.strip_noise(page).alias("page"))
 
@@ -70,6 +68,8 @@ def page_fields(pages: DataFrame) -> DataFrame:
     )
     return timeline.withColumn("__facts", told).select(
         "url",
+        F.regexp_replace("url", PAGE_ENDING, "").alias("stem"),
+        _rank(F.col("url")).alias("rank"),
         "kind",
         H.clean_text(H.first_element(only("bio"), "h1")).alias("title"),
         ascii_fold(space_collapse(F.coalesce("__bio", "__speech"))).alias("text"),
@@ -81,11 +81,15 @@ def page_fields(pages: DataFrame) -> DataFrame:
     )
 
 
+def _rank(url: Column) -> Column:
+    return url.rlike(r"_en\.[a-z]+$").cast("int")
+
+
 def people(list_docs: DataFrame, details: DataFrame, first_prize_only: bool = False) -> DataFrame:
     """List rows with their details (``id, detail``: JSON text).
 
-    The motivation is that of the prize of this year, else the one in the list;
-    with ``first_prize_only`` it is that of the person's first prize.
+    Motivation and affiliations are those of the prize of this year; where there is none, the motivation is
+    the one in the list.  With ``first_prize_only`` both are those of the person's first prize.
     """
     listed = explode_list(list_docs).select(
         recode_value(F.col("category"), AREAS).alias("category"),
@@ -100,8 +104,9 @@ def people(list_docs: DataFrame, details: DataFrame, first_prize_only: bool = Fa
     joined = listed.join(known, "id", "left")
     this_year = F.get(F.filter("prizes", lambda p: p["year"] == F.col("year")), F.lit(0))
     motivation: Column = F.coalesce(this_year["motivation"], F.col("list_motivation"))
+    places: Column = affiliations(this_year["affiliations"])
     if first_prize_only:
-        motivation = F.col("first_motivation")
+        motivation, places = F.col("first_motivation"), F.col("affiliations")
     return joined.select(
         *PERSON,
         "share",
@@ -110,7 +115,7 @@ def people(list_docs: DataFrame, details: DataFrame, first_prize_only: bool = Fa
         "surname",
         "gender",
         strip(ascii_fold(motivation)).alias("motivation"),
-        "affiliations",
+        places.alias("affiliations"),
         F.col("bornCountry").alias("birth_country"),
         "bornCountryCode",
         F.col("bornCity").alias("birth_city"),
@@ -132,31 +137,21 @@ def prize_records(
 ) -> DataFrame:
     """Nested records.  ``lecture_texts`` (``url, words``) holds the text of lecture files by address."""
     listed = people(list_docs, details)
-    tries = F.array(
-        *[
-            F.struct(F.lit(kind).alias("kind"), F.lit(rank).alias("rank"), F.lit(ending).alias("ending"))
-            for kind, endings in ENDINGS.items()
-            for rank, ending in enumerate(endings)
-        ]
-    )
-    wanted = listed.select(*PERSON, "surname", F.explode(tries).alias("t")).select(
-        *PERSON,
-        "t.rank",
-        page_kind_url(base, F.col("category"), F.col("year"), F.col("surname"), F.col("t.ending")).alias("url"),
-    )
-    talks = lecture_texts.select(
-        "url", F.lit("talk").alias("kind"), ascii_fold(space_collapse(F.col("words"))).alias("text")
+    talks = lecture_texts.where(F.col("url").rlike(TALK_ENDING)).select(
+        "url",
+        F.regexp_replace("url", TALK_ENDING, "").alias("stem"),
+        _rank(F.col("url")).alias("rank"),
+        F.lit("talk").alias("kind"),
+        ascii_fold(space_collapse(F.col("words"))).alias("text"),
     )
-    found = wanted.join(page_fields(pages).unionByName(talks, allowMissingColumns=True), "url")
-    # One aggregate picks the best page of each kind.
+    landed = page_fields(pages).unionByName(talks, allowMissingColumns=True)
+    # One aggregate brings the pages of a person together and picks the best of each kind.
     offered = F.struct("url", "title", "text", "date", "block", "timeline", "field", "contribution")
-    best = found.groupBy(*PERSON).agg(
-        *[
-            F.min_by(offered, F.when(F.col("kind") == kind, F.col("rank"))).alias(kind)
-            for kind in ENDINGS
-        ]
+    best = landed.groupBy("stem").agg(
+        *[F.min_by(offered, F.when(F.col("kind") == kind, F.col("rank"))).alias(kind) for kind in KINDS]
     )
-    joined = listed.join(best, PERSON, "left")
+    person = page_kind_url(base, F.col("category"), F.col("year"), F.col("surname"), F.lit(""))
+    joined = listed.withColumn("__stem", person).join(best, F.col("__stem") == F.col("stem"), "left")
 
     def of_block(name: str) -> Column:
         return F.coalesce(*[F.col(f"{kind}.block.{name}") for kind in ("lecture", "speech", "bio")])

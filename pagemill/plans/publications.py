@@ -8,10 +8,9 @@ from pyspark.sql import functions as F
 from pagemill.functions.dates import parse_date_iso
 from pagemill.functions.text import ascii_fold, external_id, first_digits, slugify, ws_collapse
 from pagemill.operators.extract import extract_links, label_value_pivot
-from pagemill.operators.frontier import converge_pages
+from pagemill.operators.frontier import first_seen
 from pagemill.operators.lookup import first_usable
 from pagemill.operators.records import META_FIELDS, route_outcome
-from pagemill.session import staged
 
 # Output name -> label on the page.
 LABELS = {
@@ -39,17 +38,19 @@ LINK_MARK = "pub_id"
 def publication_links(result_pages: DataFrame, mark: str = LINK_MARK) -> DataFrame:
     """Result pages (``field, page_no, html``) to the distinct ``link, field`` pairs.
 
-    Only pages up to the first one without a new link count, per field.  The
-    pairs stay rows, since one link may be listed by very many fields.
+    Only pages up to the first one without a new link count, per field: a link counts if the first
+    page it is on does.  The pairs stay rows, since one link may be listed by very many fields.
     """
-    # Distinct first: the pages are parsed once, and what follows starts from its shuffle.
-    links = (
-        extract_links(result_pages, text_like=mark, keys=("field", "page_no"))
-        .select("field", "page_no", F.col("text").alias("link"))
-        .distinct()
+    links = extract_links(result_pages, text_like=mark, keys=("field", "page_no")).withColumnRenamed("text", "link")
+    first = first_seen(links, ["field"], "link", "page_no")
+    visited = result_pages.select("field", "page_no").distinct()
+    last = (
+        visited.join(first.select("field", "page_no").distinct(), ["field", "page_no"], "left_anti")
+        .groupBy("field")
+        .agg(F.min("page_no").alias("__last"))
     )
-    visited = converge_pages(links, result_pages, ["field"], "link", "page_no")
-    return links.join(visited, ["field", "page_no"]).select("link", "field").distinct()
+    reached = first.join(last, "field", "left").where(F.col("__last").isNull() | (F.col("page_no") <= F.col("__last")))
+    return reached.select("link", "field")
 
 
 def publication_queue(link_fields: DataFrame) -> DataFrame:
@@ -57,28 +58,29 @@ def publication_queue(link_fields: DataFrame) -> DataFrame:
     return link_fields.groupBy("link").agg(F.count("*").alias("n_fields"))
 
 
+def publication_fields(pages: DataFrame) -> DataFrame:
+    """The labelled fields of publication pages (``url, html``), nothing but projections."""
+    folded = [label for name, label in LABELS.items() if name not in NOT_FOLDED]
+    fields = label_value_pivot(pages, LABELS, link_labels=("DOI:",), folded=folded, keep=("url",))
+    return fields.select(
+        "url",
+        first_digits(F.col("url")).alias("pub_id"),
+        *[n for n in LABELS if n not in NOT_FOLDED],
+        ws_collapse(F.col("published")).alias("published"),
+        "doi",
+        "pdf_version",
+    )
+
+
 def publication_records(
-    pages: DataFrame, texts: DataFrame, base: str, origin: str, id_prefix: str
+    tidy: DataFrame, texts: DataFrame, base: str, origin: str, id_prefix: str
 ) -> DataFrame:
-    """Publication pages (``url, html``) and attachment texts (``link, file_name, text``) to records.
+    """``publication_fields`` and attachment texts (``link, file_name, text``) to records.
 
     The attachment is the one behind the DOI link, else the one at ``base`` plus
     the publication id.  Success needs an attachment and one of the two link labels.
-    The fields are staged in the shared folder before they meet the attachments.
+    ``tidy`` is read twice: hand over a written table, so that pages are parsed once.
     """
-    folded = [label for name, label in LABELS.items() if name not in NOT_FOLDED]
-    fields = label_value_pivot(pages, LABELS, link_labels=("DOI:",), folded=folded, keep=("url",))
-    tidy = staged(
-        fields.select(
-            "url",
-            first_digits(F.col("url")).alias("pub_id"),
-            *[n for n in LABELS if n not in NOT_FOLDED],
-            ws_collapse(F.col("published")).alias("published"),
-            "doi",
-            "pdf_version",
-        ),
-        "fields",
-    )
     places = F.filter(F.array("doi", F.concat(F.lit(base), F.col("pub_id"))), lambda x: x.isNotNull())
     attached = first_usable(
         tidy, "url", places, texts, "link", F.col("text").isNotNull(), ["file_name", "text"]

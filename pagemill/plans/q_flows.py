@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from pagemill.operators.sentiment import LEXICON
+from pagemill.operators.sentiment import lexicon_frame
 from pagemill.plans import fellows, news, prizes, publications, worktable
+from pagemill.plans.q_joins import LISTED
 from pagemill.plans.q_text import NOW, now
 from pagemill.plans.q_windows import customer_state, plain_state
 from pagemill.plans.registry import query
-from pagemill.session import scratch_path
+from pagemill.session import scratch_path, staged
 from pagemill.sources.readers import read_export_blocks
 
 
@@ -37,7 +38,7 @@ def link_fields(t):
         join_text("http://www.example.org/pub_id=", F.col("event_type"))
     )
     page = join_text('<ul><li><a href="/help">Help</a></li><li><a href="/p">', shown, "</a></li></ul>")
-    pages = t.spread("events").select(F.col("user_id").alias("field"), F.dayofmonth("ts").alias("page_no"), page.alias("html"))
+    pages = t.events.select(F.col("user_id").alias("field"), F.dayofmonth("ts").alias("page_no"), page.alias("html"))
     return publications.publication_links(pages)
 
 
@@ -51,9 +52,7 @@ def _(t):
     return publications.publication_queue(link_fields(t))
 
 
-@query(
-    "publication_records",
-    r"""WITH p AS (SELECT *, 'http://www.example.org/show?pub_id=' || p_partkey AS url, p_size < 25 AS has_doi,
+PUBLICATION_SQL = r"""WITH p AS (SELECT *, 'http://www.example.org/show?pub_id=' || p_partkey AS url, p_size < 25 AS has_doi,
                          p_type IN ('PROMO', 'LARGE') AS doi_text, p_type IN ('LARGE', 'SMALL') AS own_text FROM part)
         SELECT url, p_name || ' e' AS title, replace(p_name, ' ', '_') || '_e.json' AS file_name, 'src_' || replace(p_name, ' ', '-') || '-e' AS external_id,
                '1998-03-0' || (1 + p_size % 9) || 'T00:00:00' AS date, CAST(NULL AS VARCHAR) AS dates, p_brand || ';' AS authors,
@@ -61,9 +60,21 @@ def _(t):
                CASE WHEN has_doi AND doi_text THEN 'doi ' || p_type WHEN own_text THEN 'own ' || p_type END AS words,
                CASE WHEN has_doi AND (doi_text OR own_text) THEN 'success' ELSE 'failures' END AS outcome,
                CASE WHEN NOT ((has_doi AND doi_text) OR own_text) THEN 'attachment_missing' WHEN NOT has_doi THEN 'no_link_label' END AS reason
-        FROM p""",
-)
+        FROM p"""
+
+
+@query("publication_records", PUBLICATION_SQL)
 def _(t):
+    pages, texts = publication_inputs(t)
+    return publication_columns(publications.publication_records(staged(publications.publication_fields(pages), "fields"), texts, PDF_BASE, "source", "src_"))
+
+
+PDF_BASE = "http://www.example.org/pdf?pub_id="
+
+
+def publication_inputs(t, parts=None):
+    """Parts as publication pages, and the attachments that were landed."""
+    parts = t.part if parts is None else parts
     size = F.col("p_size")
     doi = F.when(
         size < 25, join_text('<tr><th>DOI:</th><td><a href="http://doi.example.org/', text("p_partkey"), '">d</a></td></tr>')
@@ -74,7 +85,7 @@ def _(t):
         "<tr><th>Dates: </th><td></td></tr><tr><th>Published:</th><td>March\n ", (1 + size % 9).cast("string"),
         ", 1998</td></tr></table>",
     )
-    pages = t.spread("part").select(join_text("http://www.example.org/show?pub_id=", text("p_partkey")).alias("url"), html.alias("html"))
+    pages = parts.select(join_text("http://www.example.org/show?pub_id=", text("p_partkey")).alias("url"), html.alias("html"))
     texts = t.part.where("p_type in ('PROMO', 'LARGE')").select(
         join_text("http://doi.example.org/", text("p_partkey")).alias("link"), F.lit("doi.pdf").alias("file_name"),
         join_text(" doi\n", F.col("p_type"), "\n").alias("text"),
@@ -84,7 +95,10 @@ def _(t):
             join_text(text("p_partkey"), ".pdf").alias("file_name"), join_text("own  ", F.col("p_type")).alias("text"),
         )
     )
-    records = publications.publication_records(pages, texts, "http://www.example.org/pdf?pub_id=", "source", "src_")
+    return pages, texts
+
+
+def publication_columns(records):
     return records.select(
         "url", "title", "file_name", "external_id", "date", "meta.source.dates", "meta.source.authors",
         "meta.source.pdf_filename", "words", "outcome", "reason",
@@ -109,8 +123,8 @@ def award_rows(t):
                           CAST(year(o_orderdate) AS VARCHAR) AS year FROM orders),
              u AS (SELECT *, '{BASE}/' || area || '/laureates/' || year || '/person' || id AS stem, area = 'O' AS is_o, area = 'P' AS is_p FROM a)
         SELECT CAST(id AS VARCHAR) AS id, area, year, 'Rene' AS first_name, 'Person' || id AS last_name, '1/2' AS share,
-               c_mktsegment AS gender, CASE WHEN year = '1996' THEN 'for 1996' ELSE 'for it' END AS motivation,
-               'Nation ' || c_nationkey AS affiliation, CAST(NULL AS VARCHAR) AS death_date,
+               c_mktsegment AS gender, CASE year WHEN '1996' THEN 'for 1996' WHEN '1997' THEN 'for 1997' ELSE 'for it' END AS motivation,
+               CASE year WHEN '1996' THEN 'Nation ' || c_nationkey WHEN '1997' THEN 'Other ' || c_nationkey END AS affiliation, CAST(NULL AS VARCHAR) AS death_date,
                'bio of ' || id || ' more' AS bio_words, stem || '-bio.html' AS bio_url, 'Person ' || id AS bio_title,
                CASE WHEN is_o THEN 'speech ' || id WHEN is_p THEN 'other ' || id END AS speech_words,
                CASE WHEN is_o THEN '1998-12-10T00:00:00' END AS speech_date,
@@ -135,15 +149,18 @@ def _(t):
                 F.col("c_mktsegment").alias("gender"),
                 F.lit("0000-00-00").alias("died"),
                 F.array(
-                    F.struct(
-                        F.lit("1996").alias("year"), F.lit(" for 1996 ").alias("motivation"),
-                        F.array(F.struct(join_text("Nation ", text("c_nationkey")).alias("name"))).alias("affiliations"),
-                    )
+                    *[
+                        F.struct(
+                            F.lit(year).alias("year"), F.lit(f" for {year} ").alias("motivation"),
+                            F.array(F.struct(join_text(where, text("c_nationkey")).alias("name"))).alias("affiliations"),
+                        )
+                        for year, where in (("1996", "Nation "), ("1997", "Other "))
+                    ]
                 ).alias("prizes"),
             )
         ).alias("laureates")
     )
-    details = t.spread("customer").select(text("c_custkey").alias("id"), F.to_json(detail).alias("detail"))
+    details = t.customer.select(text("c_custkey").alias("id"), F.to_json(detail).alias("detail"))
     area = F.when(F.col("category") == "economics", F.lit("economic-sciences")).otherwise(F.col("category"))
     hosts = (
         awards.join(t.customer, F.col("id") == F.col("c_custkey"))
@@ -206,7 +223,7 @@ def profile_pages(t):
         '"><h3>News on ', F.col("c_mktsegment"), "</h3></a></div>",
         '<div class="promo default in-the-media "><a class="icon" href="/second"><h3>Second</h3></a></div>',
     )
-    return t.spread("customer").select(
+    return t.customer.select(
         F.col("c_custkey").alias("fellow_id"), join_text("http://www.example.org/fellows/", key, "/").alias("url"), html.alias("html")
     )
 
@@ -226,19 +243,43 @@ def _(t):
     return found.withColumn("fellow_photos", F.to_json("fellow_photos"))
 
 
+def article_pages(t):
+    """The related articles; those of every third profile were not landed."""
+    key = text("c_custkey")
+    html = join_text(
+        "<html lang=en><head><title>Story &amp; ", key, '</title><meta name="author" content="A. Nother, ', F.col("c_mktsegment"),
+        '"><meta name="date" content="2015-05-', F.lpad((1 + F.col("c_custkey") % 28).cast("string"), 2, "0"),
+        '"><meta name="keywords" content="news, ', F.col("c_mktsegment"), '"></head><body><img src="/top', key, '.png"><h1>Headline</h1><p>First é</p>\n<p>second</p>',
+        '<img src="/b.png"><video src="/v', key, '.mp4"></video><iframe src="https://video.example.org/embed/', key,
+        '"></iframe><iframe src="/ads"></iframe><a rel="tag" href="/t/1">Tag 1</a><a rel="nofollow tag">Tag ', key, "</a><a href='/x'>x</a></body></html>",
+    )
+    return t.customer.where("c_custkey % 3 <> 0").select(join_text("http://m.example.org/", key).alias("url"), html.alias("html"))
+
+
 @query(
     "fellow_media",
-    """SELECT c_custkey AS fellow_id, 'http://m.example.org/' || c_custkey AS article_link, 'News on ' || c_mktsegment AS title,
-              replace(c_name, '#', '') || '_media_News_on_' || c_mktsegment || '.json' AS file_name FROM customer""",
+    """WITH c AS (SELECT *, c_custkey % 3 <> 0 AS landed FROM customer)
+       SELECT c_custkey AS fellow_id, 'http://m.example.org/' || c_custkey AS article_link, 'News on ' || c_mktsegment AS title,
+              CASE WHEN landed THEN 'A. Nother, ' || c_mktsegment END AS article_authors,
+              CASE WHEN landed THEN '2015-05-' || lpad(CAST(1 + c_custkey % 28 AS VARCHAR), 2, '0') END AS article_publish_date,
+              CASE WHEN landed THEN 'First e second' END AS article_text, CASE WHEN landed THEN '/top' || c_custkey || '.png' END AS article_top_image,
+              CASE WHEN landed THEN '/v' || c_custkey || '.mp4 https://video.example.org/embed/' || c_custkey END AS article_videos,
+              CASE WHEN landed THEN 'Story & ' || c_custkey END AS article_title,
+              CASE WHEN landed THEN '/top' || c_custkey || '.png /b.png' END AS article_all_images,
+              CASE WHEN landed THEN 'news ' || c_mktsegment END AS article_keywords, CASE WHEN landed THEN 'Tag 1 Tag ' || c_custkey END AS article_tags,
+              replace(c_name, '#', '') || '_media_News_on_' || c_mktsegment || '.json' AS file_name FROM c""",
 )
 def _(t):
-    return fellows.fellow_media(profile_pages(t))
+    media = fellows.fellow_media(profile_pages(t), article_pages(t))
+    lists = ("article_videos", "article_all_images", "article_keywords", "article_tags")
+    return media.select(
+        *[F.array_join(c, " ").alias(c) if c in lists else F.regexp_replace(c, r"\s+", " ").alias(c) if c == "article_text" else F.col(c) for c in media.columns]
+    )
 
 
 def _news_sql() -> str:
-    rows = ", ".join(f"('{w}', {p}::DOUBLE, {s}::DOUBLE)" for w, (p, s) in LEXICON.items())
     return rf"""
-    WITH lex(word, polarity, subjectivity) AS (VALUES {rows}),
+    WITH lex AS (SELECT word, polarity::DOUBLE AS polarity, subjectivity::DOUBLE AS subjectivity FROM (VALUES {LISTED}) v(word, polarity, subjectivity)),
          d AS (SELECT CAST(doc_id AS VARCHAR) AS file_id, 0 AS doc_no, trim(regexp_replace(text, '\s+', ' ', 'g')) || ' table of ' || lang || ' stupid end' AS body,
                       '12' AS num_words, 'Title ' || doc_id AS email_title, '1991-07-11T00:00:00' AS date_time, '1 of 2 DOCUMENTS' AS document_idx,
                       'Paper ' || source AS newspaper_title FROM documents
@@ -262,7 +303,7 @@ def news_export(*ending):
         '<div class="c5"><p class="c6"><span class="c9">LENGTH: </span><span class="c2">12 words</span></p></div>',
         '<div class="c5"><p class="c10"><span class="c4"></span><span class="c2">', escaped, "</span></p></div>\n",
         '<table class="c12"><tbody><tr><td>table of ', F.col("lang"), "</td></tr></tbody></table>",
-        '<div class="c5"><span class="c2">not </span>a body</div>',
+        '<div class="c5"><span class="c2">not </span>a body</div> worst stray text <b>between</b> ',
         '<div class="c5"><span class="c4">stupid </span><span class="c2">end</span></div>',
         '<div class="c11">last</div>', *ending,
     )
@@ -275,8 +316,8 @@ def _(t):
         '<div class="c0">2 of 2 DOCUMENTS</div><div class="c3">no closing mark</div>',
         '<div class="c5"><span class="c4">a </span><span class="c2">best day</span></div>',
     )
-    exports = t.spread("documents").select(text("doc_id").alias("file_id"), html.alias("html"))
-    found = news.news_documents(exports)
+    exports = t.documents.select(text("doc_id").alias("file_id"), html.alias("html"))
+    found = news.news_documents(exports, lexicon_frame(t.spark))
     return found.withColumns({"polarity": F.round("polarity", 6), "subjectivity": F.round("subjectivity", 6)})
 
 
@@ -289,7 +330,7 @@ def _(t):
     path, blocks = scratch_path(t.spark, "export"), scratch_path(t.spark, "blocks")
     t.documents.select(news_export()).write.text(path)
     read_export_blocks(t.spark, path).write.parquet(blocks)
-    found = news.news_documents_from_blocks(t.spark.read.parquet(blocks))
+    found = news.news_documents_from_blocks(t.spark.read.parquet(blocks), lexicon_frame(t.spark))
     return found.select(
         "body", "num_words", "email_title", "date_time", "document_idx", "newspaper_title",
         F.round("polarity", 6).alias("polarity"), F.round("subjectivity", 6).alias("subjectivity"),
@@ -324,9 +365,24 @@ def _(t):
     return plain_state(worktable.load_items(customer_state(t), requests, durations, now()))
 
 
-@query("poll_state", f"""SELECT 'c-' || c_custkey AS domain, true AS done, CASE WHEN c_mktsegment = 'BUILDING' THEN c_custkey * 10000.0
-       ELSE c_custkey * 10000.0 - (epoch_us(TIMESTAMP '{NOW}') - epoch_us(TIMESTAMP '2024-01-01')) / 1e6 END AS wait_s
-       FROM customer WHERE c_acctbal > 1000""")
+LEFT = f"c_custkey * 10000.0 - (epoch_us(TIMESTAMP '{NOW}') - epoch_us(TIMESTAMP '2024-01-01')) / 1e6"
+
+
+@query("poll_state", f"""SELECT 'c-' || c_custkey AS domain, true AS done,
+       CASE WHEN c_mktsegment = 'BUILDING' THEN c_custkey * 10000.0 ELSE {LEFT} END AS wait_s FROM customer""")
 def _(t):
-    _, state = worktable.poll(customer_state(t), now())
+    _, state = worktable.poll(customer_state(t, known="true"), now())
     return state.select("domain", "done", "wait_s")
+
+
+@query(
+    "poll_plan",
+    f"""WITH o AS (SELECT 'c-' || c_custkey AS domain, {LEFT} - 90 AS left_s FROM customer WHERE c_mktsegment <> 'BUILDING'),
+             w AS (SELECT domain, left_s, lag(left_s - 300) OVER (ORDER BY left_s, domain) AS before FROM o WHERE left_s >= 300)
+        SELECT domain, 'now' AS action, left_s, 0.0::DOUBLE AS delay_s FROM o WHERE left_s < 300
+        UNION ALL SELECT domain, 'wait', left_s, left_s - 300 - coalesce(before, 0) FROM w""",
+)
+def _(t):
+    # The plan is made a minute and a half after measuring.
+    plan, _ = worktable.poll(customer_state(t, known="true"), now(), now() + F.expr("interval 90 seconds"))
+    return plan.select("domain", "action", "left_s", "delay_s")

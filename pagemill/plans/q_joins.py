@@ -9,7 +9,7 @@ from pagemill.operators import lookup as L
 from pagemill.operators import segment as S
 from pagemill.operators.extract import extract_links
 from pagemill.operators.records import outcome_counts, route_outcome
-from pagemill.operators.sentiment import LEXICON, NEGATION, NEGATORS, lexicon_frame, lexicon_sentiment, text_sentiment
+from pagemill.operators.sentiment import lexicon_frame, lexicon_sentiment
 from pagemill.plans.q_pages import LINKS_SQL
 from pagemill.plans.registry import query
 
@@ -17,7 +17,7 @@ HOST = r"^https?://([^/?#]+)"
 
 
 def hosted_links(t):
-    return extract_links(t.spread("pages"), keys=("page_id", "url")).withColumn("host", F.regexp_extract("url", HOST, 1))
+    return extract_links(t.pages, keys=("page_id", "url")).withColumn("host", F.regexp_extract("url", HOST, 1))
 
 
 HOSTED_SQL = f"SELECT *, regexp_extract(url, '{HOST}', 1) AS host FROM ({LINKS_SQL})"
@@ -184,20 +184,26 @@ def _(t):
 
 @query(
     "ordered_concat",
-    "SELECT conv_id, CAST(0 AS BIGINT) AS part, string_agg(text, ' ' ORDER BY turn) AS text FROM conversations GROUP BY conv_id",
+    "SELECT conv_id, string_agg(text, ' ' ORDER BY turn) AS text FROM conversations GROUP BY conv_id",
 )
 def _(t):
-    return S.ordered_concat(t.conversations, ["conv_id"], "turn", "text")
+    return S.ordered_concat(t.conversations, ["conv_id"], ["turn"], "text")
 
 
-def _lexicon_sql() -> str:
-    rows = ", ".join(f"('{w}', {p}::DOUBLE, {s}::DOUBLE)" for w, (p, s) in LEXICON.items())
-    negators = ", ".join(f"'{n}'" for n in NEGATORS)
+# The registered list and factors once more, as plain values of the checking SQL.
+LISTED = """('awful', -0.9, 1.0), ('bad', -0.7, 0.7), ('best', 1.0, 0.3), ('better', 0.5, 0.5), ('clown', -0.4, 0.8), ('cheap', -0.2, 0.6),
+    ('disgusting', -1.0, 1.0), ('fool', -0.6, 0.9), ('free', 0.4, 0.6), ('garbage', -0.8, 0.8), ('gain', 0.4, 0.3), ('good', 0.7, 0.6),
+    ('great', 0.8, 0.75), ('happy', 0.8, 1.0), ('hate', -0.8, 0.9), ('idiot', -0.8, 0.9), ('loser', -0.6, 0.8), ('loss', -0.4, 0.3),
+    ('love', 0.5, 0.6), ('nice', 0.6, 1.0), ('optimistic', 0.6, 0.7), ('pathetic', -1.0, 1.0), ('record', 0.2, 0.1), ('strong', 0.4, 0.7),
+    ('stupid', -0.8, 1.0), ('ugly', -0.7, 1.0), ('weak', -0.4, 0.6), ('worst', -1.0, 1.0), ('worthless', -0.8, 0.9)"""
+
+
+def _lexicon_sql(listed: str) -> str:
     return f"""
-    WITH lex(word, polarity, subjectivity) AS (VALUES {rows}),
+    WITH lex AS ({listed}),
          toks AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z]+') AS ws FROM documents),
          spoken AS (SELECT doc_id, unnest(ws) AS word, unnest(list_concat([''], ws[:-2])) AS before FROM toks),
-         hits AS (SELECT s.doc_id, l.polarity * CASE WHEN before IN ({negators}) THEN {NEGATION} ELSE 1.0 END AS p, l.subjectivity AS s
+         hits AS (SELECT s.doc_id, l.polarity * CASE WHEN before IN ('not', 'no', 'never') THEN -0.5 ELSE 1.0 END AS p, l.subjectivity AS s
                   FROM spoken s JOIN lex l USING (word))
     SELECT d.doc_id, round(coalesce(avg(p), 0), 6) AS polarity, round(coalesce(avg(s), 0), 6) AS subjectivity, count(p) AS n_hits
     FROM documents d LEFT JOIN hits h USING (doc_id) GROUP BY d.doc_id
@@ -210,14 +216,27 @@ def rounded(scored):
     )
 
 
-@query("lexicon_sentiment", _lexicon_sql())
+@query(
+    "lexicon_sentiment",
+    _lexicon_sql(f"SELECT word, polarity::DOUBLE AS polarity, subjectivity::DOUBLE AS subjectivity FROM (VALUES {LISTED}) v(word, polarity, subjectivity)"),
+)
 def _(t):
-    return rounded(t.spread("documents").select("doc_id", text_sentiment(F.col("text")).alias("s")).select("doc_id", "s.*"))
+    return rounded(lexicon_sentiment(t.documents, lexicon_frame(t.spark)))
 
 
-@query("lexicon_table_sentiment", _lexicon_sql())
+@query(
+    "lexicon_table_sentiment",
+    _lexicon_sql(
+        """SELECT DISTINCT word, (length(word) % 5 - 2) / 2.0::DOUBLE AS polarity, (length(word) % 3) / 2.0::DOUBLE AS subjectivity
+           FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS word FROM benchmark)"""
+    ),
+)
 def _(t):
-    return rounded(lexicon_sentiment(t.spread("documents"), lexicon_frame(t.spark)))
+    # A list of any length: every word of the benchmark.
+    words = t.benchmark.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))).alias("word")).distinct()
+    size = F.char_length("word")
+    listed = words.select("word", ((size % 5 - 2) / F.lit(2.0)).alias("polarity"), ((size % 3) / F.lit(2.0)).alias("subjectivity"))
+    return rounded(lexicon_sentiment(t.documents, listed))
 
 
 @query(

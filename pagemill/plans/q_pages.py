@@ -6,7 +6,6 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from pagemill.functions import html as H
-from pagemill.functions.text import ENTITIES
 from pagemill.operators import extract as X
 from pagemill.operators import nodes as N
 from pagemill.operators.rows import each
@@ -16,9 +15,15 @@ from pagemill.plans.registry import query
 NOISE_SQL = r"""regexp_replace({c}, '(?is)<script\b.*?</script>|<style\b.*?</style>|<!--.*?-->', '', 'g')"""
 
 
+# The entities of the test pages and what they stand for; `&amp;` last, so that nothing is decoded twice.
+DECODED = [
+    ("&nbsp;", " "), ("&quot;", '"'), ("&#39;", "''"), ("&lt;", "<"), ("&gt;", ">"), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&"),
+]
+
+
 def decode_sql(c: str) -> str:
-    for entity, char in ENTITIES.items():
-        c = f"replace({c}, '{entity.replace(chr(39), chr(39) * 2)}', '{char.replace(chr(39), chr(39) * 2)}')"
+    for entity, char in DECODED:
+        c = f"replace({c}, '{entity}', '{char}')"
     return c
 
 
@@ -63,7 +68,7 @@ def _(t):
         FROM ({NODES_SQL})""",
 )
 def _(t):
-    return N.page_nodes(t.spread("pages"))
+    return N.page_nodes(t.pages)
 
 
 @query(
@@ -73,7 +78,7 @@ def _(t):
            WHERE regexp_matches(tok, '^<[A-Za-z]')) GROUP BY tag""",
 )
 def _(t):
-    opened = N.select_nodes(N.page_nodes(t.spread("pages")))
+    opened = N.select_nodes(N.page_nodes(t.pages))
     # Per page first: no page or tag is ever gathered in one task.
     per_page = opened.groupBy("tag", "page_id").agg(F.count("*").alias("n"))
     return per_page.groupBy("tag").agg(F.sum("n").alias("n_nodes"), F.count("*").alias("n_pages"))
@@ -84,7 +89,7 @@ def _(t):
     rf"""SELECT page_id, pos, tok FROM ({NODES_SQL}) WHERE regexp_matches(tok, '^<div class="ad"')""",
 )
 def _(t):
-    return N.select_nodes(N.page_nodes(t.spread("pages")), tag="div", cls="ad").select("page_id", "pos", "tok")
+    return N.select_nodes(N.page_nodes(t.pages), tag="div", cls="ad").select("page_id", "pos", "tok")
 
 
 @query(
@@ -92,7 +97,7 @@ def _(t):
     f"SELECT page_id, pos, href, text FROM ({LINKS_SQL}) WHERE contains(text, 'th')",
 )
 def _(t):
-    return X.extract_links(t.spread("pages"), text_like="th")
+    return X.extract_links(t.pages, text_like="th")
 
 
 @query(
@@ -101,12 +106,12 @@ def _(t):
         FROM ({NODES_SQL}) WHERE regexp_matches(tok, '(?i)^<a[\s>]')""",
 )
 def _(t):
-    return N.link_target(N.page_nodes(t.spread("pages")))
+    return N.link_target(N.page_nodes(t.pages))
 
 
 @query("first_link_per_page", f"SELECT page_id, href, text FROM ({LINKS_SQL}) WHERE pos = 0")
 def _(t):
-    return X.first_link(t.spread("pages"))
+    return X.first_link(t.pages)
 
 
 @query(
@@ -144,7 +149,7 @@ def part_page() -> Column:
 
 
 def part_pages(t):
-    return t.spread("part").select(F.col("p_partkey").alias("page_id"), part_page().alias("html"))
+    return t.part.select(F.col("p_partkey").alias("page_id"), part_page().alias("html"))
 
 
 @query(
@@ -190,7 +195,7 @@ def _(t):
               nullif({clean_sql("regexp_extract(html, '(?is)<h1>(.*?)</h1>', 1)")}, '') AS name FROM pages""",
 )
 def _(t):
-    return X.heading_fields(t.spread("pages"), {"title": "title", "name": "h1"})
+    return X.heading_fields(t.pages, {"title": "title", "name": "h1"})
 
 
 def profile_page() -> Column:
@@ -226,7 +231,7 @@ def _(t):
 )
 def _(t):
     hrefs = F.transform(X.link_array(H.strip_noise(F.col("html"))), lambda a: a["href"])
-    mapped = t.spread("pages").select("page_id", X.enumerate_map(hrefs, "photo_", "https://www.example.org").alias("m"))
+    mapped = t.pages.select("page_id", X.enumerate_map(hrefs, "photo_", "https://www.example.org").alias("m"))
     return map_rows(mapped, "m")
 
 
@@ -241,13 +246,13 @@ SECTION_SQL = rf"""
 
 @query("take_while_section", SECTION_SQL.replace("{only}", "true"))
 def _(t):
-    return X.take_while_section(t.spread("pages"))
+    return X.take_while_section(t.pages)
 
 
 @query("section_filtered", SECTION_SQL.replace("{only}", "starts_with(p, '<b>')"))
 def _(t):
     return X.take_while_section(
-        t.spread("pages"), through=("p", "img"), stop_class=None, stop_summaries=(), only=lambda p: p.rlike(r"(?i)^<p[^>]*><b>")
+        t.pages, through=("p", "img"), stop_class=None, stop_summaries=(), only=lambda p: p.rlike(r"(?i)^<p[^>]*><b>")
     )
 
 
@@ -274,7 +279,7 @@ def order_timeline() -> Column:
        UNION ALL SELECT o_orderkey, 'customer', o_custkey || '; ' || o_orderkey FROM orders""",
 )
 def _(t):
-    pages = t.spread("orders").select(F.col("o_orderkey").alias("page_id"), order_timeline().alias("html"))
+    pages = t.orders.select(F.col("o_orderkey").alias("page_id"), order_timeline().alias("html"))
     return map_rows(X.table_to_map(pages, "brief autobiography"), "timeline")
 
 
@@ -324,13 +329,13 @@ def _(t):
                        nullif({clean_sql("regexp_extract(html, '(?is)<h1>(.*?)</h1>', 1)")}, '')) AS title,
               nullif(regexp_extract(html, '<html lang="([A-Za-z-]+)"', 1), '') AS lang,
               s.section AS text, CAST(NULL AS VARCHAR) AS authors, CAST(NULL AS VARCHAR) AS published,
-              CAST(NULL AS VARCHAR) AS top_image, '' AS images, '' AS keywords, coalesce(l.links, '') AS links
+              CAST(NULL AS VARCHAR) AS top_image, '' AS images, '' AS keywords, coalesce(l.links, '') AS links, '' AS videos, '' AS tags
         FROM pages p JOIN ({SECTION_SQL.replace("{only}", "true")}) s USING (page_id)
         LEFT JOIN (SELECT page_id, string_agg(href, ' ' ORDER BY pos) AS links FROM ({LINKS_SQL}) GROUP BY page_id) l USING (page_id)""",
 )
 def _(t):
-    found = X.article_extract(t.spread("pages"))
-    lists = ("images", "keywords", "links")
+    found = X.article_extract(t.pages)
+    lists = ("images", "keywords", "links", "videos", "tags")
     return found.select(*[F.array_join(c, " ").alias(c) if c in lists else F.col(c) for c in found.columns])
 
 
@@ -357,32 +362,80 @@ def _(t):
                    AND NOT contains(html, '<h1></h1>') THEN url END AS usable_url FROM pages""",
 )
 def _(t):
-    landed = t.spread("pages").withColumn("code", F.when(F.contains("url", F.lit("page=2")), 404).otherwise(200))
+    landed = t.pages.withColumn("code", F.when(F.contains("url", F.lit("page=2")), 404).otherwise(200))
     markers = {"Sorry": "end", "&amp;": "escaped", "<h1></h1>": "untitled"}
     judged = landed.withColumn("status", X.marker_status(F.col("html"), markers, F.col("code")))
     return judged.select("page_id", "status", F.when(F.col("status") == "ok", F.col("url")).alias("usable_url"))
 
 
 @query(
-    "class_counts",
+    "tag_counts",
     rf"""SELECT page_id, count(*) FILTER (tag = 'p') AS n_p, count(*) FILTER (tag = 'b') AS n_b,
               count(*) FILTER (tag = 'a') AS n_a, count(*) FILTER (tag = 'div') AS n_div FROM (
            SELECT page_id, lower(regexp_extract(tok, '^<([A-Za-z][A-Za-z0-9]*)', 1)) AS tag FROM ({NODES_SQL}))
         GROUP BY page_id""",
 )
 def _(t):
-    return N.class_counts(t.spread("pages"), ["p", "b", "a", "div"])
+    return N.tag_counts(t.pages, ["p", "b", "a", "div"])
 
 
 @query(
-    "class_count_filter",
+    "tag_count_filter",
     rf"""SELECT * FROM (SELECT page_id, count(*) FILTER (tag = 'p') AS n_p, count(*) FILTER (tag = 'b') AS n_b,
               count(*) FILTER (tag = 'table') AS n_table FROM (
            SELECT page_id, lower(regexp_extract(tok, '^<([A-Za-z][A-Za-z0-9]*)', 1)) AS tag FROM ({NODES_SQL}))
         GROUP BY page_id) WHERE n_p >= 5 AND n_b >= 2 AND n_table = 0""",
 )
 def _(t):
-    return N.class_count_filter(t.spread("pages"), {"p": 5, "b": 2}, ["table"])
+    return N.tag_count_filter(t.pages, {"p": 5, "b": 2}, ["table"])
+
+
+def mail_blocks(t):
+    """Customers as pages of five nodes, in which the classes occur as often as the key says."""
+    key = F.col("c_custkey")
+
+    def spans(cls: str, n: Column) -> Column:
+        return F.repeat(F.lit(f'<span class="x {cls} {cls}">t</span>'), n.cast("int"))
+
+    html = F.concat(
+        F.lit("<!-- <div class='c2'></div> --><div class='c2 c0'><p class=c10>"), spans("c2", key % 4), F.lit("</p></div> <i class='c4'>stray</i> <DIV class=\"c5\">"),
+        spans("c4", key % 3), spans("c2", key % 5), F.lit("</DIV><table CLASS = 'c12'><tr><td class='c9'>"), spans("c9", key % 2),
+        F.lit("</td></tr></table><div>"), F.repeat(F.lit("<p class='c10'>b</p>"), (key % 6).cast("int")), spans("c4", key % 2), F.lit("</div><div>none</div>"),
+    )
+    return t.customer.select(key.alias("page_id"), html.alias("html"))
+
+
+CLASS_SQL = """
+    SELECT page_id, node, CAST(n_c2 AS BIGINT) AS n_c2, CAST(n_c4 AS BIGINT) AS n_c4, CAST(n_c9 AS BIGINT) AS n_c9, CAST(n_c10 AS BIGINT) AS n_c10 FROM (
+              SELECT c_custkey AS page_id, 0 AS node, 1 + c_custkey % 4 AS n_c2, 0 AS n_c4, 0 AS n_c9, 1 AS n_c10 FROM customer
+    UNION ALL SELECT c_custkey, 1, c_custkey % 5, c_custkey % 3, 0, 0 FROM customer
+    UNION ALL SELECT c_custkey, 2, 0, 0, 1 + c_custkey % 2, 0 FROM customer
+    UNION ALL SELECT c_custkey, 3, 0, c_custkey % 2, 0, c_custkey % 6 FROM customer
+    UNION ALL SELECT c_custkey, 4, 0, 0, 0, 0 FROM customer)
+"""
+
+
+@query("class_counts", CLASS_SQL)
+def _(t):
+    return N.class_counts(mail_blocks(t), ["c2", "c4", "c9", "c10"])
+
+
+@query("class_count_filter", f"SELECT page_id, node, n_c4, n_c9 FROM ({CLASS_SQL}) WHERE n_c4 >= 1 AND n_c9 = 0")
+def _(t):
+    return N.class_count_filter(mail_blocks(t), {"c4": 1}, ["c9"])
+
+
+@query(
+    "attribute_values",
+    """SELECT c_custkey AS page_id, 'real' || c_custkey AS href, CASE WHEN c_custkey % 2 = 0 THEN 'a > b' END AS title FROM customer""",
+)
+def _(t):
+    key = F.col("c_custkey").cast("string")
+    tag = F.concat(
+        F.lit("<a data-href='no' disabled alt=\"see href=foo title='bar'\" hrefs=no HREF = real"), key,
+        F.when(F.col("c_custkey") % 2 == 0, F.lit(' title="a > b">')).otherwise(F.lit(" title=''>")),
+    )
+    return t.customer.select(F.col("c_custkey").alias("page_id"), H.attr(tag, "href").alias("href"), H.attr(tag, "title").alias("title"))
 
 
 @query(
@@ -392,7 +445,7 @@ def _(t):
 )
 def _(t):
     pairs = X.zip_extracts(F.col("html"), 'href="([^"]*)"', r"<a [^>]*>([^<]*)</a>")
-    return each(t.spread("pages"), ["page_id"], pairs, "pair").drop("pos")
+    return each(t.pages, ["page_id"], pairs, "pair").drop("pos")
 
 
 @query(
@@ -403,7 +456,7 @@ def _(t):
 def _(t):
     opened = F.col("kind") == "open"
     return N.reconcile_counts(
-        N.page_nodes(t.spread("pages")),
+        N.page_nodes(t.pages),
         n_bodies=opened & (F.col("tag") == "article"),
         n_titles=opened & (F.col("tag") == "h1"),
         n_links=opened & (F.col("tag") == "a"),
@@ -420,15 +473,14 @@ def _(t):
     from pagemill.session import scratch_path
     from pagemill.sources.sinks import fan_out
 
+    # A page is parsed once, then its fields are dealt out.
+    anchor = F.get(X.link_array(H.strip_noise(F.col("html"))), F.lit(0))
+    parsed = X.heading_fields(t.pages.withColumn("first", anchor), {"title": "h1"}, keep=("page_id", "first"))
     outputs = {
-        "summary": X.heading_fields(t.spread("pages"), {"title": "h1"}),
-        "media": X.first_link(t.spread("pages")).select("page_id", F.col("text").alias("title"), F.col("href").alias("link")),
+        "summary": F.struct("page_id", "title"),
+        "media": F.when(F.col("first").isNotNull(), F.struct("page_id", F.col("first.text").alias("title"), F.col("first.href").alias("link"))),
     }
-    paths = fan_out(outputs, scratch_path(t.spark, "fanout"))
-    read = [
-        t.spark.read.schema("page_id bigint, title string, link string").json(path).select(
-            F.lit(name).alias("output"), "page_id", "title", "link"
-        )
-        for name, path in paths.items()
-    ]
-    return read[0].unionByName(read[1])
+    root = scratch_path(t.spark, "fanout")
+    fan_out(parsed, outputs, root)
+    schema = "page_id bigint, title string, link string"
+    return t.spark.read.schema(f"{schema}, output string").json(root).select("output", "page_id", "title", "link")

@@ -7,11 +7,13 @@ from pyspark.sql import functions as F
 from pagemill.functions import text as X
 from pagemill.operators.extract import extract_links
 from pagemill.operators.records import FLAT_FIELDS, META_FIELDS, dedup_generations, record_to_json, union_generations
+from pagemill.plans import publications
+from pagemill.plans.q_flows import PDF_BASE, PUBLICATION_SQL, publication_columns, publication_inputs
 from pagemill.plans.q_pages import LINKS_SQL
-from pagemill.plans.q_text import now
+from pagemill.plans.q_text import NOW, now
 from pagemill.plans.q_windows import UPSERT_SQL, customer_state, order_requests, plain_state
 from pagemill.plans.registry import query
-from pagemill.session import scratch_path
+from pagemill.session import scratch_path, staged
 from pagemill.sources import readers as R
 from pagemill.sources import sinks as K
 from pagemill.streaming import flows as T
@@ -92,10 +94,16 @@ def _(t):
     return R.parse_json(t.events, "props", "k bigint", "p").select("event_id", "p.k")
 
 
-@query("attachment_inventory")
+@query(
+    "attachment_inventory",
+    """SELECT doc_id || '.v1.pdf' AS file_name, doc_id || '.v1' AS record_id, n_chars AS n_bytes, CASE WHEN doc_id % 3 <> 0 THEN text END AS text FROM documents""",
+)
 def _(t):
-    """The table files themselves, by name and size."""
-    return R.attachments(t.spark, t.dir, "*.parquet")
+    """Documents as attachment files; every third was never turned into text."""
+    key = F.col("doc_id").cast("string")
+    files = t.documents.select(F.concat(F.lit("s3://landed/pdf/"), key, F.lit(".v1.pdf")).alias("path"), F.col("n_chars").alias("length"))
+    texts = t.documents.where("doc_id % 3 <> 0").select(F.concat(key, F.lit(".v1")).alias("record_id"), "text")
+    return R.attach_text(R.inventory(files), texts).select("file_name", "record_id", "n_bytes", "text")
 
 
 @query(
@@ -156,9 +164,16 @@ def _(t):
     return R.read_records(t.spark, folder, "source", "src_").select(*RECORD_COLUMNS)
 
 
-@query("generation_dedup", f"{OLD_SQL} WHERE o_orderstatus <> 'F' UNION ALL {NEW_SQL}")
+@query(
+    "generation_dedup",
+    f"""SELECT * FROM ({OLD_SQL} WHERE o_orderstatus <> 'F' UNION ALL {NEW_SQL}) WHERE url NOT LIKE '%7'
+        UNION ALL SELECT * REPLACE (CAST(NULL AS VARCHAR) AS url) FROM ({OLD_SQL} UNION ALL {NEW_SQL}) WHERE url LIKE '%7'""",
+)
 def _(t):
-    return dedup_generations(union_generations(*generations(t), "source", "src_")).select(*RECORD_COLUMNS)
+    # Records of every tenth order have no address.
+    both = union_generations(*generations(t), "source", "src_")
+    some = both.withColumn("url", F.when(~F.col("url").endswith("7"), F.col("url")))
+    return dedup_generations(some.unionByName(some.where("url is not null"))).select(*RECORD_COLUMNS)
 
 
 @query(
@@ -180,18 +195,35 @@ def _(t):
 
 @query(
     "json_sink_compat",
-    """SELECT c_custkey, CASE WHEN c_mktsegment <> 'BUILDING' THEN c_mktsegment ELSE '' END AS segment FROM customer""",
+    """SELECT c_custkey, CASE WHEN c_mktsegment <> 'BUILDING' THEN c_mktsegment ELSE '' END AS segment,
+              CASE WHEN c_custkey % 3 = 0 THEN '' ELSE CASE WHEN c_custkey % 2 = 0 THEN c_name ELSE '' END END AS name,
+              '["' || CASE WHEN c_mktsegment <> 'BUILDING' THEN c_mktsegment ELSE '' END || '","x"]' AS list FROM customer""",
 )
 def _(t):
     path = scratch_path(t.spark, "compat")
     segment = F.when(F.col("c_mktsegment") != "BUILDING", F.col("c_mktsegment"))
-    K.write_json(t.customer.select("c_custkey", segment.alias("segment")), path, compat=True)
-    return t.spark.read.schema("c_custkey bigint, segment string").json(path)
+    inner = F.struct(F.when(F.col("c_custkey") % 2 == 0, F.col("c_name")).alias("name"))
+    nested = F.struct(F.when(F.col("c_custkey") % 3 != 0, inner).alias("source"), F.array(segment, F.lit("x")).alias("list"))
+    K.write_json(t.customer.select("c_custkey", segment.alias("segment"), nested.alias("meta")), path, compat=True)
+    read = t.spark.read.schema(
+        "c_custkey bigint, segment string, meta struct<source struct<name string>, list array<string>>"
+    ).json(path)
+    return read.select("c_custkey", "segment", "meta.source.name", F.to_json("meta.list").alias("list"))
 
 
-@query("csv_roundtrip", """SELECT doc_id, text || chr(10) || '"quoted", ' || lang AS text, source FROM documents""")
+@query(
+    "csv_roundtrip",
+    """SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN '  ' || text || chr(10) || '"quoted", ' || lang || chr(9) WHEN 1 THEN '' WHEN 2 THEN NULL ELSE text END AS text,
+              CASE doc_id % 5 WHEN 0 THEN '' WHEN 1 THEN NULL WHEN 2 THEN ' ' ELSE source END AS source FROM documents""",
+)
 def _(t):
-    rows = t.documents.select("doc_id", F.concat("text", F.lit('\n"quoted", '), "lang").alias("text"), "source")
+    key, nothing = F.col("doc_id"), F.lit(None).cast("string")
+    padded = F.concat(F.lit("  "), F.col("text"), F.lit('\n"quoted", '), F.col("lang"), F.lit("\t"))
+    rows = t.documents.select(
+        "doc_id",
+        F.when(key % 4 == 0, padded).when(key % 4 == 1, F.lit("")).when(key % 4 == 2, nothing).otherwise(F.col("text")).alias("text"),
+        F.when(key % 5 == 0, F.lit("")).when(key % 5 == 1, nothing).when(key % 5 == 2, F.lit(" ")).otherwise(F.col("source")).alias("source"),
+    )
     path = scratch_path(t.spark, "csv")
     K.write_csv(rows, path)
     return K.read_csv(t.spark, path, rows.schema)
@@ -211,7 +243,7 @@ def _(t):
 def _(t):
     landed = T.read_landed(t.spark, t.dir, t.pages.schema, "pages.parquet")
     out = scratch_path(t.spark, "links")
-    T.stream_records(landed, extract_links, out, scratch_path(t.spark, "checkpoint"))
+    T.stream_rows(landed, extract_links, out, scratch_path(t.spark, "checkpoint"))
     return t.spark.read.parquet(out)
 
 
@@ -222,14 +254,50 @@ def _(t):
     # Events span a month, so nothing is forgotten within the delay.
     once = T.stream_dedup(timed, ["user_id", "event_type"], "ts", "40 days")
     out = scratch_path(t.spark, "once")
-    T.stream_records(once, lambda df: df.select("user_id", "event_type"), out, scratch_path(t.spark, "checkpoint"))
+    T.stream_rows(once, lambda df: df.select("user_id", "event_type"), out, scratch_path(t.spark, "checkpoint"))
     return t.spark.read.parquet(out)
 
 
+def folded(t, plans=None):
+    root = scratch_path(t.spark, "work")
+    # Earlier runs left some versions.
+    K.write_work_table(customer_state(t).limit(0), root, 0)
+    K.write_work_table(customer_state(t), root, 3)
+    landed = T.read_landed(t.spark, t.dir, t.orders.schema, "orders.parquet", files_per_batch=None)
+    return T.stream_upsert(order_requests(landed), root, scratch_path(t.spark, "checkpoint"), now(), ["o_orderkey"], plans)
+
+
 @query("stream_upsert", UPSERT_SQL)
 def _(t):
-    root = scratch_path(t.spark, "work")
-    K.write_work_table(customer_state(t), root, 0)
-    landed = T.read_landed(t.spark, t.dir, t.orders.schema, "orders.parquet")
-    path = T.stream_upsert(order_requests(landed), root, scratch_path(t.spark, "checkpoint"), now(), order=["o_orderkey"])
-    return plain_state(t.spark.read.parquet(path))
+    return plain_state(t.spark.read.parquet(folded(t)))
+
+
+@query(
+    "stream_due_plan",
+    f"""WITH o AS (SELECT domain, price, wait_s - (epoch_us(TIMESTAMP '{NOW}') - scraped_us) / 1e6 AS left_s FROM ({UPSERT_SQL}) WHERE NOT done),
+             a AS (SELECT *, CASE WHEN left_s < 300 THEN 'now' ELSE 'wait' END AS action FROM o)
+        SELECT domain, price, action, left_s, 0.0::DOUBLE AS delay_s FROM a WHERE action = 'now'
+        UNION ALL SELECT domain, price, action, left_s,
+               (left_s - 300) - coalesce(lag(left_s - 300) OVER (ORDER BY left_s - 300, domain), 0) FROM a WHERE action = 'wait'""",
+)
+def _(t):
+    plans = scratch_path(t.spark, "plans")
+    folded(t, plans)
+    written = t.spark.read.parquet(R.version_path(plans, 4))
+    return written.withColumn("price", F.col("price").cast("double"))
+
+
+@query("stream_records", PUBLICATION_SQL)
+def _(t):
+    """Publication pages as they land, with the whole record flow run on each batch."""
+    landed = T.read_landed(t.spark, t.dir, t.part.schema, "part.parquet")
+    _, texts = publication_inputs(t)
+
+    def records(batch):
+        pages, _ = publication_inputs(t, batch)
+        fields = staged(publications.publication_fields(pages), "fields")
+        return publication_columns(publications.publication_records(fields, texts, PDF_BASE, "source", "src_"))
+
+    out = scratch_path(t.spark, "records")
+    T.stream_records(landed, records, out, scratch_path(t.spark, "checkpoint"))
+    return T.read_stream_records(t.spark, out)

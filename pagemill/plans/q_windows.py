@@ -170,10 +170,10 @@ def _(t):
     return C.elapsed_correction(plan, "measured_at", now()).select("domain", "wait_s")
 
 
-def customer_state(t):
-    """Customers with a balance are known since the first of the month; builders are done."""
+def customer_state(t, known="c_acctbal > 1000"):
+    """Customers (those with a balance) are known since the first of the month; builders are done."""
     key = F.col("c_custkey")
-    return t.customer.where("c_acctbal > 1000").select(
+    return t.customer.where(known).select(
         F.concat(F.lit("c-"), key.cast("string")).alias("domain"),
         F.col("c_acctbal").cast("decimal(12,2)").alias("price"),
         F.lit("2024-01-01 00:00:00").cast("timestamp").alias("scraped_at"),

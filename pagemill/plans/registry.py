@@ -7,7 +7,6 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from pagemill.session import configure
-from pagemill.sources.readers import spread
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -45,10 +44,6 @@ class Tables:
     def path(self, name: str) -> str:
         return f"{self.dir}/{name}.parquet"
 
-    def spread(self, name: str) -> DataFrame:
-        """A table about to go through heavy text work."""
-        return spread(getattr(self, name))
-
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_"):
             raise AttributeError(name)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagemill.functions.dates import duration_seconds
-from pagemill.operators.schedule import due_plan, mark_done, refresh_remaining, upsert_items
+from pagemill.operators.schedule import due_plan, elapsed_correction, refresh_remaining, upsert_items
 from pagemill.sources.readers import pair_list
 
 
@@ -28,8 +28,13 @@ def load_items(state: DataFrame, requests: DataFrame, durations: DataFrame, now:
     return upsert_items(state, incoming, now, order=["request_id", "pos"])
 
 
-def poll(state: DataFrame, now: Column) -> tuple[DataFrame, DataFrame]:
-    """The plan for all open items, and the state with those items done."""
+def poll(state: DataFrame, now: Column, planned_at: Column | None = None) -> tuple[DataFrame, DataFrame]:
+    """The plan for all open items, and the state with those items done.
+
+    Waiting times are measured at ``now``; what passes until ``planned_at`` is taken off in the plan.
+    """
     current = refresh_remaining(state, now)
-    plan = due_plan(current, now)
-    return plan, mark_done(current, plan)
+    at = now if planned_at is None else planned_at
+    measured = elapsed_correction(current, "scraped_at", at).withColumn("scraped_at", at.cast("timestamp"))
+    # Every open item is in the plan, so every item is done afterwards.
+    return due_plan(measured, at), current.withColumn("done", F.lit(True))

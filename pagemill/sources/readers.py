@@ -34,9 +34,9 @@ def read_seed(spark: SparkSession, path: str, schema: str = SEED_SCHEMA) -> Data
 
 
 def read_nested_json(
-    spark: SparkSession, path: str, schema: str = LIST_SCHEMA, multi_line: bool = True
+    spark: SparkSession, path: str, schema: str = LIST_SCHEMA, multi_line: bool = False
 ) -> DataFrame:
-    """One JSON document per file, over several lines; or one per line, which lets files be split."""
+    """One JSON document per line, which lets files be split; or one per file, over several lines."""
     return spark.read.schema(schema).option("multiLine", multi_line).json(path)
 
 
@@ -78,16 +78,6 @@ def affiliations(text: Column) -> Column:
     return F.when(well_formed, F.from_json(text, AFFILIATIONS))
 
 
-def spread(scan: DataFrame) -> DataFrame:
-    """Deal the rows of a scan out to all cores when its files occupy less than half of them.
-
-    For scans that much text work follows on.  A table of many files, as on a
-    cluster, is returned as it is, without a shuffle.
-    """
-    cores = scan.sparkSession.sparkContext.defaultParallelism
-    return scan if 2 * scan.rdd.getNumPartitions() > cores else scan.repartition(cores)
-
-
 def read_corpus(spark: SparkSession, path: str) -> DataFrame:
     """Landed pages from parquet: ``page_id, url, html``, with ``status`` 200 where none was landed."""
     pages = spark.read.parquet(path)
@@ -120,10 +110,13 @@ def read_export_blocks(spark: SparkSession, path: str) -> DataFrame:
 def attachments(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
     """Inventory of attachment files; the contents are not read.
 
-    ``record_id`` is the file name without its extension.  Spark leaves files
-    without any bytes out of a scan, so an empty attachment counts as missing.
+    Spark leaves files without any bytes out of a scan, so an empty attachment counts as missing.
     """
-    files = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path)
+    return inventory(spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path))
+
+
+def inventory(files: DataFrame) -> DataFrame:
+    """A listing (``path, length``) as ``file_name, record_id, n_bytes``; the id is the name without its extension."""
     name = F.element_at(F.split("path", "/"), -1)
     return files.select(
         name.alias("file_name"),
@@ -147,15 +140,21 @@ def read_work_table(spark: SparkSession, path: str, schema: str) -> DataFrame:
         return spark.createDataFrame([], schema)
 
 
+def version_path(root: str, version: int) -> str:
+    """Where a version of a work table is."""
+    return f"{root.rstrip('/')}/version={version}"
+
+
+def versions(spark: SparkSession, root: str) -> list[int]:
+    """The finished versions below ``root``, ascending.  Lists folders, reads no rows."""
+    pattern = spark._jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/version=*/_SUCCESS")
+    found = pattern.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(pattern)
+    return sorted(int(f.getPath().getParent().getName().removeprefix("version=")) for f in found or [])
+
+
 def latest_version(spark: SparkSession, root: str) -> int | None:
-    """The highest version below ``root``, None when there is none."""
-    try:
-        versions = spark.read.parquet(root).select("version").distinct()
-    except AnalysisException as e:
-        if e.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return None
-    return versions.agg(F.max("version")).first()[0]
+    """The highest finished version below ``root``, None when there is none."""
+    return max(versions(spark, root), default=None)
 
 
 def open_items(state: DataFrame, done: Column) -> DataFrame:

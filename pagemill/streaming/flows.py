@@ -5,33 +5,45 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql.streaming import DataStreamWriter
 
-from pagemill.operators.schedule import STATE_SCHEMA, upsert_items
-from pagemill.sources.readers import latest_version, read_work_table
+from pagemill.operators.schedule import STATE_SCHEMA, due_plan, upsert_items
+from pagemill.sources.readers import latest_version, read_work_table, version_path, versions
 
 
-def read_landed(spark: SparkSession, path: str, schema, glob: str = "*.parquet", files_per_batch: int = 100) -> DataFrame:
-    """Landed parquet files as a stream."""
-    return (
-        spark.readStream.schema(schema)
-        .option("pathGlobFilter", glob)
-        .option("maxFilesPerTrigger", files_per_batch)
-        .parquet(path)
-    )
+def read_landed(spark: SparkSession, path: str, schema, glob: str = "*.parquet", files_per_batch: int | None = 100) -> DataFrame:
+    """Landed parquet files as a stream; without ``files_per_batch`` a run is one batch."""
+    reader = spark.readStream.schema(schema).option("pathGlobFilter", glob)
+    if files_per_batch is not None:
+        reader = reader.option("maxFilesPerTrigger", files_per_batch)
+    return reader.parquet(path)
+
+
+def _run(writer: DataStreamWriter, checkpoint: str) -> None:
+    writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
+def stream_rows(pages: DataFrame, to_rows: Callable[[DataFrame], DataFrame], out: str, checkpoint: str) -> None:
+    """Append what projections and stateful operators make of all that landed since the last run, then return."""
+    _run(to_rows(pages).writeStream.format("parquet").option("path", out), checkpoint)
 
 
 def stream_records(pages: DataFrame, to_records: Callable[[DataFrame], DataFrame], out: str, checkpoint: str) -> None:
-    """Turn every page landed since the last run into records, then return."""
-    query = (
-        to_records(pages)
-        .writeStream.format("parquet")
-        .option("path", out)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
-    )
-    query.awaitTermination()
+    """Turn every page landed since the last run into records, then return.
+
+    ``to_records`` gets each batch as an ordinary table, so a whole batch flow (joins, staged
+    fields, aggregates within the batch) will do.  A batch that runs again replaces its own folder.
+    """
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        to_records(batch).write.mode("overwrite").parquet(f"{out.rstrip('/')}/batch={batch_id}")
+
+    _run(pages.writeStream.foreachBatch(write), checkpoint)
+
+
+def read_stream_records(spark: SparkSession, out: str) -> DataFrame:
+    """All records that ``stream_records`` wrote."""
+    return spark.read.parquet(out).drop("batch")
 
 
 def stream_dedup(df: DataFrame, keys: Sequence[str], time: str, delay: str) -> DataFrame:
@@ -39,28 +51,50 @@ def stream_dedup(df: DataFrame, keys: Sequence[str], time: str, delay: str) -> D
     return df.withWatermark(time, delay).dropDuplicatesWithinWatermark(list(keys))
 
 
-def stream_upsert(
-    source: DataFrame, root: str, checkpoint: str, now: Column, order: Sequence[str] = ()
-) -> str:
-    """Fold new rows into the work table, one version per micro-batch; returns the last version's path.
+def _first_version(spark: SparkSession, root: str, checkpoint: str) -> int:
+    """The version the checkpoint's batches start from, settled when the checkpoint is new."""
+    note = f"{checkpoint.rstrip('/')}-base"
+    known = read_work_table(spark, note, "base int").first()
+    if known is not None:
+        return known["base"]
+    latest = latest_version(spark, root)
+    base = -1 if latest is None else latest
+    spark.createDataFrame([(base,)], "base int").write.mode("overwrite").parquet(note)
+    return base
 
-    Batch ``n`` reads version ``n`` and writes version ``n+1``, so a batch that
-    runs again after a failure gives the same version again.
-    """
 
-    def version(n: int) -> str:
-        return f"{root.rstrip('/')}/version={n}"
+def stream_upsert(
+    source: DataFrame,
+    root: str,
+    checkpoint: str,
+    now: Column,
+    order: Sequence[str],
+    plans: str | None = None,
+) -> str | None:
+    """Fold new rows into the work table, one version per micro-batch; returns the path of the state after the run.
+
+    The first run with a checkpoint notes the version it found; batch ``n`` reads the version ``n`` steps
+    later and writes the next one, so a batch that runs again gives the same version again, and a lost
+    checkpoint goes on from the newest state.  A version that this checkpoint did not write is never
+    overwritten: the run fails instead.  With ``plans`` the plan for the open items of each new version is
+    written below it.  Every batch writes the whole state; give ``read_landed`` no ``files_per_batch`` to fold
+    once per run.  None if there is no state yet and nothing landed.
+    """
+    spark = source.sparkSession
+    base = _first_version(spark, root, checkpoint)
 
     def fold(batch: DataFrame, batch_id: int) -> None:
-        state = read_work_table(batch.sparkSession, version(batch_id), STATE_SCHEMA)
-        upsert_items(state, batch, now, order).write.mode("overwrite").parquet(version(batch_id + 1))
-
-    query = (
-        source.writeStream.foreachBatch(fold)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
-    )
-    query.awaitTermination()
-    latest = latest_version(source.sparkSession, root)
-    return version(0 if latest is None else latest)
+        session, version = batch.sparkSession, base + 1 + batch_id
+        mine = f"{checkpoint.rstrip('/')}-wrote/version={version}"
+        if version in versions(session, root) and read_work_table(session, mine, "v int").isEmpty():
+            raise ValueError(f"version {version} below {root} is not of checkpoint {checkpoint}")
+        session.createDataFrame([(version,)], "v int").write.mode("overwrite").parquet(mine)
+        before = read_work_table(session, version_path(root, version - 1), STATE_SCHEMA)
+        upsert_items(before, batch, now, order).write.mode("overwrite").parquet(version_path(root, version))
+        if plans is not None:
+            state = read_work_table(session, version_path(root, version), STATE_SCHEMA)
+            due_plan(state, now).write.mode("overwrite").parquet(version_path(plans, version))
+
+    _run(source.writeStream.foreachBatch(fold), checkpoint)
+    latest = latest_version(spark, root)
+    return None if latest is None else version_path(root, latest)

@@ -7,6 +7,7 @@ from pagemill.functions import html as H
 from pagemill.functions import text as TX
 from pagemill.operators import extract as X
 from pagemill.operators import nodes as N
+from pagemill.operators.sentiment import lexicon_frame
 from pagemill.plans import fellows, news
 
 
@@ -192,7 +193,7 @@ def test_news_segmentation(spark):
     )
     open_end = news_export(block("c0", ("c2", "75 of 998 DOCUMENTS")), block("c5", ("c4", "a"), ("c2", "b")))
     df = spark.createDataFrame([("f", first + open_end), ("closed", first), ("empty", "<p>none</p>")], "file_id string, html string")
-    got = {(r.file_id, r.doc_no): r for r in news.news_documents(df).collect()}
+    got = {(r.file_id, r.doc_no): r for r in news.news_documents(df, lexicon_frame(spark)).collect()}
     assert sorted(got) == [("closed", 0), ("f", 0), ("f", 1)]
     doc = got["f", 0]
     assert (doc.num_words, doc.email_title, doc.date_time, doc.document_idx, doc.newspaper_title) == (
@@ -206,7 +207,7 @@ def test_news_segmentation(spark):
 def test_paper_title_far_from_its_header(spark):
     tables = "".join(f"<table class='c1'><tr><td>{i}</td></tr></table>" for i in range(30))
     df = spark.createDataFrame([("f", block("c0", ("c2", "1 of 2 DOCUMENTS")) + tables + block("c3", ("c2", "Far")))], "file_id string, html string")
-    assert news.news_documents(df).first().newspaper_title == "Far"
+    assert news.news_documents(df, lexicon_frame(spark)).first().newspaper_title == "Far"
 
 
 def test_both_news_readers_agree(spark):
@@ -219,14 +220,14 @@ def test_both_news_readers_agree(spark):
             block("c0", ("c2", f"{i} of 998 DOCUMENTS")), block("c3", ("c2", f"Paper {i % 7}")), block("c3", ("c4", "July"), ("c2", f" {i % 28 + 1}, 1991")),
             block("c5", ("c7", f"Title {i}")), block("c5", ("c9", "LENGTH: "), ("c2", f"{i} words")),
             *[block("c5", ("c4", f"no good {i}"), ("c2", f" part {k} é")) for k in range(i % 4)],
-            f"<table class='c12'><tr><td>cell &amp; {i}</td></tr></table>" if i % 3 else "", block("c11", ("c2", "end")) if i % 50 else "",
+            f"<table class='c12'><tr><td>cell &amp; {i}</td></tr></table> worst stray <b>{i}</b>" if i % 3 else " worst stray", block("c11", ("c2", "end")) if i % 50 else "",
         )
 
     path = scratch_path(spark, "exports")
     big = [("".join(doc(i) for i in range(1, 240)),)]
     small = [(doc(i),) for i in range(300, 306)]
     spark.createDataFrame(big + small, "value string").repartition(7, "value").write.option("maxRecordsPerFile", 1).text(path)
-    whole = news.news_documents(read_export(spark, path))
+    whole = news.news_documents(read_export(spark, path), lexicon_frame(spark))
     blocks = scratch_path(spark, "blocks")
     old = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
     try:
@@ -239,15 +240,10 @@ def test_both_news_readers_agree(spark):
         for k, v in old.items():
             spark.conf.set(k, v)
     assert spark.read.parquet(blocks).select("file_id", "file_start").distinct().count() > 10
-    cut = news.news_documents_from_blocks(spark.read.parquet(blocks), rows_per_block=200)
+    cut = news.news_documents_from_blocks(spark.read.parquet(blocks), lexicon_frame(spark), rows_per_block=200)
     columns = [c for c in whole.columns if c not in ("polarity", "subjectivity")]
     # Four documents of the long file are not closed and run into the next.
     assert whole.count() == 239 - 4 + 6
     assert sorted(map(repr, cut.select(columns).collect())) == sorted(map(repr, whole.select(columns).collect()))
     scores = [F.round("polarity", 9), F.round("subjectivity", 9)]
     assert sorted(map(tuple, cut.select(scores).collect())) == sorted(map(tuple, whole.select(scores).collect()))
-    # Long bodies come in parts that hold everything.
-    parts = news.news_documents_from_blocks(spark.read.parquet(blocks), rows_per_block=None, rows_per_part=2)
-    joined = parts.groupBy("file_id", "doc_no").agg(F.array_sort(F.collect_list(F.struct("part", "body"))).alias("b"))
-    joined = joined.select("file_id", "doc_no", F.array_join(F.transform("b", lambda x: x["body"]), " ").alias("body"))
-    assert sorted(map(tuple, joined.collect())) == sorted(map(tuple, whole.select("file_id", "doc_no", "body").collect()))

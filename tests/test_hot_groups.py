@@ -13,8 +13,8 @@ from pagemill.plans.catalogue import ORACLES, QUERIES
 from pagemill.session import scratch_path
 
 ORDERED = [
-    "take_while_rows", "document_islands", "island_last_values", "next_sibling", "previous_siblings", "successive_delay",
-    "even_split", "positional_zip", "cumulative_distinct", "due_plan",
+    "document_islands", "island_last_values", "next_sibling", "previous_siblings", "successive_delay", "ordered_concat",
+    "even_split", "positional_zip", "cumulative_distinct", "due_plan", "poll_plan", "news_export_files",
 ]
 KEYED = [
     "take_while_rows", "document_islands", "island_last_values", "successive_delay", "cumulative_distinct", "pagination_converge",

@@ -12,7 +12,7 @@ from pagemill.operators import lookup as L
 from pagemill.operators import records as G
 from pagemill.operators import schedule as C
 from pagemill.operators import segment as S
-from pagemill.operators.sentiment import lexicon_frame, lexicon_sentiment, text_sentiment
+from pagemill.operators.sentiment import lexicon_frame, lexicon_sentiment
 from pagemill.plans import publications, worktable
 from pagemill.session import scratch_path
 
@@ -71,14 +71,15 @@ def test_segment_and_take_while_model(spark, per_block):
             kept.add((key, i))
     df = spark.createDataFrame(data, "k string, i int, end boolean")
     assert set(rows(S.segment(df, F.col("end"), ["k"], ["i"], rows_per_block=per_block).select("k", "i", "doc_no"))) == numbered
-    assert set(rows(S.take_while(df, F.col("end"), ["k"], ["i"], rows_per_block=per_block).select("k", "i"))) == kept
+    assert set(rows(S.take_while(df, F.col("end"), ["k"], ["i"]).select("k", "i"))) == kept
 
 
-def test_ordered_concat_splits_long_groups_without_loss(spark):
-    df = spark.range(25).select(F.lit("k").alias("k"), F.col("id").alias("pos"), F.col("id").cast("string").alias("t"))
-    got = S.ordered_concat(df.orderBy(F.desc("pos")), ["k"], "pos", "t", rows_per_part=10).orderBy("part").collect()
-    assert [r.part for r in got] == [0, 1, 2]
-    assert " ".join(r.text for r in got).split() == [str(i) for i in range(25)]
+@pytest.mark.parametrize("per_block", [1, 10, 1000])
+def test_ordered_concat_gives_one_text_per_group(spark, per_block):
+    data = [("k", 99_990 + i, str(i)) for i in range(25)] + [("k", 7, None), ("other", 1, "x"), (None, 1, "n"), (None, 2, "m"), ("none", 1, None)]
+    df = spark.createDataFrame(data, "k string, pos int, t string")
+    got = S.ordered_concat(df.orderBy(F.desc("pos")), ["k"], ["pos"], "t", rows_per_block=per_block)
+    assert rows(got) == sorted([(None, "n m"), ("k", " ".join(str(i) for i in range(25))), ("other", "x")], key=repr)
 
 
 def test_gap_at_the_start(spark):
@@ -141,15 +142,22 @@ def test_share(spark, share, number):
     assert expr(spark, share, TX.share_denominator) == number
 
 
-def test_both_sentiments_agree(spark):
-    texts = ["Not good, no bad; not not great!", "goodness badly", "", "GOOD good\nbest", "never  worthless idiot", "no-good", "not"]
+def test_sentiment(spark):
+    texts = ["Not good, no bad; not not great!", "goodness badly", "", "GOOD good\nbest", "never  worthless idiot", "no-good", "not", None]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
-    one = df.select("doc_id", text_sentiment(F.col("text")).alias("s")).select("doc_id", "s.*").orderBy("doc_id").collect()
-    two = lexicon_sentiment(df, lexicon_frame(spark)).orderBy("doc_id").collect()
-    assert [(r.doc_id, r.n_hits) for r in one] == [(r.doc_id, r.n_hits) for r in two]
-    for a, b in zip(one, two, strict=True):
-        assert (a.polarity, a.subjectivity) == pytest.approx((b.polarity, b.subjectivity))
-    assert one[0].polarity == pytest.approx((-0.35 + 0.35 - 0.4) / 3) and one[1].n_hits == 0
+    got = lexicon_sentiment(df, lexicon_frame(spark)).orderBy("doc_id").collect()
+    assert [r.n_hits for r in got] == [3, 0, 0, 3, 2, 1, 0, 0]
+    assert got[0].polarity == pytest.approx((-0.35 + 0.35 - 0.4) / 3)
+    assert got[4].polarity == pytest.approx((0.4 - 0.8) / 2) and got[6].polarity == 0.0
+
+
+def test_sentiment_with_any_list(spark):
+    """Thousands of words, and entries that are no words."""
+    words = [(f"w{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676)}", 0.5, 1.0) for i in range(5000)]
+    listed = spark.createDataFrame([*words, ("c++", -1.0, 0.0), (".*", -1.0, 0.0)], "word string, polarity double, subjectivity double")
+    df = spark.createDataFrame([(1, "c c++ waaa xwaaa"), (2, "c++")], "doc_id int, text string")
+    got = {r.doc_id: (r.polarity, r.n_hits) for r in lexicon_sentiment(df, listed).collect()}
+    assert got == {1: (0.5, 1), 2: (0.0, 0)}
 
 
 def state(spark, *items):
@@ -218,7 +226,7 @@ def test_publication_routing(spark):
         "url string, html string",
     )
     texts = spark.createDataFrame([("http://d/1", "1.pdf", "t\n x"), ("b2", "2.pdf", None), ("b3", "3.pdf", ""), ("b4", "4.pdf", "four")], "link string, file_name string, text string")
-    got = publications.publication_records(df.where("url not like '%2'"), texts, "b", "s", "src_")
+    got = publications.publication_records(publications.publication_fields(df.where("url not like '%2'")), texts, "b", "s", "src_")
     by = {r.url[-1]: r for r in got.collect()}
     assert {k: (r.outcome, r.reason) for k, r in by.items()} == {
         "1": ("success", None), "3": ("success", "attachment_empty"), "4": ("failures", "no_link_label"), "5": ("success", None),

@@ -77,7 +77,7 @@ def test_nothing_leaks_from_unusable_pages_or_other_persons(records):
     assert (r.lecture.words, r.lecture.date, r.speech.location, r.affiliations, r.share) == ("two's", None, None, None, None)
     assert (r.motivation, r.death_date) == ("listed 2", "1990-03-04")
     r = records["1", "1970"]
-    assert (r.motivation, r.speech.words, r.bio.words, r.timeline) == ("second", None, None, None)
+    assert (r.motivation, r.affiliations, r.speech.words, r.bio.words, r.timeline) == ("second", None, None, None, None)
     r = records["3", "1970"]
     assert (r.first_name, r.last_name, r.gender, r.bio.words) == (None, None, None, None)
 
@@ -103,5 +103,6 @@ def test_fellow_page_with_gaps(spark):
     )
     assert (r.fellow_photos, r.fellow_deceased, r.file_name) == ({}, None, "Jos_R._summary.json")
     assert got[2].fellow_age is None and got[2].fellow_name is None
-    media = fellows.fellow_media(df).collect()
+    articles = spark.createDataFrame([], "url string, html string")
+    media = fellows.fellow_media(df, articles).collect()
     assert [(m.fellow_id, m.article_link, m.title, m.file_name) for m in media] == [(1, "/m", "Title", "Jos_R._media_Title.json")]
