@@ -54,7 +54,7 @@ def test_counting_in_parts(monkeypatch, prose):
     assert S.fingerprint(text) == whole == slow_fingerprint(text)
 
 
-@pytest.mark.parametrize("bucket_rows", [2000, 4])
+@pytest.mark.parametrize("bucket_rows", [2000, 25])
 def test_links_lose_nothing(spark, bucket_rows):
     """Also where buckets are dealt again several times."""
     rng = random.Random(5)
