@@ -109,7 +109,11 @@ def fit_on(docs: DataFrame, text: str = "text", language: str = "lang", rows: in
     require(docs, text, language)
     known = docs.select(F.col(text).alias("t"), F.lower(F.trim(F.col(language))).alias("l"))
     known = known.where(F.col("l").rlike("^[a-z]{2,3}$") & (F.length("t") <= chars) & (F.length("t") > 0))
-    picked = known.select("t", "l", F.xxhash64("t").alias("h")).orderBy("h", "l").limit(rows).collect()
+    known = known.withColumn("h", F.xxhash64("t"))
+    # The choice is made on hashes; only the texts chosen, each once, ever come to the driver.
+    picked = known.select("h").distinct().orderBy("h").limit(rows)
+    chosen = known.join(F.broadcast(picked), "h").groupBy("h").agg(F.min(F.struct("l", "t")).alias("r"))
+    picked = chosen.select("r.*").collect()
     return fit([r["t"] for r in picked], [r["l"] for r in picked])
 
 
