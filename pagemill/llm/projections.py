@@ -10,7 +10,10 @@ it stops when the chi-square test says that any point not yet verified, were it
 nearer than the worst neighbour in hand, would have shown itself with
 probability ``confidence`` already:
 
-    (projected distance to what is left)^2 >= quantile(confidence) * (worst distance in hand)^2
+    (projected distance to what is left)^2 > quantile(confidence) * (worst distance in hand)^2
+
+Equal vectors of a block are one point with its smallest ids, so any number of copies
+is found together and the ties among them go to the smaller ids.
 
 Queries are a stated set.  They and the table are cut into blocks of bounded size
 and every block of queries is held against every block of the table, one pair of
@@ -90,30 +93,50 @@ class KdTree:
         return order, bound[order]
 
 
+def grouped(vectors: np.ndarray, ids: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """A row for each different vector, and its ``most`` rows of smallest ids (-1 where there are fewer)."""
+    rows = np.ascontiguousarray(vectors + 0.0)  # a negative zero is a zero
+    _, of = np.unique(rows.view(f"V{rows.itemsize * rows.shape[1]}").ravel(), return_inverse=True)
+    order = np.lexsort((ids, of))
+    start = np.flatnonzero(np.diff(of[order], prepend=-1))
+    nth = np.arange(len(of)) - start[of[order]]
+    members = np.full((len(start), min(most, int(nth.max()) + 1)), -1)
+    first = nth < most
+    members[of[order][first], nth[first]] = order[first]
+    return members[:, 0], members
+
+
 def search(
-    tree: KdTree, vectors: np.ndarray, ids: np.ndarray, rids: np.ndarray, q: np.ndarray, rid: int,
-    image: np.ndarray, k: int, quantile: float,
+    tree: KdTree, vectors: np.ndarray, members: np.ndarray, ids: np.ndarray, rids: np.ndarray, q: np.ndarray, rid: int,
+    image: np.ndarray, k: int, quantile: float, slack: float,
 ) -> list[tuple[float, int, int]]:
-    """Up to ``k`` nearest of ``vectors`` but the query's own row: (distance, id, rid), ties to smaller ids."""
+    """Up to ``k`` nearest rows but the query's own: (distance, id, row), ties to smaller ids.
+
+    The tree holds different ``vectors``, ``members`` the rows that have them.  Only what is
+    farther than the limit is left out, and ``slack`` covers the rounding of two projections.
+    """
     order, bounds = tree.by_distance(image)
     best = np.empty((0, 3))
     worst = math.inf
     for first in range(0, len(order), LEAVES_AT_ONCE):
-        if len(best) == k and bounds[first] >= quantile * worst * worst:
+        limit = quantile * worst * worst + slack
+        if bounds[first] > limit:
             break
         at = np.concatenate([tree.leaves[i] for i in order[first : first + LEAVES_AT_ONCE]])
         if len(best) == k:
             shown = tree.points[at] - image
-            at = at[(shown * shown).sum(axis=1) < quantile * worst * worst]
-        at = at[rids[at] != rid]
-        if not len(at):
-            continue
+            at = at[(shown * shown).sum(axis=1) <= limit]
         away = vectors[at] - q
         distance = np.sqrt((away * away).sum(axis=1))
         if len(best) == k:
             near = distance <= worst
             at, distance = at[near], distance[near]
-        found = np.concatenate([best, np.stack([distance, ids[at], at], axis=1)]) if len(at) else best
+        rows, distance = members[at].ravel(), np.repeat(distance, members.shape[1])
+        other = (rows >= 0) & (rids[rows] != rid)
+        rows, distance = rows[other], distance[other]
+        if not len(rows):
+            continue
+        found = np.concatenate([best, np.stack([distance, ids[rows], rows], axis=1)])
         best = found[np.lexsort((found[:, 2], found[:, 1], found[:, 0]))[:k]]
         worst = best[-1, 0] if len(best) == k else math.inf
     return [(float(d), int(i), int(a)) for d, i, a in best]
@@ -136,10 +159,17 @@ def _search_blocks(dims: int, k: int, confidence: float):
                 ]
             rids, ids, vectors = sides["items"]
             axes = directions(width, dims)
-            tree = KdTree(vectors @ axes)
             rank = np.argsort(np.argsort(ids, kind="stable"), kind="stable")  # ties by id, exact beyond 2^53
+            # Copies are one point; of theirs only the smallest ids can win, one more than k as one may be the query.
+            one, members = grouped(vectors, rank, k + 1)
+            different = vectors[one]
+            tree = KdTree(different @ axes)
+            longest = np.linalg.norm(different, axis=1).max()
             for rid, qid, q in zip(*sides["queries"]):
-                for distance, _, at in search(tree, vectors, rank, rids, q, rid, q @ axes, k, quantile):
+                slack = (1e-12 * (longest + np.linalg.norm(q)) * np.linalg.norm(axes)) ** 2
+                for distance, _, at in search(
+                    tree, different, members, rank, rids, q, rid, q @ axes, k, quantile, slack
+                ):
                     out["query_rid"].append(rid)
                     out["query_id"].append(qid)
                     out["vec_id"].append(ids[at])

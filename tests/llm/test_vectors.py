@@ -124,3 +124,19 @@ def test_quantile():
     assert N.chi_square_quantile(0.95, 8) == pytest.approx(15.507, abs=1e-3)
     with pytest.raises(ValueError):
         N.chi_square_quantile(0.5, 3)
+
+
+def test_many_copies_in_a_block(spark):
+    """3000 copies of a vector: of equal distances the smallest ids, over all copies of the block."""
+    rng = np.random.default_rng(6)
+    hot = rng.normal(size=16)
+    rows = [*([hot] * 3000), *(hot + 0.01 * rng.normal(size=(5, 16))), *rng.normal(size=(1000, 16))]
+    ids = rng.permutation(len(rows)) + 1
+    rows = [(int(i), [float(x) for x in np.float32(v)], 0) for i, v in zip(ids, rows)]
+    queries = [*range(0, 3000, 500), 3000, 3001, 3002]
+    out = N.nearest_neighbours(
+        spark.createDataFrame(rows, SCHEMA), F.col("vec_id").isin([rows[i][0] for i in queries])
+    ).collect()
+    for i in queries:
+        got = sorted((r["rank"], r.vec_id) for r in out if r.query_id == rows[i][0])
+        assert [v for _, v in got] == [v for _, v in brute(rows, i)]
