@@ -49,11 +49,18 @@ def masked(line: Column) -> Column:
     return F.when(line.rlike("[0-9]"), fields).otherwise(clean)
 
 
+def _row(text: str) -> Column:
+    return F.xxhash64(text_or_empty(text))
+
+
 def parsed_lines(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """``key, pos, m`` for every line with a token: its place in the text and its masked form."""
-    texts = docs.select(F.col(key).alias("key"), text_or_empty(text).alias("text"))
+    """``key, row, pos, m`` for every line with a token: its place in the text and its masked form.
+
+    ``row`` tells texts under one key apart; what it cannot tell apart is the same text.
+    """
+    texts = docs.select(F.col(key).alias("key"), _row(text).alias("row"), text_or_empty(text).alias("text"))
     # Masked before they become rows, so that nothing after computes it again.
-    return each(texts, ["key"], F.transform(F.split("text", "\n"), masked), "m").where("m <> ''")
+    return each(texts, ["key", "row"], F.transform(F.split("text", "\n"), masked), "m").where("m <> ''")
 
 
 def leaf(line: Column, leading: int) -> Column:
@@ -77,10 +84,10 @@ def repeated_lines(
     leading: int = LEADING,
     similarity: float = SIMILARITY,
 ) -> DataFrame:
-    """``key, pos`` of every line to drop, each once."""
+    """``key, row, pos`` of every line to drop, each once."""
     lines = parsed_lines(docs, key, text)
     places = staged(
-        lines.select("key", "pos", leaf(F.col("m"), leading).alias("leaf"), F.xxhash64("m").alias("line")), "lines"
+        lines.select("key", "row", "pos", leaf(F.col("m"), leading).alias("leaf"), F.xxhash64("m").alias("line")), "lines"
     )
     exact = staged(_recurring(places, ["leaf", "line"], min_docs), "recurring")
     by_line = _members(places, exact, ["leaf", "line"])
@@ -119,20 +126,20 @@ def repeated_lines(
     leading_agree = F.size("tokens") - behind
     alike = tokens.join(common, "leaf").where(agree - leading_agree >= F.ceil(behind * F.lit(similarity)))
     alike = staged(alike.select("leaf", "line"), "alike")
-    members = staged(places.join(alike, ["leaf", "line"]).select("leaf", "key", "pos"), "members")
+    members = staged(places.join(alike, ["leaf", "line"]).select("leaf", "key", "row", "pos"), "members")
     by_leaf = _members(members, staged(_recurring(members, ["leaf"], min_docs), "recurring"), ["leaf"])
     return by_line.unionByName(by_leaf).distinct()
 
 
 def _members(lines: DataFrame, templates: DataFrame, by: list[str]) -> DataFrame:
     """Lines of recurring templates outside the document that keeps them."""
-    return lines.join(templates, by).where(~F.col("key").eqNullSafe(F.col("first"))).select("key", "pos")
+    return lines.join(templates, by).where(~F.col("key").eqNullSafe(F.col("first"))).select("key", "row", "pos")
 
 
 def dropped_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """``key, drop``: the places of the lines to drop, ascending, for every document that has any."""
+    """``key, row, drop``: the places of the lines to drop, ascending, for every text under a key that has any."""
     found = repeated_lines(docs, key, text, **options)
-    return found.groupBy("key").agg(F.sort_array(F.collect_list("pos")).alias("drop"))
+    return found.groupBy("key", "row").agg(F.sort_array(F.collect_list("pos")).alias("drop"))
 
 
 def without_repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
@@ -140,14 +147,15 @@ def without_repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "te
 
     All rows and columns stay.  Null texts stay null, texts without repeated lines stay
     as they are, blank lines are never dropped.  Null keys count as one document that
-    keeps no template; of rows with the same key the lines are dropped alike.  Ties
-    between tokens go to the one that sorts first.  An empty table gives an empty result.
+    keeps no template, as rows with the same key count as one; each row loses lines of
+    its own text only.  Ties between tokens go to the one that sorts first.  An empty table gives an empty result.
     """
     require(docs, key, text)
     drops = staged(dropped_lines(docs, key, text, **options), "drops")
-    drops = drops.select(F.col("key").alias("__key"), F.col("drop").alias("__drop"))
+    drops = drops.select(F.col("key").alias("__key"), F.col("row").alias("__row"), F.col("drop").alias("__drop"))
     # Shared leaves and drops grow with the documents, so neither is ever broadcast.
-    joined = docs.join(drops.hint("merge"), docs[key].eqNullSafe(drops["__key"]), "left")
+    own = docs[key].eqNullSafe(drops["__key"]) & (_row(text) == drops["__row"])
+    joined = docs.join(drops.hint("merge"), own, "left")
     lines = F.split(F.col(text), "\n")
     kept = F.filter(lines, lambda _, i: ~F.array_contains("__drop", i))
     new = F.when(F.col("__drop").isNull(), F.col(text)).otherwise(F.array_join(kept, "\n"))

@@ -125,3 +125,13 @@ def test_long_line(frame):
 
 def test_empty(frame):
     assert L.without_repeated_lines(frame([])).count() == 0
+
+
+@pytest.mark.parametrize("key", [5, None])
+def test_texts_under_one_key(frame, key):
+    """A row loses its own recurring lines, not the places at which other rows of its key have them."""
+    rows = [(1, "common line"), (2, "common line"), (3, "x\ncommon line"), (key, "common line\nalpha"), (key, "beta\ngamma")]
+    rows += [(key, "delta\nepsilon\ncommon line"), (key, "delta\nepsilon\ncommon line")]
+    out = L.without_repeated_lines(frame(rows))
+    got = sorted((r.text, r["__dropped"]) for r in out.where(F.col("doc_id").eqNullSafe(F.lit(key))).collect())
+    assert got == [("alpha", 1), ("beta\ngamma", 0), ("delta\nepsilon", 1), ("delta\nepsilon", 1)]
