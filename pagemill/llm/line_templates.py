@@ -6,11 +6,19 @@ the first ``LEADING`` tokens (variable fields as ``<*>``).  The path is the line
 leaf.  Two sorts of templates live in a leaf:
 
 * the masked lines themselves: lines that differ in variable fields only;
-* the leaf's common template, which generalises other variable fields: at each
-  place the token that most of the leaf's lines have.  A line belongs to it
+* common templates, which generalise other variable fields: at each
+  place the token that most lines of a group have.  A line of the group belongs to it
   if it agrees at ``SIMILARITY`` or more of its places behind the leading ones; the places where it does not are
   the template's variable fields.
 
+The groups are the leaf itself and, for the leaf's several templates, the lines that agree
+in a class of places.  If ``m`` places may differ, the places behind the leading ones are dealt
+into ``m + 1`` classes in turn.  Fields at ``m`` places leave one class or more without a
+field, in which all lines of a template agree; and templates that differ in a run of more than
+``m`` places differ in every class.  So such templates are found beside each other,
+however many share the leaf and whatever else stands in it.  Of lines with more than ``CLASSES``
+classes (80 places or more) the first ``CLASSES`` are taken, each with places all along the line.
+
 A template recurs if lines of ``MIN_DOCS`` documents or more belong to it.  A line that
 belongs to a recurring template is dropped, except in the document with the
 smallest key among them: what is said once must not get lost with its copies.
@@ -31,6 +39,7 @@ from pagemill.operators.rows import each
 LEADING = 3
 MIN_DOCS = 3
 SIMILARITY = 0.8
+CLASSES = 16
 FIELD = "<*>"
 
 
@@ -101,20 +110,24 @@ def repeated_lines(
     # Lines of so many documents are at least so many lines.
     enough = (F.col("kinds") > 1) & (F.col("n") >= min_docs) & (F.col("low") < F.col("high"))
     shared = staged(shared.where(enough).select("leaf"), "leaves")
-    # Each different line of these leaves once, with how often it occurs.
+    # Each different line of these leaves once, with how often it occurs, if it can differ from a template at all.
+    size = F.char_length("m") - F.char_length(F.replace("m", F.lit(" "), F.lit(""))) + 1
     tokens = (
-        lines.withColumn("leaf", leaf(F.col("m"), leading))
+        lines.where(_may_differ(size, leading, similarity) > 0)
+        .withColumn("leaf", leaf(F.col("m"), leading))
         .join(shared.hint("merge"), "leaf")
         .groupBy("leaf", "m")
         .agg(F.count(F.lit(1)).alias("n"))
         .select("leaf", F.xxhash64("m").alias("line"), "n", F.split("m", " ").alias("tokens"))
     )
     tokens = staged(tokens, "tokens")
-    votes = tokens.select("leaf", "n", F.posexplode("tokens").alias("at", "token"))
-    votes = votes.groupBy("leaf", "at", "token").agg(F.sum("n").alias("n"))
+    grouped = staged(_groups(tokens, leading, similarity), "groups")
+    grouped = grouped.join(tokens.select("leaf", "line", "n", "tokens"), ["leaf", "line"])
+    votes = grouped.select("leaf", "group", "n", F.posexplode("tokens").alias("at", "token"))
+    votes = votes.groupBy("leaf", "group", "at", "token").agg(F.sum("n").alias("n"))
     # Most frequent first, ties to the token that sorts first.
-    top = votes.groupBy("leaf", "at").agg(F.min(F.struct(-F.col("n"), F.col("token"))).alias("top"))
-    common = top.groupBy("leaf").agg(
+    top = votes.groupBy("leaf", "group", "at").agg(F.min(F.struct(-F.col("n"), F.col("token"))).alias("top"))
+    common = top.groupBy("leaf", "group").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("at", F.col("top.token")))), lambda x: x["token"]).alias("common")
     )
     common = staged(common, "templates")
@@ -122,15 +135,42 @@ def repeated_lines(
         F.zip_with("tokens", "common", lambda a, b: F.when(a == b, 1).otherwise(0)), F.lit(0), lambda s, x: s + x
     )
     # The leading tokens agree by construction; the places behind them decide.
-    behind = F.size("tokens") - F.least(F.size("tokens"), F.lit(leading))
-    leading_agree = F.size("tokens") - behind
-    alike = tokens.join(common, "leaf").where(agree - leading_agree >= F.ceil(behind * F.lit(similarity)))
-    alike = staged(alike.select("leaf", "line"), "alike")
-    members = staged(places.join(alike, ["leaf", "line"]).select("leaf", "key", "row", "pos"), "members")
-    by_leaf = _members(members, staged(_recurring(members, ["leaf"], min_docs), "recurring"), ["leaf"])
+    differ = F.size("tokens") - agree
+    alike = grouped.join(common, ["leaf", "group"]).where(differ <= _may_differ(F.size("tokens"), leading, similarity))
+    # Groups with the same common line are one template.
+    alike = staged(alike.select("leaf", "line", F.xxhash64("common").alias("template")).distinct(), "alike")
+    members = staged(places.join(alike, ["leaf", "line"]).select("leaf", "template", "key", "row", "pos"), "members")
+    by = ["leaf", "template"]
+    by_leaf = _members(members, staged(_recurring(members, by, min_docs), "recurring"), by)
     return by_line.unionByName(by_leaf).distinct()
 
 
+def _may_differ(size: Column, leading: int, similarity: float) -> Column:
+    """At how many places a line of ``size`` tokens may differ from its template."""
+    behind = F.greatest(size - leading, F.lit(0))
+    return (behind - F.ceil(behind * F.lit(similarity))).cast("int")
+
+
+def _groups(tokens: DataFrame, leading: int, similarity: float) -> DataFrame:
+    """``leaf, group, line``: the leaves, and the lines of a leaf that agree in a class of places.
+
+    A group has two different lines or more; of groups with the same lines there is one.
+    """
+    step = _may_differ(F.size("tokens"), leading, similarity) + 1
+    classes = F.transform(
+        F.sequence(F.lit(0), F.least(step, F.lit(CLASSES)) - 1),
+        lambda c: F.xxhash64(
+            c,
+            F.transform(F.sequence(c + leading, F.size("tokens") - 1, step), lambda at: F.get("tokens", at)),
+        ),
+    )
+    groups = F.concat(F.array(F.lit(0).cast("bigint")), classes)
+    dealt = staged(tokens.select("leaf", "line", F.explode(groups).alias("group")), "classes")
+    kinds = dealt.groupBy("leaf", "group").agg(F.count(F.lit(1)).alias("kinds"), F.bit_xor("line").alias("all"))
+    kinds = kinds.where("kinds > 1").groupBy("leaf", "kinds", "all").agg(F.min("group").alias("group"))
+    return dealt.join(kinds.select("leaf", "group"), ["leaf", "group"])
+
+
 def _members(lines: DataFrame, templates: DataFrame, by: list[str]) -> DataFrame:
     """Lines of recurring templates outside the document that keeps them."""
     return lines.join(templates, by).where(~F.col("key").eqNullSafe(F.col("first"))).select("key", "row", "pos")

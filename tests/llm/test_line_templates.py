@@ -135,3 +135,22 @@ def test_texts_under_one_key(frame, key):
     out = L.without_repeated_lines(frame(rows))
     got = sorted((r.text, r["__dropped"]) for r in out.where(F.col("doc_id").eqNullSafe(F.lit(key))).collect())
     assert got == [("alpha", 1), ("beta\ngamma", 0), ("delta\nepsilon", 1), ("delta\nepsilon", 1)]
+
+
+def test_templates_that_share_a_leaf(frame, prose):
+    """Two interleaved templates with a word as their field, a rare third one, and unrelated lines between."""
+    names = "ada ben cleo dan eva finn gus hana ivo jill kim leo".split()
+    rows = []
+    for i, name in enumerate(names):
+        a = f"posted in the {name} category by our editors every single day"
+        b = f"posted in the morning hours for {name} readers of local news"
+        c = f"posted in the hope that {name} subscribers come back quite soon"
+        # Shares all but a run of three places with ``b``.
+        d = f"posted in the late summer while {name} readers of local news"
+        rows.append((i, "\n".join([a, b, *[c] * (i < 3), *[d] * (i < 5), f"posted in the {prose(i, 8)}", f"own {i}x"])))
+    found = dropped(frame(rows))
+    expected = set()
+    for i in range(1, len(names)):
+        expected |= {(i, 0), (i, 1), *[(i, 2)] * (i < 3), *[(i, 3 - (i >= 3))] * (i < 5)}
+    last = {(i, text.count("\n")) for i, text in rows}
+    assert {x for x in found if x not in last} == expected
