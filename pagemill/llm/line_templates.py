@@ -19,7 +19,9 @@ field, in which all lines of a template agree; and templates that differ in a ru
 however many share the leaf and whatever else stands in it.  Of lines with more than ``CLASSES``
 classes (80 places or more) the first ``CLASSES`` are taken, each with places all along the line.
 
-A template recurs if lines of ``MIN_DOCS`` documents or more belong to it.  A line that
+A template recurs if lines of ``MIN_DOCS`` documents or more belong to it, or of ``LONG_DOCS``
+if it has ``LONG_WORDS`` tokens or more besides variable fields: a passage of that length is not
+in two documents by chance.  A line that
 belongs to a recurring template is dropped, except in the document with the
 smallest key among them: what is said once must not get lost with its copies.
 
@@ -38,6 +40,8 @@ from pagemill.operators.rows import each
 
 LEADING = 3
 MIN_DOCS = 3
+LONG_DOCS = 2
+LONG_WORDS = 50
 SIMILARITY = 0.8
 CLASSES = 16
 FIELD = "<*>"
@@ -72,33 +76,49 @@ def parsed_lines(docs: DataFrame, key: str, text: str) -> DataFrame:
     return each(texts, ["key", "row"], F.transform(F.split("text", "\n"), masked), "m").where("m <> ''")
 
 
+def _tokens(line: Column) -> Column:
+    return F.char_length(line) - F.char_length(F.replace(line, F.lit(" "), F.lit(""))) + 1
+
+
 def leaf(line: Column, leading: int) -> Column:
     """Hash of the path through the tree: token count and leading tokens."""
-    count = F.char_length(line) - F.char_length(F.replace(line, F.lit(" "), F.lit(""))) + 1
-    return F.xxhash64(count, F.substring_index(line, " ", leading))
+    return F.xxhash64(_tokens(line), F.substring_index(line, " ", leading))
+
 
+def _need(words: Column, min_docs: int | None) -> Column:
+    """Documents a template with so many tokens besides variable fields has to recur in."""
+    by_length = F.when(words >= LONG_WORDS, LONG_DOCS).otherwise(MIN_DOCS)
+    return by_length if min_docs is None else F.lit(min_docs)
 
-def _recurring(members: DataFrame, by: list[str], min_docs: int) -> DataFrame:
-    """``by, first``: templates with members from ``min_docs`` keys or more, and the smallest of these."""
-    per_doc = members.select(*by, "key").distinct()
-    counted = per_doc.groupBy(*by).agg(F.count(F.lit(1)).alias("docs"), F.min("key").alias("first"))
-    return counted.where(F.col("docs") >= min_docs).select(*by, "first")
+
+def _recurring(members: DataFrame, by: list[str]) -> DataFrame:
+    """``by, first``: templates with members from ``need`` keys or more, and the smallest of these."""
+    per_doc = members.select(*by, "need", "key").distinct()
+    counted = per_doc.groupBy(*by, "need").agg(F.count(F.lit(1)).alias("docs"), F.min("key").alias("first"))
+    return counted.where(F.col("docs") >= F.col("need")).select(*by, "first")
 
 
 def repeated_lines(
     docs: DataFrame,
     key: str = "doc_id",
     text: str = "text",
-    min_docs: int = MIN_DOCS,
+    min_docs: int | None = None,
     leading: int = LEADING,
     similarity: float = SIMILARITY,
 ) -> DataFrame:
-    """``key, row, pos`` of every line to drop, each once."""
+    """``key, row, pos`` of every line to drop, each once.
+
+    ``min_docs`` holds for lines of any length; without it their length decides.
+    """
     lines = parsed_lines(docs, key, text)
+    # Fields are three characters long.
+    fields = ((F.char_length("m") - F.char_length(F.replace("m", F.lit(FIELD), F.lit("")))) / len(FIELD)).cast("int")
+    need = _need(_tokens(F.col("m")) - fields, min_docs).alias("need")
     places = staged(
-        lines.select("key", "row", "pos", leaf(F.col("m"), leading).alias("leaf"), F.xxhash64("m").alias("line")), "lines"
+        lines.select("key", "row", "pos", leaf(F.col("m"), leading).alias("leaf"), F.xxhash64("m").alias("line"), need),
+        "lines",
     )
-    exact = staged(_recurring(places, ["leaf", "line"], min_docs), "recurring")
+    exact = staged(_recurring(places, ["leaf", "line"]), "recurring")
     by_line = _members(places, exact, ["leaf", "line"])
     # Leaves with lines of several documents that are not all the same line: one row per different line.
     kinds = places.groupBy("leaf", "line").agg(
@@ -108,12 +128,11 @@ def repeated_lines(
         F.count(F.lit(1)).alias("kinds"), F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high")
     )
     # Lines of so many documents are at least so many lines.
-    enough = (F.col("kinds") > 1) & (F.col("n") >= min_docs) & (F.col("low") < F.col("high"))
+    enough = (F.col("kinds") > 1) & (F.col("n") >= (min_docs or LONG_DOCS)) & (F.col("low") < F.col("high"))
     shared = staged(shared.where(enough).select("leaf"), "leaves")
     # Each different line of these leaves once, with how often it occurs, if it can differ from a template at all.
-    size = F.char_length("m") - F.char_length(F.replace("m", F.lit(" "), F.lit(""))) + 1
     tokens = (
-        lines.where(_may_differ(size, leading, similarity) > 0)
+        lines.where(_may_differ(_tokens(F.col("m")), leading, similarity) > 0)
         .withColumn("leaf", leaf(F.col("m"), leading))
         .join(shared.hint("merge"), "leaf")
         .groupBy("leaf", "m")
@@ -138,10 +157,13 @@ def repeated_lines(
     differ = F.size("tokens") - agree
     alike = grouped.join(common, ["leaf", "group"]).where(differ <= _may_differ(F.size("tokens"), leading, similarity))
     # Groups with the same common line are one template.
-    alike = staged(alike.select("leaf", "line", F.xxhash64("common").alias("template")).distinct(), "alike")
-    members = staged(places.join(alike, ["leaf", "line"]).select("leaf", "template", "key", "row", "pos"), "members")
+    words = F.size(F.filter("common", lambda x: x != FIELD))
+    alike = alike.select("leaf", "line", F.xxhash64("common").alias("template"), _need(words, min_docs).alias("need"))
+    alike = staged(alike.distinct(), "alike")
+    members = places.drop("need").join(alike, ["leaf", "line"])
+    members = staged(members.select("leaf", "template", "need", "key", "row", "pos"), "members")
     by = ["leaf", "template"]
-    by_leaf = _members(members, staged(_recurring(members, by, min_docs), "recurring"), by)
+    by_leaf = _members(members, staged(_recurring(members, by), "recurring"), by)
     return by_line.unionByName(by_leaf).distinct()
 
 

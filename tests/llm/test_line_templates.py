@@ -154,3 +154,13 @@ def test_templates_that_share_a_leaf(frame, prose):
         expected |= {(i, 0), (i, 1), *[(i, 2)] * (i < 3), *[(i, 3 - (i >= 3))] * (i < 5)}
     last = {(i, text.count("\n")) for i, text in rows}
     assert {x for x in found if x not in last} == expected
+
+
+def test_long_lines_of_two_documents(frame, prose):
+    """A passage recurs from two documents on, the smaller key keeps it; a short line does not."""
+    passage, other = prose(1, 60), prose(2, 60)
+    changed = other.split()
+    changed[30] = "changed"
+    rows = [(1, f"{passage}\nshort line\n{other}"), (2, f"own\n{passage}"), (3, f"short line\n{' '.join(changed)}")]
+    assert dropped(frame(rows)) == {(2, 1), (3, 1)}
+    assert dropped(frame(rows), min_docs=3) == set()
