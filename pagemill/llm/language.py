@@ -14,7 +14,7 @@ Four kinds of evidence are fused by adding logarithms:
 A text is rejected when it has no letters, when the background model explains it better
 than any language, or when the best language's probability is below ``MIN_CONFIDENCE``.
 
-The trigram models are fitted on a sample of labelled rows, bounded by ``SAMPLE_ROWS`` rows and
+The trigram models are fitted on a sample of labelled rows, bounded by ``SAMPLE_ROWS`` rows per language and
 ``SAMPLE_CHARS`` characters per row, and on a few common words per language, which alone
 serve where there are no labelled rows.
 """
@@ -27,7 +27,7 @@ import zlib
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagemill.functions.text import let
@@ -105,13 +105,21 @@ def fit(texts: list[str], languages: list[str]) -> TextModel:
 
 
 def fit_on(docs: DataFrame, text: str = "text", language: str = "lang", rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS) -> TextModel:
-    """Fit on at most ``rows`` rows with a language, chosen by a hash of their texts."""
+    """Fit on at most ``rows`` rows of each language, chosen by a hash of their texts."""
     require(docs, text, language)
     known = docs.select(F.col(text).alias("t"), F.lower(F.trim(F.col(language))).alias("l"))
     known = known.where(F.col("l").rlike("^[a-z]{2,3}$") & (F.length("t") <= chars) & (F.length("t") > 0))
     known = known.withColumn("h", F.xxhash64("t"))
     # The choice is made on hashes; only the texts chosen, each once, ever come to the driver.
-    picked = known.select("h").distinct().orderBy("h").limit(rows)
+    # Each language has rows of its own, so a rare one is in the model however large the others are.
+    hashes = known.groupBy("h").agg(F.min("l").alias("l"))
+    sizes = hashes.groupBy("l").agg(F.count(F.lit(1)).alias("n"))
+    # Hashes are uniform: the lowest part of a language's, twice what is wanted and some, holds the smallest;
+    # so no task ever orders a whole language.
+    share = F.col("h").cast("double") / 2.0**64 + 0.5
+    low = hashes.join(F.broadcast(sizes), "l").where(share * F.col("n") <= 2 * rows + 100)
+    nth = F.row_number().over(Window.partitionBy("l").orderBy("h"))
+    picked = low.withColumn("nth", nth).where(F.col("nth") <= rows).select("h")
     chosen = known.join(F.broadcast(picked), "h").groupBy("h").agg(F.min(F.struct("l", "t")).alias("r"))
     picked = chosen.select("r.*").collect()
     return fit([r["t"] for r in picked], [r["l"] for r in picked])

@@ -99,3 +99,13 @@ def test_accuracy(spark, sf):
     found = L.identify(docs, L.fit_on(docs, rows=60), ["doc_id", "lang"], host=F.col("source"))
     good = found.where("language = lang and accepted").count()
     assert good >= 0.99 * docs.count()
+
+
+def test_rare_languages_are_sampled(spark, prose):
+    """A language with three texts beside 300 of another is in the model though the sample is small."""
+    rows = [(prose(i, 20), "en") for i in range(300)]
+    rows += [(f"το σπίτι στο λόφο χτίστηκε από ανθρώπους {i}", "el") for i in range(3)]
+    model = L.fit_on(spark.createDataFrame(rows, "text string, lang string"), rows=5)
+    assert "el" in model.languages
+    docs = spark.createDataFrame([(1, "το σπίτι των ανθρώπων χτίστηκε στο λόφο")], "id bigint, text string")
+    assert [r.language for r in L.identify(docs, model, ["id"]).collect()] == ["el"]
