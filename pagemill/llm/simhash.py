@@ -1,26 +1,21 @@
-"""Near-duplicate documents by SimHash fingerprints and pivot distance tables.
+"""Near-duplicate documents by SimHash fingerprints, bit blocks and pivot distance tables.
 
 A fingerprint has a bit for the majority of the hashes of a document's word
 shingles.  Fingerprints within ``max_bits`` differing bits are linked, and
 links form components.
 
 Search.  Equal fingerprints are one row from the start, so groups of exact
-copies, however large, cost one row.  For distinct fingerprints the distances
-to many reference fingerprints are known; by the triangle inequality a pair
-within ``max_bits`` differs by no more than that in any of them.  The
-references are of two sorts:
-
-* *indexing references*: an anchor, and the anchor with one bit turned, for
-  each of the 64 bits.  The anchor's distance less that of such a reference
-  says whether the fingerprint has that bit, so the coordinates of a group of
-  references are equal exactly where the bits of the group are.  The bits are
-  cut into ``max_bits + 2`` groups.  A pair with ``max_bits`` or fewer different
-  bits agrees in at least two groups, so it meets in the bucket of these
-  two.  Nothing is lost, and no pair outside a bucket is looked at.
-* *discarding references*: ``PIVOTS`` fixed pseudo-random fingerprints.  Within
-  a bucket all distances to them are computed once, and a pair whose largest
-  coordinate difference exceeds ``max_bits`` is discarded.  Survivors are
-  verified bit by bit.
+copies, however large, cost one row.  Candidates are found by bit blocks, since a
+table of distances to pivots alone would have to be compared pair by pair:
+
+* *bit blocks*: the bits are cut into ``max_bits + 2`` groups.  A pair with
+  ``max_bits`` or fewer different bits agrees in at least two groups, so it meets
+  in the bucket of these two.  Nothing is lost, and no pair outside a bucket is
+  looked at.
+* *pivots*: ``PIVOTS`` fixed pseudo-random fingerprints.  Within a bucket all
+  distances to them are computed once; by the triangle inequality a pair within
+  ``max_bits`` differs by no more than that in any of them, and other pairs are
+  discarded.  Survivors are verified bit by bit.
 
 A bucket with more than ``bucket_rows`` fingerprints is not compared as it is:
 its rows are dealt again by two groups among the bits the bucket has not fixed
