@@ -18,6 +18,7 @@ from pagemill.llm.pii import BASE, digest, find_spans
 from pagemill.llm.pivot_lists import similar_vectors
 from pagemill.llm.projections import nearest_neighbours
 from pagemill.llm.simhash import simhash_components
+from pagemill.llm.spelling import spelling_variants
 from pagemill.llm.token_counts import section_token_counts
 from pagemill.llm.toxicity import toxicity
 
@@ -137,3 +138,9 @@ def op6_section_tokens(read):
     return section_token_counts(
         read("documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
     )
+
+
+@query
+def op13_spelling(read):
+    """Words of all documents, the words one edit away, and the frequent form each belongs to."""
+    return spelling_variants(read("documents"))
