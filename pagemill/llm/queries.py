@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from pagemill.functions.html import TAG, strip_noise
 from pagemill.llm.common import ready
+from pagemill.llm.katz import katz_scores
 from pagemill.llm.language import fit_on, host_of, identify
 from pagemill.llm.line_templates import without_repeated_lines
 from pagemill.llm.packing import pack
@@ -144,3 +145,11 @@ def op6_section_tokens(read):
 def op13_spelling(read):
     """Words of all documents, the words one edit away, and the frequent form each belongs to."""
     return spelling_variants(read("documents"))
+
+
+@query
+def op12_katz(read):
+    """Log probabilities of all documents under a backoff model of those whose hash modulo 7 is not 2."""
+    remainder = F.crc32(F.col("doc_id").cast("string")) % 7
+    # A document without an id is not held out.
+    return katz_scores(read("documents"), F.coalesce(remainder != 2, F.lit(True)))
