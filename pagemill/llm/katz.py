@@ -31,7 +31,7 @@ ORDER = 3
 LEAST = (1, 1, 2)
 RELIABLE_LOSS = 0.01
 START, END = b"", b"\n"
-SHARD = "shard bigint, size bigint, words binary, counts binary, ids binary, lengths binary, learned binary"
+SHARD = "shard bigint, size bigint, tokens bigint, words binary, counts binary, ids binary, lengths binary, learned binary"
 
 
 @dataclass(frozen=True)
@@ -113,11 +113,11 @@ def _cut(key_type, shard_tokens: int):
             counts = np.bincount(ids[taught], minlength=len(numbers.words))
             counts[0] = 0
             row = [
-                (TaskContext.get().partitionId() << 32) + made, len(numbers.words), X.pack_words(numbers.words[1:]), X.pack(counts),
+                (TaskContext.get().partitionId() << 32) + made, len(numbers.words), size, X.pack_words(numbers.words[1:]), X.pack(counts),
                 X.pack(ids), X.pack(np.array(lengths)), X.pack(np.array(learned, np.int64)), keys,
             ]
-            names = ["shard", "size", "words", "counts", "ids", "lengths", "learned", "keys"]
-            kinds = [pa.int64(), pa.int64(), *[pa.binary()] * 5, pa.list_(key_type)]
+            names = ["shard", "size", "tokens", "words", "counts", "ids", "lengths", "learned", "keys"]
+            kinds = [*[pa.int64()] * 3, *[pa.binary()] * 5, pa.list_(key_type)]
             return pa.RecordBatch.from_arrays([pa.array([v], type=k) for v, k in zip(row, kinds)], names=names)
 
         for batch in batches:
@@ -396,8 +396,7 @@ def katz_scores(
     kind = docs.schema[key].dataType
     rows = docs.select(F.col(key).alias("key"), F.coalesce(learned, F.lit(False)).alias("learned"), text_or_empty(text).alias("text"))
     shards = staged(rows.mapInArrow(_cut(to_arrow_type(kind), shard_tokens), f"{SHARD}, keys array<{kind.simpleString()}>"), "shards")
-    keys = shards.agg(F.sum("size")).first()[0] or 0
-    buckets = max(1, -(-keys // bucket_keys))
+    buckets = X.buckets_for(shards, bucket_keys)
 
     def ask_words(batches):
         for batch in batches:

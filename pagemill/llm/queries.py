@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagemill.functions.html import TAG, strip_noise
+from pagemill.llm.collocations import collocations
 from pagemill.llm.common import ready
 from pagemill.llm.katz import katz_scores
 from pagemill.llm.language import fit_on, host_of, identify
@@ -153,3 +154,9 @@ def op12_katz(read):
     remainder = F.crc32(F.col("doc_id").cast("string")) % 7
     # A document without an id is not held out.
     return katz_scores(read("documents"), F.coalesce(remainder != 2, F.lit(True)))
+
+
+@query
+def op11_collocations(read):
+    """The best phrases of two to four words of each language, over all documents."""
+    return collocations(read("documents"))

@@ -198,6 +198,11 @@ def histogram(counts: np.ndarray) -> np.ndarray:
     return np.concatenate([[len(some), some.sum()], np.bincount(some[some <= TOLD_APART], minlength=TOLD_APART + 1)[1:]])
 
 
+def buckets_for(shards: DataFrame, bucket_keys: int) -> int:
+    """So many buckets that one holds ``bucket_keys`` keys at most on average: a shard asks for no more than its tokens."""
+    return max(1, -(-(shards.agg(F.sum("tokens")).first()[0] or 0) // bucket_keys))
+
+
 def exchanged(rows: DataFrame, answer: Callable[[pa.Table], pa.Table]) -> DataFrame:
     """The answers of all buckets to the ``ask`` rows."""
     return rows.groupBy("bucket").applyInArrow(answer, ROW)
