@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -12,13 +13,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 import pagemill.llm
-from pagemill.session import configure, staged
+from pagemill import session
+from pagemill.session import configure
 
 # Functions sent to executors carry this subpackage's code with them, so that
 # nothing has to be installed there beside Spark, numpy and the tokenizers.
 cloudpickle.register_pickle_by_value(pagemill.llm)
 
-__all__ = ["ready", "require", "staged", "text_or_empty", "link_map", "WordTable"]
+__all__ = ["ready", "require", "tidy", "staged", "discard", "text_or_empty", "link_map", "WordTable"]
+
+FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 # Texts may be long: a few hundred of them at a time pass between Spark and Python.
 ROWS_PER_BATCH = "500"
@@ -32,6 +36,31 @@ def ready(spark: SparkSession) -> SparkSession:
     return spark
 
 
+@contextmanager
+def tidy(spark: SparkSession) -> Iterator[None]:
+    """Within, Spark removes the shuffle files of every query as it ends; the setting of before is put back."""
+    before = spark.conf.get(FREE_SHUFFLES)
+    spark.conf.set(FREE_SHUFFLES, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(FREE_SHUFFLES, before)
+
+
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written below the shared folder and read from there; its shuffle files go at once."""
+    with tidy(df.sparkSession):
+        return session.staged(df, name)
+
+
+def discard(df: DataFrame) -> None:
+    """Remove the files of a staged table that nothing will read again."""
+    spark = df.sparkSession
+    for folder in {name.rpartition("/")[0] for name in df.inputFiles()}:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def require(df: DataFrame, *columns: str) -> None:
     missing = [c for c in columns if c not in df.columns]
     if missing:

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagemill.llm import shards as X
-from pagemill.llm.common import require, staged, text_or_empty
+from pagemill.llm.common import discard, require, staged, text_or_empty
 
 ORDER = 3
 # Fewest occurrences of a sequence of one, two, … words that the model keeps; the last one holds beyond.
@@ -426,6 +426,7 @@ def katz_scores(
             seen = X.totals(known[-1].unionByName(asked.where("kind = 'total'")))
             below = Discounts.fit(seen[2:], least_here)
             setting = Setting(words, texts, (*setting.discounts, below), least, buckets, bucket_keys)
+        discard(asked)
     schema = f"key {kind.simpleString()}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
     scored = X.with_answers(shards, *known, *contexts).mapInArrow(_score(setting, order, to_arrow_type(kind)), schema)
     return scored.withColumnRenamed("key", key)

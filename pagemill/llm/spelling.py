@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagemill.llm.common import require, staged
+from pagemill.llm.common import require, staged, tidy
 from pagemill.session import scratch_path
 
 MIN_LETTERS = 6
@@ -110,7 +110,8 @@ def trie_edges(words: DataFrame) -> DataFrame:
     )
     path = scratch_path(words.sparkSession, "trie")
     # One task for each part of a level, so that no level becomes a swarm of small files.
-    whole.repartition("level", F.pmod("parent", F.lit(64))).write.partitionBy("level").parquet(path)
+    with tidy(words.sparkSession):
+        whole.repartition("level", F.pmod("parent", F.lit(64))).write.partitionBy("level").parquet(path)
     return words.sparkSession.read.schema(whole.schema).parquet(path)
 
 
@@ -173,7 +174,8 @@ def near_pairs(words: DataFrame) -> DataFrame:
             steps.append(_advanced(states, edges, depth))
         level = steps[0] if len(steps) == 1 else steps[0].unionByName(steps[1])
         path = scratch_path(spark, "frontier")
-        level.write.parquet(path)
+        with tidy(spark):
+            level.write.parquet(path)
         found.append(path)
         states = spark.read.schema(level.schema).parquet(path)
         if states.isEmpty():
