@@ -53,12 +53,10 @@ def staged(df: DataFrame, name: str) -> DataFrame:
         return session.staged(df, name)
 
 
-def discard(df: DataFrame) -> None:
-    """Remove the files of a staged table that nothing will read again."""
-    spark = df.sparkSession
-    for folder in {name.rpartition("/")[0] for name in df.inputFiles()}:
-        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+def discard(spark: SparkSession, folder: str) -> None:
+    """Remove a folder of staged rows that nothing will read again."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def require(df: DataFrame, *columns: str) -> None:

@@ -8,9 +8,9 @@ leave, divided by what the shorter context gives to words not seen after ``h``.
 
 Texts are shards of numbered words.  For each order every shard sends its different word sequences with
 their counts in the training texts to buckets dealt by context, gets the corpus' counts back, and the buckets keep for each
-context the discounted counts of its words: these tables, written below the shared folder, are the model.  Contexts
-more frequent than a bucket is to hold are spread over several.  A shard then asks for the contexts from which it has to
-back off, and evaluates its tokens order by order.
+context how often its words occur: these tables, written below the shared folder, are the model.  Contexts
+more frequent than a bucket is to hold are spread over several.  A shard gets the weights of the contexts it holds, and
+evaluates its tokens order by order.
 """
 
 from __future__ import annotations
@@ -225,8 +225,8 @@ def _answer_grams(order: int, least: int, lower: Discounts, buckets: int):
     return answer
 
 
-def _answer_contexts(width: int, discounts: Discounts):
-    """For each context asked: the discounted counts of the words seen after it, and their mass one order below."""
+def _answer_contexts(width: int, discounts: Discounts, scale: float):
+    """The backoff weight of each context asked: what its words leave, divided by what they leave one order below."""
     told = discounts.of(np.arange(1, X.TOLD_APART))
 
     def answer(table: pa.Table) -> pa.Table:
@@ -249,7 +249,8 @@ def _answer_contexts(width: int, discounts: Discounts):
         for shard, part in asked:
             of = number[start : start + len(part[0])]
             start += len(of)
-            rows.add("answer", bucket, shard, X.pack(seen[of]), X.pack(mass[of]))
+            own, below = part[width:]
+            rows.add("answer", bucket, shard, X.pack((1.0 - seen[of] / own) / (1.0 - scale * mass[of] / below)))
         return pa.Table.from_batches([rows.batch()])
 
     return answer
@@ -268,7 +269,7 @@ class Setting:
 
 
 def _known(row: dict, setting: Setting, orders: int, contexts: int) -> tuple[Grams, list, list]:
-    """A shard's sequences with the counts of ``orders`` orders and the sums of contexts up to order ``contexts``."""
+    """A shard's sequences with the counts of ``orders`` orders and the weights of contexts up to order ``contexts``."""
     answers = X.answers_of(row["answers"], orders + max(contexts - 1, 0))
     size = row["size"]
     words = X.unpack_words(row["words"], size - 1)
@@ -283,70 +284,66 @@ def _known(row: dict, setting: Setting, orders: int, contexts: int) -> tuple[Gra
         counts[asked] = X.undealt(answers[order - 1], bucket, 1)[0]
         grams.counts.append(counts)
         alive.append((counts >= least) & (counts > 0))
-    sums: list = [None, None]
+    weights: list = [None, None]
     for order in range(2, contexts + 1):
-        wanted = _backing_off(grams, alive, order, least_of(order, setting.least))
+        wanted = _contexts(grams, order, least_of(order, setting.least))
         bucket = X.bucket_of([c[wanted] for c in grams.columns[order - 1]], setting.buckets)
-        sums.append((wanted, X.undealt(answers[orders + order - 2], bucket, 2)))
-    return grams, alive, sums
+        weight = np.ones(len(grams.counts[order - 1]))
+        weight[wanted] = X.undealt(answers[orders + order - 2], bucket, 1)[0]
+        weights.append(weight)
+    return grams, alive, weights
 
 
-def _backing_off(grams: Grams, alive: list, order: int, least: int) -> np.ndarray:
-    """The contexts (numbers of the order below) after which a word follows that the order does not know.
+def _contexts(grams: Grams, order: int, least: int) -> np.ndarray:
+    """The contexts of an order's sequences (numbers of the order below) after which the model may know a word.
 
-    After a context with fewer than ``least`` occurrences the order knows no word at all, and its weight is 1.
+    After a context with fewer than ``least`` occurrences it knows none, and the weight is 1.
     """
-    contexts = np.unique(grams.prefix[order][~alive[order]])
+    contexts = np.unique(grams.prefix[order])
     return contexts[grams.counts[order - 1][contexts] >= max(least, 1)]
 
 
-def _ask(setting: Setting, orders: int, last: int):
-    """Questions after ``orders`` orders are known: the next order's counts, and the contexts of the last one."""
+def _ask(setting: Setting, order: int):
+    """Questions of a shard for one order, all below being known: counts of its sequences, weights of their contexts."""
 
     def run(batches):
         for batch in batches:
             for row in X.one_by_one(batch):
-                grams, alive, _ = _known(row, setting, orders, 0)
+                grams, _, _ = _known(row, setting, order - 1, 0)
+                grams.extend()
                 rows = X.Rows()
-                if orders > 1:
-                    wanted = _backing_off(grams, alive, orders, least_of(orders, setting.least))
-                    columns = [c[wanted] for c in grams.columns[orders - 1]]
-                    if len(wanted):
-                        rows.deal("backoff", row["shard"], X.bucket_of(columns, setting.buckets), columns)
-                if orders < last:
-                    order = grams.extend()
-                    asked = grams.possible(order, least_of(order, setting.least))
+                least = least_of(order, setting.least)
+                lower = grams.counts[order - 1]
+                asked = grams.possible(order, least)
+                alone = int(grams.n[order][~asked].sum())
+                rows.add("total", -1, row["shard"], X.pack(X.histogram(np.ones(alone, np.int64))))
+                if asked.any():
                     bucket = grams.bucket(order, asked, setting.buckets, setting.bucket_keys)
-                    below = grams.counts[order - 1][grams.suffix[order][asked]]
-                    alone = int(grams.n[order][~asked].sum())
-                    rows.add("total", -1, row["shard"], X.pack(X.histogram(np.ones(alone, np.int64))))
-                    if asked.any():
-                        rows.deal("ask", row["shard"], bucket, [*[c[asked] for c in grams.columns[order]], grams.n[order][asked], below])
+                    below = lower[grams.suffix[order][asked]]
+                    rows.deal("ask", row["shard"], bucket, [*[c[asked] for c in grams.columns[order]], grams.n[order][asked], below])
+                wanted = _contexts(grams, order, least)
+                if len(wanted):
+                    columns = [c[wanted] for c in grams.columns[order - 1]]
+                    if order == 2:
+                        below = np.full(len(wanted), max(setting.words.tokens, 1))
+                    else:
+                        below = grams.counts[order - 2][grams.suffix[order - 1][wanted]]
+                    rows.deal("backoff", row["shard"], X.bucket_of(columns, setting.buckets), [*columns, lower[wanted], below])
                 yield rows.batch()
 
     return run
 
 
-def _probabilities(grams: Grams, alive: list, sums: list, setting: Setting) -> np.ndarray:
+def _probabilities(grams: Grams, alive: list, weights: list, setting: Setting) -> np.ndarray:
     """The probability of the token at each place of a shard; 1 at the beginnings of texts."""
-    words = setting.words
-    p = words.probability(grams.counts[1])[grams.ids]
+    p = setting.words.probability(grams.counts[1])[grams.ids]
     for order in range(2, len(alive)):
         at = grams.at[order]
         here = np.flatnonzero(at >= 0)
         j = at[here]
-        lower = grams.counts[order - 1]
-        weight = np.ones(len(lower))
-        wanted, (seen, mass) = sums[order]
-        if len(wanted):
-            if order == 2:
-                below = mass * words.scale / max(words.tokens, 1)
-            else:
-                below = mass / grams.counts[order - 2][grams.suffix[order - 1][wanted]]
-            weight[wanted] = (1.0 - seen / lower[wanted]) / (1.0 - below)
         context = grams.prefix[order][j]
-        own = setting.discounts[order - 2].of(grams.counts[order][j]) / np.maximum(lower[context], 1)
-        p[here] = np.where(alive[order][j], own, weight[context] * p[here])
+        own = setting.discounts[order - 2].of(grams.counts[order][j]) / np.maximum(grams.counts[order - 1][context], 1)
+        p[here] = np.where(alive[order][j], own, weights[order][context] * p[here])
     p[grams.ids == 0] = 1.0
     return p
 
@@ -358,13 +355,13 @@ def _score(setting: Setting, order: int, key_type):
     def run(batches):
         for batch in batches:
             for row in X.one_by_one(batch):
-                grams, alive, sums = _known(row, setting, order, order)
+                grams, alive, weights = _known(row, setting, order, order)
                 starts = np.cumsum(grams.lengths) - grams.lengths
                 words = setting.words
                 counts = np.where(grams.ids == 0, 0, grams.counts[1][grams.ids])
                 base = np.log10((counts + 1) / (words.tokens + words.different + 1))
                 base[grams.ids == 0] = 0.0
-                logs = np.log10(_probabilities(grams, alive, sums, setting))
+                logs = np.log10(_probabilities(grams, alive, weights, setting))
                 size = len(starts)
                 columns = [
                     row["keys"], ~X.unpack(row["learned"]).astype(bool), grams.lengths - 1, np.add.reduceat((counts > 0).astype(np.int64), starts),
@@ -412,21 +409,19 @@ def katz_scores(
     texts = rows.where("learned").count()
     setting = Setting(words, texts, (), least, buckets, bucket_keys)
     contexts: list[DataFrame] = []
-    below = words.discounts
-    for orders in range(1, order + 1):
-        if order == 1:
-            break
-        asked = staged(X.with_answers(shards, *known).mapInArrow(_ask(setting, orders, order), X.ROW), "asked")
-        if orders > 1:
-            pairs = known[-1].where("kind = 'context'").unionByName(asked.where("kind = 'backoff'"))
-            contexts.append(staged(X.exchanged(pairs, _answer_contexts(orders - 1, setting.discounts[-1])), "contexts"))
-        if orders < order:
-            least_here = least_of(orders + 1, least)
-            known.append(staged(X.exchanged(asked.where("kind = 'ask'"), _answer_grams(orders + 1, least_here, below, buckets)), "grams"))
-            seen = X.totals(known[-1].unionByName(asked.where("kind = 'total'")))
-            below = Discounts.fit(seen[2:], least_here)
-            setting = Setting(words, texts, (*setting.discounts, below), least, buckets, bucket_keys)
-        discard(asked)
+    below, scale = words.discounts, words.scale
+    for now in range(2, order + 1):
+        least_here = least_of(now, least)
+        asked, questions = X.written(X.with_answers(shards, *known).mapInArrow(_ask(setting, now), X.ROW), "asked")
+        grams, counts = X.written(X.exchanged(asked.where("kind = 'ask'"), _answer_grams(now, least_here, below, buckets)), "grams")
+        below = Discounts.fit(X.totals(grams.unionByName(asked.where("kind = 'total'")))[2:], least_here)
+        pairs = grams.where("kind = 'context'").unionByName(asked.where("kind = 'backoff'"))
+        contexts.append(staged(X.exchanged(pairs, _answer_contexts(now - 1, below, scale)), "contexts"))
+        known.append(grams)
+        setting = Setting(words, texts, (*setting.discounts, below), least, buckets, bucket_keys)
+        scale = 1.0
+        discard(rows.sparkSession, questions)
+        discard(rows.sparkSession, f"{counts}/kind=context")
     schema = f"key {kind.simpleString()}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
     scored = X.with_answers(shards, *known, *contexts).mapInArrow(_score(setting, order, to_arrow_type(kind)), schema)
     return scored.withColumnRenamed("key", key)

@@ -20,9 +20,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pagemill.llm.common import tidy
+from pagemill.session import scratch_path
+
 # Words of a shard, and keys of a bucket on average.  Texts are not cut, so a shard may exceed this by one text.
-SHARD_TOKENS = 1 << 20
-BUCKET_KEYS = 1 << 20
+SHARD_TOKENS = 1 << 19
+BUCKET_KEYS = 1 << 19
 
 ROW = "kind string, bucket bigint, shard bigint, data array<binary>"
 _ARROW = pa.schema([("kind", pa.string()), ("bucket", pa.int64()), ("shard", pa.int64()), ("data", pa.list_(pa.binary()))])
@@ -208,6 +211,16 @@ def exchanged(rows: DataFrame, answer: Callable[[pa.Table], pa.Table]) -> DataFr
     return rows.groupBy("bucket").applyInArrow(answer, ROW)
 
 
+def written(rows: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """Rows of the exchange written below the shared folder, each kind in a folder ``kind=…`` of its own, and the path."""
+    spark = rows.sparkSession
+    path = scratch_path(spark, name)
+    with tidy(spark):
+        rows.write.partitionBy("kind").parquet(path)
+    # A path without rows has no folders to tell the kinds from.
+    return spark.read.schema(ROW).option("basePath", path).parquet(path), path
+
+
 def totals(answers: DataFrame) -> np.ndarray:
     """The sum of all ``total`` rows: a handful of numbers, added up in Spark's tasks but for one row each."""
 
