@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import sys
+from collections.abc import Callable, Hashable, Iterator
 from contextlib import contextmanager
+from types import ModuleType
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +22,7 @@ from pagemill.session import configure
 # nothing has to be installed there beside Spark, numpy and the tokenizers.
 cloudpickle.register_pickle_by_value(pagemill.llm)
 
-__all__ = ["ready", "require", "tidy", "staged", "discard", "text_or_empty", "link_map", "WordTable"]
+__all__ = ["ready", "require", "tidy", "staged", "discard", "text_or_empty", "link_map", "per_worker", "WordTable"]
 
 FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
@@ -87,6 +89,19 @@ def link_map(df: DataFrame, rows: Callable[[pa.RecordBatch], Iterator | dict], s
     return df.mapInArrow(run, kinds)
 
 
+def per_worker(key: Hashable, make: Callable):
+    """What ``make`` gave for ``key`` when this Python worker first asked.
+
+    For vocabularies and what encoders remember: functions sent to executors bring new modules for
+    every task, but Spark keeps its Python workers, and a module that only they know outlives the tasks.
+    What is kept must bound its own size and must not change results.
+    """
+    kept = sys.modules.setdefault("_pagemill_worker", ModuleType("_pagemill_worker")).__dict__
+    if key not in kept:
+        kept[key] = make()
+    return kept[key]
+
+
 class WordTable:
     """Words seen by a task, numbered, each with a row of numbers computed once.
 

@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagemill.llm.common import require, text_or_empty
+from pagemill.llm.common import per_worker, require, text_or_empty
 from pagemill.llm.word_bpe import WordBpe
 
 END = 2
@@ -180,7 +180,7 @@ def _powers_of_two(sequence: list[Piece]) -> Iterator[list[Piece]]:
 
 def _pack_task(tokenizer: str, limits: Limits, end: int):
     def run(batches):
-        encoder = WordBpe(tokenizer)
+        encoder = per_worker(("words", tokenizer), lambda: WordBpe(tokenizer))
         packer = Packer(limits)
         number = TaskContext.get().partitionId() * SEQUENCES_PER_TASK
         names = ["key", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "loss_tokens"]

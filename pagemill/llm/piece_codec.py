@@ -34,10 +34,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagemill.llm.common import link_map, require, text_or_empty
+from pagemill.llm.common import link_map, per_worker, require, text_or_empty
 
 GAP = "▁"
-# Words and neighbours remembered by a task; beyond that it forgets all and starts again.
+# Words and neighbours remembered by a worker; beyond that it forgets all and starts again.
 WORDS = 1_000_000
 NEIGHBOURS = 2_000_000
 # Words longer than this are searched each time instead of being remembered.
@@ -260,17 +260,19 @@ class Codec:
         return text[1:] if text.startswith(" ") else text
 
 
+def _codec(model: str) -> Codec:
+    return per_worker(("pieces", model), lambda: Codec(Vocabulary.load(model)))
+
+
 def encode_texts(docs: DataFrame, model: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``key, ids`` for every row.  A null or empty text has no ids; repeated rows are encoded each."""
     require(docs, key, text)
-    codec: list[Codec] = []
 
     def run(batch):
-        if not codec:
-            codec.append(Codec(Vocabulary.load(model)))
+        codec = _codec(model)
         return {
             "key": batch.column("key"),
-            "ids": pa.array([codec[0].encode(t) for t in batch.column("text").to_pylist()], pa.list_(pa.int32())),
+            "ids": pa.array([codec.encode(t) for t in batch.column("text").to_pylist()], pa.list_(pa.int32())),
         }
 
     return _mapped(docs, key, text, run, "ids array<int>")
@@ -279,14 +281,12 @@ def encode_texts(docs: DataFrame, model: str, key: str = "doc_id", text: str = "
 def decode_ids(docs: DataFrame, model: str, key: str = "doc_id", ids: str = "ids") -> DataFrame:
     """``key, text`` for every row of ``key, ids``; null ids give an empty text."""
     require(docs, key, ids)
-    codec: list[Codec] = []
 
     def run(batch):
-        if not codec:
-            codec.append(Codec(Vocabulary.load(model)))
+        codec = _codec(model)
         return {
             "key": batch.column("key"),
-            "text": [codec[0].decode(x or []) for x in batch.column("ids").to_pylist()],
+            "text": [codec.decode(x or []) for x in batch.column("ids").to_pylist()],
         }
 
     kind = docs.schema[key].dataType.simpleString()
@@ -303,15 +303,13 @@ def coded(docs: DataFrame, model: str, key: str = "doc_id", text: str = "text")
     looked at; an empty table gives an empty result.  ``model`` is a path all executors can open.
     """
     require(docs, key, text)
-    codec: list[Codec] = []
 
     def run(batch):
-        if not codec:
-            codec.append(Codec(Vocabulary.load(model)))
+        codec = _codec(model)
         out = {"key": batch.column("key"), "n_ids": [], "ids_crc32": [], "n_chars": [], "round_trip": []}
         for t in batch.column("text").to_pylist():
-            ids = codec[0].encode(t)
-            back = codec[0].decode(ids)
+            ids = codec.encode(t)
+            back = codec.decode(ids)
             out["n_ids"].append(len(ids))
             out["ids_crc32"].append(zlib.crc32(np.array(ids, "<u4").tobytes()))
             out["n_chars"].append(len(back))

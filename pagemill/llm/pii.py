@@ -27,8 +27,12 @@ from pagemill.llm.common import require, text_or_empty
 NEAR = 40
 NEAR_BONUS = 0.3
 MIN_SCORE = 0.5
+# Parts between matches, and matches, that ``NEAR`` characters can reach: the shortest match has five characters.
+PARTS_NEAR = 2 * (NEAR // 5) + 3
 # Stands around matches.  No pattern matches it or what a text's own marks are changed to.
 MARK, OTHER = "\u0001", "\u0002"
+# A text's own control characters while it is redacted, each pair for one; undone from the last to the first.
+ESCAPES = ((OTHER, "\u0002\u0004"), (MARK, "\u0002\u0003"))
 SPANS = "array<struct<kind:string,start:int,end:int,score:double>>"
 
 # A number up to 255, leading zeros allowed.
@@ -84,7 +88,7 @@ def _in_range(c: Column, low: int, high: int) -> Column:
 BASE = (
     Kind(
         "email",
-        r"(?:(?<![A-Za-z0-9._%+-])|\G)([A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+)",
+        r"(?:(?<![A-Za-z0-9._%+-])|\G)([A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++)",
         "@",
         lambda m: F.lit(True),
         0.9,
@@ -147,17 +151,34 @@ def unmarked(text: Column) -> Column:
     return F.translate(text, MARK, OTHER)
 
 
+def _around(parts: Column) -> tuple[Column, Column]:
+    """The last and the first ``NEAR`` characters of each part: all of a part that context can need."""
+    return F.transform(parts, lambda p: F.right(p, F.lit(NEAR))), F.transform(parts, lambda p: F.left(p, F.lit(NEAR)))
+
+
+def _says(kind: Kind, around: Column, i: Column) -> Column:
+    """Whether a context word stands within ``NEAR`` characters of part ``i``, other matches included."""
+    # One by one: slicing would copy the whole array for each match.  Beyond both ends there is nothing to join.
+    steps = [F.lit(k) for k in range(1, PARTS_NEAR + 1)]
+    before = F.right(F.array_join(F.array(*[F.get(around["ends"], i - k) for k in reversed(steps)]), ""), F.lit(NEAR))
+    after = F.left(F.array_join(F.array(*[F.get(around["begins"], i + k) for k in steps]), ""), F.lit(NEAR))
+    return F.lower(F.concat(before, F.lit(" "), after)).rlike(rf"(?<![a-z])(?:{kind.context})")
+
+
+def _with_around(parts: Column) -> Column:
+    ends, begins = _around(parts)
+    return F.struct(parts.alias("parts"), ends.alias("ends"), begins.alias("begins"))
+
+
 def confirmed(text: Column, kind: Kind) -> Column:
     """Confirmed spans of one kind in the order of the text; ``text`` must be ``unmarked``."""
     start = F.struct(F.lit(0).alias("at"), F.lit(0).alias("i"), F.array().cast(SPANS).alias("out"))
 
-    def walk(parts: Column) -> Column:
+    def walk(around: Column) -> Column:
         def step(state: Column, part: Column) -> Column:
             i, at, end = state["i"], state["at"], state["at"] + F.char_length(part)
-            around = F.concat(
-                F.right(F.get(parts, i - 1), F.lit(NEAR)), F.lit(" "), F.left(F.get(parts, i + 1), F.lit(NEAR))
-            )
-            near = F.lower(around).rlike(rf"(?<![a-z])(?:{kind.context})")
+            good = (i % 2 == 1) & kind.check(part)
+            near = _says(kind, around, i)
             score = F.lit(kind.score) + F.when(near, F.lit(NEAR_BONUS)).otherwise(F.lit(0.0))
             span = F.struct(
                 F.lit(kind.name).alias("kind"),
@@ -165,16 +186,18 @@ def confirmed(text: Column, kind: Kind) -> Column:
                 end.alias("end"),
                 F.least(score, F.lit(1.0)).alias("score"),
             )
-            good = (i % 2 == 1) & kind.check(part)
             return F.struct(
                 end.alias("at"),
                 (i + 1).alias("i"),
                 F.when(good, F.concat(state["out"], F.array(span))).otherwise(state["out"]).alias("out"),
             )
 
-        return F.aggregate(parts, start, step, lambda s: s["out"])
+        return F.aggregate(around["parts"], start, step, lambda s: s["out"])
+
+    def found(parts: Column) -> Column:
+        return F.when(F.size(parts) > 1, let(_with_around(parts), walk)).otherwise(F.array().cast(SPANS))
 
-    spans = let(_parts(text, kind), lambda parts: F.when(F.size(parts) > 1, walk(parts)).otherwise(F.array().cast(SPANS)))
+    spans = let(_parts(text, kind), found)
     return F.when(text.contains(kind.needs), spans).otherwise(F.array().cast(SPANS)) if kind.needs else spans
 
 
@@ -208,18 +231,18 @@ def redacted(text: Column) -> Column:
     def replacing(kind: Kind) -> Callable[[Column], Column]:
         certain = kind in BASE or kind.score >= MIN_SCORE
 
-        def one(parts: Column) -> Column:
+        def marked(around: Column) -> Column:
             def keep(part: Column, i: Column) -> Column:
                 good = (i % 2 == 1) & kind.check(part)
                 if not certain:
                     # Too weak on its own: context has to say so.
-                    around = F.concat(
-                        F.right(F.get(parts, i - 1), F.lit(NEAR)), F.lit(" "), F.left(F.get(parts, i + 1), F.lit(NEAR))
-                    )
-                    good = good & F.lower(around).rlike(rf"(?<![a-z])(?:{kind.context})")
+                    good = good & _says(kind, around, i)
                 return F.when(good, F.lit(f"<{kind.name.upper()}>")).otherwise(part)
 
-            return F.when(F.size(parts) > 1, F.array_join(F.transform(parts, keep), "")).otherwise(F.get(parts, F.lit(0)))
+            return F.array_join(F.transform(around["parts"], keep), "")
+
+        def one(parts: Column) -> Column:
+            return F.when(F.size(parts) > 1, let(_with_around(parts), marked)).otherwise(F.get(parts, F.lit(0)))
 
         def replace(value: Column) -> Column:
             done = let(_parts(value, kind), one)
@@ -229,7 +252,11 @@ def redacted(text: Column) -> Column:
 
     # Account numbers first: a run of their digits may look like a card.
     order = [*[k for k in EXTRA if k.name == "iban"], *BASE, *[k for k in EXTRA if k.name != "iban"]]
-    out = unmarked(text)
+    out = text
+    for own, pair in ESCAPES:
+        out = F.replace(out, F.lit(own), F.lit(pair))
     for kind in order:
         out = let(out, replacing(kind))
+    for own, pair in reversed(ESCAPES):
+        out = F.replace(out, F.lit(pair), F.lit(own))
     return out

@@ -1,4 +1,4 @@
-"""Ids of a word-level BPE tokenizer, each different word encoded once per task.
+"""Ids of a word-level BPE tokenizer, each different word encoded once per worker.
 
 The tokenizer splits at white space before anything else and no rule of it looks
 across a gap, so a text's ids are those of its words one after the other.  Words
@@ -13,8 +13,9 @@ from itertools import repeat
 
 import numpy as np
 
-# Words remembered by a task; beyond that it forgets all and starts again.
+# Words remembered, and their characters; beyond that all are forgotten.
 WORDS = 1_000_000
+CHARACTERS = 64_000_000
 # Python's split() takes these for gaps, the tokenizer does not.
 _ODD = re.compile("[\x1c-\x1f]")
 # Within these letters, lower-casing and composing work letter by letter.
@@ -39,11 +40,12 @@ class WordBpe:
         self.tokenizer = Tokenizer.from_file(path)
         self.letters = {b: letter for b, letter in enumerate(_byte_letters())}
         self.limit = words
-        self.units: dict[str, list[int]] = {}
         self._forget()
 
     def _forget(self) -> None:
+        self.units: dict[str, list[int]] = {}
         self.index: dict[str, int] = {}
+        self.characters = 0
         self.flat = np.zeros(1 << 16, np.uint32)
         self.starts = np.zeros(1 << 14, np.int64)  # word i has flat[starts[i] : starts[i + 1]]
         self.used = 0
@@ -51,8 +53,6 @@ class WordBpe:
     def _unit(self, unit: str) -> list[int]:
         found = self.units.get(unit)
         if found is None:
-            if len(self.units) >= self.limit:
-                self.units.clear()
             # Plain letters stand for themselves.
             spelled = unit if unit.isascii() else unit.encode().decode("latin-1").translate(self.letters)
             found = self.units[unit] = [t.id for t in self.tokenizer.model.tokenize(spelled)]
@@ -67,18 +67,21 @@ class WordBpe:
         return self.tokenizer.encode(word, add_special_tokens=False).ids
 
     def _learn(self, words: list[str]) -> None:
+        ids: list[int] = []
+        ends = []
         for word in words:
-            ids = self._word(word)
-            n = len(self.index)
-            if n + 2 > len(self.starts):
-                self.starts = np.concatenate([self.starts, np.zeros_like(self.starts)])
-            while self.used + len(ids) > len(self.flat):
-                self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-            self.flat[self.used : self.used + len(ids)] = ids
-            self.starts[n] = self.used
-            self.used += len(ids)
-            self.starts[n + 1] = self.used
-            self.index[word] = n
+            ids += self._word(word)
+            ends.append(len(ids))
+        first, used = len(self.index), self.used
+        while first + len(words) + 1 > len(self.starts):
+            self.starts = np.concatenate([self.starts, np.zeros_like(self.starts)])
+        while used + len(ids) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        self.flat[used : used + len(ids)] = ids
+        self.starts[first + 1 : first + len(words) + 1] = np.array(ends, np.int64) + used
+        self.used = used + len(ids)
+        self.characters += sum(map(len, words))
+        self.index.update(zip(words, range(first, first + len(words))))
 
     def encode(self, text: str) -> np.ndarray:
         if _ODD.search(text):
@@ -89,7 +92,7 @@ class WordBpe:
         at = np.fromiter(map(self.index.get, words, repeat(-1)), np.int64, len(words))
         if at.min() < 0:
             new = dict.fromkeys(words[i] for i in np.flatnonzero(at < 0).tolist())
-            if len(self.index) + len(new) > self.limit:
+            if len(self.index) + len(new) > self.limit or self.characters > CHARACTERS:
                 self._forget()
                 new = dict.fromkeys(words)
             self._learn(list(new))

@@ -97,6 +97,26 @@ def test_redaction(spark):
     ]
 
 
+def test_context_reaches_across_matches(spark):
+    """A context word counts within 40 characters even if other matches of the kind lie between."""
+    text = "ssn 123-45-6789, 123-45-6780 and 123-45-6781 " + "." * 40 + " 123-45-6782"
+    assert found(spark, [text]) == ["ssn:4:15,ssn:17:28,ssn:33:44"]
+
+
+def test_thousands_of_labels(spark):
+    """Neither finding nor redacting goes deeper with every label."""
+    text = "write a@b" + ".b" * 100_000 + " now"
+    assert found(spark, [text]) == [f"email:6:{9 + 200_000}"]
+    docs = spark.createDataFrame([(text,)], "text string")
+    assert docs.select(P.redacted(F.col("text")).alias("t")).first().t == "write <EMAIL> now"
+
+
+@pytest.mark.parametrize("text", ["a\u0001b", "\u0001\u0002\u0003\u0004", "\u0002\u0003 \u0002\u0004", "x\u0001a@b.co\u0002"])
+def test_control_characters_stay(spark, text):
+    out = spark.createDataFrame([(text,)], "text string").select(P.redacted(F.col("text")).alias("t")).first().t
+    assert out == text.replace("a@b.co", "<EMAIL>")
+
+
 def test_rows_and_columns(spark):
     rows = [(1, "a@b.co", "x"), (1, "a@b.co", "x"), (None, "1.2.3.4", None)]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string, spans string")
