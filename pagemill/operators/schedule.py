@@ -26,9 +26,10 @@ def upsert_items(state: DataFrame, incoming: DataFrame, now: Column, order: Sequ
     """
     fresh = keep_last(incoming, ["domain"], order).select("domain", F.col("price").alias("__price"), F.col("wait_s").alias("__wait"), F.lit(True).alias("__in"))
     at = now.cast("timestamp")
-    joined = state.join(fresh, "domain", "full_outer")
-    known = F.col("done").isNotNull()
-    touched = known & ~F.col("done") & F.col("__in").isNotNull()
+    joined = state.withColumn("__old", F.lit(True)).join(fresh, "domain", "full_outer")
+    known = F.col("__old").isNotNull()
+    # An item without a mark is open.
+    touched = known & ~F.coalesce("done", F.lit(False)) & F.col("__in").isNotNull()
     return joined.select(
         "domain",
         F.when(known & ~touched, F.col("price")).otherwise(F.col("__price")).alias("price"),
@@ -59,7 +60,7 @@ def mark_done(state: DataFrame, keys: DataFrame, key: str = "domain") -> DataFra
     listed = keys.select(key).distinct().withColumn("__listed", F.lit(True))
     return (
         state.join(listed, key, "left")
-        .withColumn("done", F.col("done") | F.coalesce("__listed", F.lit(False)))
+        .withColumn("done", F.coalesce("done", F.lit(False)) | F.coalesce("__listed", F.lit(False)))
         .drop("__listed")
     )
 

@@ -17,7 +17,7 @@ from pagemill.functions.text import first_digits, strip_label
 from pagemill.operators.rows import each
 from pagemill.operators.scan import ROWS_PER_BLOCK
 from pagemill.operators.segment import last_in_segment, next_sibling, ordered_concat, segment
-from pagemill.operators.sentiment import lexicon_sentiment
+from pagemill.operators.sentiment import lexicon_sentiment, listed, present_scores
 
 # How far to look for the next div before searching the rest of the file.
 _NEAR = 8
@@ -129,10 +129,12 @@ def news_documents(exports: DataFrame, lexicon: DataFrame) -> DataFrame:
 
 
 def _with_sentiment(fields: DataFrame, lexicon: DataFrame) -> DataFrame:
-    """Add the polarity and subjectivity of ``body``; the scores, not the bodies, are what is grouped."""
+    """Add the polarity and subjectivity of ``body``, in the row for a list that fits in the plan."""
+    entries = listed(lexicon)
+    if entries is not None:
+        return present_scores(fields, F.col("body"), entries).drop("n_hits")
     doc = ["file_id", "doc_no"]
-    scores = lexicon_sentiment(fields, lexicon, doc, "body").drop("n_hits")
-    return fields.join(scores, doc)
+    return fields.join(lexicon_sentiment(fields, lexicon, doc, "body").drop("n_hits"), doc)
 
 
 def news_documents_from_blocks(

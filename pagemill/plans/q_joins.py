@@ -224,6 +224,31 @@ def _(t):
     return rounded(lexicon_sentiment(t.documents, lexicon_frame(t.spark)))
 
 
+PHRASES = {"the": (0.1, 0.2), "of the": (0.6, 0.4), "is": (-0.2, 0.3), "and that is": (-0.9, 1.0), "that": (0.3, 0.5)}
+
+
+@query(
+    "phrase_sentiment",
+    """WITH w AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS w, generate_subscripts(regexp_extract_all(lower(text), '[a-z]+'), 1) AS i FROM documents),
+            n AS (SELECT *, lag(w) OVER o AS p1, lag(w, 2) OVER o AS p2, lead(w) OVER o AS n1, lead(w, 2) OVER o AS n2
+                  FROM w WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+            e AS (SELECT *, CASE WHEN w = 'and' AND n1 = 'that' AND n2 = 'is' THEN 'and that is' WHEN w = 'of' AND n1 = 'the' THEN 'of the'
+                                 WHEN w = 'the' AND p1 = 'of' THEN NULL WHEN w = 'that' AND p1 = 'and' AND n1 = 'is' THEN NULL
+                                 WHEN w = 'is' AND p1 = 'that' AND p2 = 'and' THEN NULL WHEN w IN ('the', 'is', 'that') THEN w END AS entry
+                  FROM n),
+            s AS (SELECT doc_id, CASE entry WHEN 'the' THEN 0.1 WHEN 'of the' THEN 0.6 WHEN 'is' THEN -0.2 WHEN 'and that is' THEN -0.9 WHEN 'that' THEN 0.3 END::DOUBLE
+                         * CASE WHEN p1 IN ('in', 'not') THEN -0.5 WHEN p1 = 'a' AND p2 IN ('in', 'not') THEN -0.75 WHEN p1 = 'a' THEN 1.5 ELSE 1 END::DOUBLE AS p,
+                         CASE entry WHEN 'the' THEN 0.2 WHEN 'of the' THEN 0.4 WHEN 'is' THEN 0.3 WHEN 'and that is' THEN 1.0 WHEN 'that' THEN 0.5 END::DOUBLE AS s
+                  FROM e WHERE entry IS NOT NULL)
+       SELECT doc_id, round(coalesce(avg(p), 0), 6) AS polarity, round(coalesce(avg(s), 0), 6) AS subjectivity, count(p) AS n_hits
+       FROM documents LEFT JOIN s USING (doc_id) GROUP BY doc_id""",
+)
+def _(t):
+    rows = [(w, p, s) for w, (p, s) in PHRASES.items()]
+    entries = t.spark.createDataFrame(rows, "word string, polarity double, subjectivity double")
+    return rounded(lexicon_sentiment(t.documents, entries, negators=("in", "not"), intensifiers={"a": 1.5}))
+
+
 @query(
     "lexicon_table_sentiment",
     _lexicon_sql(

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pagemill.functions import text as X
 from pagemill.operators.extract import extract_links
 from pagemill.operators.records import FLAT_FIELDS, META_FIELDS, dedup_generations, record_to_json, union_generations
+from pagemill.operators.schedule import STATE_SCHEMA, upsert_items
 from pagemill.plans import publications
 from pagemill.plans.q_flows import PDF_BASE, PUBLICATION_SQL, publication_columns, publication_inputs
 from pagemill.plans.q_pages import LINKS_SQL
@@ -16,6 +17,7 @@ from pagemill.plans.registry import query
 from pagemill.session import scratch_path, staged
 from pagemill.sources import readers as R
 from pagemill.sources import sinks as K
+from pagemill.sources.state import create_state, expire, fold, read_state
 from pagemill.streaming import flows as T
 
 
@@ -259,17 +261,30 @@ def _(t):
 
 
 def folded(t, plans=None):
+    """The work table after the orders that landed: the root of its state."""
     root = scratch_path(t.spark, "work")
-    # Earlier runs left some versions.
-    K.write_work_table(customer_state(t).limit(0), root, 0)
-    K.write_work_table(customer_state(t), root, 3)
+    create_state(customer_state(t), root, "domain", 16)
     landed = T.read_landed(t.spark, t.dir, t.orders.schema, "orders.parquet", files_per_batch=None)
-    return T.stream_upsert(order_requests(landed), root, scratch_path(t.spark, "checkpoint"), now(), ["o_orderkey"], plans)
+    T.stream_upsert(order_requests(landed), root, scratch_path(t.spark, "checkpoint"), now(), ["o_orderkey"], plans)
+    return root
 
 
 @query("stream_upsert", UPSERT_SQL)
 def _(t):
-    return plain_state(t.spark.read.parquet(folded(t)))
+    return plain_state(read_state(t.spark, folded(t), STATE_SCHEMA))
+
+
+@query("state_fold", UPSERT_SQL)
+def _(t):
+    """The same state by two folds, of the orders of every other customer each, into the buckets they touch."""
+    root = scratch_path(t.spark, "work")
+    create_state(customer_state(t), root, "domain", 16)
+    requests = order_requests(t.orders)
+    for part in range(2):
+        some = requests.where(F.pmod(F.crc32("domain"), F.lit(2)) == part)
+        fold(some, root, "domain", STATE_SCHEMA, lambda state, rows: upsert_items(state, rows, now(), ["o_orderkey"]))
+    expire(t.spark, root, keep=1)
+    return plain_state(read_state(t.spark, root, STATE_SCHEMA))
 
 
 @query(
@@ -283,7 +298,7 @@ def _(t):
 def _(t):
     plans = scratch_path(t.spark, "plans")
     folded(t, plans)
-    written = t.spark.read.parquet(R.version_path(plans, 4))
+    written = t.spark.read.parquet(R.version_path(plans, 1))
     return written.withColumn("price", F.col("price").cast("double"))
 
 
@@ -301,3 +316,33 @@ def _(t):
     out = scratch_path(t.spark, "records")
     T.stream_records(landed, records, out, scratch_path(t.spark, "checkpoint"))
     return T.read_stream_records(t.spark, out)
+
+
+@query(
+    "stream_frontier",
+    PUBLICATION_SQL.replace("FROM part)", "FROM part WHERE p_partkey IN (SELECT user_id FROM events WHERE event_type <> 'error'))"),
+)
+def _(t):
+    """Result pages as they land, to links not seen before, to the records of the pages behind them."""
+    shown = F.when(F.col("event_type") == "error", F.lit("broken")).otherwise(
+        F.concat(F.lit("http://www.example.org/show?pub_id="), F.col("user_id").cast("string"))
+    )
+    page = F.concat(F.lit('<ul><li><a href="/help">Help</a></li><li><a href="/p">'), shown, F.lit("</a></li></ul>"))
+    events = T.read_landed(t.spark, t.dir, t.events.schema, "events.parquet")
+    pages = events.select(page.alias("html"))
+    seen, found, out = (scratch_path(t.spark, name) for name in ("seen", "found", "records"))
+
+    def links(batch):
+        return extract_links(batch, text_like=publications.LINK_MARK, keys=()).select(F.col("text").alias("link"))
+
+    T.stream_frontier(pages, links, seen, found, scratch_path(t.spark, "checkpoint"), "link", "link string", 16)
+    all_pages, texts = publication_inputs(t)
+
+    def records(batch):
+        fetched = all_pages.join(batch, F.col("url") == F.col("link")).drop("link")
+        fields = staged(publications.publication_fields(fetched), "fields")
+        return publication_columns(publications.publication_records(fields, texts, PDF_BASE, "source", "src_"))
+
+    landed = T.read_landed(t.spark, f"{found}/*", "link string")
+    T.stream_records(landed, records, out, scratch_path(t.spark, "checkpoint"))
+    return T.read_stream_records(t.spark, out)

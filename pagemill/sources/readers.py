@@ -34,10 +34,18 @@ def read_seed(spark: SparkSession, path: str, schema: str = SEED_SCHEMA) -> Data
 
 
 def read_nested_json(
-    spark: SparkSession, path: str, schema: str = LIST_SCHEMA, multi_line: bool = False
+    spark: SparkSession, path: str, schema: str = LIST_SCHEMA, multi_line: bool | None = None
 ) -> DataFrame:
-    """One JSON document per line, which lets files be split; or one per file, over several lines."""
-    return spark.read.schema(schema).option("multiLine", multi_line).json(path)
+    """JSON documents, one per line, which lets files be split; or one per file, over several lines.
+
+    Without ``multi_line`` the first line that is not blank decides: if it is a whole document, lines are.  A
+    document that cannot be read is an error, also where files of both kinds are mixed.
+    """
+    if multi_line is None:
+        first = spark.read.text(path).where(F.trim("value") != "").limit(1)
+        whole = first.select(F.get_json_object("value", "$").isNotNull().alias("whole")).first()
+        multi_line = whole is not None and not whole["whole"]
+    return spark.read.schema(schema).options(multiLine=multi_line, mode="FAILFAST").json(path)
 
 
 def explode_list(docs: DataFrame, keep: Sequence[str] = ()) -> DataFrame:

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
 from pagemill.operators.schedule import STATE_SCHEMA, due_plan, upsert_items
-from pagemill.sources.readers import latest_version, read_work_table, version_path, versions
+from pagemill.sources.readers import read_work_table, version_path
+from pagemill.sources.state import BUCKETS, finished, fold, read_state, state_versions
 
 
 def read_landed(spark: SparkSession, path: str, schema, glob: str = "*.parquet", files_per_batch: int | None = 100) -> DataFrame:
@@ -51,16 +54,15 @@ def stream_dedup(df: DataFrame, keys: Sequence[str], time: str, delay: str) -> D
     return df.withWatermark(time, delay).dropDuplicatesWithinWatermark(list(keys))
 
 
-def _first_version(spark: SparkSession, root: str, checkpoint: str) -> int:
-    """The version the checkpoint's batches start from, settled when the checkpoint is new."""
-    note = f"{checkpoint.rstrip('/')}-base"
-    known = read_work_table(spark, note, "base int").first()
+def _writer(spark: SparkSession, checkpoint: str) -> str:
+    """The name of the stream with this checkpoint, kept inside the checkpoint: a lost one is another stream."""
+    note = f"{checkpoint.rstrip('/')}/writer"
+    known = read_work_table(spark, note, "name string").first()
     if known is not None:
-        return known["base"]
-    latest = latest_version(spark, root)
-    base = -1 if latest is None else latest
-    spark.createDataFrame([(base,)], "base int").write.mode("overwrite").parquet(note)
-    return base
+        return known["name"]
+    name = uuid.uuid4().hex
+    spark.createDataFrame([(name,)], "name string").coalesce(1).write.mode("overwrite").parquet(note)
+    return name
 
 
 def stream_upsert(
@@ -70,31 +72,73 @@ def stream_upsert(
     now: Column,
     order: Sequence[str],
     plans: str | None = None,
-) -> str | None:
-    """Fold new rows into the work table, one version per micro-batch; returns the path of the state after the run.
-
-    The first run with a checkpoint notes the version it found; batch ``n`` reads the version ``n`` steps
-    later and writes the next one, so a batch that runs again gives the same version again, and a lost
-    checkpoint goes on from the newest state.  A version that this checkpoint did not write is never
-    overwritten: the run fails instead.  With ``plans`` the plan for the open items of each new version is
-    written below it.  Every batch writes the whole state; give ``read_landed`` no ``files_per_batch`` to fold
-    once per run.  None if there is no state yet and nothing landed.
+    buckets: int = BUCKETS,
+) -> int | None:
+    """Fold new rows into the work table kept by parts below ``root``, one version per micro-batch; the newest version.
+
+    A batch rewrites only the buckets its items fall into.  It is named in the version it makes, so a batch that runs again
+    after a failure changes nothing; a lost checkpoint is a new stream, which reads all that landed again and goes on from the
+    newest state.  Of two runs that fold at once the slower one fails and can be started again.  With ``plans`` the plan
+    for the open items of the newest version is written below it, which reads the whole state; give ``read_landed`` no
+    ``files_per_batch`` to plan once per run.  None if there is no state yet and nothing landed.
     """
     spark = source.sparkSession
-    base = _first_version(spark, root, checkpoint)
-
-    def fold(batch: DataFrame, batch_id: int) -> None:
-        session, version = batch.sparkSession, base + 1 + batch_id
-        mine = f"{checkpoint.rstrip('/')}-wrote/version={version}"
-        if version in versions(session, root) and read_work_table(session, mine, "v int").isEmpty():
-            raise ValueError(f"version {version} below {root} is not of checkpoint {checkpoint}")
-        session.createDataFrame([(version,)], "v int").write.mode("overwrite").parquet(mine)
-        before = read_work_table(session, version_path(root, version - 1), STATE_SCHEMA)
-        upsert_items(before, batch, now, order).write.mode("overwrite").parquet(version_path(root, version))
+    writer = _writer(spark, checkpoint)
+
+    def each_batch(batch: DataFrame, batch_id: int) -> None:
+        session = batch.sparkSession
+        version = fold(
+            batch, root, "domain", STATE_SCHEMA, lambda state, rows: upsert_items(state, rows, now, order),
+            buckets=buckets, writer=writer, batch=batch_id,
+        )
         if plans is not None:
-            state = read_work_table(session, version_path(root, version), STATE_SCHEMA)
+            state = read_state(session, root, STATE_SCHEMA, version)
             due_plan(state, now).write.mode("overwrite").parquet(version_path(plans, version))
 
-    _run(source.writeStream.foreachBatch(fold), checkpoint)
-    latest = latest_version(spark, root)
-    return None if latest is None else version_path(root, latest)
+    _run(source.writeStream.foreachBatch(each_batch), checkpoint)
+    known = state_versions(spark, root)
+    return known[-1] if known else None
+
+
+def stream_frontier(
+    pages: DataFrame,
+    to_links: Callable[[DataFrame], DataFrame],
+    seen: str,
+    out: str,
+    checkpoint: str,
+    key: str,
+    schema: str,
+    buckets: int = BUCKETS,
+) -> None:
+    """Append the links that no earlier page had, one folder of ``out`` per micro-batch, for a stream that fetches them.
+
+    ``to_links`` makes rows of ``schema`` of a batch of pages; they are told apart by ``key``, and of equal ones in a batch the
+    smallest row counts.  The set of links seen is a state by parts below ``seen``, kept across runs and apart from the
+    checkpoint: a lost checkpoint reads all pages again and finds nothing new.  A batch that runs again after its links entered the set
+    writes the same links again, as they carry the batch that found them.
+    """
+    spark = pages.sparkSession
+    writer = _writer(spark, checkpoint)
+    kept = f"{schema}, found_by string, found_in bigint"
+    names = list(spark.createDataFrame([], schema).columns)
+
+    def each_batch(batch: DataFrame, batch_id: int) -> None:
+        links = to_links(batch).where(F.col(key).isNotNull()).select(F.struct(*names).alias("l"))
+        unique = links.groupBy(F.col("l")[key].alias("__key")).agg(F.min("l").alias("l")).select("l.*")
+
+        def add(state: DataFrame, found: DataFrame) -> DataFrame:
+            fresh = found.join(state, key, "left_anti").select(
+                *names, F.lit(writer).alias("found_by"), F.lit(batch_id).cast("bigint").alias("found_in")
+            )
+            return state.unionByName(fresh)
+
+        folder = f"{out.rstrip('/')}/batch={batch_id}-{writer}"
+        version = fold(unique, seen, key, kept, add, buckets=buckets, writer=writer, batch=batch_id)
+        if finished(batch.sparkSession, folder):
+            # Written again, the links would be new files for the stream that reads them.
+            return
+        state = read_state(batch.sparkSession, seen, kept, version)
+        mine = state.where((F.col("found_by") == writer) & (F.col("found_in") == batch_id))
+        mine.select(*names).write.mode("overwrite").parquet(folder)
+
+    _run(pages.writeStream.foreachBatch(each_batch), checkpoint)

@@ -10,6 +10,7 @@ from pagemill.operators.schedule import STATE_SCHEMA, upsert_items
 from pagemill.session import scratch_path, scratch_root
 from pagemill.sources import readers as R
 from pagemill.sources import sinks as K
+from pagemill.sources import state as V
 from pagemill.streaming import flows as T
 
 
@@ -38,6 +39,15 @@ def test_list_json_over_several_lines(spark, tmp_path):
     assert rows(got) == [("c", "1999", "1", "S"), ("c", "1999", "2", None)]
 
 
+def test_list_json_of_one_line_each(spark, tmp_path):
+    doc = {"prizes": [{"category": "c", "year": "1999", "laureates": [{"id": "1"}]}]}
+    (tmp_path / "p.json").write_text("\n" + json.dumps(doc) + "\n" + json.dumps(doc) + "\n")
+    assert R.explode_list(R.read_nested_json(spark, str(tmp_path))).count() == 2
+    (tmp_path / "q.json").write_text(json.dumps(doc, indent=2))
+    with pytest.raises(Exception, match="(?i)malformed"):
+        R.read_nested_json(spark, str(tmp_path)).collect()
+
+
 @pytest.mark.parametrize("value, names", [("[[]]", None), ('""', None), ('[{"name":"U","city":"C"}]', ["U"]), (None, None)])
 def test_detail_with_mixed_affiliations(spark, value, names):
     prize = "{}" if value is None else '{"affiliations": ' + value + "}"
@@ -97,31 +107,100 @@ def test_stream_upsert_equals_batches(spark, landed):
     schema = spark.read.parquet(landed).schema
     root, checkpoint = scratch_path(spark, "state"), scratch_path(spark, "ck")
 
-    def run():
+    def run(checkpoint=checkpoint):
         return T.stream_upsert(T.read_landed(spark, landed, schema, files_per_batch=1), root, checkpoint, now(), order=["seq"])
 
-    path = run()
-    assert path.endswith("version=4")
-    state = R.read_work_table(spark, scratch_path(spark, "none"), STATE_SCHEMA)
-    once = upsert_items(state, spark.read.parquet(landed), now(), order=["seq"])
-    got = spark.read.parquet(path)
-    assert rows(got.select("domain")) == rows(once.select("domain"))
+    assert run() == 3
+    once = upsert_items(spark.createDataFrame([], STATE_SCHEMA), spark.read.parquet(landed), now(), order=["seq"])
+    got = rows(V.read_state(spark, root, STATE_SCHEMA))
+    assert [r[0] for r in got] == [r[0] for r in rows(once)]
     # Nothing new has landed: the next run changes nothing.
-    assert run() == path
+    assert run() == 3
     # More lands: only that is folded in.
-    spark.createDataFrame([("d0", 1, 5.0, 9), ("fresh", 2, 6.0, 9)], "domain string, price int, wait_s double, seq long").select(
-        "domain", F.col("price").cast("decimal(12,2)").alias("price"), "wait_s", "seq"
-    ).write.mode("append").parquet(landed)
-    latest = spark.read.parquet(run())
-    assert latest.count() == got.count() + 1
-    assert latest.where("domain = 'd0'").first().price == 1
+    more = spark.createDataFrame([("d0", 1, 5.0, 9), ("fresh", 2, 6.0, 9)], "domain string, price int, wait_s double, seq long")
+    more = more.select("domain", F.col("price").cast("decimal(12,2)").alias("price"), "wait_s", "seq")
+    more.coalesce(1).write.mode("append").parquet(landed)
+    assert run() == 4
+    latest = {r.domain: r for r in V.read_state(spark, root, STATE_SCHEMA).collect()}
+    assert len(latest) == len(got) + 1 and latest["d0"].price == 1
+    # A lost checkpoint goes on from the newest state: all versions stay, and so do all items.
+    assert run(scratch_path(spark, "ck")) == 9
+    again = V.read_state(spark, root, STATE_SCHEMA)
+    assert {r.domain for r in again.collect()} == set(latest)
+    assert {r.domain: tuple(r) for r in V.read_state(spark, root, STATE_SCHEMA, 4).collect()} == {k: tuple(r) for k, r in latest.items()}
 
 
 def test_stream_without_input(spark, landed):
     schema = spark.read.parquet(landed).schema
-    root = scratch_path(spark, "state")
     empty = T.read_landed(spark, landed, schema, glob="*.nothing")
-    assert T.stream_upsert(empty, root, scratch_path(spark, "ck"), now()) == f"{root}/version=0"
+    assert T.stream_upsert(empty, scratch_path(spark, "state"), scratch_path(spark, "ck"), now(), ["seq"]) is None
+
+
+def put(state, incoming):
+    return state.join(incoming, "k", "left_anti").unionByName(incoming)
+
+
+def test_a_fold_rewrites_touched_buckets_only(spark):
+    root, schema = scratch_path(spark, "state"), "k bigint, v string"
+    whole = spark.range(20_000).select(F.col("id").alias("k"), F.lit("old").alias("v"))
+    assert V.create_state(whole, root, "k", buckets=128) == 0
+    one_in_a_hundred = whole.where("k % 10000 < 3").withColumn("v", F.lit("new"))
+    assert V.fold(one_in_a_hundred, root, "k", schema, put) == 1
+    before, after = V.read_manifest(spark, root, 0), V.read_manifest(spark, root, 1)
+    changed = {b for b in after.folders if after.folders[b] != before.folders[b]}
+    assert len(before.folders) == len(after.folders) == 128 and 0 < len(changed) <= 6
+    assert rows(V.read_state(spark, root, schema)) == rows(put(whole, one_in_a_hundred))
+    assert rows(V.read_state(spark, root, schema, 0)) == rows(whole)
+    # Only what the kept version names is left, and it is whole.
+    assert V.expire(spark, root, keep=1) == [1]
+    assert rows(V.read_state(spark, root, schema)) == rows(put(whole, one_in_a_hundred))
+    assert len(V._files(spark, f"{root}/data/*/__bucket=*")) == 128
+
+
+def test_folds_that_run_again_or_at_once(spark):
+    root, schema = scratch_path(spark, "state"), "k bigint, v string"
+
+    def some(v, *keys):
+        return spark.createDataFrame([(k, v) for k in keys], schema)
+
+    assert V.fold(some("a", 1, 2), root, "k", schema, put, buckets=4, writer="s", batch=0) == 0
+    assert V.fold(some("b", 2), root, "k", schema, put, writer="s", batch=1) == 1
+    # The batch before runs again: nothing changes.  So it is when nothing comes in.
+    assert V.fold(some("b", 2), root, "k", schema, put, writer="s", batch=1) == 1
+    assert V.fold(some("c"), root, "k", schema, put, writer="s", batch=2) == 1
+    assert rows(V.read_state(spark, root, schema)) == [(1, "a"), (2, "b")]
+
+    def slow(state, incoming):
+        V.fold(some("other", 7), root, "k", schema, put)
+        return put(state, incoming)
+
+    with pytest.raises(ValueError, match="another run"):
+        V.fold(some("late", 8), root, "k", schema, slow)
+    assert rows(V.read_state(spark, root, schema)) == [(1, "a"), (2, "b"), (7, "other")]
+    # Null keys have a bucket as well; a combination may leave rows out.
+    V.fold(some("none", None), root, "k", schema, put)
+    V.fold(some("x", 1), root, "k", schema, lambda state, incoming: state.join(incoming, "k", "left_anti"))
+    assert rows(V.read_state(spark, root, schema)) == [(2, "b"), (7, "other"), (None, "none")]
+
+
+def test_frontier_over_several_runs(spark):
+    pages, seen, out, ck = (scratch_path(spark, n) for n in ("pages", "seen", "out", "ck"))
+
+    def land(*links):
+        spark.createDataFrame([(x,) for x in links], "link string").coalesce(1).write.mode("append").parquet(pages)
+
+    def run(ck=ck):
+        source = T.read_landed(spark, pages, "link string", files_per_batch=1)
+        T.stream_frontier(source, lambda batch: batch, seen, out, ck, "link", "link string", buckets=4)
+        return sorted(r.link for r in spark.read.parquet(f"{out}/*").collect())
+
+    land("a", "b", "a", None)
+    land("b", "c")
+    assert run() == ["a", "b", "c"]
+    land("c", "d", "a")
+    assert run() == ["a", "b", "c", "d"]
+    # All pages are read again, and nothing is new.
+    assert run(scratch_path(spark, "ck")) == ["a", "b", "c", "d"]
 
 
 def test_stream_dedup_equals_batch(spark, sf):
@@ -130,7 +209,7 @@ def test_stream_dedup_equals_batch(spark, sf):
     events.repartition(5, "event_id").write.parquet(path)
     source = T.read_landed(spark, path, events.schema, files_per_batch=1).withColumn("ts", F.col("ts").cast("timestamp"))
     out = scratch_path(spark, "out")
-    T.stream_records(T.stream_dedup(source, ["user_id", "event_type"], "ts", "60 days"), lambda df: df.select("user_id", "event_type"), out, scratch_path(spark, "ck"))
+    T.stream_rows(T.stream_dedup(source, ["user_id", "event_type"], "ts", "60 days"), lambda df: df.select("user_id", "event_type"), out, scratch_path(spark, "ck"))
     assert rows(spark.read.parquet(out)) == rows(events.select("user_id", "event_type").distinct())
 
 
@@ -146,7 +225,7 @@ def test_stream_records_resumes(spark, sf):
     run()
     pages.where("page_id >= 20").write.mode("append").parquet(path)
     run()
-    assert rows(spark.read.parquet(out)) == rows(extract_links(pages))
+    assert rows(T.read_stream_records(spark, out)) == rows(extract_links(pages))
 
 
 def test_filters_and_columns_reach_the_scan(spark, sf):

@@ -2,6 +2,8 @@
 
 import random
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -121,7 +123,7 @@ def test_strict_dates(spark, text, iso):
 @pytest.mark.parametrize(
     "text, iso",
     [("July 11, 1991, Thursday, FINAL EDITION", "1991-07-11T00:00:00"), ("Held on 8 December 2004 at", "2004-12-08T00:00:00"),
-     ("July 1991", None), ("12 words", None), ("May 2, 1999 and 3 June 2000", "2000-06-03T00:00:00")],
+     ("July 1991", None), ("12 words", None), ("May 2, 1999 and 3 June 2000", "1999-05-02T00:00:00")],
 )
 def test_fuzzy_dates(spark, text, iso):
     assert expr(spark, text, D.extract_date_fuzzy) == iso
@@ -233,3 +235,82 @@ def test_publication_routing(spark):
     }
     assert (by["1"].external_id, by["1"].words, by["1"].file_name) == ("src_A-b", "t x", "A_b.json")
     assert (by["3"].title, by["3"].meta.s.dates) == (" ", None)
+
+
+def test_items_without_a_mark_are_open(spark):
+    schema = "domain string, price decimal(12,2), scraped_at timestamp, wait_s double, done boolean"
+    at = F.lit("2024-01-02 00:00:00").cast("timestamp")
+    state = spark.createDataFrame([("a", 1), ("b", 2)], "domain string, p int").select(
+        "domain", F.col("p").cast("decimal(12,2)").alias("price"), at.alias("scraped_at"), F.lit(50.0).alias("wait_s"),
+        F.lit(None).cast("boolean").alias("done"),
+    )
+    incoming = spark.createDataFrame([("b", 9, 7.0, 1)], "domain string, price int, wait_s double, seq int")
+    from pagemill.operators.schedule import mark_done, upsert_items
+
+    got = {r.domain: r for r in upsert_items(state, incoming, at, ["seq"]).collect()}
+    assert [(got[d].price, got[d].wait_s, got[d].done) for d in "ab"] == [(1, 50.0, False), (9, 50.0, False)]
+    assert got["a"].scraped_at == got["b"].scraped_at
+    marked = mark_done(state, incoming.select("domain"))
+    assert {r.domain: r.done for r in marked.collect()} == {"a": False, "b": True}
+    assert upsert_items(state.limit(0), incoming, at, ["seq"]).schema.simpleString().startswith("struct<domain:string")
+    assert spark.createDataFrame([], schema).columns == upsert_items(state, incoming, at, ["seq"]).columns
+
+
+def test_tags_with_very_many_attributes(spark):
+    from pagemill.functions import html as H
+
+    many = " ".join(f'a{i}="{i}>"' for i in range(100_000))
+    tags = [f"<a {many} href='x'>t", f"<a {many}>", f"<a href {many} HREF = y z>", '<a data-href="no" href="">', "<a href=1 href=2>", "<a/href='q'/>"]
+    df = spark.createDataFrame(list(enumerate(tags)), "i int, tag string")
+    got = [r.h for r in df.select("i", H.attr(F.col("tag"), "href").alias("h")).orderBy("i").collect()]
+    assert got == ["x", None, "y", None, "1", "q"]
+
+
+def slow_scores(text, entries, negators, intensifiers):
+    words = re.findall("[a-z]+", text.lower())
+    found, i = [], 0
+    while i < len(words):
+        size = next((n for n in (3, 2, 1) if " ".join(words[i : i + n]) in entries and i + n <= len(words)), 0)
+        if not size:
+            i += 1
+            continue
+        p, s = entries[" ".join(words[i : i + size])]
+        before, two = (words[i - 1] if i else ""), (words[i - 2] if i > 1 else "")
+        if before in intensifiers:
+            p *= intensifiers[before]
+            p *= -0.5 if two in negators else 1
+        elif before in negators:
+            p *= -0.5
+        found.append((p, s))
+        i += size
+    n = len(found)
+    return (round(sum(p for p, _ in found) / n, 9), round(sum(s for _, s in found) / n, 9), n) if n else (0.0, 0.0, 0)
+
+
+def test_phrases_by_reading_word_after_word(spark):
+    import random
+
+    entries = {"good": (0.5, 0.4), "not bad": (0.6, 0.3), "good for nothing": (-0.9, 0.9), "bad": (-0.7, 0.6), "bad day": (-0.8, 0.2), "x1": (1.0, 1.0)}
+    negators, intensifiers = ("not", "no"), {"very": 1.5, "so": 1.2}
+    rng = random.Random(4)
+    words = ["good", "bad", "not", "no", "very", "so", "for", "nothing", "day", "other", "goods", "Good", "x1"]
+    texts = ["".join(rng.choice(words) + rng.choice([" ", ", ", "\n", "-", ". "]) for _ in range(rng.randint(0, 40))) for _ in range(300)]
+    texts += ["good" * 1000, "not " * 20_000 + "good", "no not good", "bad day" * 2, ""]
+    # "so" and "very" are told apart from the words that end an entry: none of them is in one.
+    docs = spark.createDataFrame([*enumerate(texts), (-1, None)], "doc_id int, text string")
+    rows = [(w, p, s) for w, (p, s) in entries.items()]
+    lexicon = spark.createDataFrame(rows, "word string, polarity double, subjectivity double")
+    got = {r.doc_id: (round(r.polarity, 9), round(r.subjectivity, 9), r.n_hits)
+           for r in lexicon_sentiment(docs, lexicon, negators=negators, intensifiers=intensifiers).collect()}
+    assert got == {-1: (0.0, 0.0, 0), **{i: slow_scores(t, entries, negators, intensifiers) for i, t in enumerate(texts)}}
+
+
+def test_long_lists_meet_words_in_a_join(spark):
+    docs = spark.createDataFrame([(1, "w7 alpha not beta"), (2, "none")], "doc_id int, text string")
+    small = [("alpha", 1.0, 0.5), ("beta", 0.5, 0.1)]
+    filler = ["".join(chr(97 + (i // 26**k) % 26) for k in range(4)) + "zz" for i in range(600)]
+    long = spark.createDataFrame(small + [(w, 0.1, 0.1) for w in filler], "word string, polarity double, subjectivity double")
+    short = spark.createDataFrame(small, "word string, polarity double, subjectivity double")
+    assert sorted(map(tuple, lexicon_sentiment(docs, long).collect())) == sorted(map(tuple, lexicon_sentiment(docs, short).collect()))
+    with pytest.raises(ValueError):
+        lexicon_sentiment(docs, long, intensifiers={"very": 2.0})
