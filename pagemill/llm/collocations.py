@@ -48,9 +48,9 @@ def _cut(shard_tokens: int):
         def close(lang):
             nonlocal made
             numbers, pieces, size = open_shards.pop(lang)
-            ids = np.concatenate(pieces)
-            counts = np.bincount(ids, minlength=len(numbers.words))
-            row = [(TaskContext.get().partitionId() << 32) + made, lang, len(numbers.words), size, X.pack_words(numbers.words[1:]),
+            ids, words = X.by_frequency(np.concatenate(pieces), numbers.words, 1)
+            counts = np.bincount(ids, minlength=len(words))
+            row = [(TaskContext.get().partitionId() << 32) + made, lang, len(words), size, X.pack_words(words[1:]),
                    X.pack(counts[1:]), X.pack(ids)]
             made += 1
             names = ["shard", "lang", "size", "tokens", "words", "counts", "ids"]

@@ -19,6 +19,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -108,12 +109,12 @@ def _cut(key_type, shard_tokens: int):
         edge = np.array([0], np.int64), np.array([1], np.int64)
 
         def close():
-            ids = np.concatenate(pieces)
+            ids, words = X.by_frequency(np.concatenate(pieces), numbers.words, 2)
             taught = np.repeat(np.array(learned, bool), lengths)
-            counts = np.bincount(ids[taught], minlength=len(numbers.words))
+            counts = np.bincount(ids[taught], minlength=len(words))
             counts[0] = 0
             row = [
-                (TaskContext.get().partitionId() << 32) + made, len(numbers.words), size, X.pack_words(numbers.words[1:]), X.pack(counts),
+                (TaskContext.get().partitionId() << 32) + made, len(words), size, X.pack_words(words[1:]), X.pack(counts),
                 X.pack(ids), X.pack(np.array(lengths)), X.pack(np.array(learned, np.int64)), keys,
             ]
             names = ["shard", "size", "tokens", "words", "counts", "ids", "lengths", "learned", "keys"]
@@ -191,10 +192,17 @@ class Grams:
 
 
 def _answer_grams(order: int, least: int, lower: Discounts, buckets: int):
-    """Counts of a bucket's sequences; ``context`` rows: how many words follow so many times, and their lower-order mass."""
+    """Counts of a bucket's sequences; ``context`` rows: how many words follow so many times, and their lower-order mass.
+
+    Other rows pass through.
+    """
 
     def answer(table: pa.Table) -> pa.Table:
         bucket = table.column("bucket")[0].as_py()
+        is_asked = pc.equal(table.column("kind"), "ask")
+        others, table = table.filter(pc.invert(is_asked)).select(X.COLUMNS), table.filter(is_asked)
+        if not table.num_rows:
+            return others.cast(X.ARROW)
         shards = table.column("shard").to_pylist()
         asked = [[X.unpack(d) for d in data] for data in table.column("data").to_pylist()]
         columns = [np.concatenate(c) for c in zip(*asked)]
@@ -220,7 +228,7 @@ def _answer_grams(order: int, least: int, lower: Discounts, buckets: int):
             home = X.bucket_of(context, buckets)
             rows.deal("context", -1, home, [*context, *[s.astype(np.int64) for s in sums], mass])
         rows.add("total", bucket, -1, X.pack(X.histogram(counts)))
-        return pa.Table.from_batches([rows.batch()])
+        return pa.concat_tables([others.cast(X.ARROW), pa.Table.from_batches([rows.batch()])])
 
     return answer
 
@@ -412,16 +420,16 @@ def katz_scores(
     below, scale = words.discounts, words.scale
     for now in range(2, order + 1):
         least_here = least_of(now, least)
-        asked, questions = X.written(X.with_answers(shards, *known).mapInArrow(_ask(setting, now), X.ROW), "asked")
-        grams, counts = X.written(X.exchanged(asked.where("kind = 'ask'"), _answer_grams(now, least_here, below, buckets)), "grams")
-        below = Discounts.fit(X.totals(grams.unionByName(asked.where("kind = 'total'")))[2:], least_here)
-        pairs = grams.where("kind = 'context'").unionByName(asked.where("kind = 'backoff'"))
+        questions = X.with_answers(shards, *known).mapInArrow(_ask(setting, now), X.ROW)
+        grams, path = X.written(X.exchanged(questions, _answer_grams(now, least_here, below, buckets)), "grams")
+        below = Discounts.fit(X.totals(grams)[2:], least_here)
+        pairs = grams.where("kind in ('context', 'backoff')")
         contexts.append(staged(X.exchanged(pairs, _answer_contexts(now - 1, below, scale)), "contexts"))
         known.append(grams)
         setting = Setting(words, texts, (*setting.discounts, below), least, buckets, bucket_keys)
         scale = 1.0
-        discard(rows.sparkSession, questions)
-        discard(rows.sparkSession, f"{counts}/kind=context")
+        for spent in ("context", "backoff"):
+            discard(rows.sparkSession, f"{path}/kind={spent}")
     schema = f"key {kind.simpleString()}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
     scored = X.with_answers(shards, *known, *contexts).mapInArrow(_score(setting, order, to_arrow_type(kind)), schema)
     return scored.withColumnRenamed("key", key)

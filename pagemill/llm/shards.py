@@ -28,16 +28,17 @@ SHARD_TOKENS = 1 << 19
 BUCKET_KEYS = 1 << 19
 
 ROW = "kind string, bucket bigint, shard bigint, data array<binary>"
-_ARROW = pa.schema([("kind", pa.string()), ("bucket", pa.int64()), ("shard", pa.int64()), ("data", pa.list_(pa.binary()))])
+COLUMNS = ["kind", "bucket", "shard", "data"]
+ARROW = pa.schema([("kind", pa.string()), ("bucket", pa.int64()), ("shard", pa.int64()), ("data", pa.list_(pa.binary()))])
 
 
 def pack(values: np.ndarray) -> bytes:
-    """Numbers as compressed bytes, in the narrowest type that holds them."""
+    """Numbers as compressed bytes, in the narrowest type that holds them, first bytes of all first: they are alike."""
     values = np.ascontiguousarray(values)
     if values.dtype.kind != "f":
         low, high = (int(values.min()), int(values.max())) if len(values) else (0, 0)
         values = values.astype(np.result_type(np.min_scalar_type(low), np.min_scalar_type(high)))
-    raw = values.tobytes()
+    raw = values.view(np.uint8).reshape(-1, values.itemsize).T.tobytes()
     head = f"{values.dtype.str} {len(raw)} ".encode()
     return head + (pa.compress(raw, codec="zstd", asbytes=True) if raw else b"")
 
@@ -47,7 +48,11 @@ def unpack(data: bytes) -> np.ndarray:
     kind, size, packed = bytes(data).split(b" ", 2)
     dtype = np.dtype(kind.decode())
     raw = pa.decompress(packed, int(size), codec="zstd", asbytes=True) if int(size) else b""
-    return np.frombuffer(raw, dtype).astype(np.float64 if dtype.kind == "f" else np.int64)
+    if not raw:
+        return np.zeros(0, np.float64 if dtype.kind == "f" else np.int64)
+    planes = np.frombuffer(raw, np.uint8).reshape(dtype.itemsize, -1)
+    values = np.ascontiguousarray(planes.T).view(dtype).reshape(-1)
+    return values.astype(np.float64 if dtype.kind == "f" else np.int64)
 
 
 def pack_words(words: Iterable[bytes]) -> bytes:
@@ -104,9 +109,9 @@ class Rows:
             column.append(value)
 
     def batch(self) -> pa.RecordBatch:
-        arrays = [pa.array(c, type=f.type) for c, f in zip(self.columns, _ARROW)]
+        arrays = [pa.array(c, type=f.type) for c, f in zip(self.columns, ARROW)]
         self.columns = [[], [], [], []]
-        return pa.RecordBatch.from_arrays(arrays, schema=_ARROW)
+        return pa.RecordBatch.from_arrays(arrays, schema=ARROW)
 
     def deal(self, kind: str, shard: int, bucket: np.ndarray, columns: Sequence[np.ndarray]) -> None:
         """One row for each bucket with its part of the columns."""
@@ -146,6 +151,15 @@ class Numbering:
         return list(self.numbers)
 
 
+def by_frequency(ids: np.ndarray, words: list[bytes], fixed: int) -> tuple[np.ndarray, list[bytes]]:
+    """The same with frequent words first, behind ``fixed`` ones: small numbers take less room."""
+    counts = np.bincount(ids, minlength=len(words))
+    order = np.concatenate([np.arange(fixed), fixed + np.argsort(-counts[fixed:], kind="stable")])
+    number = np.empty(len(words), np.int64)
+    number[order] = np.arange(len(words))
+    return number[ids], [words[i] for i in order.tolist()]
+
+
 def ask_words(rows: Rows, shard: int, words: list[bytes], counts: np.ndarray, buckets: int) -> None:
     """Questions for the numbers and counts of ``words``."""
     bucket = word_buckets(words, buckets)
@@ -207,7 +221,7 @@ def buckets_for(shards: DataFrame, bucket_keys: int) -> int:
 
 
 def exchanged(rows: DataFrame, answer: Callable[[pa.Table], pa.Table]) -> DataFrame:
-    """The answers of all buckets to the ``ask`` rows."""
+    """What ``answer`` gives for the rows of each bucket."""
     return rows.groupBy("bucket").applyInArrow(answer, ROW)
 
 
