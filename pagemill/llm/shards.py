@@ -190,7 +190,8 @@ def answer_words(buckets: int, least: int, keep: bool) -> Callable[[pa.Table], p
             asked.append((shard, words))
             for word, n in zip(words, counts.tolist()):
                 total[word] += n
-        known = sorted(w for w, n in total.items() if n >= least)
+        # Frequent words get small numbers, which take less room wherever they go.
+        known = sorted((w for w, n in total.items() if n >= least), key=lambda w: (-total[w], w))
         number = {w: i * buckets + bucket + 1 for i, w in enumerate(known)}
         rows = Rows()
         for shard, words in asked:
