@@ -23,9 +23,9 @@ from pyspark.sql import functions as F
 from pagemill.llm.common import tidy
 from pagemill.session import scratch_path
 
-# Words of a shard, and keys of a bucket on average.  Texts are not cut, so a shard may exceed this by one text.
+# Words of a shard, and tokens whose keys share a bucket (far fewer different keys).  Texts are not cut, so a shard may exceed this by one text.
 SHARD_TOKENS = 1 << 19
-BUCKET_KEYS = 1 << 19
+BUCKET_KEYS = 1 << 21
 
 ROW = "kind string, bucket bigint, shard bigint, data array<binary>"
 COLUMNS = ["kind", "bucket", "shard", "data"]
