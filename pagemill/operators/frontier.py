@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagemill.functions.text import url_template
@@ -27,6 +27,57 @@ def unseen(links: DataFrame, seen: DataFrame, keys: Sequence[str]) -> DataFrame:
     return links.select(*keys).distinct().join(seen.select(*keys).distinct(), list(keys), "left_anti")
 
 
+# A sketch has so many bits whatever it is made of, 512 KB, and each key sets so many of them.
+SKETCH_BITS = 1 << 22
+SKETCH_HASHES = 4
+
+
+def _bits(keys: Sequence[str], bits: int, hashes: int) -> list[Column]:
+    """Positions a key sets, from hashes that differ in a number put before it."""
+    return [F.pmod(F.xxhash64(F.lit(i), *keys), F.lit(bits)) for i in range(hashes)]
+
+
+def seen_sketch(seen: DataFrame, keys: Sequence[str], bits: int = SKETCH_BITS, hashes: int = SKETCH_HASHES) -> DataFrame:
+    """One row ``sketch``: an array of ``bits`` bits in words of 64, set where a seen key hashes to.
+
+    Words are combined before the shuffle; no more than ``bits / 64`` of them meet in the last task.
+    """
+    at = seen.select(F.explode(F.array(*_bits(keys, bits, hashes))).alias("at"))
+    words = at.select(
+        F.shiftright("at", 6).alias("id"), F.call_function("shiftleft", F.lit(1).cast("bigint"), (F.col("at") % 64).cast("int")).alias("word")
+    )
+    empty = seen.sparkSession.range(bits // 64).select("id", F.lit(0).cast("bigint").alias("word"))
+    whole = words.unionByName(empty).groupBy("id").agg(F.bit_or("word").alias("word"))
+    ordered = F.array_sort(F.collect_list(F.struct("id", "word")))
+    return whole.agg(F.transform(ordered, lambda w: w["word"]).alias("sketch"))
+
+
+def maybe_seen(
+    links: DataFrame, seen: DataFrame, keys: Sequence[str], out: str, bits: int = SKETCH_BITS, hashes: int = SKETCH_HASHES
+) -> DataFrame:
+    """Add ``out``: false for links that surely were not seen, true for the seen ones and a few others."""
+    sketch = seen_sketch(seen, keys, bits, hashes).scalar()
+    tests = [F.getbit(F.get(sketch, F.shiftright(at, 6).cast("int")), (at % 64).cast("int")) == 1 for at in _bits(keys, bits, hashes)]
+    found = tests[0]
+    for test in tests[1:]:
+        found &= test
+    return links.withColumn(out, found)
+
+
+def unseen_by_sketch(
+    links: DataFrame, seen: DataFrame, keys: Sequence[str], bits: int = SKETCH_BITS, hashes: int = SKETCH_HASHES
+) -> DataFrame:
+    """``unseen`` where most links are new: the exact join only gets what a sketch of the seen ones lets through.
+
+    The same rows as ``unseen`` whatever the size of the sketch; a full one merely lets everything through.  A key with a
+    NULL never counts as seen, as in the join.
+    """
+    marked = maybe_seen(links.select(*keys).distinct(), seen, keys, "__maybe", bits, hashes)
+    doubtful = marked.where("__maybe").drop("__maybe")
+    exact = doubtful.join(seen.select(*keys).distinct(), list(keys), "left_anti")
+    return marked.where(~F.col("__maybe")).drop("__maybe").unionByName(exact)
+
+
 def distinct_links(links: DataFrame, keys: Sequence[str], link: str) -> DataFrame:
     """Number of different links per group: distinct pairs first, then a plain count."""
     return (

@@ -28,17 +28,23 @@ def _(t):
     return R.distinct_links(hosted_links(t), ["host"], "href")
 
 
-@query(
-    "frontier_new_links",
-    f"""SELECT DISTINCT host, href FROM ({HOSTED_SQL}) a WHERE url LIKE 'https:%' AND href IS NOT NULL AND NOT EXISTS
-        (SELECT 1 FROM ({HOSTED_SQL}) b WHERE b.url LIKE 'http:%' AND b.host = a.host AND b.href = a.href)""",
-)
+NEW_LINKS_SQL = f"""SELECT DISTINCT host, href FROM ({HOSTED_SQL}) a WHERE url LIKE 'https:%' AND href IS NOT NULL AND NOT EXISTS
+        (SELECT 1 FROM ({HOSTED_SQL}) b WHERE b.url LIKE 'http:%' AND b.host = a.host AND b.href = a.href)"""
+
+
+@query("frontier_new_links", NEW_LINKS_SQL)
 def _(t):
     # Pages landed over http came first.
     links = hosted_links(t).where("href is not null")
     return R.unseen(links.where("url like 'https:%'"), links.where("url like 'http:%'"), ["host", "href"])
 
 
+@query("frontier_new_links_sketch", NEW_LINKS_SQL)
+def _(t):
+    links = hosted_links(t).where("href is not null")
+    return R.unseen_by_sketch(links.where("url like 'https:%'"), links.where("url like 'http:%'"), ["host", "href"])
+
+
 @query(
     "frontier_cross",
     """SELECT c_custkey, CAST(p AS INTEGER) AS page_no, 'http://www.example.org/s?f=' || c_custkey || '&page=' || p AS url
@@ -300,15 +306,22 @@ ROUTED_SQL = """
 """
 
 
-def routed(t):
-    labelled = t.documents.select("doc_id").join(t.labels, "doc_id", "left")
+def labelled(t):
+    return t.documents.select("doc_id").join(t.labels, "doc_id", "left").select("doc_id", "quality", "toxic")
+
+
+def by_label(rows):
     return route_outcome(
-        labelled,
+        rows,
         (F.col("quality") == 1) & (F.col("toxic") == 0),
         {"no_label": F.col("quality").isNull(), "low_quality": F.col("quality") == 0, "toxic": F.col("toxic") == 1},
     ).select("doc_id", "outcome", "reason")
 
 
+def routed(t):
+    return by_label(labelled(t))
+
+
 @query("route_outcome", ROUTED_SQL)
 def _(t):
     from pagemill.session import scratch_path
@@ -322,3 +335,17 @@ def _(t):
 @query("outcome_counts", f"SELECT outcome, reason, count(*) AS n FROM ({ROUTED_SQL}) GROUP BY ALL")
 def _(t):
     return outcome_counts(routed(t), ["outcome", "reason"])
+
+
+@query("stream_outcomes", f"SELECT outcome, count(*) AS n FROM ({ROUTED_SQL}) GROUP BY outcome")
+def _(t):
+    """Documents that land in several files, a batch for each; the counts are those kept beside the records."""
+    from pagemill.session import scratch_path
+    from pagemill.streaming import flows as T
+
+    landed, out, metrics, checkpoint = (scratch_path(t.spark, n) for n in ("landed", "routed", "metrics", "checkpoint"))
+    rows = labelled(t)
+    rows.repartition(3, "doc_id").write.parquet(landed)
+    T.stream_outcomes(T.read_landed(t.spark, landed, rows.schema, files_per_batch=1), by_label, out, metrics, checkpoint)
+    counts = T.read_outcome_metrics(t.spark, metrics).agg(F.sum("success").alias("success"), F.sum("failures").alias("failures"))
+    return counts.unpivot([], ["success", "failures"], "outcome", "n").where("n > 0")

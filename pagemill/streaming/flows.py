@@ -5,10 +5,11 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
+from pagemill.operators.records import observe_outcomes
 from pagemill.operators.schedule import STATE_SCHEMA, due_plan, upsert_items
 from pagemill.sources.readers import read_work_table, version_path
 from pagemill.sources.state import BUCKETS, finished, fold, read_state, state_versions
@@ -49,6 +50,37 @@ def read_stream_records(spark: SparkSession, out: str) -> DataFrame:
     return spark.read.parquet(out).drop("batch")
 
 
+def stream_outcomes(
+    rows: DataFrame,
+    to_routed: Callable[[DataFrame], DataFrame],
+    out: str,
+    metrics: str,
+    checkpoint: str,
+    outcomes: Sequence[str] = ("success", "failures"),
+) -> None:
+    """Append routed records (with ``outcome``) and, beside them, a row of counts for each micro-batch.
+
+    The counts are observed while the records pass on to the sink, so nothing is read twice.  A batch that runs
+    again replaces its records and its counts; the counts are written last.
+    """
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        seen = Observation()
+        folder = f"batch={batch_id}"
+        observe_outcomes(to_routed(batch), seen, outcomes).write.mode("overwrite").parquet(f"{out.rstrip('/')}/{folder}")
+        counts = seen.get
+        names = ["records", *outcomes]
+        row = batch.sparkSession.range(1).select(*[F.lit(counts.get(n, 0)).cast("bigint").alias(n) for n in names])
+        row.write.mode("overwrite").parquet(f"{metrics.rstrip('/')}/{folder}")
+
+    _run(rows.writeStream.foreachBatch(write), checkpoint)
+
+
+def read_outcome_metrics(spark: SparkSession, metrics: str) -> DataFrame:
+    """``batch, records`` and a count for each outcome: one row per micro-batch of ``stream_outcomes``."""
+    return spark.read.parquet(metrics).withColumn("batch", F.col("batch").cast("bigint"))
+
+
 def stream_dedup(df: DataFrame, keys: Sequence[str], time: str, delay: str) -> DataFrame:
     """First row per key; a key is forgotten ``delay`` after it was seen, which bounds the state."""
     return df.withWatermark(time, delay).dropDuplicatesWithinWatermark(list(keys))

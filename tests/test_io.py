@@ -228,6 +228,30 @@ def test_stream_records_resumes(spark, sf):
     assert rows(T.read_stream_records(spark, out)) == rows(extract_links(pages))
 
 
+def test_stream_outcomes_counts_each_batch(spark):
+    """One row of counts a batch, also for a batch without records."""
+    from pagemill.operators.records import route_outcome
+
+    path, out, metrics, ck = (scratch_path(spark, n) for n in ("landed", "out", "metrics", "ck"))
+    table = spark.range(10).select("id", (F.col("id") % 3).alias("r"))
+
+    def to_routed(batch):
+        return route_outcome(batch.where("id < 8"), F.col("r") == 0, {"one": F.col("r") == 1})
+
+    def run(checkpoint):
+        T.stream_outcomes(T.read_landed(spark, path, table.schema), to_routed, out, metrics, checkpoint)
+        return [tuple(r) for r in T.read_outcome_metrics(spark, metrics).select("batch", "records", "success", "failures").orderBy("batch").collect()]
+
+    table.where("id < 5").write.parquet(path)
+    assert run(ck) == [(0, 5, 2, 3)]
+    assert run(ck) == [(0, 5, 2, 3)]
+    table.where("id in (5, 6, 7)").write.mode("append").parquet(path)
+    assert run(ck) == [(0, 5, 2, 3), (1, 3, 1, 2)]
+    table.where("id >= 8").write.mode("append").parquet(path)
+    assert run(ck)[2] == (2, 0, 0, 0)
+    assert T.read_stream_records(spark, out).count() == 8
+
+
 def test_filters_and_columns_reach_the_scan(spark, sf):
     from pagemill.plans.catalogue import QUERIES
 

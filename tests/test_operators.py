@@ -314,3 +314,19 @@ def test_long_lists_meet_words_in_a_join(spark):
     assert sorted(map(tuple, lexicon_sentiment(docs, long).collect())) == sorted(map(tuple, lexicon_sentiment(docs, short).collect()))
     with pytest.raises(ValueError):
         lexicon_sentiment(docs, long, intensifiers={"very": 2.0})
+
+
+@pytest.mark.parametrize("bits", [64, 1 << 16])
+def test_links_by_sketch(spark, bits):
+    """A full sketch lets everything through to the exact join, a roomy one little more than what was seen."""
+    seen = spark.range(0, 2000).select((F.col("id") % 10).alias("host"), F.concat(F.lit("/"), F.col("id").cast("string")).alias("href"))
+    links = spark.range(1500, 9500).select((F.col("id") % 10).alias("host"), F.concat(F.lit("/"), F.col("id").cast("string")).alias("href"))
+    links = links.unionByName(links.limit(50)).unionByName(spark.sql("select 1L host, cast(null as string) href"))
+    keys = ["host", "href"]
+    got = R.unseen_by_sketch(links, seen, keys, bits=bits)
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted(map(tuple, R.unseen(links, seen, keys).collect()), key=repr)
+    through = R.maybe_seen(links.distinct(), seen, keys, "m", bits=bits).where("m").count()
+    assert through >= 500 if bits == 64 else 500 <= through <= 520
+    nothing = seen.limit(0)
+    assert R.unseen_by_sketch(links, nothing, keys, bits=bits).count() == links.distinct().count()
+    assert R.unseen_by_sketch(nothing, seen, keys, bits=bits).count() == 0
