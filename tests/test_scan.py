@@ -59,6 +59,29 @@ def test_neighbours_across_tiny_blocks(skewed):
     assert result(neighbours(few, ["key"], ["id"], {"a": ("id", -5)}, rows_per_block=2)) == result(wanted)
 
 
+@pytest.mark.parametrize("order", ORDERS[:2])
+@pytest.mark.parametrize("keys", [["key"], []])
+def test_stretches_of_blocks(skewed, keys, order):
+    """Rows, blocks and stretches: sums and neighbours come from all three levels."""
+    w = Window.partitionBy(*(keys or [F.lit(0)])).orderBy(*order)
+    cut = {"rows_per_block": 20, "blocks_per_stretch": 6}
+    blocks = cut_into_blocks(skewed, keys, order, 20, 6).rows
+    stretches = blocks.groupBy(*keys, F.shiftright("__block", 32).alias("s")).agg(F.countDistinct("__block").alias("n"))
+    assert stretches.count() > 20 and 5 < stretches.agg(F.max("n")).first()[0] < 100
+    wanted = skewed.withColumn("t", F.sum("v").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    assert result(running_total(skewed, keys, order, F.col("v"), "t", **cut)) == result(wanted)
+    wanted = skewed.select("*", F.lag("id", 3).over(w).alias("a"), F.lead("v", 2).over(w).alias("b"))
+    assert result(neighbours(skewed, keys, order, {"a": ("id", -3), "b": ("v", 2)}, **cut)) == result(wanted)
+
+
+def test_every_row_a_stretch(skewed):
+    few = skewed.where("id < 200")
+    w = Window.partitionBy("key").orderBy("id")
+    wanted = few.withColumn("a", F.lag("id", 4).over(w))
+    got = neighbours(few, ["key"], ["id"], {"a": ("id", -4)}, rows_per_block=2, blocks_per_stretch=1)
+    assert result(got) == result(wanted)
+
+
 def test_ordinal_is_a_permutation(skewed):
     got = [r.p for r in ordinal(skewed, ["at", "id"], "p", rows_per_block=500).orderBy("p").collect()]
     assert got == list(range(9000))
@@ -103,6 +126,15 @@ def test_no_task_gets_a_whole_group(skewed, keys):
     assert all("__block" in line or "__sum" in line for line in windows)
 
 
+def test_what_comes_before_is_read_once_for_neighbours(skewed):
+    """All levels go on with the same dealt rows, the second read is that of the beginnings."""
+    few = skewed.withColumn("v", F.expr("reflect('java.lang.Math', 'abs', cast(v as int))").cast("int"))
+    plan = neighbours(few, ["key"], ["id"], {"a": ("v", 1)})
+    plan.collect()
+    text = plan._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert len(re.findall("reflect", text)) == 1
+
+
 def test_no_job_while_building(spark, skewed):
     before = len(spark.sparkContext.statusTracker().getJobIdsForGroup(None))
     running_total(skewed, ["key"], ["id"], F.col("v"), "t")
