@@ -170,29 +170,32 @@ def url_last_segment(c: Column) -> Column:
     return F.element_at(F.split(c, "/"), -1)
 
 
+def _text_map(entries: dict[str, str]) -> Column:
+    """A constant map made from one text: a literal for each key and value would have every rule of the planner walk over all of them."""
+    text = "\x02".join(f"{key}\x01{value}" for key, value in entries.items())
+    return F.str_to_map(F.lit(text), F.lit("\x02"), F.lit("\x01"))
+
+
 def entity_decode(c: Column) -> Column:
     """Named and numeric character entities to characters, each once; what is none stays.
 
     A no-break space becomes a plain one.
     """
-    named = F.create_map(*[F.lit(x) for pair in ENTITIES.items() for x in pair])
-    paged = F.create_map(*[F.lit(x) for pair in CODE_PAGE.items() if pair[1] for x in pair])
+    named, paged = _text_map(ENTITIES), _text_map({str(n): char for n, char in CODE_PAGE.items() if char})
 
     def numbered(code: Column) -> Column:
         # A code point as four bytes.
         known = code.between(1, 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
         octets = F.unhex(F.lpad(F.hex(F.when(known, code).otherwise(0xFFFD)), 8, "0"))
-        return F.coalesce(F.try_element_at(paged, code.cast("int")), F.decode(octets, "UTF-32"))
+        found = F.coalesce(F.try_element_at(paged, code.cast("string")), F.decode(octets, "UTF-32"))
+        return F.when(code.isNotNull(), found)
 
     def one(piece: Column) -> Column:
         name = F.regexp_extract(piece, "^&([A-Za-z][A-Za-z0-9]*);$", 1)
         decimal = F.regexp_extract(piece, "^&#([0-9]{1,7});$", 1)
-        hexadecimal = F.regexp_extract(piece, "^&#[xX]([0-9A-Fa-f]{1,6});$", 1)
-        found = (
-            F.when(name != "", F.try_element_at(named, name))
-            .when(decimal != "", numbered(decimal.cast("bigint")))
-            .when(hexadecimal != "", numbered(F.conv(hexadecimal, 16, 10).cast("bigint")))
-        )
+        hexadecimal = F.conv(F.regexp_extract(piece, "^&#[xX]([0-9A-Fa-f]{1,6});$", 1), 16, 10)
+        code = F.coalesce(decimal.try_cast("bigint"), hexadecimal.try_cast("bigint"))
+        found = F.coalesce(F.try_element_at(named, name), let(code, numbered))
         return F.when(piece.startswith("&"), F.coalesce(found, piece)).otherwise(piece)
 
     def decode(v: Column) -> Column:
