@@ -330,3 +330,10 @@ def test_links_by_sketch(spark, bits):
     nothing = seen.limit(0)
     assert R.unseen_by_sketch(links, nothing, keys, bits=bits).count() == links.distinct().count()
     assert R.unseen_by_sketch(nothing, seen, keys, bits=bits).count() == 0
+
+
+def test_entities_of_every_kind(spark):
+    given = "&eacute;&amp;lt; &#65;&#x41;&#X42; &#150; &#0; &#xD800; &#x110000; &nope; &#; &;&#12345678; a&nbsp;b &AMP;"
+    wanted = "é&lt; AAB – � � � &nope; &#; &;&#12345678; a b &AMP;"
+    rows = spark.createDataFrame([(given,), ("none",), (None,), ("",)], "t string")
+    assert [r[0] for r in rows.select(TX.entity_decode(F.col("t"))).collect()] == [wanted, "none", None, ""]
