@@ -241,18 +241,21 @@ def _(t):
     return R.read_work_table(t.spark, path, schema)
 
 
+def landed(t, name, **options):
+    """A table as a stream, be it one file or a folder of them: of a folder every file counts, and a path with a pattern may be either."""
+    return T.read_landed(t.spark, f"{t.dir}/{{{name}}}.parquet", getattr(t, name).schema, **options)
+
+
 @query("stream_pages", f"SELECT page_id, pos, href, text FROM ({LINKS_SQL})")
 def _(t):
-    landed = T.read_landed(t.spark, t.dir, t.pages.schema, "pages.parquet")
     out = scratch_path(t.spark, "links")
-    T.stream_rows(landed, extract_links, out, scratch_path(t.spark, "checkpoint"))
+    T.stream_rows(landed(t, "pages"), extract_links, out, scratch_path(t.spark, "checkpoint"))
     return t.spark.read.parquet(out)
 
 
 @query("stream_dedup_links", "SELECT DISTINCT user_id, event_type FROM events")
 def _(t):
-    landed = T.read_landed(t.spark, t.dir, t.events.schema, "events.parquet")
-    timed = landed.select("user_id", "event_type", F.col("ts").cast("timestamp").alias("ts"))
+    timed = landed(t, "events").select("user_id", "event_type", F.col("ts").cast("timestamp").alias("ts"))
     # Events span a month, so nothing is forgotten within the delay.
     once = T.stream_dedup(timed, ["user_id", "event_type"], "ts", "40 days")
     out = scratch_path(t.spark, "once")
@@ -264,8 +267,7 @@ def folded(t, plans=None):
     """The work table after the orders that landed: the root of its state."""
     root = scratch_path(t.spark, "work")
     create_state(customer_state(t), root, "domain", 16)
-    landed = T.read_landed(t.spark, t.dir, t.orders.schema, "orders.parquet", files_per_batch=None)
-    T.stream_upsert(order_requests(landed), root, scratch_path(t.spark, "checkpoint"), now(), ["o_orderkey"], plans)
+    T.stream_upsert(order_requests(landed(t, "orders", files_per_batch=None)), root, scratch_path(t.spark, "checkpoint"), now(), ["o_orderkey"], plans)
     return root
 
 
@@ -305,7 +307,6 @@ def _(t):
 @query("stream_records", PUBLICATION_SQL)
 def _(t):
     """Publication pages as they land, with the whole record flow run on each batch."""
-    landed = T.read_landed(t.spark, t.dir, t.part.schema, "part.parquet")
     _, texts = publication_inputs(t)
 
     def records(batch):
@@ -314,7 +315,7 @@ def _(t):
         return publication_columns(publications.publication_records(fields, texts, PDF_BASE, "source", "src_"))
 
     out = scratch_path(t.spark, "records")
-    T.stream_records(landed, records, out, scratch_path(t.spark, "checkpoint"))
+    T.stream_records(landed(t, "part"), records, out, scratch_path(t.spark, "checkpoint"))
     return T.read_stream_records(t.spark, out)
 
 
@@ -328,8 +329,7 @@ def _(t):
         F.concat(F.lit("http://www.example.org/show?pub_id="), F.col("user_id").cast("string"))
     )
     page = F.concat(F.lit('<ul><li><a href="/help">Help</a></li><li><a href="/p">'), shown, F.lit("</a></li></ul>"))
-    events = T.read_landed(t.spark, t.dir, t.events.schema, "events.parquet")
-    pages = events.select(page.alias("html"))
+    pages = landed(t, "events").select(page.alias("html"))
     seen, found, out = (scratch_path(t.spark, name) for name in ("seen", "found", "records"))
 
     def links(batch):
@@ -343,6 +343,6 @@ def _(t):
         fields = staged(publications.publication_fields(fetched), "fields")
         return publication_columns(publications.publication_records(fields, texts, PDF_BASE, "source", "src_"))
 
-    landed = T.read_landed(t.spark, f"{found}/*", "link string")
-    T.stream_records(landed, records, out, scratch_path(t.spark, "checkpoint"))
+    fresh = T.read_landed(t.spark, f"{found}/*", "link string")
+    T.stream_records(fresh, records, out, scratch_path(t.spark, "checkpoint"))
     return T.read_stream_records(t.spark, out)

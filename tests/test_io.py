@@ -295,3 +295,14 @@ def test_outcomes_are_counted_on_the_way(spark):
     K.write_routed(observe_outcomes(df.withColumn("i", F.lit(1)), seen), path)
     assert seen.get == {"records": 3, "success": 2, "failures": 1}
     assert rows(spark.read.json(path).groupBy("outcome").count()) == [("failures", 1), ("success", 2)]
+
+
+@pytest.mark.parametrize("name", ["stream_pages", "stream_dedup_links", "stream_upsert", "stream_records"])
+def test_streams_of_tables_in_several_files(spark, sf, name):
+    from pagemill.plans.catalogue import QUERIES
+
+    root = scratch_path(spark, "tables")
+    for table in ("pages", "events", "orders", "customer", "part"):
+        spark.read.parquet(f"{sf}/{table}.parquet").repartition(3).write.parquet(f"{root}/{table}.parquet")
+    found = rows(QUERIES[name](spark, root))
+    assert found and found == rows(QUERIES[name](spark, sf))
