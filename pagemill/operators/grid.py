@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from pagemill.functions import html as H
 from pagemill.functions.fold import fold_emit
-from pagemill.functions.text import let
+from pagemill.functions.text import let, ws_collapse
 from pagemill.operators.rows import each
 
 # Fixed values of the HTML standard: no cell spans more; a row span of 0 reaches to the end of the table.
@@ -22,41 +22,74 @@ _CELL = r"(?is)<t[dh]\b[^>]*>.*?</t[dh]\s*>"
 
 def _span(cell: Column, name: str, most: int, zero: int) -> Column:
     """The number an attribute begins with, 1 without one."""
-    digits = F.substring(F.regexp_extract(F.coalesce(H.attr(cell, name), F.lit("")), r"^\s*\+?0*(\d*)", 1), 1, 9)
-    absent = ~F.coalesce(H.attr(cell, name), F.lit("")).rlike(r"^\s*\+?\d")
-    number = F.coalesce(F.try_to_number(F.nullif(digits, F.lit("")), F.lit("999999999")).cast("int"), F.lit(0))
-    return F.when(absent, 1).otherwise(let(number, lambda n: F.when(n == 0, zero).otherwise(F.least(n, F.lit(most)))))
-
-
-def _cells(row: Column) -> Column:
-    """``array<struct<text, rows, cols>>`` of a table row."""
-    return F.transform(
-        F.regexp_extract_all(row, F.lit(_CELL), F.lit(0)),
-        lambda c: F.struct(
-            H.clean_text(c).alias("text"),
+
+    def number(value: Column) -> Column:
+        digits = F.substring(F.regexp_extract(value, r"^\s*\+?0*(\d*)", 1), 1, 9)
+        counted = let(
+            F.coalesce(digits.try_cast("int"), F.lit(0)), lambda n: F.when(n == 0, zero).otherwise(F.least(n, F.lit(most)))
+        )
+        return F.when(value.rlike(r"^\s*\+?\d"), counted).otherwise(1)
+
+    # Most cells do not name the attribute at all: a look at the text spares going from attribute to attribute.
+    return F.when(cell.rlike(f"(?i){name}"), F.coalesce(let(H.attr(cell, name), number), F.lit(1))).otherwise(1)
+
+
+def _cell_texts(cells: Column) -> Column:
+    """Clean texts of the cells of all rows (``array<array<string>>``)."""
+    # A cell begins and ends with a tag, so neither tags nor white space reach from one to the next.  Marks between cells and
+    # rows let one pass clean the whole table; a table with entities, or with these marks in it, goes cell by cell.
+    together = F.split(
+        ws_collapse(
+            F.regexp_replace(F.array_join(F.transform(cells, lambda row: F.array_join(row, "\x01")), "\x02"), H.TAG, "")
+        ),
+        " ?\x02 ?",
+    )
+    return F.when(
+        F.array_join(F.flatten(cells), "").rlike("[&\x01\x02]"), F.transform(cells, lambda row: F.transform(row, H.clean_text))
+    ).otherwise(F.transform(together, lambda row: F.split(row, " ?\x01 ?")))
+
+
+def _read(row: Column, cells: Column, texts: Column) -> Column:
+    """``struct<cells, spread, body>`` of a table row; ``spread`` has a cell as often as it spans columns."""
+
+    def cell(c: Column, text: Column) -> Column:
+        return F.struct(
+            text.alias("text"),
             _span(c, "rowspan", MOST_ROWS, MOST_ROWS).cast("int").alias("rows"),
             _span(c, "colspan", MOST_COLUMNS, 1).cast("int").alias("cols"),
+        )
+
+    plain = F.transform(texts, lambda t: F.struct(t.alias("text"), F.lit(1).alias("rows"), F.lit(1).alias("cols")))
+    return let(
+        # A row that names no span is made of its texts.
+        F.when(row.rlike("(?i)(?:row|col)span"), F.zip_with(cells, texts, cell)).otherwise(plain),
+        lambda known: F.struct(
+            known.alias("cells"),
+            F.when(row.rlike("(?i)colspan"), F.flatten(F.transform(known, lambda c: F.array_repeat(_slot(c), c["cols"]))))
+            .otherwise(F.transform(known, _slot)).alias("spread"),
+            row.rlike(r"(?i)<td[\s>]").alias("body"),
         ),
     )
 
 
+def _slot(cell: Column) -> Column:
+    return F.struct(cell["text"].alias("text"), cell["rows"].alias("left"))
+
+
 def _place(slots: Column, cell: Column, at: Column) -> Column:
     """The slots with the cell in its columns from ``at``; what reaches down from above stays."""
 
     def slot(i: Column) -> Column:
         return let(
             F.coalesce(F.get(slots, i), F.struct(F.lit(None).cast("string").alias("text"), F.lit(0).alias("left"))),
-            lambda old: F.when(
-                (i >= at) & (i < at + cell["cols"]) & (old["left"] == 0),
-                F.struct(cell["text"].alias("text"), cell["rows"].alias("left")),
-            ).otherwise(old),
+            lambda old: F.when((i >= at) & (i < at + cell["cols"]) & (old["left"] == 0), _slot(cell)).otherwise(old),
         )
 
     return F.transform(F.sequence(F.lit(0), F.greatest(F.size(slots), at + cell["cols"]) - 1), slot)
 
 
-def _row(above: Column, row: Column) -> Column:
-    """A row's slots, then what they leave open for the next row."""
+def _filled(above: Column, cells: Column) -> Column:
+    """A row's slots, cell by cell: each from the first column free."""
 
     def put(state: Column, cell: Column) -> Column:
         slots = state["slots"]
@@ -69,8 +102,33 @@ def _row(above: Column, row: Column) -> Column:
             lambda at: F.struct(_place(slots, cell, at).alias("slots"), (at + cell["cols"]).alias("at")),
         )
 
-    filled = F.aggregate(
-        row["cells"], F.struct(above.cast(_SLOTS).alias("slots"), F.lit(0).alias("at")), put, lambda s: s["slots"]
+    return F.aggregate(cells, F.struct(above.cast(_SLOTS).alias("slots"), F.lit(0).alias("at")), put, lambda s: s["slots"])
+
+
+def _dealt(above: Column, cells: Column) -> Column:
+    """A row's slots where no cell spans columns: one cell for each free column in order."""
+
+    def among(free: Column) -> Column:
+        def slot(i: Column) -> Column:
+            return let(F.array_position(free, i), lambda n: F.when(n > 0, _slot(F.get(cells, n.cast("int") - 1))).otherwise(F.get(above, i)))
+
+        width = F.greatest(F.size(above), F.element_at(free, -1) + 1)
+        return F.transform(F.sequence(F.lit(0), width - 1), slot)
+
+    places = F.sequence(F.lit(0), F.size(above) + F.size(cells) - 1)
+    return let(F.slice(F.filter(places, lambda i: F.coalesce(F.get(above, i)["left"], F.lit(0)) == 0), 1, F.size(cells)), among)
+
+
+def _row(above: Column, row: Column) -> Column:
+    """A row's slots, then what they leave open for the next row."""
+    cells, spread = row["cells"], row["spread"]
+    held = F.array_position(F.transform(above, lambda s: s["left"] > 0), F.lit(True)).cast("int")
+    # Usually nothing is held where the cells go side by side; else usually no cell spans columns.
+    filled = let(
+        held,
+        lambda h: F.when((h == 0) | (h > F.size(spread)), F.concat(spread, F.slice(above, F.size(spread) + 1, F.size(above))))
+        .when(F.size(spread) == F.size(cells), _dealt(above, cells))
+        .otherwise(_filled(above, cells)),
     )
 
     def done(slots: Column) -> Column:
@@ -95,9 +153,17 @@ def with_grid(pages: DataFrame, keep: Sequence[str], html: str = "html") -> Data
     after it that it spans; a column held by a cell from a row above stays with that cell.  Every place a cell covers has
     its text, a place no cell covers is NULL.  Tables within a cell are not told apart.  NULL without a table.
     """
-    rows = F.transform(
+    found = F.transform(
         H.elements(H.first_element(H.strip_noise(F.col(html)), "table"), "tr"),
-        lambda r: F.struct(_cells(r).alias("cells"), r.rlike(r"(?i)<td[\s>]").alias("body")),
+        lambda r: F.struct(r.alias("row"), F.regexp_extract_all(r, F.lit(_CELL), F.lit(0)).alias("cells")),
+    )
+    # Bound by `let`: a column used once would be put inside the lambda, and be computed again for each row.
+    rows = let(
+        found,
+        lambda f: let(
+            _cell_texts(f["cells"]),
+            lambda texts: F.transform(f, lambda r, i: _read(r["row"], r["cells"], F.slice(F.get(texts, i), 1, F.size(r["cells"])))),
+        ),
     )
     folded = fold_emit(F.col("__rows"), F.array().cast(_SLOTS), "struct<body:boolean,texts:array<string>>", _row)
     return pages.select(*keep, rows.alias("__rows")).select(*keep, folded["out"].alias("grid"))

@@ -144,6 +144,24 @@ def test_span_values(spark, attribute, n):
     assert G.grid_cells(df).count() == n
 
 
+def test_cells_cleaned_together(spark):
+    """Empty cells, rows without cells, entities, the marks between cells, and texts with spans in them."""
+    def grid(html):
+        return {(r.row, r.col): r.text for r in G.grid_cells(pages(spark, html)).collect()}
+
+    start = "<table><tr><th>  a\n b </th><th></th></tr><tr></tr><tr><td> </td><td> x < y </td></tr>"
+    cells = {(0, 0): "a b", (0, 1): "", (2, 0): "", (2, 1): "x"}
+    assert grid(f"{start}</table>") == cells
+    assert grid(f"{start}<tr><td>&lt;&#1;&amp;</td><td>rowspan=2</td></tr></table>") == cells | {(3, 0): "<\x01&", (3, 1): "rowspan=2"}
+    assert grid(f"{start}<tr><td>m\x01n</td><td>\x02</td></tr></table>") == cells | {(3, 0): "m\x01n", (3, 1): "\x02"}
+
+
+def test_cells_of_plain_rows_are_not_searched_for_spans(spark):
+    """Fast ways for rows: the text of all cells at once, spans only where a row names one, columns at once."""
+    plan = G.with_grid(pages(spark, "<table></table>"), ["page_id"])._jdf.queryExecution().optimizedPlan().toString()
+    assert "(?i)(?:row|col)span" in plan
+
+
 def test_grid_without_tables(spark):
     df = pages(spark, None, "", "<p>none</p>", "<table></table>", "<table><tr></tr></table>")
     assert G.grid_cells(df).count() == 0
