@@ -25,3 +25,12 @@ def present(df: DataFrame, keep: Sequence[str], value: Column, item: str) -> Dat
     computes the column twice; see ``each``.
     """
     return each(df, keep, F.array_compact(F.array(value)), item, "__pos").drop("__pos")
+
+
+def dealt(rows: DataFrame) -> DataFrame:
+    """The rows dealt out over all cores.
+
+    For narrow rows that become pages, or whatever else is much work for each row: a small file, or one of few row groups, is
+    read by as many tasks as it has splits, whatever that work is.  AQE merges what is too small.
+    """
+    return rows.hint("rebalance")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pagemill.functions import html as H
 from pagemill.operators import extract as X
 from pagemill.operators import nodes as N
-from pagemill.operators.rows import each
+from pagemill.operators.rows import dealt, each
 from pagemill.plans.registry import query
 
 # The same clean-up in DuckDB.
@@ -124,7 +124,7 @@ def _(t):
         F.lit('<form><select id="other"><option value="x">no</option></select><select name="f" id="researchfield"><option value="'),
         F.col("c_custkey").cast("string"), F.lit('">'), F.col("c_name"), F.lit("</option></select></form>"),
     )
-    return X.options_dimension(t.customer.select(html.alias("html")), "researchfield")
+    return X.options_dimension(dealt(t.customer).select(html.alias("html")), "researchfield")
 
 
 def _row(label: str, value: Column) -> Column:
@@ -149,7 +149,7 @@ def part_page() -> Column:
 
 
 def part_pages(t):
-    return t.part.select(F.col("p_partkey").alias("page_id"), part_page().alias("html"))
+    return dealt(t.part).select(F.col("p_partkey").alias("page_id"), part_page().alias("html"))
 
 
 @query(
