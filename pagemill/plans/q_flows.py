@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from pagemill.operators.rows import dealt
 from pagemill.operators.sentiment import lexicon_frame
 from pagemill.plans import fellows, news, prizes, publications, worktable
 from pagemill.plans.q_joins import LISTED
@@ -85,7 +86,7 @@ def publication_inputs(t, parts=None):
         "<tr><th>Dates: </th><td></td></tr><tr><th>Published:</th><td>March\n ", (1 + size % 9).cast("string"),
         ", 1998</td></tr></table>",
     )
-    pages = parts.select(join_text("http://www.example.org/show?pub_id=", text("p_partkey")).alias("url"), html.alias("html"))
+    pages = dealt(parts).select(join_text("http://www.example.org/show?pub_id=", text("p_partkey")).alias("url"), html.alias("html"))
     texts = t.part.where("p_type in ('PROMO', 'LARGE')").select(
         join_text("http://doi.example.org/", text("p_partkey")).alias("link"), F.lit("doi.pdf").alias("file_name"),
         join_text(" doi\n", F.col("p_type"), "\n").alias("text"),
@@ -223,7 +224,7 @@ def profile_pages(t):
         '"><h3>News on ', F.col("c_mktsegment"), "</h3></a></div>",
         '<div class="promo default in-the-media "><a class="icon" href="/second"><h3>Second</h3></a></div>',
     )
-    return t.customer.select(
+    return dealt(t.customer).select(
         F.col("c_custkey").alias("fellow_id"), join_text("http://www.example.org/fellows/", key, "/").alias("url"), html.alias("html")
     )
 
@@ -253,7 +254,7 @@ def article_pages(t):
         '<img src="/b.png"><video src="/v', key, '.mp4"></video><iframe src="https://video.example.org/embed/', key,
         '"></iframe><iframe src="/ads"></iframe><a rel="tag" href="/t/1">Tag 1</a><a rel="nofollow tag">Tag ', key, "</a><a href='/x'>x</a></body></html>",
     )
-    return t.customer.where("c_custkey % 3 <> 0").select(join_text("http://m.example.org/", key).alias("url"), html.alias("html"))
+    return dealt(t.customer.where("c_custkey % 3 <> 0")).select(join_text("http://m.example.org/", key).alias("url"), html.alias("html"))
 
 
 @query(
