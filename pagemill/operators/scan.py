@@ -30,6 +30,8 @@ from pyspark.sql import functions as F
 # Rows of a block and blocks of a stretch, on average.
 ROWS_PER_BLOCK = 65_536
 BLOCKS_PER_STRETCH = 4_096
+# The rows of a stretch meet its beginnings in so many parts, which the hash deals out.
+PARTS = 64
 
 _KEY = "__key"
 _BLOCK = "__block"
@@ -123,12 +125,17 @@ def cut_into_blocks(
         with_stretch(marks.where("not __far"), "__of", F.col("__place"))
         .groupBy("__of", F.col("__stretch").alias("__in"))
         .agg(_edges(F.col("__place")).alias("__edges"))
+        .select("*", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))).alias("__part"))
     )
-    rows = with_stretch(df.withColumn(_KEY, key), _KEY, place)
-    rows = rows.join(edges, (F.col(_KEY) == F.col("__of")) & (F.col("__stretch") == F.col("__in")), "left")
+    rows = with_stretch(df.withColumn(_KEY, key), _KEY, place).withColumn("__dealt", F.pmod(draw, F.lit(PARTS)).cast("int"))
+    # By key and stretch alone a whole stretch, or a table without keys, would be joined by one task.
+    same = (F.col(_KEY) == F.col("__of")) & (F.col("__stretch") == F.col("__in")) & (F.col("__dealt") == F.col("__part"))
+    rows = rows.join(edges, same, "left")
     number = F.shiftleft("__stretch", _BITS) + _passed(F.col("__edges"), place)
     cut = F.col("__several") | F.col("__edges").isNotNull()
-    numbered = rows.withColumns({_CUT: cut, _BLOCK: number}).drop("__of", "__in", "__edges", "__several", "__stretch")
+    numbered = rows.withColumns({_CUT: cut, _BLOCK: number}).drop(
+        "__of", "__in", "__edges", "__several", "__stretch", "__dealt", "__part"
+    )
     return Blocked(numbered.repartition(_KEY, _BLOCK), tuple(order))
 
 

@@ -157,3 +157,12 @@ def test_one_plan_at_every_size(spark):
         assert shape(5) == shape(10_000_000)
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_a_stretch_meets_its_beginnings_in_many_tasks(spark):
+    """A table without keys is one stretch, which one task would join by key and stretch alone."""
+    from pagemill.operators.scan import ordinal
+
+    plan = ordinal(spark.range(1000), ["id"], "at")._jdf.queryExecution().optimizedPlan().toString()
+    joins = [line for line in plan.splitlines() if "Join LeftOuter" in line and "__in" in line and "__stretch" in line]
+    assert joins and all("__dealt" in line and "__part" in line for line in joins)
