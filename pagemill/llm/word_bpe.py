@@ -1,27 +1,38 @@
-"""Ids of a word-level BPE tokenizer, each different word encoded once per worker.
+"""Ids of a word-level BPE tokenizer, each different word looked up once per batch and encoded once per worker.
 
 The tokenizer splits at white space before anything else and no rule of it looks
 across a gap, so a text's ids are those of its words one after the other.  Words
-that consist of plain letters, digits and punctuation are split further into the
+that consist of plain letters, digits and punctuation are lower-cased and split further into the
 units the tokenizer merges within; everything else goes through the tokenizer whole.
 """
 
 from __future__ import annotations
 
 import re
+from array import array
 from itertools import repeat
 
 import numpy as np
-
-# Words remembered, and their characters; beyond that all are forgotten.
-WORDS = 1_000_000
-CHARACTERS = 64_000_000
+import pyarrow as pa
+import pyarrow.compute as pc
+
+# Words and units remembered, and the characters of the words; beyond that all of them are forgotten.
+WORDS = 300_000
+UNITS = 300_000
+CHARACTERS = 16_000_000
+# Characters of texts that are looked up together.
+TOGETHER = 1 << 21
 # Python's split() takes these for gaps, the tokenizer does not.
 _ODD = re.compile("[\x1c-\x1f]")
 # Within these letters, lower-casing and composing work letter by letter.
-_PLAIN = re.compile("[!-~¡-¬®-±´-¸º»¿-ÖØ-öø-ÿŒœ–—‘’“”…€]+")
-# The tokenizer's own units: contractions, runs of letters, single digits, runs of the rest.
-_UNIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\w\s]|_)+")
+_LETTERS = "!-~¡-¬®-±´-¸º»¿-ÖØ-öø-ÿŒœ–—‘’“”…€"
+_PLAIN = re.compile(f"[{_LETTERS}]+")
+_PLAIN_TEXT = re.compile(f"[\t-\r {_LETTERS}]*")
+# The tokenizer's own units of plain words in lower case: runs of letters, single digits, contractions, runs of the rest.
+_LOWER = "a-zªµºß-öø-ÿœ"
+_UNIT = re.compile(rf"[{_LOWER}]+|[0-9]|'(?:s|t|re|ve|m|ll|d)|[^{_LOWER}0-9\s]+")
+# Stands before a word that is not plain; a gap is in no word.
+_MARK = "\n"
 
 
 def _byte_letters() -> list[str]:
@@ -34,72 +45,101 @@ def _byte_letters() -> list[str]:
 class WordBpe:
     """``encode_all`` gives the ids of texts as arrays, equal to the tokenizer's own without special tokens."""
 
-    def __init__(self, path: str, words: int = WORDS):
+    def __init__(self, path: str, words: int = WORDS, units: int = UNITS):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.letters = {b: letter for b, letter in enumerate(_byte_letters())}
-        self.limit = words
+        self.model = self.tokenizer.model
+        self.letters = _byte_letters()
+        self.most_words, self.most_units = words, units
+        self.units: dict[str, bytes] = {}
         self._forget()
 
     def _forget(self) -> None:
-        self.units: dict[str, list[int]] = {}
         self.index: dict[str, int] = {}
         self.characters = 0
         self.flat = np.zeros(1 << 16, np.uint32)
         self.starts = np.zeros(1 << 14, np.int64)  # word i has flat[starts[i] : starts[i + 1]]
         self.used = 0
 
-    def _unit(self, unit: str) -> list[int]:
+    def _unit(self, unit: str) -> bytes:
         found = self.units.get(unit)
         if found is None:
-            # Plain letters stand for themselves.
-            spelled = unit if unit.isascii() else unit.encode().decode("latin-1").translate(self.letters)
-            found = self.units[unit] = [t.id for t in self.tokenizer.model.tokenize(spelled)]
+            # Plain letters of ASCII stand for themselves.
+            spelled = unit if unit.isascii() else "".join(map(self.letters.__getitem__, unit.encode()))
+            found = self.units[unit] = array("I", [t.id for t in self.model.tokenize(spelled)]).tobytes()
         return found
 
-    def _word(self, word: str) -> list[int]:
-        if _PLAIN.fullmatch(word) and "<|" not in word:
-            out: list[int] = []
-            for unit in _UNIT.findall(word.lower()):
-                out += self._unit(unit)
-            return out
-        return self.tokenizer.encode(word, add_special_tokens=False).ids
+    def _word(self, word: str) -> bytes:
+        if word.startswith(_MARK):
+            return array("I", self.tokenizer.encode(word[1:], add_special_tokens=False).ids).tobytes()
+        return b"".join(map(self._unit, _UNIT.findall(word)))
 
     def _learn(self, words: list[str]) -> None:
-        ids: list[int] = []
-        ends = []
-        for word in words:
-            ids += self._word(word)
-            ends.append(len(ids))
+        if len(self.units) > self.most_units:
+            self.units = {}
+        coded = list(map(self._word, words))
+        ids = np.frombuffer(b"".join(coded), np.uint32)
         first, used = len(self.index), self.used
         while first + len(words) + 1 > len(self.starts):
             self.starts = np.concatenate([self.starts, np.zeros_like(self.starts)])
         while used + len(ids) > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
         self.flat[used : used + len(ids)] = ids
-        self.starts[first + 1 : first + len(words) + 1] = np.array(ends, np.int64) + used
+        ends = np.cumsum(np.fromiter(map(len, coded), np.int64, len(coded)) // 4)
+        self.starts[first + 1 : first + len(words) + 1] = ends + used
         self.used = used + len(ids)
         self.characters += sum(map(len, words))
         self.index.update(zip(words, range(first, first + len(words))))
 
-    def encode(self, text: str) -> np.ndarray:
-        if _ODD.search(text):
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
-        words = text.split()
-        if not words:
-            return np.zeros(0, np.uint32)
+    def _places(self, words: list[str]) -> np.ndarray:
+        """The numbers of words, new ones learned."""
         at = np.fromiter(map(self.index.get, words, repeat(-1)), np.int64, len(words))
-        if at.min() < 0:
-            new = dict.fromkeys(words[i] for i in np.flatnonzero(at < 0).tolist())
-            if len(self.index) + len(new) > self.limit or self.characters > CHARACTERS:
+        missing = np.flatnonzero(at < 0)
+        if len(missing):
+            unknown = [words[i] for i in missing.tolist()]
+            new = list(dict.fromkeys(unknown))
+            if len(self.index) + len(new) > self.most_words or self.characters > CHARACTERS:
                 self._forget()
-                new = dict.fromkeys(words)
-            self._learn(list(new))
-            at = np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
+                new, missing, unknown = list(dict.fromkeys(words)), np.arange(len(words)), words
+            self._learn(new)
+            at[missing] = np.fromiter(map(self.index.__getitem__, unknown), np.int64, len(unknown))
+        return at
+
+    def _joined(self, at: np.ndarray, edges: np.ndarray) -> list[np.ndarray]:
+        """The ids of the words ``at``, cut into texts where ``edges`` say."""
         first, size = self.starts[at], self.starts[at + 1] - self.starts[at]
-        ends = np.cumsum(size)
-        return self.flat[np.arange(ends[-1]) + np.repeat(first - (ends - size), size)]
+        behind = np.concatenate([[0], np.cumsum(size)])
+        ids = self.flat[np.arange(behind[-1]) + np.repeat(first - behind[:-1], size)]
+        cuts = behind[edges].tolist()
+        return [ids[start:end] for start, end in zip(cuts, cuts[1:])]
+
+    def _plain(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of plain texts in lower case."""
+        split = pc.ascii_split_whitespace(pa.array(texts, pa.string()))
+        words = split.flatten().dictionary_encode()
+        different = words.dictionary.to_numpy(zero_copy_only=False).tolist()
+        at = self._places(different)[words.indices.to_numpy()]
+        return self._joined(at, split.offsets.to_numpy())
+
+    def _other(self, text: str) -> np.ndarray:
+        if _ODD.search(text):
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
+        words = [w.lower() if _PLAIN.fullmatch(w) and "<|" not in w else _MARK + w for w in text.split()]
+        return self._joined(self._places(words), np.array([0, len(words)]))[0]
 
     def encode_all(self, texts: list[str]) -> list[np.ndarray]:
-        return [self.encode(t) for t in texts]
+        found: list[np.ndarray] = []
+        together: list[str] = []
+        size = 0
+        for text in texts:
+            plain = "<|" not in text and _PLAIN_TEXT.fullmatch(text)
+            if plain:
+                together.append(text.lower())
+                size += len(text)
+            if together and (not plain or size >= TOGETHER):
+                found += self._plain(together)
+                together, size = [], 0
+            if not plain:
+                found.append(self._other(text))
+        return found + self._plain(together) if together else found

@@ -22,6 +22,20 @@ def test_ids_equal_the_tokenizers():
         assert ids.tolist() == plain.encode(text, add_special_tokens=False).ids, repr(text)
 
 
+def test_words_are_remembered_once_and_within_limits():
+    encoder, plain = WordBpe(PATH), Tokenizer.from_file(PATH)
+    texts = ["The end\x0bTHE\n end", "", " the end ", "the 日本 end", "日本", "tHe\x1cend", "<|endoftext|> THE"]
+    wanted = [plain.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [ids.tolist() for ids in encoder.encode_all(texts)] == wanted
+    # Words that differ in case only are one, across all texts of a batch; gaps at the edges are an empty word.
+    assert sorted(w for w in encoder.index if w.isascii()) == ["", "\n<|endoftext|>", "end", "the"]
+    small = WordBpe(PATH, words=30, units=20)
+    for i in range(200):
+        word = "".join(chr(97 + (i * k) % 26) for k in range(3, 9))
+        assert small.encode_all([f"{word}, so"])[0].tolist() == plain.encode(f"{word}, so", add_special_tokens=False).ids
+        assert len(small.index) <= 30 and len(small.units) <= 20 + 3
+
+
 @pytest.mark.parametrize(
     "limits", [Limits(), Limits(64, 4, 64), Limits(64, 100, 20), Limits(50, 1, 50), Limits(7, 3, 1), Limits(1, 1, 1)]
 )
