@@ -6,15 +6,16 @@ counts (up to ``TOLD_APART - 1``; larger ones are reliable and lose ``RELIABLE_L
 context leaves something for what was not seen in it).  ``a(h)`` makes the sum over all words exactly 1: what the seen words
 leave, divided by what the shorter context gives to words not seen after ``h``.
 
-Texts are shards of numbered words.  For each order every shard sends its different word sequences with
-their counts in the training texts to buckets dealt by context, gets the corpus' counts back, and the buckets keep for each
-context how often its words occur: these tables, written below the shared folder, are the model.  Contexts
-more frequent than a bucket is to hold are spread over several.  A shard gets the weights of the contexts it holds, and
-evaluates its tokens order by order.
+Texts are shards of numbered words.  For each order every shard sends its different word sequences, context by context, with
+their counts in the training texts to buckets dealt by context.  It gets back the corpus' counts and, for each context after
+which the model knows a word, how often its words occur: these tables, written below the shared folder, are the model.  Contexts
+more frequent than a bucket is to hold are spread over several, whose sums add up.  A shard computes the weights of the contexts
+it holds from their sums, and evaluates its tokens order by order.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -25,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagemill.llm import shards as X
-from pagemill.llm.common import discard, require, staged, text_or_empty
+from pagemill.llm.common import require, staged, text_or_empty
 
 ORDER = 3
 # Fewest occurrences of a sequence of one, two, … words that the model keeps; the last one holds beyond.
@@ -65,6 +66,11 @@ class Discounts:
         small = np.minimum(counts, len(self.kept) - 1)
         return np.where(counts < len(self.kept), np.array(self.kept)[small], counts - RELIABLE_LOSS)
 
+    def sum_of(self, sums: list[np.ndarray]) -> np.ndarray:
+        """What many counts stand for: how many are 1, 2, … and how many are larger, and the sum of those."""
+        *told, large, total = sums
+        return total - RELIABLE_LOSS * large + sum(n * d for n, d in zip(told, self.of(np.arange(1, X.TOLD_APART))))
+
 
 @dataclass(frozen=True)
 class Words:
@@ -140,6 +146,25 @@ def _cut(key_type, shard_tokens: int):
     return cut
 
 
+@dataclass(frozen=True)
+class Dealt:
+    """What a shard asks for one order, sorted by bucket: contexts, and how many of the sequences asked follow each there."""
+
+    contexts: np.ndarray  # numbers in the order below, ascending
+    at: np.ndarray  # places in ``contexts``, one for each bucket that a context is asked of
+    bucket: np.ndarray
+    size: np.ndarray
+    other: np.ndarray  # whether the shard has more sequences after the context than are asked in this bucket
+    asked: np.ndarray  # sequences of the order, context by context
+
+    def parts(self) -> Iterator[tuple[int, slice, slice]]:
+        """Each bucket with its parts of contexts and sequences."""
+        edges = np.flatnonzero(np.diff(self.bucket, prepend=-1)).tolist()
+        behind = np.concatenate([[0], np.cumsum(self.size)]).tolist()
+        for start, end in zip(edges, [*edges[1:], len(self.bucket)]):
+            yield int(self.bucket[start]), slice(start, end), slice(behind[start], behind[end])
+
+
 class Grams:
     """The different word sequences of a shard, order by order; numbers of one order build on those of the one before."""
 
@@ -148,11 +173,10 @@ class Grams:
         self.lengths = X.unpack(shard["lengths"])
         self.taught = np.repeat(X.unpack(shard["learned"]).astype(bool), self.lengths)
         # START has number 0 everywhere and occurs once in each text.
-        numbers = np.concatenate([[0], words[0]])
-        counts = np.concatenate([[learned_texts], words[1]])
-        self.columns: list[list[np.ndarray]] = [[], [numbers]]
-        self.counts: list[np.ndarray] = [np.zeros(0, np.int64), counts]
+        self.numbers = np.concatenate([[0], words[0]])
+        self.counts: list[np.ndarray] = [np.zeros(0, np.int64), np.concatenate([[learned_texts], words[1]])]
         self.at: list[np.ndarray] = [np.zeros(0, np.int64), self.ids]
+        self.last: list[np.ndarray] = [np.zeros(0, np.int64), np.arange(len(self.numbers))]
         self.prefix: list[np.ndarray] = [np.zeros(0, np.int64)] * 2
         self.suffix: list[np.ndarray] = [np.zeros(0, np.int64)] * 2
         self.n: list[np.ndarray] = [np.zeros(0, np.int64)] * 2
@@ -164,37 +188,57 @@ class Grams:
         valid = (self.ids != 0) & (before >= 0)
         if order > 2:
             valid &= np.concatenate([[0], self.ids[:-1]]) != 0
-        size = len(self.columns[1][0])
-        _, first, number = np.unique(before[valid] * size + self.ids[valid], return_index=True, return_inverse=True)
+        first, number = X.numbered([before[valid], self.ids[valid]])
         places = np.flatnonzero(valid)[first]
         at = np.full(len(self.ids), -1, np.int64)
         at[valid] = number
         self.prefix.append(before[places])
         self.suffix.append(self.at[-1][places])
-        self.columns.append([c[self.prefix[-1]] for c in self.columns[-1]] + [self.columns[1][0][self.ids[places]]])
+        self.last.append(self.ids[places])
         self.n.append(np.bincount(number, weights=self.taught[valid], minlength=len(first)).astype(np.int64))
         self.at.append(at)
         return order
 
-    def possible(self, order: int, least: int) -> np.ndarray:
-        """Which sequences of an order may occur in training, or more than once if only such are kept.
-
-        All others have a part that never occurs, or occurs once: they occur here alone, if at all.
-        """
-        lower, parts = self.counts[order - 1], min(least, 2)
-        return (lower[self.prefix[order]] >= parts) & (lower[self.suffix[order]] >= parts)
-
-    def bucket(self, order: int, asked: np.ndarray, buckets: int, bucket_keys: int) -> np.ndarray:
-        columns = [c[asked] for c in self.columns[order]]
-        spread = -(-self.counts[order - 1][self.prefix[order][asked]] // bucket_keys)
-        salt = X.bucket_of(columns, 1 << 30) % np.maximum(spread, 1)
-        return X.bucket_of(columns[:-1], buckets, salt)
+    def columns(self, order: int, some: np.ndarray) -> list[np.ndarray]:
+        """The corpus' numbers of the words of some sequences, a column for each word."""
+        before = self.columns(order - 1, self.prefix[order][some]) if order > 1 else []
+        return [*before, self.numbers[self.last[order][some]]]
 
+    def deal(self, order: int, least: int, buckets: int, bucket_keys: int) -> Dealt:
+        """Which sequences of an order may occur in training, or more than once if only such are kept, after which contexts.
 
-def _answer_grams(order: int, least: int, lower: Discounts, buckets: int):
-    """Counts of a bucket's sequences; ``context`` rows: how many words follow so many times, and their lower-order mass.
-
-    Other rows pass through.
+        All others have a part that never occurs, or occurs once: they occur here alone, if at all.  A context more frequent
+        than a bucket is to hold is asked of all the buckets that its sequences are spread over.
+        """
+        lower, parts, heads = self.counts[order - 1], min(least, 2), self.prefix[order]
+        contexts = np.unique(heads)
+        contexts = contexts[lower[contexts] >= parts]
+        asked = np.flatnonzero((lower[heads] >= parts) & (lower[self.suffix[order]] >= parts))
+        home = X.bucket_of(self.columns(order - 1, contexts), buckets)
+        spread = np.maximum(-(-lower[contexts] // bucket_keys), 1)
+        each = np.minimum(spread, buckets)
+        at = np.repeat(np.arange(len(contexts)), each)
+        step = np.arange(len(at)) - np.repeat(np.cumsum(each) - each, each)
+        key = np.sort((home[at] + step) % buckets * len(contexts) + at)
+        of = np.searchsorted(contexts, heads[asked])
+        bucket = home[of]
+        wide = np.flatnonzero(spread[of] > 1)
+        if len(wide):
+            salt = X.bucket_of(self.columns(order, asked[wide]), 1 << 30) % spread[of[wide]]
+            bucket[wide] = (bucket[wide] + salt) % buckets
+        there = bucket * len(contexts) + of
+        size = np.bincount(np.searchsorted(key, there), minlength=len(key))
+        whose = max(len(contexts), 1)
+        at = key % whose
+        other = size < np.bincount(heads, minlength=len(lower))[contexts][at]
+        return Dealt(contexts, at, key // whose, size, other, asked[np.argsort(there, kind="stable")])
+
+
+def _answer_grams(order: int, least: int):
+    """``answer`` rows: the counts of a bucket's sequences.  ``sums`` rows: for each context after which the model knows a word
+    how many words follow it 1, 2, … times, more often, and how often these do; the same for their counts one order below.
+
+    A shard that has only words known after a context needs no weight of it and gets no sums.  Whole numbers all, which take a fraction of the room of weights.  Other rows pass through.
     """
 
     def answer(table: pa.Table) -> pa.Table:
@@ -206,64 +250,40 @@ def _answer_grams(order: int, least: int, lower: Discounts, buckets: int):
         shards = table.column("shard").to_pylist()
         asked = [[X.unpack(d) for d in data] for data in table.column("data").to_pylist()]
         columns = [np.concatenate(c) for c in zip(*asked)]
-        keys, n, below = columns[:order], columns[order], columns[order + 1]
-        places, number = X.numbered(keys)
-        counts = np.zeros(len(places), np.int64)
-        np.add.at(counts, number, n)
+        sizes, other, (words, n, below) = columns[order - 1], columns[order] > 0, columns[order + 1 :]
+        first, context = X.numbered(columns[: order - 1])
+        places, number = X.numbered([np.repeat(context, sizes), words])
+        counts = np.bincount(number, weights=n, minlength=len(places)).astype(np.int64)
+        kept = (counts >= least) & (counts > 0)
+        c, of = counts[kept], np.repeat(context, sizes)[places][kept]
+
+        def total(weights: np.ndarray) -> np.ndarray:
+            return np.bincount(of, weights=weights, minlength=len(first))
+
+        sums = []
+        for counted in (c, below[places][kept]):
+            large = counted >= X.TOLD_APART
+            sums += [total(counted == r) for r in range(1, X.TOLD_APART)] + [total(large), total(counted * large)]
+        # Of the words below, all that are not told apart are the others of those above.
+        del sums[2 * X.TOLD_APART]
+        sums = [s.astype(np.int64) for s in sums]
+        known = np.bincount(of, minlength=len(first)) > 0
+        unknown = np.bincount(np.repeat(np.arange(len(sizes)), sizes), weights=~kept[number], minlength=len(sizes)) > 0
+        wanted = known[context] & (other | unknown)
         rows = X.Rows()
-        start = 0
+        start = at = 0
         for shard, part in zip(shards, asked):
-            rows.add("answer", bucket, shard, X.pack(counts[number[start : start + len(part[0])]]))
-            start += len(part[0])
-        kept = (counts >= least) & (counts > 0)
-        if kept.any():
-            context = [k[places][kept] for k in keys[:-1]]
-            first, of = X.numbered(context)
-            c = counts[kept]
-            sums = [np.bincount(of, weights=c == r, minlength=len(first)) for r in range(1, X.TOLD_APART)]
-            large = c >= X.TOLD_APART
-            sums += [np.bincount(of, weights=large, minlength=len(first)), np.bincount(of, weights=c * large, minlength=len(first))]
-            mass = np.bincount(of, weights=lower.of(below[places][kept]), minlength=len(first))
-            context = [k[first] for k in context]
-            home = X.bucket_of(context, buckets)
-            rows.deal("context", -1, home, [*context, *[s.astype(np.int64) for s in sums], mass])
+            here, mine = wanted[at : at + len(part[0])], context[at : at + len(part[0])]
+            at += len(mine)
+            rows.add("answer", bucket, shard, X.pack(counts[number[start : start + len(part[-1])]]))
+            start += len(part[-1])
+            rows.add("sums", bucket, shard, X.pack(here.astype(np.int64)), *[X.pack(s[mine[here]]) for s in sums])
         rows.add("total", bucket, -1, X.pack(X.histogram(counts)))
         return pa.concat_tables([others.cast(X.ARROW), pa.Table.from_batches([rows.batch()])])
 
     return answer
 
 
-def _answer_contexts(width: int, discounts: Discounts, scale: float):
-    """The backoff weight of each context asked: what its words leave, divided by what they leave one order below."""
-    told = discounts.of(np.arange(1, X.TOLD_APART))
-
-    def answer(table: pa.Table) -> pa.Table:
-        bucket = table.column("bucket")[0].as_py()
-        rows = X.Rows()
-        known, asked = [], []
-        for kind, shard, data in zip(*[table.column(c).to_pylist() for c in ("kind", "shard", "data")]):
-            (asked if kind == "backoff" else known).append((shard, [X.unpack(d) for d in data]))
-        parts = [p for _, p in known] + [p for _, p in asked]
-        _, number = X.numbered([np.concatenate([p[i] for p in parts]) for i in range(width)])
-        size = int(number.max(initial=-1)) + 1
-        seen, mass = np.zeros(size), np.zeros(size)
-        start = 0
-        for _, part in known:
-            of = number[start : start + len(part[0])]
-            start += len(of)
-            sums = part[width:]
-            np.add.at(seen, of, sum(s * d for s, d in zip(sums, told)) + sums[-2] - RELIABLE_LOSS * sums[-3])
-            np.add.at(mass, of, sums[-1])
-        for shard, part in asked:
-            of = number[start : start + len(part[0])]
-            start += len(of)
-            own, below = part[width:]
-            rows.add("answer", bucket, shard, X.pack((1.0 - seen[of] / own) / (1.0 - scale * mass[of] / below)))
-        return pa.Table.from_batches([rows.batch()])
-
-    return answer
-
-
 @dataclass(frozen=True)
 class Setting:
     """What all tasks know of the model: one row of numbers for each order."""
@@ -283,36 +303,57 @@ def _known(row: dict, setting: Setting, orders: int, contexts: int) -> tuple[Gra
     words = X.unpack_words(row["words"], size - 1)
     grams = Grams(row, setting.learned_texts, tuple(X.undealt(answers[0], X.word_buckets([w or END for w in words], setting.buckets), 2)))
     alive: list[np.ndarray] = [np.zeros(0, bool)] * 2
+    weights: list = [None, None]
     for order in range(2, orders + 1):
         grams.extend()
         least = least_of(order, setting.least)
-        asked = grams.possible(order, least)
-        bucket = grams.bucket(order, asked, setting.buckets, setting.bucket_keys)
-        counts = np.zeros(len(asked), np.int64)
-        counts[asked] = X.undealt(answers[order - 1], bucket, 1)[0]
+        dealt = grams.deal(order, least, setting.buckets, setting.bucket_keys)
+        counts = np.zeros(len(grams.n[order]), np.int64)
+        counts[dealt.asked] = _in_turn(answers[order - 1], 0)
         grams.counts.append(counts)
         alive.append((counts >= least) & (counts > 0))
-    weights: list = [None, None]
-    for order in range(2, contexts + 1):
-        wanted = _contexts(grams, order, least_of(order, setting.least))
-        bucket = X.bucket_of([c[wanted] for c in grams.columns[order - 1]], setting.buckets)
-        weight = np.ones(len(grams.counts[order - 1]))
-        weight[wanted] = X.undealt(answers[orders + order - 2], bucket, 1)[0]
-        weights.append(weight)
+        if order <= contexts:
+            weights.append(_weights(grams, order, dealt, answers[orders + order - 2], setting))
     return grams, alive, weights
 
 
-def _contexts(grams: Grams, order: int, least: int) -> np.ndarray:
-    """The contexts of an order's sequences (numbers of the order below) after which the model may know a word.
+def _in_turn(parts: dict[int, list[np.ndarray]], i: int) -> np.ndarray:
+    """The ``i``-th columns of all buckets one after the other."""
+    return np.concatenate([np.zeros(0, np.int64), *[parts[b][i] for b in sorted(parts)]])
+
 
-    After a context with fewer than ``least`` occurrences it knows none, and the weight is 1.
+def _weights(grams: Grams, order: int, dealt: Dealt, sums: dict[int, list[np.ndarray]], setting: Setting) -> np.ndarray:
+    """The backoff weight of each context: what its words leave, divided by what they leave one order below.
+
+    After a context without sums the model knows no word, and the weight is 1; or it knows all that follow here, and
+    the weight is not used.
     """
-    contexts = np.unique(grams.prefix[order])
-    return contexts[grams.counts[order - 1][contexts] >= max(least, 1)]
+    here = dealt.at[_in_turn(sums, 0) > 0]
+    columns = [_in_turn(sums, i) for i in range(1, 2 * X.TOLD_APART + 2)]
+    own, under = columns[: X.TOLD_APART + 1], columns[X.TOLD_APART + 1 :]
+    under.insert(X.TOLD_APART - 1, sum(own[:-1]) - sum(under[:-1]))
+    below_them = setting.discounts[order - 3] if order > 2 else setting.words.discounts
+    # A spread context has sums in several buckets.
+    seen, below = [
+        np.bincount(here, weights=discounts.sum_of(x), minlength=len(dealt.contexts))
+        for discounts, x in ((setting.discounts[order - 2], own), (below_them, under))
+    ]
+    known = np.unique(here)
+    whole = dealt.contexts[known]
+    if order == 2:
+        scale, occur = setting.words.scale, np.full(len(known), max(setting.words.tokens, 1))
+    else:
+        scale, occur = 1.0, grams.counts[order - 2][grams.suffix[order - 1][whole]]
+    weight = np.ones(len(grams.counts[order - 1]))
+    weight[whole] = (1.0 - seen[known] / grams.counts[order - 1][whole]) / (1.0 - scale * below[known] / occur)
+    return weight
 
 
 def _ask(setting: Setting, order: int):
-    """Questions of a shard for one order, all below being known: counts of its sequences, weights of their contexts."""
+    """Questions of a shard for one order, all below being known: counts of its sequences, sums of their contexts.
+
+    A row has each context once, with the number of its sequences and whether there are others, and of the sequences only the last words.
+    """
 
     def run(batches):
         for batch in batches:
@@ -320,23 +361,16 @@ def _ask(setting: Setting, order: int):
                 grams, _, _ = _known(row, setting, order - 1, 0)
                 grams.extend()
                 rows = X.Rows()
-                least = least_of(order, setting.least)
-                lower = grams.counts[order - 1]
-                asked = grams.possible(order, least)
-                alone = int(grams.n[order][~asked].sum())
+                dealt = grams.deal(order, least_of(order, setting.least), setting.buckets, setting.bucket_keys)
+                alone = int(grams.n[order].sum() - grams.n[order][dealt.asked].sum())
                 rows.add("total", -1, row["shard"], X.pack(X.histogram(np.ones(alone, np.int64))))
-                if asked.any():
-                    bucket = grams.bucket(order, asked, setting.buckets, setting.bucket_keys)
-                    below = lower[grams.suffix[order][asked]]
-                    rows.deal("ask", row["shard"], bucket, [*[c[asked] for c in grams.columns[order]], grams.n[order][asked], below])
-                wanted = _contexts(grams, order, least)
-                if len(wanted):
-                    columns = [c[wanted] for c in grams.columns[order - 1]]
-                    if order == 2:
-                        below = np.full(len(wanted), max(setting.words.tokens, 1))
-                    else:
-                        below = grams.counts[order - 2][grams.suffix[order - 1][wanted]]
-                    rows.deal("backoff", row["shard"], X.bucket_of(columns, setting.buckets), [*columns, lower[wanted], below])
+                contexts = grams.columns(order - 1, dealt.contexts[dealt.at])
+                words = grams.numbers[grams.last[order][dealt.asked]]
+                n = grams.n[order][dealt.asked]
+                below = grams.counts[order - 1][grams.suffix[order][dealt.asked]]
+                for bucket, here, asked in dealt.parts():
+                    columns = [*[c[here] for c in contexts], dealt.size[here], dealt.other[here].astype(np.int64), words[asked], n[asked], below[asked]]
+                    rows.add("ask", bucket, row["shard"], *map(X.pack, columns))
                 yield rows.batch()
 
     return run
@@ -400,7 +434,7 @@ def katz_scores(
 
     kind = docs.schema[key].dataType
     rows = docs.select(F.col(key).alias("key"), F.coalesce(learned, F.lit(False)).alias("learned"), text_or_empty(text).alias("text"))
-    shards = staged(rows.mapInArrow(_cut(to_arrow_type(kind), shard_tokens), f"{SHARD}, keys array<{kind.simpleString()}>"), "shards")
+    shards = X.by_shard(rows.mapInArrow(_cut(to_arrow_type(kind), shard_tokens), f"{SHARD}, keys array<{kind.simpleString()}>"), "shards")
     buckets = X.buckets_for(shards, bucket_keys)
 
     def ask_words(batches):
@@ -416,20 +450,15 @@ def katz_scores(
     words = Words.fit(X.totals(known[0]))
     texts = rows.where("learned").count()
     setting = Setting(words, texts, (), least, buckets, bucket_keys)
-    contexts: list[DataFrame] = []
-    below, scale = words.discounts, words.scale
+    sums: list[DataFrame] = []
     for now in range(2, order + 1):
         least_here = least_of(now, least)
         questions = X.with_answers(shards, *known).mapInArrow(_ask(setting, now), X.ROW)
-        grams, path = X.written(X.exchanged(questions, _answer_grams(now, least_here, below, buckets)), "grams")
-        below = Discounts.fit(X.totals(grams)[2:], least_here)
-        pairs = grams.where("kind in ('context', 'backoff')")
-        contexts.append(staged(X.exchanged(pairs, _answer_contexts(now - 1, below, scale)), "contexts"))
+        grams = X.written(X.exchanged(questions, _answer_grams(now, least_here)), "grams")[0]
+        discounts = Discounts.fit(X.totals(grams)[2:], least_here)
         known.append(grams)
-        setting = Setting(words, texts, (*setting.discounts, below), least, buckets, bucket_keys)
-        scale = 1.0
-        for spent in ("context", "backoff"):
-            discard(rows.sparkSession, f"{path}/kind={spent}")
+        sums.append(grams.where("kind = 'sums'").withColumn("kind", F.lit("answer")))
+        setting = Setting(words, texts, (*setting.discounts, discounts), least, buckets, bucket_keys)
     schema = f"key {kind.simpleString()}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
-    scored = X.with_answers(shards, *known, *contexts).mapInArrow(_score(setting, order, to_arrow_type(kind)), schema)
+    scored = X.with_answers(shards, *known, *sums).mapInArrow(_score(setting, order, to_arrow_type(kind)), schema)
     return scored.withColumnRenamed("key", key)

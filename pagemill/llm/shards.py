@@ -10,6 +10,8 @@ A bucket gets each key once from each shard at most, so frequent keys cost no mo
 
 from __future__ import annotations
 
+import math
+import uuid
 import zlib
 from collections import defaultdict
 from collections.abc import Callable, Iterable, Iterator, Sequence
@@ -72,7 +74,9 @@ def unpack_words(data: bytes, n: int) -> list[bytes]:
 def numbered(columns: Sequence[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """The places of one row of each different key in ascending order, and every row's number among them."""
     size = len(columns[0])
-    order = np.lexsort(columns[::-1])
+    joined = _as_one(columns) if size else None
+    # One column is sorted many times faster than several.
+    columns, order = (columns, np.lexsort(columns[::-1])) if joined is None else ([joined], np.argsort(joined))
     new = np.zeros(size, bool)
     new[:1] = True
     for column in columns:
@@ -83,6 +87,17 @@ def numbered(columns: Sequence[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return order[new], number
 
 
+def _as_one(columns: Sequence[np.ndarray]) -> np.ndarray | None:
+    """One column in the same order, if whole numbers from 0 on are small enough for that."""
+    widths = [int(c.max()) + 1 for c in columns]
+    if any(c.dtype.kind != "i" or c.min() < 0 for c in columns) or math.prod(widths) >= 1 << 62:
+        return None
+    one = columns[0].astype(np.int64)
+    for column, width in zip(columns[1:], widths[1:]):
+        one = one * width + column
+    return one
+
+
 def bucket_of(columns: Sequence[np.ndarray], buckets: int, salt: np.ndarray | int = 0) -> np.ndarray:
     """The bucket of each key; ``salt`` moves the keys of a frequent context to others."""
     mixed = np.zeros(len(columns[0]), np.uint64)
@@ -236,6 +251,20 @@ def written(rows: DataFrame, name: str) -> tuple[DataFrame, str]:
     return spark.read.schema(ROW).option("basePath", path).parquet(path), path
 
 
+def by_shard(shards: DataFrame, name: str) -> DataFrame:
+    """``shards`` written below the shared folder, dealt by shard as a shuffle would: joined by it, they stay where they are."""
+    spark = shards.sparkSession
+    table = f"{name}_{uuid.uuid4().hex}"
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    try:
+        with tidy(spark):
+            shards.write.bucketBy(parts, "shard").format("parquet").option("path", scratch_path(spark, name)).saveAsTable(table)
+        return spark.table(table)
+    finally:
+        # The name only; the files stay, and what has been read of it is known by its path.
+        spark.sql(f"DROP TABLE IF EXISTS {table}")
+
+
 def totals(answers: DataFrame) -> np.ndarray:
     """The sum of all ``total`` rows: a handful of numbers, added up in Spark's tasks but for one row each."""
 

@@ -134,6 +134,39 @@ def test_awkward_rows(spark):
     assert all(r.held_out and r.train_tokens == 0 and r.score == 0 and r.base_score == 0 for r in got)
 
 
+def test_questions_hold_each_context_once():
+    """Also one that is spread over buckets, in each of those; of the sequences only the last words are sent."""
+    from pagemill.llm import shards as X
+    from pagemill.llm.katz import Grams
+
+    rng = np.random.default_rng(1)
+    ids = np.concatenate([[0], rng.integers(2, 30, 3000), [1]])
+    shard = {"ids": X.pack(ids), "lengths": X.pack(np.array([len(ids)])), "learned": X.pack(np.array([1]))}
+    grams = Grams(shard, 1, (np.arange(1, 30), np.bincount(ids, minlength=30)[1:]))
+    grams.extend()
+    for buckets, bucket_keys in ((7, 1 << 20), (7, 40), (2, 10)):
+        dealt = grams.deal(2, 1, buckets, bucket_keys)
+        pairs = list(zip(dealt.bucket.tolist(), dealt.at.tolist()))
+        assert pairs == sorted(set(pairs)) and set(dealt.at.tolist()) == set(range(len(dealt.contexts)))
+        spread = np.minimum(np.maximum(-(-grams.counts[1][dealt.contexts] // bucket_keys), 1), buckets)
+        assert np.bincount(dealt.at).tolist() == spread.tolist()
+        assert sorted(dealt.asked.tolist()) == list(range(len(grams.n[2])))
+        assert (grams.prefix[2][dealt.asked] == dealt.contexts[np.repeat(dealt.at, dealt.size)]).all()
+
+
+def test_keys_are_numbered_alike_in_one_column_and_several():
+    from pagemill.llm import shards as X
+
+    rng = np.random.default_rng(2)
+    columns = [rng.integers(0, 9, 500), rng.integers(0, 5, 500)]
+    for wide in (1, 1 << 40):  # too wide for one column
+        mine = [columns[0] * wide, columns[1] * wide]
+        places, number = X.numbered(mine)
+        keys = list(zip(*[c.tolist() for c in mine]))
+        assert [keys[i] for i in places] == sorted(set(keys))
+        assert [keys[places[i]] for i in number] == keys
+
+
 def test_discounts_lie_between_zero_and_one():
     for seen in ([100, 40, 20, 12, 8, 6], [10, 0, 0, 0, 0, 0], [0, 5, 0, 1, 0, 0], [0] * 6, [5, 50, 3, 90, 1, 4]):
         kept = Discounts.fit(np.array(seen), 1).kept
