@@ -154,7 +154,8 @@ def text_evidence(docs: DataFrame, text: str, model: TextModel, out: str) -> Col
 
         return pd.Series(run(pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], ["text"]))["evidence"])
 
-    return of(text_or_empty(text)).alias(out)
+    # A filter on the evidence would otherwise be pushed below and read every text a second time, in workers of its own.
+    return of.asNondeterministic()(text_or_empty(text)).alias(out)
 
 
 def host_of(address: Column) -> Column:

@@ -109,3 +109,22 @@ def test_rare_languages_are_sampled(spark, prose):
     assert "el" in model.languages
     docs = spark.createDataFrame([(1, "το σπίτι των ανθρώπων χτίστηκε στο λόφο")], "id bigint, text string")
     assert [r.language for r in L.identify(docs, model, ["id"]).collect()] == ["el"]
+
+
+def test_texts_are_scored_once_in_each_pass(spark, model, tmp_path, monkeypatch):
+    """A filter on the evidence does not score every text again."""
+    rows = [(i, t, "en", "s") for i, t in enumerate(TEXTS.values())]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string")
+    docs.write.parquet(str(tmp_path / "docs"))
+    plans = []
+
+    def kept(df, name):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return staged(df, name)
+
+    staged = L.staged
+    monkeypatch.setattr(L, "staged", kept)
+    out = L.keep_known(spark.read.parquet(str(tmp_path / "docs")))
+    plans.append(out._jdf.queryExecution().executedPlan().toString())
+    assert sorted(r.doc_id for r in out.collect()) == [0, 1, 2, 3]
+    assert sorted(plan.count("ArrowEvalPython") for plan in plans) == [0, 1, 1]
