@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from pagemill.functions.text import entity_decode, let, non_empty, ws_collapse
 
-NOISE = r"(?is)<script\b.*?</script>|<style\b.*?</style>|<!--.*?-->"
+NOISE = r"(?is)<(?:script\b.*?</script>|style\b.*?</style>|!--.*?-->)"
 TOKEN = r"<[^>]*>|[^<]+"
 TAG = r"<[^>]*>"
 
@@ -60,9 +60,14 @@ def has_class(tok: Column, cls: str) -> Column:
     return F.coalesce(F.array_contains(F.split(attr(tok, "class"), r"\s+"), cls), F.lit(False))
 
 
+def class_mention(cls: str) -> str:
+    """The pattern of a mention of class ``cls``, in any case of letters."""
+    return rf"""\bclass\s*=\s*["']?(?:[^"'>]*\s)?{cls}(?:["'\s>])"""
+
+
 def mentions_class(fragment: Column, cls: str) -> Column:
     """Whether any tag in the fragment has class ``cls``."""
-    return fragment.rlike(rf"""(?i)\bclass\s*=\s*["']?(?:[^"'>]*\s)?{cls}(?:["'\s>])""")
+    return fragment.rlike(f"(?i){class_mention(cls)}")
 
 
 def classes_in(fragment: Column) -> Column:
@@ -73,7 +78,12 @@ def classes_in(fragment: Column) -> Column:
 def class_list(fragment: Column) -> Column:
     """The classes of every tag in the fragment; a class that several tags have comes several times."""
     values = F.regexp_extract_all(fragment, F.lit(r"""(?i)\bclass\s*=\s*("[^">]*|'[^'>]*|[^\s"'>]+)"""), F.lit(1))
-    return F.flatten(F.transform(values, lambda v: F.array_distinct(F.split(F.regexp_replace(v, r"""^["']""", ""), r"\s+"))))
+
+    def listed(names: Column) -> Column:
+        # Most tags have one class: no pattern to split at is compiled for them.
+        return F.when(names.rlike(r"\s"), F.array_distinct(F.split(names, r"\s+"))).otherwise(F.array(names))
+
+    return F.flatten(F.transform(values, lambda v: let(F.regexp_replace(v, r"""^["']""", ""), listed)))
 
 
 def text_of(cleaned: Column, tag: str) -> Column:
@@ -137,13 +147,19 @@ def blocks_of(html: Column) -> Column:
 
     What stands between an end tag and the next block belongs to none.
     """
-    start = r"(?i)<(?:div|table)[\s>]"
-    opened = F.filter(F.split(strip_noise(html), f"(?={start})"), lambda b: b.rlike("^" + start))
-    return F.transform(opened, lambda b: F.get(F.split(b, r"(?i)</(?:div|table)\s*>", 2), F.lit(0)))
+    start, end = r"(?:div|table)[\s>]", r"/(?:div|table)\s*>"
+    return pieces_of(strip_noise(html), rf"(?i)<{start}", f"{start}|{end}")
 
 
 def paragraphs(html: Column) -> Column:
     """Fragments that start with ``<p>``; an unclosed one ends where the next begins."""
-    pieces = F.split(html, r"(?i)(?=<p[\s>])")
-    opened = F.filter(pieces, lambda p: p.rlike(r"(?i)^<p[\s>]"))
-    return F.transform(opened, lambda p: F.regexp_extract(p, r"(?is)^(.*?)(?:</p\s*>|\z)", 1))
+    return pieces_of(html, r"(?i)<p[\s>]", r"p[\s>]|/p\s*>")
+
+
+def pieces_of(html: Column, begin: str, ends: str) -> Column:
+    """Pieces that start with ``begin``, each up to the next ``<`` with one of ``ends`` behind it.
+
+    One pattern, which Spark keeps; ``split`` would compile its own again for every text.
+    """
+    # Possessive: a loop without a way back, in proportion to the text.
+    return F.regexp_extract_all(html, F.lit(rf"{begin}(?:[^<]++|<(?!{ends}))*+"), F.lit(0))

@@ -58,12 +58,14 @@ def let(value: Column, f: Callable[[Column], Column]) -> Column:
     An expression that uses its input several times would repeat the whole
     input each time, since Spark shares nothing inside lambdas and branches.
     """
-    return F.get(F.transform(F.array(value), f), F.lit(0))
+    # A fold over no items at all: ``value`` is the start, ``f`` the end.  Taking ``f`` of an array of one out of it again
+    # costs more than most ``f``: its type is worked out anew, level by level, for every row.
+    return F.aggregate(F.array().cast("array<int>"), value, lambda found, _: found, f)
 
 
 def non_empty(value: Column) -> Column:
     """NULL for '' (``nullif`` would compute the value twice inside lambdas)."""
-    return F.get(F.filter(F.array(value), lambda v: v != ""), F.lit(0))
+    return let(value, lambda v: F.when(v != "", v))
 
 
 def strip(c: Column) -> Column:
@@ -73,12 +75,13 @@ def strip(c: Column) -> Column:
 
 def ws_collapse(c: Column) -> Column:
     """Every run of whitespace becomes one space; ends trimmed."""
-    return F.trim(F.regexp_replace(c, r"\s+", " "))
+    # A single space, which most runs are, is left as it is.
+    return F.trim(F.regexp_replace(c, r"\s{2,}|[^\S ]", " "))
 
 
 def space_collapse(c: Column) -> Column:
     """Every run of spaces becomes one space, other whitespace stays; ends trimmed."""
-    return strip(F.regexp_replace(c, " +", " "))
+    return strip(F.regexp_replace(c, " {2,}", " "))
 
 
 def newline_to_space(c: Column) -> Column:

@@ -7,6 +7,8 @@ shuffles.  Only the results are exploded, where rows are what is wanted.
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -188,10 +190,10 @@ def enumerate_map(hrefs: Column, prefix: str, base: str) -> Column:
 
 
 # Elements that end a run of sibling paragraphs, plus those that belong to one.
-# The split keeps each of them at the start of its piece.
-_BLOCK_START = (
-    r"(?i)(?=<(?:/?(?:p|div|article|section|footer|header|main|nav|aside|body|html|td|ul|ol|dl|h[1-6]"
-    r"|blockquote|form|pre|hr)|img|table)\b)"
+# Each of them starts a piece.
+_BLOCKS = (
+    r"(?:/?(?:p|div|article|section|footer|header|main|nav|aside|body|html|td|ul|ol|dl|h[1-6]"
+    r"|blockquote|form|pre|hr)|img|table)\b"
 )
 
 
@@ -199,7 +201,7 @@ def section_pieces(cleaned: Column, start: str) -> Column:
     """What follows the first ``</start>``, cut at block boundaries; tables shrunk to their tag."""
     after = F.regexp_extract(cleaned, rf"(?is)</{start}\s*>(.*)\z", 1)
     flat = F.regexp_replace(after, r"(?is)(<table\b[^>]*>).*?</table\s*>", "$1")
-    return F.split(flat, _BLOCK_START)
+    return H.pieces_of(flat, "(?is).", _BLOCKS)
 
 
 def take_while_section(
@@ -224,28 +226,29 @@ def take_while_section(
     result is NULL on pages without the heading.  ``cleaned`` says that scripts
     and comments are gone already.
     """
-    allowed = [*through, *(["/p"] if "p" in through else [])]
-
-    def is_stop(piece: Column) -> Column:
-        def by_tag(tag: Column) -> Column:
-            # A further tag behind a closed paragraph, an image or a table is a sibling too.
-            trailing = (tag != "p") & piece.rlike(r"^<[^>]*>[^<]*<")
-            ends = ~tag.isin(allowed) | trailing
-            if stop_class is not None:
-                ends |= (tag == "p") & H.mentions_class(piece, stop_class)
-            if stop_summaries:
-                ends |= (tag == "table") & F.coalesce(H.attr(piece, "summary").isin(list(stop_summaries)), F.lit(False))
-            return ends
-
-        # Text may precede the first block, another tag may not.
-        return F.when(~piece.startswith("<"), F.contains(piece, F.lit("<"))).otherwise(
-            let(F.lower(F.regexp_extract(piece, r"^<(/?[A-Za-z][A-Za-z0-9]*)", 1)), by_tag)
-        )
-
-    kept = F.filter(
-        F.when(F.col("__stop") > 0, F.slice("__pieces", 1, F.col("__stop") - 1)).otherwise(F.col("__pieces")),
-        lambda p: p.rlike(r"(?i)^<p[\s>]"),
+    others = [*[tag for tag in through if tag != "p"], *(["/p"] if "p" in through else [])]
+    # Text may precede the first block, another tag may not.
+    ways = [r"[^<]*\z"]
+    if "p" in through:
+        ways.append("<p(?![a-z0-9])" + (f"(?!.*?{H.class_mention(stop_class)})" if stop_class is not None else ""))
+    if others:
+        # A further tag behind a closed paragraph, an image or a table is a sibling too.
+        ways.append(rf"(?!<[^>]*>[^<]*<)<(?:{'|'.join(others)})(?![a-z0-9])")
+
+    def goes_on(piece: Column) -> Column:
+        allowed = piece.rlike(f"(?is)^(?:{'|'.join(ways)})")
+        if not stop_summaries:
+            return allowed
+        # Few pieces hold one of the words at all.
+        named = reduce(or_, [F.contains(piece, F.lit(s)) for s in stop_summaries]) & piece.rlike("(?i)^<table(?![a-z0-9])")
+        return allowed & ~(named & F.coalesce(H.attr(piece, "summary").isin(list(stop_summaries)), F.lit(False)))
+
+    # The pieces before the first that does not go on; negative from there, and no further piece is looked at.
+    before = F.aggregate(
+        "__pieces", F.lit(0), lambda n, piece: F.when(n < 0, n).when(goes_on(piece), n + 1).otherwise(-n - 1),
+        lambda n: F.when(n < 0, -n - 1).otherwise(n),
     )
+    kept = F.filter(F.slice("__pieces", 1, before), lambda p: p.rlike(r"(?i)^<p[\s>]"))
     if only is not None:
         kept = F.filter(kept, only)
     texts = F.filter(F.transform(kept, H.clean_text), lambda t: t != "")
@@ -254,7 +257,6 @@ def take_while_section(
         pages.select(*keep, page.alias("__page"))
         .select(*keep, F.col("__page").rlike(rf"(?is)</{start}\s*>").alias("__has"),
                 section_pieces(F.col("__page"), start).alias("__pieces"))
-        .withColumn("__stop", F.array_position(F.transform("__pieces", is_stop), F.lit(True)).cast("int"))
         .select(*keep, F.when(F.col("__has"), F.array_join(texts, sep)).alias(out))
     )
 
@@ -273,7 +275,8 @@ def table_pairs(cleaned: Column, summary_like: str, skip: int = 2) -> Column:
     """
     table = F.filter(
         H.elements(cleaned, "table"),
-        lambda t: F.coalesce(F.contains(H.attr(t, "summary"), F.lit(summary_like)), F.lit(False)),
+        # Only a table that holds the phrase at all can have it in its summary.
+        lambda t: F.contains(t, F.lit(summary_like)) & F.coalesce(F.contains(H.attr(t, "summary"), F.lit(summary_like)), F.lit(False)),
     )
     rows = F.slice(H.elements(F.get(table, F.lit(0)), "tr"), skip + 1, 1_000_000_000)
     cells = F.filter(

@@ -34,3 +34,16 @@ def dealt(rows: DataFrame) -> DataFrame:
     read by as many tasks as it has splits, whatever that work is.  AQE merges what is too small.
     """
     return rows.hint("rebalance")
+
+
+# Tasks for each core, so that a stage does not end with a few long ones.
+TASKS_PER_CORE = 8
+
+
+def spread(rows: DataFrame, *keys: str) -> DataFrame:
+    """The rows dealt out by ``keys`` into several tasks for each core.
+
+    As ``dealt``, for narrow rows that are minutes of work: AQE merges by size, to tasks of 64 MB or little more of them than there
+    are cores, and the last few would then run by themselves.  ``keys`` should tell rows apart.
+    """
+    return rows.repartition(TASKS_PER_CORE * rows.sparkSession.sparkContext.defaultParallelism, *keys)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from pagemill.operators.rows import dealt
+from pagemill.operators.rows import dealt, each, spread
 from pagemill.operators.sentiment import lexicon_frame
 from pagemill.plans import fellows, news, prizes, publications, worktable
 from pagemill.plans.q_joins import LISTED
@@ -161,7 +161,7 @@ def _(t):
             )
         ).alias("laureates")
     )
-    details = t.customer.select(text("c_custkey").alias("id"), F.to_json(detail).alias("detail"))
+    details = dealt(t.customer).select(text("c_custkey").alias("id"), F.to_json(detail).alias("detail"))
     area = F.when(F.col("category") == "economics", F.lit("economic-sciences")).otherwise(F.col("category"))
     hosts = (
         awards.join(t.customer, F.col("id") == F.col("c_custkey"))
@@ -170,9 +170,8 @@ def _(t):
     )
 
     def page(where, ending, status, *html):
-        return hosts.where(where).select(
-            join_text(F.col("stem"), ending).alias("url"), F.lit(status).alias("status"), join_text(*html).alias("html")
-        )
+        made = F.struct(join_text(F.col("stem"), ending).alias("url"), F.lit(status).alias("status"), join_text(*html).alias("html"))
+        return F.when(F.expr(where), made)
 
     bio = page(
         "true", "-bio.html", 200,
@@ -193,9 +192,9 @@ def _(t):
         "area = 'O'", "-facts_en.html", 200, "<h1>Facts</h1><div class='laureate_info_wrapper'><p><strong>Field:</strong> field ",
         text("c_nationkey"), "</p></div>",
     )
-    pages = bio
-    for more in (speech, pointer, other, gone, facts):
-        pages = pages.unionByName(more)
+    # One pass makes the pages of a host; six would join the hosts six times.
+    landed = F.array_compact(F.array(bio, speech, pointer, other, gone, facts))
+    pages = each(spread(hosts, "stem"), [], landed, "page").select("page.*")
     talks = hosts.where("area = 'P'").select(
         join_text(F.col("stem"), "-lecture_en.pdf").alias("url"), join_text("talk  ", pid).alias("words")
     )
