@@ -98,7 +98,10 @@ def scores(
         ways.insert(0, f"(?:{'|'.join(sorted(negators, key=len, reverse=True))}){gap}(?={after})")
     if several:
         ways.insert(0, f"(?:{'|'.join(several)})(?![a-z])")
-    found = F.regexp_extract_all(F.lower(text), F.lit(f"(?<![a-z])(?:{'|'.join(ways)})"), F.lit(0))
+    # A look at the letter first: most of a text begins no entry and no modifier.
+    first = {word[:1] for word in [*usable, *factors]}
+    begins = f"(?=[{''.join(sorted(first))}])" if all(re.fullmatch("[a-z]", c) for c in first) else ""
+    found = F.regexp_extract_all(F.lower(text), F.lit(f"{begins}(?<![a-z])(?:{'|'.join(ways)})"), F.lit(0))
 
     def table(values: Mapping[str, tuple[float, float] | float], kind: str) -> Column:
         cells = [F.struct(*[F.lit(float(x)) for x in v]) if isinstance(v, tuple) else F.lit(float(v)) for v in values.values()]

@@ -327,10 +327,9 @@ def _(t):
 )
 def _(t):
     # All document rows in a few long export files.
-    path, blocks = scratch_path(t.spark, "export"), scratch_path(t.spark, "blocks")
+    path = scratch_path(t.spark, "export")
     t.documents.select(news_export()).write.text(path)
-    read_export_blocks(t.spark, path).write.parquet(blocks)
-    found = news.news_documents_from_blocks(t.spark.read.parquet(blocks), lexicon_frame(t.spark))
+    found = news.news_documents_from_blocks(read_export_blocks(t.spark, path), lexicon_frame(t.spark))
     return found.select(
         "body", "num_words", "email_title", "date_time", "document_idx", "newspaper_title",
         F.round("polarity", 6).alias("polarity"), F.round("subjectivity", 6).alias("subjectivity"),

@@ -89,3 +89,10 @@ def test_prize_pages_are_made_in_one_pass(spark, sf, monkeypatch):
     plan = found["pages"]._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Join") == 1 and "Union" not in plan
     assert found["pages"].rdd.getNumPartitions() >= 2 * spark.sparkContext.defaultParallelism
+
+
+def test_exports_are_parsed_once(spark, sf):
+    """The scans go on with written tables: neither the files nor the classes of a block are read again for a field."""
+    plan = QUERIES["news_export_files"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_extract_all" not in plan.replace("regexp_extract_all(lower(", "")
+    assert "Relation [value" not in plan and "class" not in plan
