@@ -16,7 +16,8 @@ than any language, or when the best language's probability is below ``MIN_CONFID
 
 The trigram models are fitted on a sample of labelled rows, bounded by ``SAMPLE_ROWS`` rows per language and
 ``SAMPLE_CHARS`` characters per row, and on a few common words per language, which alone
-serve where there are no labelled rows.
+serve where there are no labelled rows.  The sample's trigrams are counted by tasks; the driver gets one
+number for each bucket and language, never a text.
 """
 
 from __future__ import annotations
@@ -24,6 +25,8 @@ from __future__ import annotations
 import math
 import re
 import zlib
+from collections import Counter
+from collections.abc import Iterable
 from dataclasses import dataclass
 
 import numpy as np
@@ -87,30 +90,54 @@ class TextModel:
         return out
 
 
-def fit(texts: list[str], languages: list[str]) -> TextModel:
-    names = sorted({*languages, *COMMON})
+def trigram_counts(texts: Iterable[str], languages: Iterable[str]) -> dict[str, np.ndarray]:
+    """How often each trigram bucket occurs in the texts of each language."""
+    words: dict[str, Counter[str]] = {}
+    for text, language in zip(texts, languages):
+        words.setdefault(language, Counter()).update(text.split())
+    counts = {}
+    for language, found in words.items():
+        lists = [trigrams(w) for w in found]
+        times = np.repeat(np.array([*found.values()], np.int64), np.array([len(x) for x in lists], np.int64))
+        flat = np.fromiter((b for x in lists for b in x), np.int64, len(times))
+        counts[language] = np.bincount(flat, times, BUCKETS).astype(np.int64)
+    return counts
+
+
+def fit(texts: Iterable[str], languages: Iterable[str]) -> TextModel:
+    return fit_counts(trigram_counts(texts, languages))
+
+
+def fit_counts(found: dict[str, np.ndarray]) -> TextModel:
+    """Fit on counts of trigram buckets and the common words; a language may have counts of nothing."""
+    names = sorted({*found, *COMMON})
     counts = np.zeros((BUCKETS, len(names)))
-    seen: dict[str, list[int]] = {}
-    for text, language in [*zip(texts, languages), *((words, name) for name, words in COMMON.items())]:
-        k = names.index(language)
-        found: list[int] = []
-        for word in text.split():
-            if word not in seen:
-                seen[word] = trigrams(word)
-            found += seen[word]
-        counts[:, k] += np.bincount(np.array(found, np.int64), minlength=BUCKETS)
+    for part in (found, trigram_counts(COMMON.values(), COMMON)):
+        for language, n in part.items():
+            counts[:, names.index(language)] += n
     smooth = counts + UNSEEN
     table = np.log(smooth / smooth.sum(axis=0))
     return TextModel(names, np.column_stack([table, np.full(BUCKETS, -np.log(BUCKETS))]))
 
 
+def _bucket_rows(batch) -> dict:
+    """``l, bucket, n`` of a batch ``l, t``; each language has a row at least, if its texts have no trigram, too."""
+    found = trigram_counts(batch.column("t").to_pylist(), batch.column("l").to_pylist())
+    at = {language: np.union1d([0], np.flatnonzero(n)).astype(np.int64) for language, n in found.items()}
+    return {
+        "l": [language for language, buckets in at.items() for _ in buckets],
+        "bucket": np.concatenate([np.zeros(0, np.int64), *at.values()]),
+        "n": np.concatenate([np.zeros(0, np.int64), *(found[language][buckets] for language, buckets in at.items())]),
+    }
+
+
 def fit_on(docs: DataFrame, text: str = "text", language: str = "lang", rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS) -> TextModel:
     """Fit on at most ``rows`` rows of each language, chosen by a hash of their texts."""
     require(docs, text, language)
     known = docs.select(F.col(text).alias("t"), F.lower(F.trim(F.col(language))).alias("l"))
     known = known.where(F.col("l").rlike("^[a-z]{2,3}$") & (F.length("t") <= chars) & (F.length("t") > 0))
     known = known.withColumn("h", F.xxhash64("t"))
-    # The choice is made on hashes; only the texts chosen, each once, ever come to the driver.
+    # The choice is made on hashes; the texts chosen, each once, are counted where they are.
     # Each language has rows of its own, so a rare one is in the model however large the others are.
     hashes = known.groupBy("h").agg(F.min("l").alias("l"))
     sizes = hashes.groupBy("l").agg(F.count(F.lit(1)).alias("n"))
@@ -121,8 +148,14 @@ def fit_on(docs: DataFrame, text: str = "text", language: str = "lang", rows: in
     nth = F.row_number().over(Window.partitionBy("l").orderBy("h"))
     picked = low.withColumn("nth", nth).where(F.col("nth") <= rows).select("h")
     chosen = known.join(F.broadcast(picked), "h").groupBy("h").agg(F.min(F.struct("l", "t")).alias("r"))
-    picked = chosen.select("r.*").collect()
-    return fit([r["t"] for r in picked], [r["l"] for r in picked])
+    sums = link_map(chosen.select("r.*"), _bucket_rows, "l string, bucket bigint, n bigint")
+    found: dict[str, np.ndarray] = {}
+    for batch in sums.groupBy("l", "bucket").agg(F.sum("n").alias("n")).toArrow().to_batches():
+        names, buckets, n = batch.column("l").to_pylist(), batch.column("bucket").to_numpy(), batch.column("n").to_numpy()
+        for name in set(names):
+            own = np.array([x == name for x in names])
+            found.setdefault(name, np.zeros(BUCKETS, np.int64))[buckets[own]] = n[own]
+    return fit_counts(found)
 
 
 def _log_likelihoods(model: TextModel):

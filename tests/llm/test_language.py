@@ -128,3 +128,22 @@ def test_texts_are_scored_once_in_each_pass(spark, model, tmp_path, monkeypatch)
     plans.append(out._jdf.queryExecution().executedPlan().toString())
     assert sorted(r.doc_id for r in out.collect()) == [0, 1, 2, 3]
     assert sorted(plan.count("ArrowEvalPython") for plan in plans) == [0, 1, 1]
+
+
+def test_fitting_brings_counts_to_the_driver(spark, prose, monkeypatch):
+    """No text of the sample leaves the tasks; the model is that of its texts, each once."""
+    texts = [(prose(i, 30), "en") for i in range(40)] + [(t, k) for k, t in TEXTS.items()] + [("12 34", "xx")]
+    docs = spark.createDataFrame([*texts, texts[0], (None, "en"), ("", "de")], "text string, lang string").repartition(4)
+    brought = []
+    for name in ("collect", "toArrow", "toPandas"):
+
+        def noted(df, *args, real=getattr(type(docs), name)):
+            brought.append(df.dtypes)
+            return real(df, *args)
+
+        monkeypatch.setattr(type(docs), name, noted)
+    model = L.fit_on(docs)
+    assert brought == [[("l", "string"), ("bucket", "bigint"), ("n", "bigint")]]
+    expected = L.fit(*zip(*texts))
+    assert model.languages == expected.languages == ["de", "en", "es", "fr", "xx"]
+    assert np.array_equal(model.table, expected.table)
